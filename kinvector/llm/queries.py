@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.llm import line_dedup as lines
+from kinvector.llm import packing, sstable
 from kinvector.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_best_fit_packing(spark, sf_dir):
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op4_token_shards(spark, sf_dir):
+    shards = sstable.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return sstable.read_shards(shards, sstable.crc_of)
+
+
 def op8_line_dedup(spark, sf_dir):
     out = lines.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
