@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.llm import line_dedup as lines
-from kinvector.llm import packing, sstable
+from kinvector.llm import language_id, packing, sstable
 from kinvector.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_language_id(spark, sf_dir):
+    return language_id.language_id(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_token_shards(spark, sf_dir):
     shards = sstable.write_shards(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return sstable.read_shards(shards, sstable.crc_of)
