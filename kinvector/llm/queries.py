@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.llm import line_dedup as lines
-from kinvector.llm import language_id, packing, sstable
+from kinvector.llm import language_id, near_dedup, packing, sstable
 from kinvector.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_token_shards(spark, sf_dir):
     return sstable.read_shards(shards, sstable.crc_of)
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op8_line_dedup(spark, sf_dir):
     out = lines.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
