@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.llm import line_dedup as lines
-from kinvector.llm import language_id, near_dedup, packing, sstable
+from kinvector.llm import language_id, mixing, near_dedup, packing, pii, sstable
 from kinvector.llm.common import table
 
 
@@ -15,6 +15,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_personal_data(spark, sf_dir):
+    out = pii.personal_data(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    spans = pii.written(F.sort_array(F.concat("base", "added")))
+    return out.select("doc_id", *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -28,6 +35,53 @@ def op4_token_shards(spark, sf_dir):
     return sstable.read_shards(shards, sstable.crc_of)
 
 
+def op5_mixing(spark, sf_dir):
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+OP5 = r"""
+with recursive d as (
+  select doc_id, source, 1 + coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as n_tokens from documents
+), s as (
+  select source, cast(sum(n_tokens) as double) as tokens from d group by source
+), t as (
+  select sum(tokens) as total, count(*) as n, cast(0.95 as double) * ln(count(*)) as goal from s
+), even(i, low, high) as (
+  select 0, cast(0 as double), cast(1 as double)
+  union all
+  select i + 1, case when h >= goal then (low + high) / 2 else low end, case when h >= goal then high else (low + high) / 2 end
+  from (select i, low, high, goal,
+               (select ln(sum(pow(tokens / total, (low + high) / 2))) - sum(pow(tokens / total, (low + high) / 2) * ln(pow(tokens / total, (low + high) / 2))) / sum(pow(tokens / total, (low + high) / 2)) from s) as h
+        from even, t where i < 30)
+), few(i, low, high) as (
+  select 0, cast(0 as double), cast(1 as double)
+  union all
+  select i + 1, case when r <= 4 then low else (low + high) / 2 end, case when r <= 4 then (low + high) / 2 else high end
+  from (select i, low, high, (select max(pow(tokens / total, (low + high) / 2) / (tokens / total)) / sum(pow(tokens / total, (low + high) / 2)) from s) as r
+        from few, t where i < 30)
+), ends as (
+  select (select ln(sum(1)) >= max(goal) from s, t) as even0,
+         (select -sum(tokens / total * ln(tokens / total)) >= max(goal) from s, t) as even1,
+         (select max(total / tokens) / count(*) <= 4 from s, t) as few0
+), alpha as (
+  select greatest(case when even1 then 1 when not even0 then 0 else (select low from even where i = 30) end,
+                  case when few0 then 0 else (select high from few where i = 30) end) as a from ends
+), w as (
+  select source, cast(tokens as bigint) as tokens,
+         cast(round(pow(tokens / total, a) / (select sum(pow(tokens / total, a)) from s, t, alpha) * total) as bigint) as target
+  from s, t, alpha
+), p as (
+  select doc_id, d.source, n_tokens, tokens, target, epoch, md5('7:' || epoch || ':' || doc_id) as key
+  from d join w on d.source = w.source, lateral (select unnest(range(0, target // tokens + 1)) as epoch)
+), q as (
+  select *, epoch * tokens + coalesce(sum(n_tokens) over (partition by source, epoch order by key rows between unbounded preceding and 1 preceding), 0) as start from p
+), b as (
+  select greatest(1, -(-sum(target) // 1048576)) as blocks from w
+)
+select doc_id, source, n_tokens, cast(epoch as int) as epoch, cast(floor(start * blocks / target) as bigint) as block from q, b where start < target
+"""
+
+
 def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
