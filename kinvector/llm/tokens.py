@@ -3,7 +3,7 @@
 White space ends every word of both vocabularies, so a text is cut into words
 (with the blanks before them where the vocabulary keeps blanks), each distinct
 word is encoded once by the ``tokenizers`` library, and the ids are gathered
-with numpy. Plain words are encoded together and told apart by the mark that
+with numpy. Plain words are encoded together and told apart by the marks that
 the vocabulary sets at one end of a word. Texts with the control characters
 that Python and Unicode disagree about as white space are encoded in one piece.
 """
@@ -14,10 +14,12 @@ import os
 import re
 import sys
 import types
+from itertools import repeat
 
 import numpy as np
 
 ODD = re.compile("[\x1c-\x1f]")
+SIGNS = ",.;:!?&%$#*|()\"-"
 PIECES = re.compile(r"\s*\S+|\s+")
 
 
@@ -58,37 +60,57 @@ class Encoder:
         ids = [x.ids for x in got]
         return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def marks_of(self, word: str) -> int:
+        """How many marks the ids of a plain word have; 0 if it isn't plain.
+
+        Byte-level: a blank and no other before the word is its one mark.
+        Else: letters end in a mark, and so does a run of signs after them.
+        """
+        if self.keeps_blanks:
+            return int(len(word) > 1 and word[0] == " " and not word[1].isspace())
+        if word.isalpha():
+            return 1
+        return 2 if word.rstrip(SIGNS).isalpha() else 0
+
+    def plain_ids(self, words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = ("" if self.keeps_blanks else " ").join(words)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         at = np.flatnonzero(self.mark[ids])
-        if len(at) != len(words):
+        if len(at) != marks.sum():
             return self.ids_of(words)
-        return ids, np.diff(np.append(at, len(ids))) if self.keeps_blanks else np.diff(np.concatenate([[-1], at]))
-
-    def learn(self, words):
-        new = set(words) - self.index.keys()
+        last = np.cumsum(marks) - 1
+        return ids, np.diff(np.append(at, len(ids))) if self.keeps_blanks else np.diff(np.concatenate([[-1], at[last]]))
+
+    def keep(self, words: list[str], values: np.ndarray, n: np.ndarray):
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.values = np.concatenate([self.values, values])
+        self.met = np.concatenate([self.met, np.zeros(len(n), np.int64)])
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """Places of the words in the table; new ones are encoded first."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        new = {words[i] for i in missing}
         if len(self.index) + len(new) > self.most_words and self.index:
             for seen in (1, 3, 9, 0):
                 self.forget(seen)
                 if len(self.index) <= self.most_words // 2:
                     break
+            missing = np.arange(len(words))
             new = set(words) - self.index.keys()
-        if not new:
-            return
-        if self.keeps_blanks:
-            plain = [w for w in new if w[0] == " " and w.isascii() and w[1:].isalpha()]
-        else:
-            plain = [w for w in new if w.isascii() and w.isalpha()]
-        for part, f in ((plain, self.plain_ids), (list(new.difference(plain)), self.ids_of)):
-            for i in range(0, len(part), 50_000):
-                some = part[i : i + 50_000]
-                values, n = f(some)
-                self.index.update(zip(some, range(len(self.index), len(self.index) + len(some))))
-                self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(n) - n])
-                self.lengths = np.concatenate([self.lengths, n])
-                self.values = np.concatenate([self.values, values])
-                self.met = np.concatenate([self.met, np.zeros(len(n), np.int64)])
+        marks = {w: m for w in new if (m := self.marks_of(w))}
+        plain, other = list(marks), [w for w in new if w not in marks]
+        for i in range(0, len(plain), 50_000):
+            some = plain[i : i + 50_000]
+            self.keep(some, *self.plain_ids(some, np.array([marks[w] for w in some])))
+        for i in range(0, len(other), 50_000):
+            self.keep(some := other[i : i + 50_000], *self.ids_of(some))
+        at[missing] = [self.index[words[i]] for i in missing]
+        return at
 
     def words(self, text: str) -> list[str]:
         if ODD.search(text):
@@ -101,8 +123,7 @@ class Encoder:
         """Ids of each text as uint32, with the end id where there is one."""
         pieces = [self.words(t) for t in texts]
         words = [w for ws in pieces for w in ws]
-        self.learn(words)
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = self.look_up(words)
         self.met += np.bincount(at, minlength=len(self.met))
         n = self.lengths[at]
         total = np.concatenate([[0], np.cumsum(n)])
