@@ -9,7 +9,8 @@
    of the band only: a group of thousands of copies never meets as all pairs,
    and no candidate link between different components is left untested.
 4. The joint likelihood of both sketches drops pairs that can't be similar
-   enough; the others are verified on the full sets of their texts.
+   enough, and so do, within a band, the smallest hashes of both sets; the
+   others are verified on the full sets of their texts.
 """
 
 from __future__ import annotations
@@ -20,9 +21,10 @@ from pyspark.sql import functions as F
 
 from kinvector.llm.common import blocks, components, cut, mix
 
-REGISTERS, ROWS = 96, 4
+REGISTERS, BANDED, ROWS = 128, 96, 4
+SMALLEST = 256
 BASE, RATE = 1.02, 20.0
-SKETCH = "doc_id long, n long, h1 long, h2 long, regs binary"
+SKETCH = "doc_id long, n long, h1 long, h2 long, regs binary, low binary"
 ODD_STEP = 0x9E3779B97F4A7C15
 
 
@@ -99,13 +101,14 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 n = np.array([len(s) for s in sets])
                 full = np.flatnonzero(n)
                 h1, h2, regs = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), [None] * len(n)
+                low = [(x[:SMALLEST] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets]
                 if len(full):
                     flat, starts = np.concatenate([sets[i] for i in full]), np.cumsum(n[full]) - n[full]
                     h1[full] = np.add.reduceat(mix(flat), starts).view(np.int64)
                     h2[full] = np.add.reduceat(mix(flat ^ np.uint64(ODD_STEP)), starts).view(np.int64)
                     for i, r in zip(full, registers(flat, starts, t)):
                         regs[i] = r.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(regs, pa.binary())], names=["doc_id", "n", "h1", "h2", "regs"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(regs, pa.binary()), pa.array(low, pa.binary())], names=["doc_id", "n", "h1", "h2", "regs", "low"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
@@ -114,7 +117,7 @@ def p_b(x):
     return -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
 
 
-def likely(na, nb, ra: np.ndarray, rb: np.ndarray, threshold: float, slack: float = 14.0) -> np.ndarray:
+def likely(na, nb, ra: np.ndarray, rb: np.ndarray, threshold: float, slack: float = 9.0) -> np.ndarray:
     """Whether a similarity of ``threshold`` or more is within ``slack`` log-likelihood of the best one.
 
     Joint estimation from the numbers of registers above, below and equal,
@@ -128,10 +131,24 @@ def likely(na, nb, ra: np.ndarray, rb: np.ndarray, threshold: float, slack: floa
     up, down = np.maximum(p_b(np.maximum(u - v * j, 0)), 1e-9), np.maximum(p_b(np.maximum(v - u * j, 0)), 1e-9)
     log = above * np.log(up) + below * np.log(down) + equal * np.log(np.maximum(1 - up - down, 1e-9))
     best = log.max(1)
-    high = np.where(j >= threshold - 0.02, log, -np.inf).max(1)
+    high = np.where(j >= threshold, log, -np.inf).max(1)
     return high >= best - slack
 
 
+def overlapping(one: np.ndarray, n: float, others: list[np.ndarray], ns: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the others may reach the threshold by the smallest hashes of both sets: exact for small sets, else within four deviations."""
+    top = lambda x, size: x[-1] if size > SMALLEST else np.uint32(2**32 - 1)
+    edge = np.minimum(top(one, n), np.array([top(x, m) for x, m in zip(others, ns)]))
+    sizes = np.array([len(x) for x in others])
+    flat, owner = np.concatenate(others), np.repeat(np.arange(len(others)), sizes)
+    below = flat <= edge[owner]
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.bincount(owner[below & (one[at] == flat)], minlength=len(others))
+    all_of = np.bincount(owner[below], minlength=len(others)) + np.searchsorted(one, edge, "right") - both
+    whole = (n <= SMALLEST) & (ns <= SMALLEST)
+    return both >= np.where(whole, threshold - 1e-6, threshold - 4 * np.sqrt(threshold * (1 - threshold) / all_of)) * all_of
+
+
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that the sketches don't rule out."""
     left = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
@@ -149,6 +166,55 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def apart(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Likely pairs (a, b) of one band and different components, each from the first band it shares.
+
+    A band's sketches are compared inside its task, members outside the largest
+    component with all; only pairs that the estimate keeps become rows.
+    """
+    width = 2 * ROWS
+    rows = members.join(reps.select("rep", "n", "regs", "low"), "rep").repartition("band").sortWithinPartitions("band").select("band", "no", "rep", "c", "n", "regs", "low")
+
+    def compare(no, rep, c, n, regs, low):
+        import pyarrow as pa
+
+        raw = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
+        bands = np.ascontiguousarray(raw[:, :BANDED]).view(f"V{width}").reshape(len(raw), -1)
+        rep, c, n, low = np.array(rep), np.array(c), np.array(n, float), [np.frombuffer(x, np.uint32) for x in low]
+        kinds, counts = np.unique(c, return_counts=True)
+        main = c == kinds[counts.argmax()]
+        order = np.concatenate([np.flatnonzero(~main), np.flatnonzero(main)])
+        out = []
+        for k in range(int((~main).sum())):
+            i, js = order[k], order[k + 1 :]
+            js = js[(c[js] != c[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-9)]
+            if no[0] and len(js):
+                js = js[~(bands[js, : no[0]] == bands[i, : no[0]]).any(1)]
+            for part in (js[x : x + 2000] for x in range(0, len(js), 2000)):
+                part = part[likely(np.full(len(part), n[i]), n[part], raw[i][None, :], raw[part], threshold)]
+                if len(part):
+                    part = part[overlapping(low[i], n[i], [low[j] for j in part], n[part], threshold)]
+                out.append(np.stack([np.minimum(rep[i], rep[part]), np.maximum(rep[i], rep[part])]))
+        if out:
+            a, b = np.concatenate(out, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        held, now = None, None
+        for batch in batches:
+            for band, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if band != now:
+                    if held:
+                        yield from compare(*held)
+                    held, now = tuple([] for _ in row), band
+                for kept, x in zip(held, row):
+                    kept.append(x)
+        if held:
+            yield from compare(*held)
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the threshold."""
     percent = round(threshold * 100)
@@ -187,38 +253,33 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     """
     sk = cut(sketches(docs, shingle))
     own = sk.where("n > 0 and doc_id is not null")
-    reps = cut(own.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "regs")).alias("r")).select("h1", "h2", F.col("r.doc_id").alias("rep"), "n", F.col("r.regs").alias("regs")))
+    reps = cut(own.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "regs", "low")).alias("r")).select("h1", "h2", F.col("r.doc_id").alias("rep"), "n", F.col("r.regs").alias("regs"), F.col("r.low").alias("low")))
 
     width = 2 * ROWS
-    band = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
-    rows = reps.select("rep", "n", F.explode(band).alias("band"))
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDED // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
+    rows = reps.select("rep", F.posexplode(band).alias("no", "band"))
     shared = rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = cut(rows.join(shared, "band").select("band", "rep", "n", "low", "high"))
+    members = cut(rows.join(shared, "band").select("band", "no", "rep", "low"))
 
     def tested(pairs):
-        return cut(verified(cut(estimated(pairs, reps, threshold)), docs, shingle, threshold))
+        return cut(verified(cut(pairs), docs, shingle, threshold))
 
     pairs = members.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     tried = cut(pairs)
-    links = tested(tried)
-    percent = round(threshold * 100)
+    links = tested(estimated(tried, reps, threshold))
     for step in ("popular", "all"):
         label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         now = members.join(label.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
         mixed = now.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("band", "size")
-        left = now.join(mixed, "band").select("band", "rep", "n", "c", "size")
+        left = now.join(mixed, "band").select("band", "no", "rep", "c", "size")
         if step == "popular":  # the member that shares most bands with others is near the middle of its group
             score = left.groupBy("rep").agg(F.sum("size").alias("score"))
             left = cut(left.join(score, "rep"))
             lead = left.groupBy("band").agg(F.max(F.struct("score", "rep", "c")).alias("m")).select("band", F.col("m.rep").alias("lead"), F.col("m.c").alias("lc"))
-            more = left.join(lead, "band").where("c <> lc").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
+            pairs = left.join(lead, "band").where("c <> lc").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+            links = links.unionByName(tested(estimated(pairs.join(tried, ["a", "b"], "left_anti"), reps, threshold)))
         else:
-            left = cut(left)
-            x, y = left.select("band", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), left.select("band", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            more = x.join(y, "band").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-        more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-        tried = tried.unionByName(more)
-        links = links.unionByName(tested(more))
+            links = links.unionByName(tested(apart(left.drop("size"), reps, threshold)))
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     classes = reps.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
