@@ -1,7 +1,58 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: documents in, packed sequences of a balanced corpus out.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinvector.llm import language_id, line_dedup, mixing, near_dedup, packing
+from kinvector.llm.common import cut, table
+from kinvector.llm.queries import vocabulary
+
+#: Tokenizers, fitted models and iterated components can't be expressed in SQL.
 ORACLE_SQL = None
-STAGES = []
+#: Documents whose calibrated language probability is below this are rejected, as those without letters are.
+LEAST_SCORE = 0.3
+
+
+def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is told."""
+    out = language_id.language_id(docs)
+    return out.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of the texts; no document goes."""
+    return line_dedup.line_dedup(docs).select(*docs.columns)
+
+
+def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates: five words, similarity 0.8."""
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_d")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mixture, a row for each copy."""
+    return mixing.mixed(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed in sequences of 2048 tokens."""
+    return packing.best_fit_packing(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [("language_id", identify), ("line_dedup", drop_lines), ("near_dedup", drop_near), ("mixing", mix), ("packing", pack)]
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs

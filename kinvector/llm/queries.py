@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.llm import line_dedup as lines
-from kinvector.llm import language_id, mixing, near_dedup, packing, pii, sstable
+from kinvector.llm import language_id, mixing, near_dedup, packing, pii, spotsigs, sstable
 from kinvector.llm.common import table
 
 
@@ -105,3 +105,10 @@ select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from m group by doc_id
 """
+
+
+def op9_spotsigs(spark, sf_dir):
+    out = spotsigs.edited(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256")
+    prints = [spotsigs.written(F.col(c)).alias(name) for c, name in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
+    return out.select("doc_id", "n_chars", sha, *prints, "near_edited", "near_next")
