@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.llm import line_dedup as lines
-from kinvector.llm import language_id, mixing, near_dedup, packing, pii, spotsigs, sstable
+from kinvector.llm import itq, language_id, mixing, near_dedup, packing, pii, spotsigs, sstable
 from kinvector.llm.common import table
 
 
@@ -86,6 +86,26 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op7_near_vectors(spark, sf_dir):
+    return itq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP7 = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where label is not null and embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+        and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), link as (
+  select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= cast(0.93 as double)
+), reach(u, v) as (
+  select vec_id, vec_id from embeddings union select r.u, l.v from reach r join link l on r.v = l.u
+)
+select r.u as vec_id, (select count(*) from link l where l.u = r.u) as n_links, min(r.v) as component_id, r.u = min(r.v) as kept
+from reach r group by r.u
+"""
+
+
 def op8_line_dedup(spark, sf_dir):
     out = lines.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
