@@ -14,7 +14,7 @@ import os
 import re
 import sys
 import types
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -58,19 +58,21 @@ class Encoder:
         """(ids of all words one after the other, how many each has)."""
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         ids = [x.ids for x in got]
-        return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
 
-    def marks_of(self, word: str) -> int:
-        """How many marks the ids of a plain word have; 0 if it isn't plain.
+    def sorted_out(self, words: set[str]) -> tuple[list[str], np.ndarray, list[str]]:
+        """(plain words, how many marks the ids of each have, other words).
 
         Byte-level: a blank and no other before the word is its one mark.
         Else: letters end in a mark, and so does a run of signs after them.
         """
         if self.keeps_blanks:
-            return int(len(word) > 1 and word[0] == " " and not word[1].isspace())
-        if word.isalpha():
-            return 1
-        return 2 if word.rstrip(SIGNS).isalpha() else 0
+            plain = [w for w in words if w[0] == " " and w[1:2] > " " and not w[1].isspace()]
+            return plain, np.ones(len(plain), np.int64), list(words.difference(plain))
+        one = [w for w in words if w.isalpha()]
+        rest = words.difference(one)
+        two = [w for w in rest if w.rstrip(SIGNS).isalpha()]
+        return one + two, np.repeat([1, 2], [len(one), len(two)]), list(rest.difference(two))
 
     def plain_ids(self, words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         text = ("" if self.keeps_blanks else " ").join(words)
@@ -94,22 +96,22 @@ class Encoder:
         missing = np.flatnonzero(at < 0)
         if not len(missing):
             return at
-        new = {words[i] for i in missing}
+        unknown = [words[i] for i in missing.tolist()]
+        new = set(unknown)
         if len(self.index) + len(new) > self.most_words and self.index:
             for seen in (1, 3, 9, 0):
                 self.forget(seen)
                 if len(self.index) <= self.most_words // 2:
                     break
-            missing = np.arange(len(words))
+            missing, unknown = np.arange(len(words)), words
             new = set(words) - self.index.keys()
-        marks = {w: m for w in new if (m := self.marks_of(w))}
-        plain, other = list(marks), [w for w in new if w not in marks]
+        plain, marks, other = self.sorted_out(new)
         for i in range(0, len(plain), 50_000):
             some = plain[i : i + 50_000]
-            self.keep(some, *self.plain_ids(some, np.array([marks[w] for w in some])))
+            self.keep(some, *self.plain_ids(some, marks[i : i + 50_000]))
         for i in range(0, len(other), 50_000):
             self.keep(some := other[i : i + 50_000], *self.ids_of(some))
-        at[missing] = [self.index[words[i]] for i in missing]
+        at[missing] = np.fromiter(map(self.index.__getitem__, unknown), np.int64, len(unknown))
         return at
 
     def words(self, text: str) -> list[str]:
