@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.llm import line_dedup as lines
-from kinvector.llm import itq, language_id, mixing, near_dedup, packing, pii, spotsigs, sstable
+from kinvector.llm import itq, language_id, mixing, near_dedup, packing, pii, repeats, spotsigs, sstable
 from kinvector.llm.common import table
 
 
@@ -132,3 +132,8 @@ def op9_spotsigs(spark, sf_dir):
     sha = F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256")
     prints = [spotsigs.written(F.col(c)).alias(name) for c, name in (("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))]
     return out.select("doc_id", "n_chars", sha, *prints, "near_edited", "near_next")
+
+
+def op10_repeats(spark, sf_dir):
+    out = repeats.drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
