@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from kinvector.llm.common import blocks, cut, mix
 
 GRAM = 160
+HOT_CONTEXTS = 20_000
 BASE = 0xD6E8FEB86659FD93
 ANCHOR = "doc_id long, th long, pos int, before int, after int, ah long, ch long"
 POSITION_BITS = 20
@@ -86,6 +87,13 @@ def anchors(raw: bytes, length: int, t: dict):
     return at, before, after, h[at], context
 
 
+def window_keys(raw: bytes, before: int, anchor: np.uint64, length: int, t: dict) -> np.ndarray:
+    """Hash of each window of a context, with its anchor and the anchor's place in it."""
+    sums, inverse = prefix(raw, t)
+    k = len(raw) - length + 1
+    return mix((sums[length:] - sums[:k]) * inverse[:k] + mix(np.arange(before, before - k, -1).astype(np.uint64) ^ anchor))
+
+
 def shared_windows(contexts: list[bytes], before: np.ndarray, owner: np.ndarray, length: int, t: dict):
     """(index, first, last) of ranges in contexts whose windows around the anchor occur in two of them.
 
@@ -96,9 +104,8 @@ def shared_windows(contexts: list[bytes], before: np.ndarray, owner: np.ndarray,
     for i, raw in enumerate(contexts):
         if len(raw) < length:
             continue
-        sums, inverse = prefix(raw, t)
-        k = len(raw) - length + 1
-        keys.append(mix((sums[length:] - sums[:k]) * inverse[:k] + mix(np.arange(before[i], before[i] - k, -1).astype(np.uint64) ^ np.uint64(owner[i]))))
+        keys.append(window_keys(raw, int(before[i]), owner[i], length, t))
+        k = len(keys[-1])
         ids.append(np.full(k, i))
         starts.append(np.arange(k))
     if not keys:
@@ -147,9 +154,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     whole = classes.where("n > 1 and before + after >= %d" % length).select("ah", "ch", "before", "after")
     copied = occurrences.join(whole, ["ah", "ch", "before", "after"]).select("doc_id", "th", (F.col("pos") - F.col("before")).alias("start"), (F.col("pos") + F.col("after")).alias("stop"))
 
-    several = classes.groupBy("ah").agg(F.count("*").alias("k")).where("k > 1").select("ah")
-    some = classes.join(several, "ah").select("ah", "before", "after", "n", F.col("m.doc_id").alias("doc_id"), F.col("m.th").alias("th"), F.col("m.pos").alias("pos"))
-    wanted = some.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "pos", "before", "after", "n")).alias("at")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "at")
+    several = classes.groupBy("ah").agg(F.count("*").alias("k")).where("k > 1")
+    some = classes.join(several, "ah").select("ah", (F.col("k") > HOT_CONTEXTS).alias("hot"), "before", "after", "n", F.col("m.doc_id").alias("doc_id"), F.col("m.th").alias("th"), F.col("m.pos").alias("pos"))
+    wanted = some.groupBy("doc_id", "th").agg(F.collect_list(F.struct("ah", "hot", "pos", "before", "after", "n")).alias("at")).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "at")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")))
 
     def fetch(batches):
@@ -158,11 +165,11 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for d, h, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "at"))):
                 raw = text.encode()
-                out = [(x["ah"], d, h, x["pos"], x["before"], x["n"], raw[x["pos"] - x["before"] : x["pos"] + x["after"]]) for x in at]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["ah", "doc_id", "th", "pos", "before", "n", "raw"])
+                out = [(x["ah"], x["hot"], d, h, x["pos"], x["before"], x["n"], raw[x["pos"] - x["before"] : x["pos"] + x["after"]]) for x in at]
+                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["ah", "hot", "doc_id", "th", "pos", "before", "n", "raw"])
 
-    contexts = texts.select("doc_id", "th", "text", "at").mapInArrow(fetch, "ah long, doc_id long, th long, pos int, before int, n long, raw binary")
+    contexts = texts.select("doc_id", "th", "text", "at").mapInArrow(fetch, "ah long, hot boolean, doc_id long, th long, pos int, before int, n long, raw binary")
 
     def compare(batches):
         import pyarrow as pa
@@ -189,7 +196,25 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         if held:
             yield from marks(held)
 
-    varied = contexts.repartition("ah").sortWithinPartitions("ah").mapInArrow(compare, "doc_id long, th long, start int, stop int")
+    def windows(batches):
+        import pyarrow as pa
+
+        t = tables()
+        for batch in batches:
+            for ah, doc, th, pos, before, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if len(raw) >= length:
+                    key = window_keys(raw, before, np.uint64(ah % 2**64), length, t)
+                    start = pos - before + np.arange(len(key), dtype=np.int32)
+                    columns = key.view(np.int64), np.full(len(key), doc), np.full(len(key), th), start, start + np.int32(length), np.full(len(key), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "th", "start", "stop", "n"])
+
+    # an anchor of very many contexts is not held in one task: its windows are counted as rows
+    hot = several.where(F.col("k") > HOT_CONTEXTS).limit(1).count() > 0
+    if hot:
+        rows = cut(contexts.where("hot").drop("hot").mapInArrow(windows, "key long, doc_id long, th long, start int, stop int, n long"))
+        twice = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+        copied = copied.unionByName(rows.where("n = 1").join(twice, "key").select("doc_id", "th", "start", "stop"))
+    varied = contexts.where("not hot").drop("hot").repartition("ah").sortWithinPartitions("ah").mapInArrow(compare, "doc_id long, th long, start int, stop int")
     return copied.unionByName(varied)
 
 
