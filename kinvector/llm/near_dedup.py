@@ -63,7 +63,7 @@ def word_hashes(raw: bytes, t: dict) -> np.ndarray:
     if len(b) > size:  # a word across the end of the table of powers is summed on its own
         for i in np.flatnonzero(start // size != (end - 1) // size):
             x = t["byte"][b[start[i] : end[i]]]
-            sums[i] = np.sum(x * t["power"][: len(x)]) * t["power"][start[i] % size] if len(x) <= size else np.sum(x * t["power"][np.arange(len(x)) % size]) * t["power"][start[i] % size]
+            sums[i : i + 1] = np.sum(x * t["power"][np.arange(len(x)) % size]) * t["power"][start[i : i + 1] % size]
     return mix(sums * t["inverse"][start % size] + (end - start).astype(np.uint64))
 
 

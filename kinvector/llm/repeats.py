@@ -205,8 +205,9 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
                 if len(raw) >= length:
                     key = window_keys(raw, before, np.uint64(ah % 2**64), length, t)
                     start = pos - before + np.arange(len(key), dtype=np.int32)
-                    columns = key.view(np.int64), np.full(len(key), doc), np.full(len(key), th), start, start + np.int32(length), np.full(len(key), n)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "doc_id", "th", "start", "stop", "n"])
+                    columns = key.view(np.int64), [doc] * len(key), np.full(len(key), th), start, start + np.int32(length), np.full(len(key), n)
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "doc_id", "th", "start", "stop", "n"])
 
     # an anchor of very many contexts is not held in one task: its windows are counted as rows
     hot = several.where(F.col("k") > HOT_CONTEXTS).limit(1).count() > 0
