@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.functions import vector
-
 
 def latest(found: DataFrame, entity: str, n: int) -> DataFrame:
     """The last n observations of each entity, newest first, with their place."""
@@ -24,14 +23,35 @@ def centroid(buffered: DataFrame, entity: str, quality: float, weighted: bool) -
 
 
 def smoothed(found: DataFrame, entity: str, sure: float = 0.3, unsure: float = 0.1) -> DataFrame:
-    """(entity, centroid): exponentially smoothed and renormalised at every observation, an ordered fold."""
-    rows = found.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("frame_id", "event_id", "conf", "embedding"))).alias("r"))
-
-    def step(c, x):
-        a = F.when(x["conf"] > 0.7, F.lit(sure)).otherwise(F.lit(unsure))
-        return vector.unit(F.zip_with(x["embedding"], c, lambda e, y: a * e + (1 - a) * y))
-
-    return rows.select(entity, F.aggregate(F.slice("r", F.lit(2), F.size("r")), F.element_at("r", 1)["embedding"], step).alias("centroid"))
+    """(entity, centroid): exponentially smoothed and renormalised at every observation.
+
+    The step isn't associative, so observations are folded in order: rows are
+    dealt by entity, sorted within tasks and streamed, one centroid in memory.
+    """
+
+    def fold(batches):
+        import pyarrow as pa
+
+        now, c, ids, out = None, None, [], []
+        for batch in batches:
+            x = np.asarray(batch.column("embedding").flatten(), float).reshape(batch.num_rows, -1) if batch.num_rows else ()
+            for who, conf, e in zip(batch.column("id").to_pylist(), batch.column("conf").to_pylist(), x):
+                if c is None or who != now:
+                    if c is not None:
+                        ids.append(now), out.append(c)
+                    now, c = who, e
+                else:
+                    a = sure if conf > 0.7 else unsure
+                    c = a * e + (1 - a) * c
+                    n = np.sqrt(c @ c)
+                    c = c / n if n > 0 else c
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.float64()))], names=["id", "centroid"])
+            ids, out = [], []
+        if c is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([c], pa.list_(pa.float64()))], names=["id", "centroid"])
+
+    rows = found.select(F.col(entity).alias("id"), "frame_id", "event_id", "conf", "embedding").repartition("id").sortWithinPartitions("id", "frame_id", "event_id")
+    return rows.mapInArrow(fold, "id long, centroid array<double>").withColumnRenamed("id", entity)
 
 
 def longest_unseen(entities: DataFrame, n: int) -> DataFrame:

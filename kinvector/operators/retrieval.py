@@ -92,6 +92,22 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine"
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "g_id", "rank", "score")
 
 
+def paired(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs with the cosine of two vector columns, batch by batch, in place of the vectors."""
+    kept = [c for c in pairs.columns if c not in (a, b)]
+    kinds = dict(pairs.dtypes)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            x, y = matrix(batch.column(a)), matrix(batch.column(b))
+            s = np.einsum("ij,ij->i", x, y) / ((np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-8) * (np.sqrt(np.einsum("ij,ij->i", y, y)) + 1e-8))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s)], names=[*kept, "cosine"])
+
+    return pairs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "cosine double"]))
+
+
 def decision(score, match: float, new: float):
     """Three tiers, tested in this order: with match below new the middle one can't be reached."""
     return F.when(score >= match, "match").when(score >= new, "uncertain").otherwise("new")
