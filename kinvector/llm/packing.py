@@ -128,7 +128,7 @@ def bin_completion(counts: np.ndarray, turns: int = 16, levels: int = 8000) -> l
     return best or []
 
 
-def pack(pieces: DataFrame, capacity: int, salt_rows: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, salt_rows: int = 1000) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
     ``pieces`` must be a written table: it is read twice.
