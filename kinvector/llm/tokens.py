@@ -21,6 +21,10 @@ import numpy as np
 ODD = re.compile("[\x1c-\x1f]")
 SIGNS = ",.;:!?&%$#*|()\"-"
 PIECES = re.compile(r"\s*\S+|\s+")
+#: What a text of single blanks and line ends doesn't hold: other white space (Unicode's), and the mark below.
+RARE = ("  ", "\n\n", "\n ", " \n", "\0", "\t", "\r", "\x0b", "\x0c")
+WIDE = ("\x85", "\xa0", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
+BARE = "\0"  # marks words that no blank precedes; others stand for a blank and the word
 
 
 class Encoder:
@@ -54,9 +58,15 @@ class Encoder:
         self.values = self.values[np.repeat(self.starts[keep] - starts, n) + np.arange(n.sum())] if len(keep) else np.zeros(0, np.uint32)
         self.starts, self.lengths, self.met = starts, n, np.ones(len(keep), np.int64)
 
+    def spelled(self, word: str) -> str:
+        """The text that a word of the table stands for."""
+        if not self.keeps_blanks:
+            return word
+        return word[1:] if word[:1] == BARE else " " + word
+
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, how many each has)."""
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        got = self.tokenizer.encode_batch_fast([self.spelled(w) for w in words], add_special_tokens=False)
         ids = [x.ids for x in got]
         return np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64)
 
@@ -67,7 +77,7 @@ class Encoder:
         Else: letters end in a mark, and so does a run of signs after them.
         """
         if self.keeps_blanks:
-            plain = [w for w in words if w[0] == " " and w[1:2] > " " and not w[1].isspace()]
+            plain = [w for w in words if w[:1] > " " and not w[0].isspace()]
             return plain, np.ones(len(plain), np.int64), list(words.difference(plain))
         one = [w for w in words if w.isalpha()]
         rest = words.difference(one)
@@ -75,7 +85,7 @@ class Encoder:
         return one + two, np.repeat([1, 2], [len(one), len(two)]), list(rest.difference(two))
 
     def plain_ids(self, words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        text = ("" if self.keeps_blanks else " ").join(words)
+        text = " " * self.keeps_blanks + " ".join(words)
         ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
         at = np.flatnonzero(self.mark[ids])
         if len(at) != marks.sum():
@@ -117,8 +127,19 @@ class Encoder:
     def words(self, text: str) -> list[str]:
         if ODD.search(text):
             return []
-        if self.keeps_blanks:
-            return PIECES.findall(text)
+        if self.keeps_blanks and (any(x in text for x in RARE) or not text.isascii() and any(x in text for x in WIDE)):
+            return [w[1:] if w[0] == " " and not w[1:2].isspace() and w[1:2] != BARE else BARE + w for w in PIECES.findall(text)]
+        if self.keeps_blanks:  # single blanks between words and single line ends only
+            out = []
+            for line in text.split("\n"):
+                words = line.split(" ")
+                if words[0]:
+                    words[0] = BARE + words[0]
+                    out += words
+                else:
+                    out += words[1:]
+                out.append(BARE + "\n")
+            return out[:-1]
         return (text.lower() if text.isascii() else text).split()
 
     def encode(self, texts: list[str], end: int | None = 0) -> list[np.ndarray]:

@@ -77,7 +77,7 @@ def test_perfect_hash():
 @pytest.mark.parametrize("name,blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder(name, blanks):
     r = random.Random(1)
-    parts = ["a", "Bc", " ", "  ", "\n", "\t", "\xa0", "'s", "1", "é", "é", "!", "<|endoftext|>", "\x1c", "\x85", "Σ", "中", "​", "\r\n", "İ", "😀", "abc,", "x."]
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "\xa0", "'s", "1", "é", "é", "!", "<|endoftext|>", "\x1c", "\x85", "Σ", "中", "​", "\r\n", "İ", "😀", "abc,", "x.", "\0", "\0ab"]
     texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)]
     t = Tokenizer.from_file(P.path(name))
     t.encode_special_tokens = True
