@@ -91,3 +91,10 @@ def blocks(items, size, limit: int):
         total += n
     if out:
         yield out
+
+
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in slices, so that few texts are Python strings at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinvector.llm.common import cut
+from kinvector.llm.common import cut, sliced
 
 BITS = 15
 SAMPLE = "lang string, h long, cols array<int>, counts array<int>"
@@ -104,7 +104,7 @@ def learn(train: DataFrame, sample_per_lang: int) -> dict:
         import pyarrow as pa
 
         table, df, n = letters(), np.zeros(size, np.int64), 0
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 n += 1
                 if text and (found := ngrams(text, table)):
@@ -125,7 +125,7 @@ def learn(train: DataFrame, sample_per_lang: int) -> dict:
         import pyarrow as pa
 
         table = letters()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist(), batch.column("text").to_pylist())
             out = [(lang, h, *found) for lang, h, text in rows if text and (found := ngrams(text, table))]
             kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
@@ -164,7 +164,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         import pyarrow as pa
 
         m, table = sent.value, letters()
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = [], []
             for text in batch.column(at_text).to_pylist():
                 found = ngrams(text, table) if text and m["names"] else None

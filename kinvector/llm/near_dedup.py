@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import blocks, components, cut, mix
+from kinvector.llm.common import blocks, components, cut, mix, sliced
 
 REGISTERS, BANDED, ROWS = 128, 96, 4
 SMALLEST = 256
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         import pyarrow as pa
 
         t = tables()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             for some in blocks(rows, lambda r: len(r[1] or ""), 2_000_000):
                 ids, sets = [r[0] for r in some], [shingle_set((x or "").encode(), k, t) for _, x in some]
@@ -224,7 +224,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Dat
         import pyarrow as pa
 
         t = tables()
-        for batch in batches:
+        for batch in sliced(batches, 200):
             keep, last, kept = [], None, None
             for a, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "xa", "xb"))):
                 if last != (a, x):

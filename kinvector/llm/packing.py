@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import blocks, cut
+from kinvector.llm.common import blocks, cut, sliced
 from kinvector.llm.tokens import encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -180,7 +180,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, keeps_blanks: bool
         import pyarrow as pa
 
         mine = encoder(tokenizer, keeps_blanks)
-        for batch in batches:
+        for batch in sliced(batches):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             for some in blocks(rows, lambda r: len(r[1] or ""), 4_000_000):
                 out = []

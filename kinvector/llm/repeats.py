@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import blocks, cut, mix
+from kinvector.llm.common import blocks, cut, mix, sliced
 
 GRAM = 160
 HOT_CONTEXTS = 20_000
@@ -130,7 +130,7 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
         t = tables()
         names = [x.split()[0] for x in ANCHOR.split(", ")]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        for batch in batches:
+        for batch in sliced(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")))
             for some in blocks(rows, lambda r: len(r[2]), 4_000_000):
                 doc, th, parts = [], [], []
@@ -162,7 +162,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     def fetch(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             for d, h, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text", "at"))):
                 raw = text.encode()
                 out = [(x["ah"], x["hot"], d, h, x["pos"], x["before"], x["n"], raw[x["pos"] - x["before"] : x["pos"] + x["after"]]) for x in at]
@@ -238,7 +238,7 @@ def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def take_out(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                 raw = text.encode()

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import blocks, cut, mix, open_shared, shared_dir
+from kinvector.llm.common import blocks, cut, mix, open_shared, shared_dir, sliced
 from kinvector.llm.tokens import encoder
 
 MAGIC = b"KVSSTAB1"
@@ -166,7 +166,7 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, roo
         fs, folder = open_shared(root)
         fs.create_dir(folder, recursive=True)
         writer = None
-        for batch in batches:
+        for batch in sliced(batches):
             pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             for some in blocks(pairs, lambda r: len(r[1]), 4_000_000):
                 if writer is None:
