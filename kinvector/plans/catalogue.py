@@ -12,7 +12,7 @@ ema_centroid online_gallery_assign online_gallery_shared gallery_snapshot_roundt
 confidence_strata detector_stats overlapping_detections non_overlapping_detections valid_crops ring_buffer_latest buffer_stats
 admission_candidates lru_evict ttl_expired prune_union gallery_stats camera_locf_grid throughput_windows labels_palette
 jobs_page jobs_count dashboard_counts recent_jobs job_overlay job_status_fold bulk_delete config_upsert job_metrics
-config_json_fields model_catalog queue_messages
+config_json_fields model_catalog queue_messages stream_metadata_check selection_toggle config_clone detections_from_arrays sampled_history running_best
 """.split()
 
 

@@ -195,3 +195,40 @@ def labels_palette(spark, sf_dir):
 LABELS_PALETTE = f"""with {BOXES} select event_id, case when conf >= cast(0.3 as double) then 'ID:' || user_id || ' (' || printf('%.2f', floor(conf * 100 + 0.5) / 100) || ')' else 'Untracked (' || printf('%.2f', floor(conf * 100 + 0.5) / 100) || ')' end as label,
   (['red','green','blue','cyan','magenta','yellow','orange','purple','teal','lime','pink','brown'])[cast(user_id % 12 + 1 as int)] as colour,
   case when event_type = '' then null else '/models/' || event_type end as path, substr(md5(cast(event_id as varchar)), 1, 8) as short_id from d"""
+
+
+def detections_from_arrays(spark, sf_dir):
+    """Frames with parallel arrays, as a detector returns them, back to one row per detection above the confidence threshold and of the wanted classes."""
+    d = found(spark, sf_dir).withColumn("class_id", F.col("event_id") % 5)
+    rows = d.groupBy("camera_id", "frame_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "conf", "class_id", "x1"))).alias("r"))
+    packed = rows.select("camera_id", "frame_id", *[F.transform("r", lambda x: x["event_id"]).alias("event_id"), F.transform("r", lambda x: x["conf"]).alias("conf"), F.transform("r", lambda x: x["class_id"]).alias("class_id"), F.transform("r", lambda x: x["x1"]).alias("x1")])
+    flat = packed.select("camera_id", "frame_id", F.posexplode(F.arrays_zip("event_id", "conf", "class_id", "x1")).alias("det_idx", "z"))
+    return flat.select("camera_id", "frame_id", "det_idx", "z.event_id", "z.conf", "z.class_id", "z.x1").where((F.col("conf") >= 0.3) & F.col("class_id").isin(0, 2))
+
+
+DETECTIONS_FROM_ARRAYS = f"""with {BOXES}, c as (select *, event_id % 5 as class_id, row_number() over (partition by camera_id, frame_id order by event_id) - 1 as det_idx from d)
+select camera_id, frame_id, cast(det_idx as int) as det_idx, event_id, conf, class_id, x1 from c where conf >= cast(0.3 as double) and class_id in (0, 2)"""
+
+
+def sampled_history(spark, sf_dir):
+    """Entities seen so far at every 30th tick of each camera."""
+    d = found(spark, sf_dir)
+    first = d.groupBy("camera_id", "user_id").agg(F.min("frame_id").alias("frame_id")).groupBy("camera_id", "frame_id").agg(F.count("*").alias("fresh"))
+    ticks = d.select("camera_id", "frame_id").distinct().join(first, ["camera_id", "frame_id"], "left")
+    w = Window.partitionBy("camera_id").orderBy("frame_id")  # a row per camera and tick
+    ticks = ticks.withColumn("tick", F.row_number().over(w)).withColumn("size", F.sum(F.coalesce("fresh", F.lit(0))).over(w))
+    return ticks.where("tick % 30 = 0").select("camera_id", "frame_id", "tick", "size")
+
+
+SAMPLED_HISTORY = f"""with {BOXES}, f as (select camera_id, frame_id, count(*) as fresh from (select camera_id, user_id, min(frame_id) as frame_id from d group by all) group by all),
+t as (select camera_id, frame_id, row_number() over w as tick, cast(sum(coalesce(fresh, 0)) over w as bigint) as size from (select distinct camera_id, frame_id from d) left join f using (camera_id, frame_id) window w as (partition by camera_id order by frame_id))
+select camera_id, frame_id, cast(tick as int) as tick, size from t where tick % 30 = 0"""
+
+
+def running_best(spark, sf_dir):
+    """Appearances and best confidence of each entity so far, at every observation."""
+    w = Window.partitionBy("user_id").orderBy("frame_id", "event_id")
+    return found(spark, sf_dir).select("event_id", "user_id", (F.row_number().over(w) - 1).alias("appearance_count"), F.max("conf").over(w).alias("max_conf"))
+
+
+RUNNING_BEST = f"""with {BOXES} select event_id, user_id, cast(row_number() over w - 1 as int) as appearance_count, max(conf) over w as max_conf from d window w as (partition by user_id order by frame_id, event_id)"""

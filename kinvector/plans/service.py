@@ -134,3 +134,33 @@ def queue_messages(spark, sf_dir):
 
 
 QUEUE_MESSAGES = f"with {JOBS} select job_id, case when n % 4 = 0 then 'multi_camera' else 'single_camera' end as type, created as created_at from jobs where status <> 'pending'"
+
+
+def stream_metadata_check(spark, sf_dir):
+    """Whether all streams of a group have one size, and the mosaic's size: twice the first stream's."""
+    p = tables.table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("group"), (F.col("p_size") % 2 * 640 + 640).alias("w"), (F.col("p_size") % 2 * 360 + 360).alias("h"))
+    rows = p.groupBy("group").agg(F.count("*").alias("streams"), (F.countDistinct("w", "h") == 1).alias("same"), F.min(F.struct("p_partkey", "w", "h")).alias("first"))
+    return rows.select("group", "streams", "same", (F.col("first.w") * 2).alias("grid_w"), (F.col("first.h") * 2).alias("grid_h"))
+
+
+STREAM_METADATA_CHECK = """with p as (select p_partkey, p_brand as "group", p_size % 2 * 640 + 640 as w, p_size % 2 * 360 + 360 as h from part)
+select "group", count(*) as streams, count(distinct (w, h)) = 1 as same, arg_min(w, p_partkey) * 2 as grid_w, arg_min(h, p_partkey) * 2 as grid_h from p group by "group" """
+
+
+def selection_toggle(spark, sf_dir):
+    """Selected ids of each customer after toggling the orders of one more batch: known ones go, new ones come."""
+    o = tables.table(spark, sf_dir, "orders")
+    held = o.groupBy("o_custkey").agg(F.collect_set(F.when(F.col("o_orderstatus") != "P", F.col("o_orderkey"))).alias("old"), F.collect_set(F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey"))).alias("more"))
+    toggled = F.array_union(F.array_except("old", "more"), F.array_except("more", "old"))
+    return held.select("o_custkey", F.explode(toggled).alias("o_orderkey"))
+
+
+SELECTION_TOGGLE = "select o_custkey, o_orderkey from orders where o_orderstatus in ('O', 'P')"
+
+
+def config_clone(spark, sf_dir):
+    c = tables.configs(spark, sf_dir)
+    return c.select(F.concat("name", F.lit(" (Copy)")).alias("name"), F.col("segment").alias("config"), F.concat(F.regexp_replace("name", r"\s+", "_"), F.lit("_(Copy).json")).alias("file"))
+
+
+CONFIG_CLONE = r"select c_name || ' (Copy)' as name, c_mktsegment as config, regexp_replace(c_name, '\s+', '_', 'g') || '_(Copy).json' as file from customer"

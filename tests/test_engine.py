@@ -144,6 +144,27 @@ def test_every_query_has_a_name_and_sql_refers_to_queries():
     assert set(catalogue.NAMES) == set(queries) and set(sql) <= set(queries) and len(sql) >= 38
 
 
+def test_file_listings(spark, tmp_path):
+    from kinvector.sources import files
+
+    for name in ("a.pth", "b_YOLO.engine", "c.engine", "d.onnx", "x.jpg", "w.png", "y.jpg"):
+        (tmp_path / name).write_bytes(b"12345")
+    kinds = {k: [r.filename for r in files.model_files(spark, str(tmp_path), k).collect()] for k in ("detector", "embedder")}
+    assert kinds == {"detector": ["b_YOLO.engine", "c.engine", "d.onnx"], "embedder": ["a.pth", "c.engine"]}
+    assert [r.filename for r in files.images(spark, str(tmp_path), 3).collect()] == ["x.jpg", "y.jpg", "w.png"]
+    assert {(r.file_id, r.suffix) for r in files.uploads(spark, str(tmp_path)).collect()} >= {("a", ".pth"), ("x", ".jpg")}
+
+
+def test_plugged_in_model(spark):
+    from kinvector.sources import tables as sources
+
+    def embed(batches):
+        for b in batches:
+            yield b.append_column("unit", b.column("x"))
+
+    assert sources.embedded(spark.range(3).selectExpr("id as x"), "x long, unit long", embed).count() == 3
+
+
 DATA = "/root/testdata/sf0.001"
 
 
