@@ -16,16 +16,24 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def with_norm(v: Column, f) -> Column:
+    """f(vector, norm), both computed once a row and not once an element."""
+    return bound(v, lambda w: bound(F.struct(w.alias("v"), norm(w).alias("n")), lambda s: f(s["v"], s["n"])))
+
+
 def safe_normalize(v: Column) -> Column:
     """Divided by the norm plus a small constant: a zero vector stays zero."""
-    n = norm(v) + EPSILON
-    return F.transform(v, lambda x: x / n)
+    return with_norm(v, lambda w, n: F.transform(w, lambda x: x / (n + EPSILON)))
 
 
 def unit(v: Column) -> Column:
     """Divided by the norm where that is above 0, else unchanged."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    return with_norm(v, lambda w, n: F.when(n > 0, F.transform(w, lambda x: x / n)).otherwise(w))
 
 
 def cosine(a: Column, b: Column) -> Column:
