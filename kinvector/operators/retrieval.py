@@ -94,20 +94,42 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine"
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "g_id", "rank", "score")
 
 
-def paired(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs with the cosine of two vector columns, batch by batch, in place of the vectors."""
-    kept = [c for c in pairs.columns if c not in (a, b)]
-    kinds = dict(pairs.dtypes)
+def across_cameras(found: DataFrame) -> DataFrame:
+    """(event_id_a, event_id_b, gap, cosine) of all pairs of a frame from different cameras, the smaller id first.
 
-    def run(batches):
+    Rows are dealt by frame, sorted in the task and streamed; a frame's scores
+    are one matrix product, so vectors are not copied into pairs.
+    """
+
+    def pairs(ids, cameras, times, vectors):
         import pyarrow as pa
 
-        for batch in batches:
-            x, y = matrix(batch.column(a)), matrix(batch.column(b))
-            s = np.einsum("ij,ij->i", x, y) / ((np.sqrt(np.einsum("ij,ij->i", x, x)) + 1e-8) * (np.sqrt(np.einsum("ij,ij->i", y, y)) + 1e-8))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s)], names=[*kept, "cosine"])
+        ids, cameras, times, v = np.array(ids), np.array(cameras), np.array(times), np.array(vectors)
+        u = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
+        for at in range(0, len(ids), 512):
+            part = slice(at, at + 512)
+            i, j = np.nonzero((cameras[part, None] != cameras[None, :]) & (ids[part, None] < ids[None, :]))
+            if len(i):
+                s = u[part] @ u.T
+                columns = ids[part][i], ids[j], times[j] - times[part][i], s[i, j]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["event_id_a", "event_id_b", "gap", "cosine"])
 
-    return pairs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "cosine double"]))
+    def run(batches):
+        held, now = None, None
+        for batch in batches:
+            x = matrix(batch.column("embedding"))
+            for frame, *row in zip(*(batch.column(c).to_pylist() for c in ("frame_id", "event_id", "camera_id", "t")), x):
+                if held is None or frame != now:
+                    if held:
+                        yield from pairs(*held)
+                    held, now = ([], [], [], []), frame
+                for kept, value in zip(held, row):
+                    kept.append(value)
+        if held:
+            yield from pairs(*held)
+
+    rows = found.select("frame_id", "event_id", "camera_id", "t", "embedding").repartition("frame_id").sortWithinPartitions("frame_id")
+    return rows.mapInArrow(run, "event_id_a long, event_id_b long, gap double, cosine double")
 
 
 def decision(score, match: float, new: float):

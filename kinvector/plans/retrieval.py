@@ -131,12 +131,9 @@ select q_id, g_id, cast(rank as int) as rank, round(s, 6) as score from t where
 
 
 def spatiotemporal_rerank(spark, sf_dir):
-    found = tables.detections(spark, sf_dir).select("event_id", "camera_id", "frame_id", "t", "embedding")
-    a, b = (found.select("frame_id", *[F.col(c).alias(f"{c}_{s}") for c in ("event_id", "camera_id", "t", "embedding")]) for s in "ab")
-    pairs = a.join(b, "frame_id").where("camera_id_a <> camera_id_b and event_id_a < event_id_b")
-    pairs = pairs.select("event_id_a", "event_id_b", (F.col("t_b") - F.col("t_a")).alias("gap"), "embedding_a", "embedding_b")
+    pairs = retrieval.across_cameras(tables.detections(spark, sf_dir))
     look, time = F.col("cosine"), vector.time_score(F.col("gap"))
-    return retrieval.paired(pairs, "embedding_a", "embedding_b").select("event_id_a", "event_id_b", F.round(look, 6).alias("appearance"), F.round(time, 6).alias("closeness"), F.round(0.5 * look + 0.5 * time, 6).alias("combined"))
+    return pairs.select("event_id_a", "event_id_b", F.round(look, 6).alias("appearance"), F.round(time, 6).alias("closeness"), F.round(0.5 * look + 0.5 * time, 6).alias("combined"))
 
 
 SPATIOTEMPORAL_RERANK = f"""with {DETECTIONS}, p as (
