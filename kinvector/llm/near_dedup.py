@@ -253,11 +253,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     """
     sk = cut(sketches(docs, shingle))
     own = sk.where("n > 0 and doc_id is not null")
-    reps = cut(own.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "regs", "low")).alias("r")).select("h1", "h2", F.col("r.doc_id").alias("rep"), "n", F.col("r.regs").alias("regs"), F.col("r.low").alias("low")))
+    reps = cut(own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep")))
+    sketch = own.select(F.col("doc_id").alias("rep"), "n", "h1", "h2", "regs", "low")  # of all documents; pairs are of representatives only
 
     width = 2 * ROWS
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDED // ROWS - 1)), lambda i: F.xxhash64(i, F.substring("regs", i * width + 1, F.lit(width))))
-    rows = reps.select("rep", F.posexplode(band).alias("no", "band"))
+    rows = sketch.join(reps, ["rep", "h1", "h2"], "left_semi").select("rep", F.posexplode(band).alias("no", "band"))
     shared = rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = cut(rows.join(shared, "band").select("band", "no", "rep", "low"))
 
@@ -266,7 +267,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
 
     pairs = members.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     tried = cut(pairs)
-    links = tested(estimated(tried, reps, threshold))
+    links = tested(estimated(tried, sketch, threshold))
     for step in ("popular", "all"):
         label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         now = members.join(label.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
@@ -277,9 +278,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
             left = cut(left.join(score, "rep"))
             lead = left.groupBy("band").agg(F.max(F.struct("score", "rep", "c")).alias("m")).select("band", F.col("m.rep").alias("lead"), F.col("m.c").alias("lc"))
             pairs = left.join(lead, "band").where("c <> lc").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-            links = links.unionByName(tested(estimated(pairs.join(tried, ["a", "b"], "left_anti"), reps, threshold)))
+            links = links.unionByName(tested(estimated(pairs.join(tried, ["a", "b"], "left_anti"), sketch, threshold)))
         else:
-            links = links.unionByName(tested(apart(left.drop("size"), reps, threshold)))
+            links = links.unionByName(tested(apart(left.drop("size"), sketch, threshold)))
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     classes = reps.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
