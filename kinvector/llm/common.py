@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -93,8 +95,19 @@ def blocks(items, size, limit: int):
         yield out
 
 
-def sliced(batches, rows: int = 1000):
-    """Arrow batches in slices, so that few texts are Python strings at a time."""
+def worker_state() -> dict:
+    """What this Python worker keeps from task to task."""
+    return sys.modules.setdefault("kinvector_worker", types.ModuleType("kinvector_worker")).__dict__
+
+
+def sliced(batches, rows: int = 1000, keep: bool = False):
+    """Arrow batches in slices, so that few texts are Python strings at a time.
+
+    Unless told to keep it, what earlier operators left in this worker is let go.
+    """
+    if not keep:
+        for name in [k for k in worker_state() if not isinstance(k, str)]:
+            del worker_state()[name]
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)

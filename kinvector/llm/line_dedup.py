@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinvector.llm.common import cut, mix, open_shared, shared_dir
+from kinvector.llm.common import cut, mix, open_shared, shared_dir, sliced
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -124,7 +124,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_ke
     def probe(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches, 5000):
             lines = [(t or "").split("\n") for t in batch.column("text").to_pylist()]
             ids = np.array([-(2**63) if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
             doc, where, h, p = [], [], [], []

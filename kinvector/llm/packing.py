@@ -180,7 +180,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, keeps_blanks: bool
         import pyarrow as pa
 
         mine = encoder(tokenizer, keeps_blanks)
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep=True):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             for some in blocks(rows, lambda r: len(r[1] or ""), 4_000_000):
                 out = []

@@ -166,7 +166,7 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, roo
         fs, folder = open_shared(root)
         fs.create_dir(folder, recursive=True)
         writer = None
-        for batch in sliced(batches):
+        for batch in sliced(batches, keep=True):
             pairs = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
             for some in blocks(pairs, lambda r: len(r[1]), 4_000_000):
                 if writer is None:

@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 from itertools import chain, repeat
 
 import numpy as np
 
+from kinvector.llm.common import worker_state
+
 ODD = re.compile("[\x1c-\x1f]")
 SIGNS = ",.;:!?&%$#*|()\"-"
 PIECES = re.compile(r"\s*\S+|\s+")
@@ -162,7 +162,7 @@ class Encoder:
 
 def encoder(path: str, keeps_blanks: bool) -> Encoder:
     """This Python worker's encoder; it is kept from task to task."""
-    kept = sys.modules.setdefault("kinvector_worker", types.ModuleType("kinvector_worker")).__dict__
+    kept = worker_state()
     if (path, keeps_blanks) not in kept:
         kept[path, keeps_blanks] = Encoder(path, keeps_blanks)
     return kept[path, keeps_blanks]
