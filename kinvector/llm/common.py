@@ -42,6 +42,7 @@ def open_shared(uri: str):
     from pyarrow import fs
 
     if "://" in uri or uri.startswith("file:"):
+        uri = uri.replace("s3a://", "s3://").replace("s3n://", "s3://")  # Hadoop's names of the scheme
         return fs.FileSystem.from_uri(uri.replace("file:///", "file:/").replace("file:/", "file:///"))
     return fs.LocalFileSystem(), uri
 
