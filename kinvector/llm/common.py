@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -30,10 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: ends lineage, survives lost executors."""
+    """Write to the shared folder and read again: ends lineage, survives lost executors.
+
+    While it writes, Arrow batches have ``BATCH_ROWS`` rows at most, which bounds
+    the texts that a task holds on both sides of its Python worker.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
+    path, name = shared_dir(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -109,6 +122,9 @@ def sliced(batches, rows: int = 1000, keep: bool = False):
     if not keep:
         for name in [k for k in worker_state() if not isinstance(k, str)]:
             del worker_state()[name]
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
