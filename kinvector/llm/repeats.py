@@ -150,7 +150,7 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, start, stop): byte ranges that ``length``-byte strings occurring twice cover; they may overlap."""
     everything = cut(find_anchors(docs, length))
-    twice = everything.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah")
+    twice = cut(everything.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah"))  # written, so that a frequent anchor's side of the join can be split
     occurrences = cut(everything.join(twice, "ah", "left_semi"))
     classes = cut(occurrences.groupBy("ah", "ch", "before", "after").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("m")))
     whole = classes.where("n > 1 and before + after >= %d" % length).select("ah", "ch", "before", "after")
