@@ -1,10 +1,9 @@
 """SpotSigs fingerprints, with DataFrame operations only.
 
 A spot signature is a common word (the anchor) and the chain of the next two
-content words. A document's fingerprint is the size of its set of signatures
-and the smallest ``KEPT`` of their hashes, which is the whole set of most
-documents and an unbiased sample of a large one. Likeness is the Jaccard
-similarity of two sets, bounded by the ratio of their sizes.
+content words. A document's fingerprint is its whole set of signature hashes
+and its size, however long the text. Likeness is the Jaccard similarity of two
+whole sets.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 from kinvector.llm.common import cut
 
-KEPT = 64
 FEW = 8
 BUCKET_ROWS = 500
 #: Common words of English, French, German and Spanish.
@@ -42,23 +40,19 @@ def signatures(text):
 
 
 def fingerprint(text):
-    """struct<n, low>: size of the set and its smallest hashes."""
+    """struct<n, low>: size of the set and all its hashes, lowest first."""
     hashes = F.sort_array(signatures(text))
-    return F.transform(F.array(hashes), lambda h: F.struct(F.size(h).cast("long").alias("n"), F.slice(h, 1, KEPT).alias("low")))[0]
+    return F.transform(F.array(hashes), lambda h: F.struct(F.size(h).cast("long").alias("n"), h.alias("low")))[0]
 
 
 def written(fp):
-    return F.concat(fp["n"].cast("string"), F.lit(":"), F.concat_ws(",", F.transform(fp["low"], lambda h: F.lpad(F.lower(F.hex(h)), 16, "0"))))
+    return F.concat(fp["n"].cast("string"), F.lit(":"), F.lower(F.concat_ws(",", F.transform(fp["low"], lambda h: F.lpad(F.hex(h), 16, "0")))))
 
 
 def likeness(a, b):
-    """Jaccard similarity of two fingerprints, at most the ratio of the sizes."""
-    top = lambda x: F.when(x["n"] > KEPT, F.element_at(x["low"], -1)).otherwise(F.lit(2**63 - 1))
-    edge = F.least(top(a), top(b))
-    x, y = F.filter(a["low"], lambda h: h <= edge), F.filter(b["low"], lambda h: h <= edge)
-    both = F.size(F.array_intersect(x, y))
-    ratio = F.least(a["n"], b["n"]) / F.greatest(a["n"], b["n"])
-    return F.least(both / (F.size(x) + F.size(y) - both), ratio)
+    """Jaccard similarity of two fingerprints."""
+    both = F.size(F.array_intersect(a["low"], b["low"]))
+    return both / (a["n"] + b["n"] - both)
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -66,7 +60,8 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     Documents are dealt by ranges of doc_id; each range also gets the first
     document of the range below, so one shuffle of the texts is enough and no
-    task sorts all documents.
+    task sorts all documents. Fingerprints are taken after that shuffle, which
+    carries texts only.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
@@ -77,7 +72,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     above = F.coalesce(F.lead("bucket").over(ends), F.min("bucket").over(ends))
     heads = heads.select(F.col("h.doc_id").alias("_d"), F.col("h.th").alias("_t"), above.alias("_to"))
     first = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "text", "th", F.col("_to").alias("bucket"))
-    both = rows.withColumn("extra", F.lit(0)).unionByName(first.withColumn("extra", F.lit(1))).withColumn("fp", fingerprint(F.col("text")))
+    both = rows.withColumn("extra", F.lit(0)).unionByName(first.withColumn("extra", F.lit(1))).repartition("bucket").withColumn("fp", fingerprint(F.col("text")))
     w = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc("th"))
     return both.select("doc_id", "text", "fp", "extra", F.lead("text").over(w).alias("next_text"), F.lead("fp").over(w).alias("next_fp")).where("extra = 0")
 
@@ -104,13 +99,17 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Classes are named by their smallest doc_id. Set lengths are cut into
     partitions such that only neighbours can hold similar sets; within them,
-    sets meet through the first hashes of each (as many as the threshold lets
-    differ, and one), and are compared in full.
+    sets meet through the rarest signatures of each (as many as the threshold
+    lets differ, and one), and are compared in full.
     """
     sets = docs.where("doc_id is not null").select("doc_id", F.sort_array(signatures(F.coalesce("text", F.lit("")))).alias("s"))
     sets = cut(sets.groupBy(F.xxhash64("s").alias("h"), F.size("s").alias("n")).agg(F.min(F.struct("doc_id", "s")).alias("m")).select(F.col("m.doc_id").alias("id"), "n", F.col("m.s").alias("s")))
     part = F.floor(F.log("n") / F.log(F.lit(1 / threshold))).cast("int")
-    probe = sets.select("id", "n", part.alias("part"), F.explode(F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int"))).alias("h"))
+    each = sets.select("id", "n", part.alias("part"), F.explode("s").alias("h"))
+    seen = each.groupBy("h").agg(F.count("*").alias("k"))
+    rare = each.join(seen, "h").groupBy("id", "n", "part").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("s"))
+    first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    probe = rare.select("id", "n", "part", F.explode(first).alias("x")).where("x.k > 1").select("id", "n", "part", "x.h")
     left = probe.select(F.col("id").alias("a"), F.col("n").alias("na"), "part", "h")
     right = probe.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.array("part", F.col("part") - 1, F.col("part") + 1)).alias("part"), "h")
     pairs = left.join(right, ["part", "h"]).where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()

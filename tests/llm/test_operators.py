@@ -304,6 +304,21 @@ def test_spots(spark, docs, rows, none):
     assert {tuple(sorted(p)) for p in pairs} == want
 
 
+def test_spots_of_long_texts_are_whole(spark):
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["the", "of", "in", *(f"w{r.randint(0, 40)}" for _ in range(4))]) for _ in range(n)) for n in (1500, 1500, 2500, 900)]
+    texts.append(texts[0] + " the last words")
+    out = spotsigs.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    edited = {x.doc_id: x.edited for x in out}
+    data = [(i, 0, t) for i, t in enumerate(texts)] + [(i, 1, t) for i, t in edited.items()]
+    sets = {(x.doc_id, x.e): set(x.s) for x in spark.createDataFrame(data, "doc_id long, e int, text string").select("doc_id", "e", spotsigs.signatures("text").alias("s")).collect()}
+    share = lambda x, y: len(x & y) / len(x | y)
+    for x in out:
+        mine, after = sets[x.doc_id, 0], sets[(x.doc_id - 1) % len(texts), 0]
+        assert len(mine) > 200 and set(x.fp.low) == mine and x.fp.n == len(mine) and set(x.edited_fp.low) == sets[x.doc_id, 1]
+        assert x.near_edited == share(mine, sets[x.doc_id, 1]) and x.near_next == share(mine, after)
+
+
 @pytest.mark.parametrize("hot", [2, 20_000])
 def test_repeats(spark, none, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
