@@ -1,7 +1,8 @@
 """SpotSigs fingerprints, with DataFrame operations only.
 
 A spot signature is a common word (the anchor) and the chain of the next two
-content words. A document's fingerprint is its whole set of signature hashes
+content words. A text's signatures are its spots and its words, by one rule
+for texts of any length and language. A document's fingerprint is its whole set of signature hashes
 and its size, however long the text. Likeness is the Jaccard similarity of two
 whole sets.
 """
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 from kinvector.llm.common import cut
 
-FEW = 8
 BUCKET_ROWS = 500
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
@@ -27,16 +27,14 @@ SPOT = rf"(?<= )(?=({ANY}(?:{ANY})*+[^ ]+ (?:{ANY})*+[^ ]+ ))"
 
 
 def signatures(text):
-    """Distinct signature hashes of a text.
-
-    A text of fewer than ``FEW`` spots, such as one line or another language,
-    also has its words as signatures; without words, itself.
-    """
+    """Distinct signature hashes of a text: its spots and its words; without words, itself."""
     plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    spots = F.regexp_extract_all(plain, F.lit(SPOT), F.lit(1))
-    words = F.filter(F.split(plain, " "), lambda w: w != "")
-    few = F.when(F.size(words) > 0, F.concat(spots, words)).otherwise(F.array(text))
-    return F.array_distinct(F.transform(F.when(F.size(spots) < FEW, few).otherwise(spots), lambda s: F.xxhash64(s)))
+
+    def of(plain):
+        both = F.concat(F.regexp_extract_all(plain, F.lit(SPOT), F.lit(1)), F.split(F.trim(plain), " "))
+        return F.when(F.trim(plain) != "", both).otherwise(F.array(text))
+
+    return F.array_distinct(F.transform(F.transform(F.array(plain), of)[0], lambda s: F.xxhash64(s)))
 
 
 def fingerprint(text):

@@ -319,6 +319,14 @@ def test_spots_of_long_texts_are_whole(spark):
         assert x.near_edited == share(mine, sets[x.doc_id, 1]) and x.near_next == share(mine, after)
 
 
+def test_spots_follow_one_rule_for_short_texts(spark):
+    texts = [" ".join(f"the {w}{i} {w}{i}x" for i in range(9) for w in ("n",)), None, "", "...", "Ünï 日本語 the"]
+    texts[1] = texts[0].rsplit(" the ", 2)[0]  # seven spots, or fewer than eight
+    got = [set(x.s) for x in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(spotsigs.signatures("text").alias("s")).collect()]
+    assert got[1] < got[0] and len(got[1]) / len(got[0]) > 0.7
+    assert len(got[2]) == len(got[3]) == 1 and got[2] != got[3] and len(got[4]) == 3
+
+
 @pytest.mark.parametrize("hot", [2, 20_000])
 def test_repeats(spark, none, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
