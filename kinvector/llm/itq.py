@@ -2,12 +2,14 @@
 
 1. Equal vectors of a label are one class; only classes are searched.
 2. On a bounded sample (``sample_rows``) rotations are learned that make the
-   signs of rotated, centred unit vectors balanced binary codes: alternate the
-   codes of the present rotation and the best rotation for these codes.
+   signs of rotated unit vectors balanced binary codes: alternate the codes of
+   the present rotation and the best rotation for these codes. Vectors are
+   centred first, or not, whichever needs fewer comparisons.
 3. Every class is indexed in tables, each keyed by some bits of its codes. The
    number of bits follows the number of classes, so buckets stay small, and the
    number of tables follows from the chance that a pair at the threshold agrees
-   on all bits of a key, for ``recall`` or more.
+   on all bits of a key, for ``recall`` or more. Centring widens angles, so that
+   chance is taken from the angles that pairs at the threshold have after it.
 4. Pairs that share a bucket and lie within a Hamming radius are reranked by
    cosine in double precision with the original vectors.
 """
@@ -24,6 +26,9 @@ from kinvector.llm.common import components, cut
 
 FILTER_WORDS = 3  # 64-bit words of code that the Hamming filter reads
 MODEL = "d int, mean binary, turns binary"
+ANGLES = "d int, made array<double>, real array<double>, any_centred array<double>, any_plain array<double>"
+PROBES = 2000  # sampled vectors whose angles are measured
+MOST_TABLES = 2000  # more keys a vector are not worth centring
 
 
 def learn_rotation(x: np.ndarray, rng, rounds: int = 30) -> np.ndarray:
@@ -37,16 +42,69 @@ def learn_rotation(x: np.ndarray, rng, rounds: int = 30) -> np.ndarray:
     return r
 
 
-def plan(n: int, threshold: float, recall: float) -> tuple[int, int]:
-    """(bits of a key, tables) for n classes."""
-    same = 1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+def apart_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Angle of rows as a share of pi: the chance that a bit differs; 1 where a row is zero."""
+    size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
+    return np.where(size > 1e-12, np.arccos(np.clip((x * y).sum(1) / np.maximum(size, 1e-12), -1, 1)) / np.pi, 1.0)
+
+
+def measured(x: np.ndarray, mean: np.ndarray, threshold: float, rng) -> list[np.ndarray]:
+    """Shares of pi of angles: after centring, of made and of real pairs near the threshold; of any pairs, centred and plain.
+
+    A made pair is a sampled vector and one at the threshold from it in a random
+    direction.
+    """
+    some = x[rng.permutation(len(x))[:PROBES]]
+    u = rng.normal(size=some.shape)
+    u -= (u * some).sum(1, keepdims=True) * some
+    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    made = apart_share(some - mean, threshold * some + np.sqrt(max(0.0, 1 - threshold**2)) * u - mean)
+    real = [np.zeros(0)]
+    for at in range(0, len(some), 250):
+        cos = some[at : at + 250] @ x.T
+        a, b = np.nonzero((cos >= threshold) & (cos < threshold + 0.2 * (1 - threshold)))
+        pick = rng.permutation(len(a))[:PROBES]
+        real.append(apart_share(some[at + a[pick]] - mean, x[b[pick]] - mean))
+    other = x[rng.integers(0, len(x), len(some))]
+    return [made, np.concatenate(real), apart_share(some - mean, other - mean), apart_share(some, other)]
+
+
+def tables_for(differ: np.ndarray, bits: int, recall: float) -> float:
+    """Tables with which pairs whose bits differ with these chances meet, in the mean, with ``recall``."""
+    if not len(differ):
+        return 1
+    hit = (1 - differ) ** bits
+    enough = lambda t: np.mean((1 - hit) ** t) <= 1 - recall
+    high = 1
+    while not enough(high):
+        high *= 2
+        if high > 2 * MOST_TABLES:
+            return math.inf
+    low = high // 2
+    while high - low > 1:
+        low, high = (low, mid) if enough(mid := (low + high) // 2) else (mid, high)
+    return high
+
+
+def plan(n: int, threshold: float, recall: float, angles) -> tuple[int, int, int, set[int]]:
+    """(bits of a key, tables, Hamming radius, sizes of vectors to centre) for n classes; angles has ``measured`` by size."""
     bits = min(24, max(4, math.ceil(math.log2(max(n, 2))) - 4))
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same**bits)))
+    plain = math.acos(min(1.0, max(-1.0, threshold))) / math.pi
+    whole = max(1, math.ceil(math.log(1 - recall) / math.log(1 - (1 - plain) ** bits)))
+    tables, differ, centred = 1, 0.0, set()
+    work = lambda t, q: t * (1 + n / 2 * np.mean((1 - q) ** bits))
+    for d, (made, real, any_centred, any_plain) in angles.items():
+        need = max(tables_for(made, bits, recall), tables_for(real, bits, recall))
+        if need <= MOST_TABLES and work(need, any_centred) <= work(whole, any_plain):
+            centred.add(d)
+            tables, differ = max(tables, need), max(differ, made.max(), real.max(initial=0.0))
+        else:
+            tables, differ = max(tables, whole), max(differ, plain)
+    return bits, tables, radius(differ, 64 * FILTER_WORDS), centred
 
 
-def radius(threshold: float, bits: int) -> int:
-    p = math.acos(threshold) / math.pi
-    return math.ceil(bits * p + 7 * math.sqrt(bits * p * (1 - p)))
+def radius(differ: float, bits: int) -> int:
+    return math.ceil(bits * differ + 7 * math.sqrt(bits * differ * (1 - differ)))
 
 
 def usable(vector):
@@ -76,22 +134,33 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     classes = good.groupBy("label", "h", "h2").agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("copies"))
     classes = cut(classes.select("label", "h", "h2", "copies", F.col("m.vec_id").alias("id"), F.col("m.v").alias("v"), F.size("m.v").alias("d")))
     n = classes.count()
-    bits, tables = plan(n, threshold, recall)
+
+    def unit(pdf):
+        d, x = int(pdf["d"].iloc[0]), np.stack(pdf["v"].to_numpy())
+        return d, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def measure(pdf):
+        import pandas as pd
+
+        d, x = unit(pdf)
+        made, real, *others = measured(x, x.mean(0), threshold, np.random.default_rng(seed))
+        return pd.DataFrame([(d, made, real, *others)], columns=["d", "made", "real", "any_centred", "any_plain"])
 
     def learn(pdf):
         import pandas as pd
 
-        d = int(pdf["d"].iloc[0])
-        x = np.stack(pdf["v"].to_numpy())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        mean, rng = x.mean(0), np.random.default_rng(seed)
+        d, x = unit(pdf)
+        mean, rng = x.mean(0) * (d in centred), np.random.default_rng(seed)
         turns = [learn_rotation(x - mean, rng) for _ in range(-(-max(tables * bits, 64 * FILTER_WORDS) // d))]
         return pd.DataFrame({"d": [d], "mean": [mean.tobytes()], "turns": [np.concatenate(turns, 1).tobytes()]})
 
     share = min(1.0, sample_rows / max(1, n))
     sample = classes.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < share * (1 << 30))
     sample = sample.unionByName(classes.groupBy("d").agg(F.min(F.struct("id", "v")).alias("m")).select("d", F.col("m.id").alias("id"), F.col("m.v").alias("v")), allowMissingColumns=True)
-    models = {r["d"]: (np.frombuffer(r["mean"]), np.frombuffer(r["turns"]).reshape(r["d"], -1)) for r in sample.select("d", "v").groupBy("d").applyInPandas(learn, MODEL).collect()}
+    sample = cut(sample.select("d", "v"))
+    angles = {r["d"]: [np.array(r[c]) for c in ("made", "real", "any_centred", "any_plain")] for r in sample.groupBy("d").applyInPandas(measure, ANGLES).collect()}
+    bits, tables, within, centred = plan(n, threshold, recall, angles)
+    models = {r["d"]: (np.frombuffer(r["mean"]), np.frombuffer(r["turns"]).reshape(r["d"], -1)) for r in sample.groupBy("d").applyInPandas(learn, MODEL).collect()}
     sent = spark.sparkContext.broadcast(models)  # of the sizes of vectors, not of the rows
     words = [f"w{i}" for i in range(FILTER_WORDS)]
 
@@ -117,7 +186,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     table = index.select("id", "label", "d", *words, F.posexplode("keys").alias("t", "key"))
     other = table.select(F.col("id").alias("id_b"), "label", "d", "t", "key", *[F.col(w).alias(f"{w}_b") for w in words])
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
-    pairs = table.join(other, ["label", "d", "t", "key"]).where((F.col("id") < F.col("id_b")) & (apart <= radius(threshold, 64 * FILTER_WORDS))).select(F.col("id").alias("a"), F.col("id_b").alias("b"), "label").distinct()
+    pairs = table.join(other, ["label", "d", "t", "key"]).where((F.col("id") < F.col("id_b")) & (apart <= within)).select(F.col("id").alias("a"), F.col("id_b").alias("b"), "label").distinct()
 
     def rerank(batches):
         import pyarrow as pa

@@ -230,6 +230,25 @@ def test_near_vectors(spark):
     assert itq.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.7, 0.9])
+def test_near_vectors_around_a_large_mean(spark, share):
+    r = np.random.default_rng(8)
+    d, n = 32, 1500
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = np.sqrt(1 - share) * unit(r.normal(size=(n, d)))
+    x[:, 0] = np.sqrt(share)
+    x = unit(x)
+    u = r.normal(size=x.shape)
+    u = unit(u - (u * x).sum(1, keepdims=True) * x)
+    x = np.concatenate([x, 0.9305 * x + np.sqrt(1 - 0.9305**2) * u])
+    cos = x @ x.T
+    want = (cos >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {y.vec_id: y.n_links for y in itq.near_vectors(df).collect()}
+    assert want.sum() >= 2 * n and sum(got.values()) >= 0.9995 * want.sum()
+    assert all(got[i] <= want[i] for i in range(len(x)))
+
+
 def test_personal_data(spark, none):
     r = random.Random(3)
     parts = [*"0123456789", "@", ".", "-", " ", "+", "(", ")", "a", "b.c", "😀", "é", "1.2.3.4", "a@b.c", "4111111111111111", "%", "_"]
