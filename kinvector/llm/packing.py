@@ -3,9 +3,11 @@
 Pieces of one length are interchangeable, so the search works on at most
 ``capacity`` (length, count) pairs, however many documents there are; that
 histogram is all that reaches the driver. The search fills the bin around the
-largest remaining length with undominated fillings, least waste first, applies
-a filling as often as the counts allow, and gives a branch up as soon as its
-waste shows that it can't beat the incumbent. Spark then ranks the pieces
+largest remaining length with undominated fillings of any number of pieces,
+least waste first, applies a filling as often as the counts allow, gives a branch
+up as soon as its waste shows that it can't beat the incumbent, and goes back to
+the last bin with another filling until the bound is met or its work is done.
+The incumbent is the best of some quick descents. Spark then ranks the pieces
 within their length (salted, so that a frequent length isn't one task) and
 each piece takes the slot of its rank.
 """
@@ -39,8 +41,76 @@ def lower_bound(counts: np.ndarray) -> int:
     return best
 
 
-def fillings(room: int, counts: np.ndarray, most_waste: int):
-    """Undominated fillings of the room by up to three lengths, least waste first, larger lengths first."""
+def covers(large: tuple, small: tuple) -> bool:
+    """Whether the small lengths can be dealt into the large ones (Martello and Toth's dominance)."""
+    if not small:
+        return True
+    for i, x in enumerate(large):
+        if x >= small[0] and x not in large[:i] and covers((*large[:i], x - small[0], *large[i + 1 :]), small[1:]):
+            return True
+    return False
+
+
+def reachable(room: int, counts: np.ndarray):
+    """Lengths, how often each is there, and after each the set of sums (as bits) that it and smaller ones make."""
+    sizes = np.flatnonzero(counts[1 : room + 1]) + 1
+    have, sums, now, full = np.minimum(counts[sizes], room // sizes).tolist(), [1], 1, (1 << room + 1) - 1
+    for size, left in zip(sizes.tolist(), have):
+        step = 1
+        while left:
+            step = min(step, left)
+            now |= now << step * size & full
+            left, step = left - step, step * 2
+        sums.append(now)
+    return sizes.tolist(), have, sums
+
+
+def splits(target: int, sizes: list, have: list, sums: list):
+    """All multisets of the lengths with the sum ``target``, larger lengths first; no branch is in vain."""
+    stack = [(target, len(sizes), ())]
+    while stack:
+        rest, i, taken = stack.pop()
+        if rest == 0:
+            yield taken
+            continue
+        while sizes[i - 1] > rest:
+            i -= 1
+        size = sizes[i - 1]
+        for k in range(min(have[i - 1], rest // size) + 1):
+            if sums[i - 1] >> rest - k * size & 1:
+                stack.append((rest - k * size, i - 1, taken + (size,) * k))
+
+
+def fillings(room: int, counts: np.ndarray):
+    """Undominated fillings of the room by any number of pieces, least waste first, larger lengths first.
+
+    Fillings that were given already and dominate another one leave it out. None
+    stands for such a one, so that the search can count the work.
+    """
+    if room and counts[room]:
+        yield (room,)  # one piece that fills the room dominates all else
+        return
+    seen = []
+    a = np.arange(room - 1, (room - 1) // 2, -1)
+    for i in np.flatnonzero((counts[a] > 0) & (counts[room - a] > (a == room - a))):
+        seen.append((int(a[i]), room - int(a[i])))
+        yield seen[-1]
+    sizes, have, sums = reachable(room, counts)
+    for target in range(room, -1, -1):
+        if sums[-1] >> target & 1:
+            if target and counts[target]:
+                yield None if any(covers(x, (target,)) for x in seen) else (target,)
+                return
+            for x in splits(target, sizes, have, sums):
+                if any(covers(y, x) for y in seen):
+                    yield None
+                else:
+                    seen.append(x)
+                    yield x
+
+
+def close_fillings(room: int, counts: np.ndarray, most_waste: int):
+    """Some fillings of the room by up to three lengths, least waste first, larger lengths first: for incumbents."""
     least = next(iter(np.flatnonzero(counts[: room + 1])), room + 1)  # the smallest length bounds how many fit
     for waste in range(min(room, most_waste) + 1):
         target = room - waste
@@ -71,7 +141,7 @@ def fillings(room: int, counts: np.ndarray, most_waste: int):
                 break
 
 
-def best_fit(room: int, counts: np.ndarray):
+def largest_fit(room: int, counts: np.ndarray):
     """Largest length that fits, again and again: the filling when no close one exists."""
     out, left = [], counts
     while room > 0 and len(fit := np.flatnonzero(left[1 : room + 1])):
@@ -82,8 +152,8 @@ def best_fit(room: int, counts: np.ndarray):
     return room, tuple(out)
 
 
-def complete(counts: np.ndarray, turn: int, spare: int):
-    """One descent of the search: [(lengths, times)], or None once its waste exceeds ``spare``.
+def descend(counts: np.ndarray, turn: int, spare: int):
+    """One quick descent: [(lengths, times)], or None once its waste exceeds ``spare``.
 
     ``turn`` numbers the discrepancies: its bits tell at which of the first
     levels the second filling is taken in place of the first.
@@ -94,11 +164,11 @@ def complete(counts: np.ndarray, turn: int, spare: int):
         counts[largest] -= 1
         room, filled = capacity - largest, []
         options = []
-        for _, x in fillings(room, counts, 12):
+        for _, x in close_fillings(room, counts, 12):
             options.append(x)
             if len(options) > (turn >> level & 1):
                 break
-        x = options[-1] if options else best_fit(room, counts)[1]
+        x = options[-1] if options else largest_fit(room, counts)[1]
         filled = [largest, *x]
         counts[largest] += 1
         size, uses = np.unique(filled, return_counts=True)
@@ -112,15 +182,15 @@ def complete(counts: np.ndarray, turn: int, spare: int):
     return out
 
 
-def bin_completion(counts: np.ndarray, turns: int = 16, levels: int = 8000) -> list[tuple[tuple[int, ...], int]]:
-    """Fillings with their numbers of bins for counts[length], length 1 to the capacity."""
+def incumbent(counts: np.ndarray, turns: int = 16, levels: int = 8000) -> list[tuple[tuple[int, ...], int]]:
+    """The best of some quick descents, which the search has to beat: [(lengths, times)]."""
     total, bound = int((counts * np.arange(len(counts))).sum()), lower_bound(counts)
     best, fewest = None, None
     for turn in range(turns):
         if best is not None and (turn + 1) * len(best) > levels:
             break
         spare = (fewest - 1) * (len(counts) - 1) - total if best is not None else total + len(counts) * int(counts.sum())
-        found = complete(counts, turn, spare)
+        found = descend(counts, turn, spare)
         if found is not None and (best is None or sum(t for _, t in found) < fewest):
             best, fewest = found, sum(t for _, t in found)
         if fewest is not None and fewest <= bound:
@@ -128,6 +198,78 @@ def bin_completion(counts: np.ndarray, turns: int = 16, levels: int = 8000) -> l
     return best or []
 
 
+def complete(counts: np.ndarray, turn: int, spare: int, work: int | None):
+    """Depth-first search: ([(lengths, times)] or None once nothing is left to try or the work is done, work done).
+
+    A branch ends once its waste exceeds ``spare``; the search then goes back to
+    the last bin with another filling. ``turn`` numbers the discrepancies: its
+    bits tell at which of the first levels the search begins with the second
+    filling.
+    """
+    capacity, counts, out, steps = len(counts) - 1, counts.copy(), [], []
+    done, waste, skip = 0, 0, turn & 1
+    while len(have := np.flatnonzero(counts)):
+        if work is not None and done >= work:
+            return None, done
+        largest, x, k = int(have[-1]), None, -1
+        counts[largest] -= 1
+        begun = len(steps) < 4 and skip == turn >> len(steps) & 1
+        for k, found in enumerate(fillings(capacity - largest, counts)):
+            done += 1
+            if found is not None and (k >= skip or begun and x is None):
+                x, at = found, k
+                if k >= skip:
+                    break
+            if work is not None and done >= work:
+                break
+        counts[largest] += 1
+        if x is not None:
+            filled = (largest, *x)
+            size, uses = np.unique(filled, return_counts=True)
+            times = int((counts[size] // uses).min())
+            more = times * (capacity - sum(filled))
+        if x is None or waste + more > spare:
+            if x is not None and at >= skip:
+                skip = at + 1  # another filling of the same bin
+                continue
+            if not steps:
+                return None, done
+            skip, size, used, more = steps.pop()
+            counts[size] += used
+            waste -= more
+            out.pop()
+            continue
+        counts[size] -= uses * times
+        waste += more
+        out.append((filled, times))
+        steps.append((at + 1, size, uses * times, more))
+        skip = turn >> len(steps) & 1 if len(steps) < 4 else 0
+    return out, done
+
+
+def bin_completion(counts: np.ndarray, turns: int = 16, work: int = 8000) -> list[tuple[tuple[int, ...], int]]:
+    """Fillings with their numbers of bins for counts[length], length 1 to the capacity.
+
+    The incumbent and a first descent go to their ends; improvements share ``work``
+    fillings, whatever the number of documents, dealt evenly to the turns.
+    """
+    capacity = len(counts) - 1
+    total, bound = int((counts * np.arange(len(counts))).sum()), lower_bound(counts)
+    best = incumbent(counts)
+    if sum(t for _, t in best) > bound:
+        best = min(complete(counts, 0, total + len(counts) * int(counts.sum()), None)[0], best, key=lambda x: sum(t for _, t in x))
+    fewest = sum(t for _, t in best)
+    for turn in range(turns):
+        left = work // turns
+        while left > 0 and fewest > bound:
+            found, done = complete(counts, turn, (fewest - 1) * capacity - total, left)
+            left -= max(1, done)
+            if found is None:
+                break
+            best, fewest = found, sum(t for _, t in found)
+    return best
+
+
 def pack(pieces: DataFrame, capacity: int, salt_rows: int = 1000) -> DataFrame:
     """Adds sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 

@@ -104,6 +104,30 @@ def test_packing(docs, rows, none):
     assert packing.best_fit_packing(none, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_fillings_are_all_that_are_undominated():
+    r = random.Random(6)
+    for _ in range(30):
+        counts = np.bincount([r.randint(3, 14) for _ in range(7)], minlength=31)
+        items = [i for i, k in enumerate(counts.tolist()) for _ in range(k)]
+        every = {c for k in range(8) for c in itertools.combinations(items, k) if sum(c) <= 30}
+        every = {tuple(sorted(c, reverse=True)) for c in every}
+        got = [x for x in packing.fillings(30, counts) if x is not None]
+        assert len(set(got)) == len(got) and set(got) <= every and [sum(x) for x in got] == sorted((sum(x) for x in got), reverse=True)
+        assert all(any(packing.covers(x, c) for x in got) for c in every)
+
+
+def test_bins_of_short_lengths():
+    r = np.random.default_rng(1)
+    for low, high, n, most in ((300, 400, 20_000, 1.05), (400, 700, 20_000, 1.011), (20, 60, 2000, 1.0)):
+        counts = np.bincount(r.integers(low, high + 1, n), minlength=2049)
+        plan = packing.bin_completion(counts)
+        used = np.zeros(2049, int)
+        for x, k in plan:
+            assert sum(x) <= 2048
+            np.add.at(used, list(x), k)
+        assert (used == counts).all() and sum(k for _, k in plan) <= most * packing.lower_bound(counts)
+
+
 def test_bin_completion_is_near_the_bound():
     r = np.random.default_rng(0)
     for n in (30, 2000, 50_000):
