@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 
 BATCH_ROWS = 2000
+BATCH_BYTES = "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the setting is unset, as in tests on one machine, a temporary
-    folder takes its place.
+    Only where the setting is unset and Spark runs on one machine, as in tests,
+    a temporary folder takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = getattr(shared_dir, "fallback", None) or tempfile.mkdtemp(prefix="kinvector-")
         shared_dir.fallback = base
     return f"{base.rstrip('/')}/kinvector/{uuid.uuid4().hex}"
@@ -35,18 +38,21 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: ends lineage, survives lost executors.
 
-    While it writes, Arrow batches have ``BATCH_ROWS`` rows at most, which bounds
-    the texts that a task holds on both sides of its Python worker.
+    While it writes, Arrow batches have ``BATCH_ROWS`` rows and ``BATCH_BYTES`` at
+    most (one row at least), which bounds the texts that a task holds on both
+    sides of its Python worker.
     """
     spark = df.sparkSession
-    path, name = shared_dir(spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    path = shared_dir(spark)
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in limits}
     try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -114,17 +120,31 @@ def worker_state() -> dict:
     return sys.modules.setdefault("kinvector_worker", types.ModuleType("kinvector_worker")).__dict__
 
 
+def release():
+    """Let go of what earlier operators left in this worker, and give freed memory back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    held = [k for k in worker_state() if not isinstance(k, str)]
+    for name in held:
+        del worker_state()[name]
+    pa.default_memory_pool().release_unused()
+    if held:
+        gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def sliced(batches, rows: int = 1000, keep: bool = False):
     """Arrow batches in slices, so that few texts are Python strings at a time.
 
     Unless told to keep it, what earlier operators left in this worker is let go.
     """
     if not keep:
-        for name in [k for k in worker_state() if not isinstance(k, str)]:
-            del worker_state()[name]
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
+        release()
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)

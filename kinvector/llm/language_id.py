@@ -140,10 +140,11 @@ def learn(train: DataFrame, sample_per_lang: int) -> dict:
         import pyarrow as pa
 
         rows = []
-        for batch in batches:
-            for lang, h, cols, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                cols = np.array(cols, np.int32)
-                rows.append((h, names.index(lang), cols, weigh(cols, np.array(counts), idf).astype(np.float32)))
+        for batch in sliced(batches):
+            cols, counts = (np.array(batch.column(c).flatten(), np.int32) for c in (2, 3))
+            ends = np.cumsum(np.asarray(batch.column(2).value_lengths())).tolist()
+            for lang, h, i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [0, *ends], ends):
+                rows.append((h, names.index(lang), cols[i:j], weigh(cols[i:j], counts[i:j], idf).astype(np.float32)))
         rows.sort(key=lambda r: (r[0], r[1], len(r[2])))
         fold = [h % 5 == 0 and len(rows) >= 50 for h, *_ in rows]
         w = fit_ftrl([(c, x, y) for (_, y, c, x), f in zip(rows, fold) if not f], len(names), size)

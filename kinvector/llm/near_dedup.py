@@ -7,7 +7,8 @@
 3. Bands of registers propose pairs. A band's members are first paired with one
    leader, then, after components are formed, with members of other components
    of the band only: a group of thousands of copies never meets as all pairs,
-   and no candidate link between different components is left untested.
+   and no candidate link between different components is left untested. A large
+   band is dealt in tiles of bounded size, each a task's work.
 4. The joint likelihood of both sketches drops pairs that can't be similar
    enough, and so do, within a band, the smallest hashes of both sets; the
    others are verified on the full sets of their texts.
@@ -23,6 +24,7 @@ from kinvector.llm.common import blocks, components, cut, mix, sliced
 
 REGISTERS, BANDED, ROWS = 128, 96, 4
 SMALLEST = 256
+OUTER_ROWS, INNER_ROWS = 1000, 10_000
 BASE, RATE = 1.02, 20.0
 SKETCH = "doc_id long, n long, h1 long, h2 long, regs binary, low binary"
 ODD_STEP = 0x9E3779B97F4A7C15
@@ -166,51 +168,95 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
+def tiles(members: DataFrame) -> DataFrame:
+    """Members of mixed bands dealt to tiles (band, o, i), with ``main`` and ``role``.
+
+    Rows outside a band's largest component are its outer side, dealt in
+    ``OUTER_ROWS``; all rows are its inner side, dealt in ``INNER_ROWS``. A row
+    stands in a tile for the outer side (role 0), the inner one (1), or both (2),
+    so a small band is one tile with each row once, and a large one is many tiles.
+    """
+    per = members.groupBy("band", "c").agg(F.count("*").alias("k"))
+    whole = per.groupBy("band").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("size"))
+    whole = whole.select("band", F.col("m.c").alias("most"), F.ceil((F.col("size") - F.col("m.k")) / OUTER_ROWS).cast("int").alias("os"), F.ceil(F.col("size") / INNER_ROWS).cast("int").alias("is"))
+    rows = members.join(whole, "band").withColumn("main", F.col("c") == F.col("most"))
+    rows = rows.withColumn("oh", F.pmod(F.xxhash64(F.lit(1), "rep"), "os").cast("int")).withColumn("ih", F.pmod(F.xxhash64(F.lit(2), "rep"), "is").cast("int"))
+    place = lambda o, i, role: F.struct(o.alias("o"), i.alias("i"), role.cast("int").alias("role"))
+    inner = F.transform(F.sequence(F.lit(0), F.col("os") - 1), lambda o: place(o, F.col("ih"), F.when(~F.col("main") & (o == F.col("oh")), 2).otherwise(1)))
+    outer = F.filter(F.transform(F.sequence(F.lit(0), F.col("is") - 1), lambda i: place(F.col("oh"), i, F.lit(0))), lambda t: ~F.col("main") & (t["i"] != F.col("ih")))
+    return rows.select("band", "no", "rep", "c", "main", F.explode(F.concat(inner, outer)).alias("t")).select("band", "no", "rep", "c", "main", "t.*")
+
+
 def apart(members: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Likely pairs (a, b) of one band and different components, each from the first band it shares.
 
-    A band's sketches are compared inside its task, members outside the largest
-    component with all; only pairs that the estimate keeps become rows.
+    A tile's sketches are compared inside its task: the outer side, ``OUTER_ROWS``
+    or so, is held and the inner side streams past it. Only pairs that the
+    estimate keeps become rows.
     """
     width = 2 * ROWS
-    rows = members.join(reps.select("rep", "n", "regs", "low"), "rep").repartition("band").sortWithinPartitions("band").select("band", "no", "rep", "c", "n", "regs", "low")
+    order = ["band", "o", "i", "late"]
+    rows = tiles(members).withColumn("late", F.col("role") == 1).join(reps.select("rep", "n", "regs", "low"), "rep")
+    rows = rows.repartition("band", "o", "i").sortWithinPartitions(*order).select(*order, "role", "no", "rep", "c", "main", "n", "regs", "low")
+
+    def read(batch):
+        out = {c: np.asarray(batch.column(c)) if c not in ("late", "main") else np.array(batch.column(c).to_pylist(), bool) for c in (*order, "role", "no", "rep", "c", "main")}
+        raw = np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        bands = np.ascontiguousarray(raw[:, :BANDED]).view(f"V{width}").reshape(len(raw), -1)
+        low = np.empty(len(raw), object)
+        for k, x in enumerate(batch.column("low").to_pylist()):
+            low[k] = np.frombuffer(x, np.uint32)
+        return out | {"n": np.asarray(batch.column("n")).astype(float), "raw": raw, "bands": bands, "low": low}
 
-    def compare(no, rep, c, n, regs, low):
+    def compare(one: dict, others: dict):
+        """Likely pairs of rows of the outer side with rows of the inner one."""
         import pyarrow as pa
 
-        raw = np.frombuffer(b"".join(regs), np.uint16).reshape(-1, REGISTERS)
-        bands = np.ascontiguousarray(raw[:, :BANDED]).view(f"V{width}").reshape(len(raw), -1)
-        rep, c, n, low = np.array(rep), np.array(c), np.array(n, float), [np.frombuffer(x, np.uint32) for x in low]
-        kinds, counts = np.unique(c, return_counts=True)
-        main = c == kinds[counts.argmax()]
-        order = np.concatenate([np.flatnonzero(~main), np.flatnonzero(main)])
-        out = []
-        for k in range(int((~main).sum())):
-            i, js = order[k], order[k + 1 :]
-            js = js[(c[js] != c[i]) & (np.minimum(n[js], n[i]) >= threshold * np.maximum(n[js], n[i]) - 1e-9)]
-            if no[0] and len(js):
-                js = js[~(bands[js, : no[0]] == bands[i, : no[0]]).any(1)]
-            for part in (js[x : x + 2000] for x in range(0, len(js), 2000)):
-                part = part[likely(np.full(len(part), n[i]), n[part], raw[i][None, :], raw[part], threshold)]
-                if len(part):
-                    part = part[overlapping(low[i], n[i], [low[j] for j in part], n[part], threshold)]
-                out.append(np.stack([np.minimum(rep[i], rep[part]), np.maximum(rep[i], rep[part])]))
-        if out:
-            a, b = np.concatenate(out, 1)
+        no, out = int(one["no"][0]), []
+        for k in range(len(one["rep"])):
+            n = one["n"][k]
+            js = np.flatnonzero((others["c"] != one["c"][k]) & (others["main"] | (others["rep"] > one["rep"][k])) & (np.minimum(others["n"], n) >= threshold * np.maximum(others["n"], n) - 1e-9))
+            if no and len(js):
+                js = js[~(others["bands"][js, :no] == one["bands"][k, :no]).any(1)]
+            if len(js):
+                js = js[likely(np.full(len(js), n), others["n"][js], one["raw"][k][None, :], others["raw"][js], threshold)]
+            if len(js):
+                js = js[overlapping(one["low"][k], n, list(others["low"][js]), others["n"][js], threshold)]
+            out.append(np.stack([np.minimum(one["rep"][k], others["rep"][js]), np.maximum(one["rep"][k], others["rep"][js])]))
+        a, b = np.concatenate(out, 1)
+        if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches):
-        held, now = None, None
-        for batch in batches:
-            for band, *row in zip(*(c.to_pylist() for c in batch.columns)):
-                if band != now:
-                    if held:
-                        yield from compare(*held)
-                    held, now = tuple([] for _ in row), band
-                for kept, x in zip(held, row):
-                    kept.append(x)
-        if held:
-            yield from compare(*held)
+        parts, outer, now = [], None, None
+
+        def gathered():
+            """The outer side of this tile, compared with itself: it is whole once the inner side begins."""
+            one = {c: np.concatenate([x[c] for x in parts]) for c in parts[0]}
+            return one, compare(one, {c: x[one["role"] == 2] for c, x in one.items()})
+
+        for batch in sliced(batches):
+            part = read(batch)
+            keys = np.stack([part[c].astype(np.int64) for c in order])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(edges, edges[1:]):
+                tile = keys[:3, x].tolist()
+                if tile != now:
+                    if parts:
+                        yield from gathered()[1]
+                    parts, outer, now = [], None, tile
+                piece = {c: v[x:y] for c, v in part.items()}
+                if not piece["late"][0]:
+                    parts.append(piece)
+                    continue
+                if parts:
+                    outer, own = gathered()
+                    yield from own
+                    parts = []
+                if outer is not None:
+                    yield from compare(outer, piece)
+        if parts:
+            yield from gathered()[1]
 
     return rows.mapInArrow(run, "a long, b long")
 

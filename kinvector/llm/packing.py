@@ -315,16 +315,20 @@ def pack(pieces: DataFrame, capacity: int, salt_rows: int = 1000) -> DataFrame:
     return rows.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, keeps_blanks: bool = False) -> DataFrame:
-    """Documents as pieces of at most ``capacity`` token ids: doc_id, piece, start, length, ids_crc32."""
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, keeps_blanks: bool = False, most_words: int = 600_000) -> DataFrame:
+    """Documents as pieces of at most ``capacity`` token ids: doc_id, piece, start, length, ids_crc32.
+
+    ``most_words`` bounds the encoder's table of words in each Python worker
+    (about 0.4 KB a word); fewer words cost time and change no id.
+    """
 
     def cut_up(batches):
         import pyarrow as pa
 
-        mine = encoder(tokenizer, keeps_blanks)
+        mine = encoder(tokenizer, keeps_blanks, most_words)
         for batch in sliced(batches, keep=True):
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
-            for some in blocks(rows, lambda r: len(r[1] or ""), 4_000_000):
+            for some in blocks(rows, lambda r: len(r[1] or ""), min(4_000_000, 8 * most_words)):
                 out = []
                 for (doc_id, _), ids in zip(some, mine.encode([t or "" for _, t in some])):
                     ids = ids.astype("<u4")
@@ -336,16 +340,17 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, keeps_blanks: bool
     return docs.select("doc_id", "text").mapInArrow(cut_up, PIECE)
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, keeps_blanks: bool = False) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = 2048, keeps_blanks: bool = False, most_words: int = 600_000) -> DataFrame:
     """Packs whole documents into as few sequences of ``capacity`` tokens as it can.
 
     A document is its token ids and an end id 0; only longer documents are cut,
     into pieces of ``capacity``, the last one shorter. Returns a row per piece:
     doc_id, piece, start, length, ids_crc32 (of little-endian unsigned 32-bit
-    ids), sequence_id, offset.
+    ids), sequence_id, offset. ``most_words`` bounds each Python worker's memory
+    (see ``pieces_of``).
 
     Defined cases: a null or empty text is the end id alone; repeated rows and
     rows that share a doc_id, null ones too, are packed each; other columns are
     ignored; an empty table gives no rows.
     """
-    return pack(cut(pieces_of(docs, tokenizer, capacity, keeps_blanks)), capacity)
+    return pack(cut(pieces_of(docs, tokenizer, capacity, keeps_blanks, most_words)), capacity)

@@ -160,9 +160,11 @@ class Encoder:
         return out
 
 
-def encoder(path: str, keeps_blanks: bool) -> Encoder:
-    """This Python worker's encoder; it is kept from task to task."""
-    kept = worker_state()
-    if (path, keeps_blanks) not in kept:
-        kept[path, keeps_blanks] = Encoder(path, keeps_blanks)
-    return kept[path, keeps_blanks]
+def encoder(path: str, keeps_blanks: bool, most_words: int = 600_000) -> Encoder:
+    """This Python worker's encoder; it is kept from task to task, and only one is."""
+    kept, key = worker_state(), (path, keeps_blanks, most_words)
+    if key not in kept:
+        for other in [k for k in kept if not isinstance(k, str)]:
+            del kept[other]
+        kept[key] = Encoder(path, keeps_blanks, most_words)
+    return kept[key]

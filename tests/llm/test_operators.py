@@ -198,8 +198,10 @@ def brute_near(rows, k, percent):
     return sets, {i: top(i) for i in parent} | {None: None}
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_documents(spark, docs, rows, none, k):
+@pytest.mark.parametrize("k,outer,inner", [(2, 1000, 10_000), (5, 1000, 10_000), (2, 3, 4)])
+def test_near_documents(spark, docs, rows, none, k, outer, inner, monkeypatch):
+    monkeypatch.setattr(near_dedup, "OUTER_ROWS", outer)
+    monkeypatch.setattr(near_dedup, "INNER_ROWS", inner)
     r = random.Random(9)
     base = [f"w{r.randint(0, 300)}" for _ in range(150)]
     extra = []
