@@ -17,6 +17,8 @@ from kinvector.llm.queries import vocabulary
 ORACLE_SQL = None
 #: Documents whose calibrated language probability is below this are rejected, as those without letters are.
 LEAST_SCORE = 0.3
+#: Words in the table of each Python worker's encoder: the workers' memory adds to what earlier stages left in their executors.
+MOST_WORDS = 150_000
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences of 2048 tokens."""
-    return packing.best_fit_packing(docs, vocabulary("word_bpe_49k.json"))
+    return packing.best_fit_packing(docs, vocabulary("word_bpe_49k.json"), most_words=MOST_WORDS)
 
 
 STAGES = [("language_id", identify), ("line_dedup", drop_lines), ("near_dedup", drop_near), ("mixing", mix), ("packing", pack)]
