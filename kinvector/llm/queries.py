@@ -136,4 +136,4 @@ def op9_spotsigs(spark, sf_dir):
 
 def op10_repeats(spark, sf_dir):
     out = repeats.drop_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", F.sha2("kept", 256).alias("kept_sha256"))

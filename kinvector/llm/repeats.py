@@ -15,6 +15,10 @@ a pass of every document through every shard; neither is one bounded Spark job
    every window of ``length`` bytes around the anchor is hashed; windows that
    occur in two contexts are repeated.
 4. Marked ranges are joined to their documents and the bytes taken out.
+
+Passages are also found by their words: anchors among the ``SHARED``-word
+strings of every window of ``words`` words tell which documents share a passage
+that may be shorter than ``length`` bytes.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinvector.llm.common import blocks, cut, mix, sliced
+from kinvector.llm.near_dedup import tables as word_tables
+from kinvector.llm.near_dedup import word_hashes
 
 GRAM = 160
+SHARED = 36  # words of an anchor of shared passages
 HOT_CONTEXTS = 20_000
 BASE = 0xD6E8FEB86659FD93
 ANCHOR = "doc_id long, th long, pos int, before int, after int, ah long, ch long"
@@ -221,12 +228,61 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     return copied.unionByName(varied)
 
 
-def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and ``kept``, the remaining bytes.
+def word_anchors(raw: bytes, words: int, t: dict) -> np.ndarray:
+    """Distinct hashes of the ``SHARED``-word strings that are least in some window of ``words`` words."""
+    w = word_hashes(raw, t)
+    grams = len(w) - SHARED + 1
+    if len(w) < words:
+        return w[:0]
+    size = len(t["power"])
+    if len(w) >= size:  # beyond the table of powers; as above for bytes
+        size = 1 << int(len(w)).bit_length()
+        for name, one in (("power", BASE), ("inverse", pow(BASE, -1, 2**64))):
+            x = np.full(size, one, np.uint64)
+            x[0] = 1
+            t[name] = np.multiply.accumulate(x)
+    sums = np.zeros(len(w) + 1, np.uint64)
+    np.cumsum(w * t["power"][: len(w)], out=sums[1:])
+    least, span, width = mix((sums[SHARED:] - sums[:grams]) * t["inverse"][:grams]), 1, words - SHARED + 1
+    while span < width:
+        step = min(span, width - span)
+        least, span = np.minimum(least[:-step], least[step:]), span + step
+    return np.unique(least)
+
+
+def shared_passages(docs: DataFrame, words: int = 51) -> DataFrame:
+    """(doc_id, th, n_shared) of documents that hold anchors which other rows of ``docs`` hold too.
+
+    Every passage of ``words`` words or more that two documents share gives them
+    an anchor in common; what they share is ``SHARED`` words at least. A-Z count
+    as a-z, and white space only parts words.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        t = word_tables()
+        for batch in sliced(batches):
+            rows = [(d, h, x) for d, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))) if len(x := word_anchors(text.encode(), words, t))]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([r[0] for r in rows], [r[1] for r in rows], [r[2].view(np.int64) for r in rows]), kinds)], names=["doc_id", "th", "hs"])
+
+    held = cut(docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, hs array<long>"))
+    each = held.select("doc_id", "th", F.explode("hs").alias("h"))
+    several = cut(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    return each.join(several, "h").groupBy("doc_id", "th").agg(F.countDistinct("h").alias("n_shared"))
+
+
+def drop_repeats(docs: DataFrame, length: int = 400, words: int = 51) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_shared and ``kept``, the remaining bytes.
 
     Every byte is removed that a string of ``length`` bytes covers which also
     starts anywhere else, in the same document or another; overlaps count, and
-    strings are judged on the input.
+    strings are judged on the input. n_shared is above 0 for every document that
+    shares a passage of ``words`` words with another one, however few bytes that
+    is: it counts anchors of passages that are shared, of ``SHARED`` words or
+    more, and removes nothing.
 
     Defined cases: a null text is empty; repeated rows repeat each other;
     different texts that share a doc_id are told apart by their hashes; an
@@ -234,15 +290,18 @@ def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     spans = repeated_spans(docs, length).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    spans = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
-    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "spans")
+    spans = spans.withColumn("n_shared", F.lit(0).cast("long"))
+    shared = shared_passages(docs, words).withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
+    spans = spans.unionByName(shared).groupBy("doc_id", "th").agg(F.max("spans").alias("spans"), F.max("n_shared").alias("n_shared"))
+    spans = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "n_shared")
+    rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
 
     def take_out(batches):
         import pyarrow as pa
 
         for batch in sliced(batches):
             out = []
-            for doc_id, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            for doc_id, text, spans, shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans", "n_shared"))):
                 raw = text.encode()
                 kept, at, removed, runs, end = [], 0, 0, 0, -1
                 for s in sorted((s["start"], s["stop"]) for s in spans or ()):
@@ -254,9 +313,9 @@ def drop_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                         removed += s[1] - end
                         end = at = s[1]
                 kept.append(raw[at:])
-                out.append((doc_id, len(raw), removed, runs, b"".join(kept)))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                out.append((doc_id, len(raw), removed, runs, shared, b"".join(kept)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", "kept"])
 
-    return rows.mapInArrow(take_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(take_out, "doc_id long, n_bytes long, n_removed long, n_spans long, n_shared long, kept binary")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -404,6 +405,42 @@ def test_repeats(spark, none, hot, monkeypatch):
     assert repeats.drop_repeats(none).count() == 0
 
 
+def test_shared_passages(spark):
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(200)
+    texts = [" ".join(words(r.randint(0, 90)) + passage[a : a + n] + words(r.randint(0, 90))) for n in (51, 52, 60, 120, 30, 45, 35) for a in (r.randint(0, 80) for _ in range(6))]
+    texts += [" ".join(words(5) + passage[:90]).upper().replace(" ", "\n"), " ".join(words(300)), None, "", " ".join(passage[:50]), " ".join(["same"] * 70)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.n_shared for x in repeats.drop_repeats(df).collect()}
+    runs = lambda t, k: {tuple(w[j : j + k]) for w in ((t or "").lower().split(),) for j in range(len(w) - k + 1)}
+    for i, t in enumerate(texts):
+        long, short = (any(runs(t, k) & runs(u, k) for j, u in enumerate(texts) if i != j) for k in (51, repeats.SHARED))
+        assert got[i] > 0 if long else short or got[i] == 0
+    assert sum(x > 0 for x in got.values()) > 20 and got[len(texts) - 1] == 0
+
+
+def test_repeats_by_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = con.sql("""
+        with b as (select doc_id, encode(coalesce(text, '')) as raw from documents),
+        w as (select doc_id, unnest(range(0, octet_length(raw) - 399)) as i, raw from b where octet_length(raw) >= 400),
+        h as (select doc_id, i, md5(raw[i + 1 : i + 400]) as h from w),
+        s as (select h.doc_id, h.i from h join (select h from h group by h having count(*) > 1) using (h)),
+        m as (select distinct doc_id, unnest(range(i, i + 400)) as p from s),
+        r as (select doc_id, p, lag(p) over (partition by doc_id order by p) as q from m)
+        select b.doc_id, cast(octet_length(raw) as bigint), count(p), count(*) filter (where p is not null and q is distinct from p - 1)
+        from b left join r on b.doc_id = r.doc_id group by b.doc_id, raw
+    """).fetchall()
+    got = registry.queries()["op10_repeats"](spark, folder).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(x[2] for x in want) > 1000
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
     got = {r.id: r.component for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
