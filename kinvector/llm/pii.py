@@ -1,12 +1,18 @@
 """Personal data: base patterns and bootstrapped contextual extraction, with DataFrame operations only.
 
-Base spans are the seeds. Every identifier-shaped word that no base span
-touches is a candidate. Seeds and candidates stand in contexts (the word
-before, the two words before, the words on both sides); contexts and instances
-form a graph. A pattern's score for a kind is the mean score of its distinct
-instances; a candidate's is the noisy-or of its patterns. Scores are iterated,
-accepted candidates support patterns in the next round, and candidates that end
-above ``accept`` become spans of the kind.
+Base spans are the seeds, and so are keys of public formats (kind ``secret``).
+Candidates are identifier-shaped words that no base span touches, and runs of up
+to four words of digits. Seeds and candidates stand in lexical patterns: the
+word before, the two words before, the words on both sides, and the form of the
+value itself. Patterns and instances form a graph. A pattern's score for a kind
+is the mean score of its distinct instances; a candidate's is the noisy-or of its
+patterns. Scores are iterated until no new instance is accepted: accepted
+candidates support patterns in the next round, and candidates that end above
+``accept`` become spans of the kind, the best and longest where they overlap.
+
+All positions of a text come from one pass of each pattern: running sums go over
+chunks of ``CHUNK`` matches and over chunks, so that time stays linear in the
+number of matches up to some millions.
 """
 
 from __future__ import annotations
@@ -27,29 +33,72 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: What a candidate of a kind must look like.
+#: What a candidate of a kind must look like; the last is of keys and passwords.
 SHAPES = {
     "email": r"^[^\s@]+@[^\s@]+$",
     "ip": r"^(?:[0-9]{1,3}(?:[.:,_][0-9]{1,3}){3,7}|[0-9A-Fa-f]*+(?::[0-9A-Fa-f]*+){3,7})$",
     "card": r"^(?:[0-9][ ._/-]?){12,19}$",
-    "phone": r"^\+?(?:[().-]*[0-9]){7,15}$",
+    "phone": r"^\+?(?:[(). /-]*[0-9]){7,15}$",
+    "secret": r"^(?=(?:[^0-9]*+[0-9]){3})(?=(?:[^A-Za-z]*+[A-Za-z]){3})[A-Za-z0-9+/_-]{12,128}={0,2}$",
 }
+SECRET = len(KINDS)
+#: Public formats of keys, the seeds of secrets.
+KEYS = r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,})$"
+#: Words of which a candidate of several words may consist.
+PART = r"^[+(]*[0-9][0-9()./-]*$"
+MOST_WORDS = 4
+#: A name before a value in one word, which is context.
+NAME = r"^[A-Za-z_.-]{2,40}[=:]+"
+QUOTES, ENDS = "\"'([{<,;:!?.*#$%&", "\"'()[]{}<>,;:!?.*#$%&"
+CHUNK = 64
+SPAN = "struct<start:int,rank:int,end:int,value:string>"
+CONTEXT = "struct<l1:string,l2:string,r1:string>"
 
 
-def found(text, pattern: str):
-    """array<struct<start,end,value>> of all matches, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
+def bound(value, body):
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
 
-    def step(state, i):
-        start = state["at"] + F.char_length(F.get(gaps, i))
-        value = F.get(hits, i)
-        end = start + F.char_length(value)
-        return F.struct(end.alias("at"), F.concat(state["all"], F.array(F.struct(start.alias("start"), end.alias("end"), value.alias("value")))).alias("all"))
 
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda s: s["all"])
-    return F.when(F.size(hits) > 0, walked).otherwise(empty)
+def running(values, zero, op):
+    """For each of an array of int what ``op`` makes of all before it, by chunks."""
+    none = F.array().cast("array<int>")
+
+    def fold(xs, step):
+        return F.aggregate(xs, F.struct(zero.cast("int").alias("at"), none.alias("all")), lambda s, x: F.struct(op(s["at"], step(x)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))
+
+    def whole(xs):
+        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
+        parts = F.transform(starts, lambda c: fold(F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)), lambda x: x))
+        return bound(parts, lambda ps: F.flatten(F.zip_with(ps, fold(ps, lambda x: x["at"])["all"], lambda p, b: F.transform(p["all"], lambda y: op(y, b)))))
+
+    return bound(values, lambda xs: F.when(F.size(xs) > 0, whole(xs)).otherwise(none))
+
+
+def found(text, pattern: str, good):
+    """array<struct<start,end,value,before,after>> of the matches that are ``good``, in code points.
+
+    before and after are up to 80 code points of text around a match, as far as
+    the matches next to it reach.
+    """
+    text_of = lambda xs, i: F.coalesce(F.get(xs, i), F.lit(""))
+    last = lambda s: F.substring(s, -80, 80)
+    first = lambda s: F.substring(s, 1, 80)
+
+    def step(b, value, i):
+        hits, gaps = b["hits"], b["gaps"]
+        before = last(F.concat(last(text_of(hits, i - 2)), last(text_of(gaps, i - 1)), last(text_of(hits, i - 1)), last(text_of(gaps, i))))
+        after = first(F.concat(first(text_of(gaps, i + 1)), first(text_of(hits, i + 1)), first(text_of(gaps, i + 2))))
+        around = lambda ok: [F.when(ok, x).alias(n) for x, n in ((before, "before"), (after, "after"))]
+        return bound(F.coalesce(good(value), F.lit(False)), lambda ok: F.struct(F.char_length(text_of(gaps, i)).alias("gap"), F.char_length(value).alias("size"), ok.alias("ok"), value.alias("value"), *around(ok)))
+
+    def placed(steps):
+        at = running(F.transform(steps, lambda x: x["gap"] + x["size"]), F.lit(0), lambda x, y: x + y)
+        put = lambda x, n: F.struct((n + x["gap"]).alias("start"), (n + x["gap"] + x["size"]).alias("end"), x["ok"].alias("ok"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.filter(F.zip_with(steps, at, put), lambda x: x["ok"])
+
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return bound(both, lambda b: bound(F.transform(b["hits"], lambda value, i: step(b, value, i)), placed))
 
 
 def digits(value):
@@ -74,89 +123,150 @@ def valid(kind: str, value):
 
 
 def base_spans(text):
-    """array<struct<start,rank,end,value>> by start, then kind."""
+    """array<struct<start,rank,end,value,before,after>> by start, then kind."""
     rare = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string,before:string,after:string>>")
     parts = []
-    def good_ones(rank, kind):
-        good = F.filter(found(text, BASE[kind]), lambda x: valid(kind, x["value"]))
-        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["value"].alias("value")))
+
+    def ranked(rank, kind):
+        put = lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["value"].alias("value"), x["before"].alias("before"), x["after"].alias("after"))
+        return F.transform(found(text, BASE[kind], lambda v: valid(kind, v)), put)
 
     for rank, kind in enumerate(KINDS):
-        good = good_ones(rank, kind)
-        parts.append(F.when(rare[kind], good).otherwise(empty) if kind in rare else good)
+        parts.append(F.when(rare[kind], ranked(rank, kind)).otherwise(none) if kind in rare else ranked(rank, kind))
     return F.sort_array(F.concat(*parts))
 
 
-def context(text, start, end):
+def context(before, after):
     """The lower-cased words around a span, digits as 0: struct<l1,l2,r1>."""
     plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    before = F.substr(text, F.greatest(start - 79, F.lit(1)), F.least(start, F.lit(80)))
-    after = F.substr(text, end + 1, F.lit(80))
     return F.struct(
-        plain(F.regexp_extract(before, r"(\S+)\s*$", 1)).alias("l1"),
-        plain(F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)).alias("l2"),
-        plain(F.regexp_extract(after, r"^\s*(\S+)", 1)).alias("r1"),
+        plain(F.regexp_extract(before, r"(?<!\S)(\S++)\s*+$", 1)).alias("l1"),
+        plain(F.regexp_extract(before, r"(?<!\S)(\S++\s++\S++)\s*+$", 1)).alias("l2"),
+        plain(F.regexp_extract(after, r"^\s*+(\S++)", 1)).alias("r1"),
     )
 
 
+def candidates(text):
+    """array<struct<start,end,value,before,after>>: words with a digit or @, without quotes and names around them, and runs of words of digits."""
+
+    def stripped(x):
+        name = F.regexp_extract(x["value"], NAME, 0)
+        own = F.substr(x["value"], F.char_length(name) + 1)
+        lead = F.char_length(name) + F.char_length(own) - F.char_length(F.ltrim(own, F.lit(QUOTES)))
+        value = F.btrim(own, F.lit(ENDS))
+        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.char_length(value)).alias("end"), value.alias("value"), F.concat(x["before"], name).alias("before"), x["after"].alias("after"))
+
+    def runs(words, n):
+        """Runs of n words with one blank between neighbours."""
+        def joined(x, i):
+            parts = [x, *[F.get(words, i + k) for k in range(1, n)]]
+            apart = [q["start"] == p["end"] + 1 for p, q in zip(parts, parts[1:])]
+            digital = [p["value"].rlike(PART) for p in parts[:-1]] + [F.rtrim(parts[-1]["value"], F.lit(ENDS)).rlike(PART)]
+            ok = reduce(lambda a, b: a & b, apart + digital)
+            value = F.concat_ws(" ", *[p["value"] for p in parts[:-1]], F.rtrim(parts[-1]["value"], F.lit(",;:!?.*#$%&")))
+            return F.when(ok, F.struct(x["start"].alias("start"), (x["start"] + F.char_length(value)).alias("end"), value.alias("value"), x["before"].alias("before"), parts[-1]["after"].alias("after")))
+
+        return F.filter(F.transform(words, joined), lambda x: x.isNotNull())
+
+    return bound(found(text, WORD, lambda v: F.lit(True)), lambda words: F.concat(F.transform(words, stripped), *[runs(words, n) for n in range(2, MOST_WORDS + 1)]))
+
+
+def free(xs, spans):
+    """Those of ``xs`` that no span touches, by running ends and starts over both in order."""
+    end_of_all = 2**31 - 1
+
+    def told(u):
+        ends = running(F.transform(u, lambda x: F.when(x["i"] < 0, x["end"]).otherwise(-1)), F.lit(-1), F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(u, lambda x: F.when(x["i"] < 0, x["start"]).otherwise(end_of_all))), F.lit(end_of_all), F.least))
+        clear = F.zip_with(F.zip_with(u, ends, lambda x, e: F.struct(x["i"].alias("i"), x["end"].alias("end"), (e <= x["start"]).alias("ok"))), starts, lambda x, s: F.when((x["i"] >= 0) & x["ok"] & (s >= x["end"]), x["i"]))
+        return F.filter(clear, lambda i: i.isNotNull())
+
+    def of(b):
+        union = F.sort_array(F.concat(F.transform(b["spans"], lambda x: F.struct(x["start"].alias("start"), F.lit(-1).alias("i"), x["end"].alias("end"))), F.transform(b["xs"], lambda x, i: F.struct(x["start"].alias("start"), i.alias("i"), x["end"].alias("end")))))
+        return F.when(F.size(b["spans"]) > 0, F.transform(bound(union, told), lambda i: F.get(b["xs"], i))).otherwise(b["xs"])
+
+    return bound(F.struct(xs.alias("xs"), spans.alias("spans")), of)
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), base spans and candidates with contexts: the one pass over the texts."""
+    """doc_id, th (hash of the text), base spans, words (candidates) and seeds with contexts: the one pass over the texts."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64("text").alias("th"), text.rlike("[0-9@]").alias("some"))
-    rows = rows.withColumn("base", F.when(F.col("some"), base_spans(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")))
+    where_some = lambda x: F.when(F.col("some"), x)
+    rows = rows.withColumn("spans", where_some(base_spans(F.col("text"))))
+    shaped = lambda x: reduce(lambda a, b: a | b, [x["value"].rlike(p) for p in SHAPES.values()])
+    inner = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), context(x["before"], x["after"]).alias("c"))
+    words = F.transform(free(F.filter(candidates(F.col("text")), shaped), F.col("spans")), inner)
+    seeds = F.transform("spans", lambda x: F.struct(x["rank"].alias("rank"), x["value"].alias("value"), context(x["before"], x["after"]).alias("c")))
+    base = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["value"].alias("value")))
+    rows = rows.select("doc_id", "th", base.alias("base"), where_some(words).alias("words"), seeds.alias("seeds"))
+    keys = F.transform(F.filter("words", lambda x: x["value"].rlike(KEYS)), lambda x: F.struct(F.lit(SECRET).alias("rank"), x["value"].alias("value"), x["c"].alias("c")))
+    kinds = {"base": f"array<{SPAN}>", "words": f"array<struct<start:int,end:int,value:string,c:{CONTEXT}>>", "seeds": f"array<struct<rank:int,value:string,c:{CONTEXT}>>"}
+    rows = rows.withColumn("seeds", F.concat("seeds", keys))
+    return rows.select("doc_id", "th", *[F.coalesce(n, F.array().cast(t)).alias(n) for n, t in kinds.items()])
 
-    def stripped(x):
-        lead = F.char_length(x["value"]) - F.char_length(F.ltrim(x["value"], F.lit("\"'([{<,;:!?.")))
-        value = F.btrim(x["value"], F.lit("\"'()[]{}<>,;:!?."))
-        return F.struct((x["start"] + lead).alias("start"), (x["start"] + lead + F.char_length(value)).alias("end"), value.alias("value"))
 
-    shaped = lambda x: reduce(lambda a, b: a | b, [x["value"].rlike(p) for p in SHAPES.values()])
-    free = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    words = F.filter(F.transform(found(F.col("text"), WORD), stripped), lambda x: shaped(x) & free(x))
-    words = F.transform(words, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), context(F.col("text"), x["start"], x["end"]).alias("c")))
-    kind = "array<struct<start:int,end:int,value:string,c:struct<l1:string,l2:string,r1:string>>>"
-    rows = rows.withColumn("words", F.when(F.col("some"), words).otherwise(F.array().cast(kind)))
-    seeds = F.transform("base", lambda x: F.struct(x["rank"].alias("rank"), x["value"].alias("value"), context(F.col("text"), x["start"], x["end"]).alias("c")))
-    return rows.select("doc_id", "th", "base", "words", seeds.alias("seeds"))
+def form(value):
+    """What a value looks like: digits as 0 and runs of letters as a; keys by their letters."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(value), "[0-9]", "0"), r"\p{L}+", "a")
+    return F.when(value.rlike("^[0-9a-f]{16,}$"), "hex").when(value.rlike("^[0-9A-Z]{16,}$"), "capitals").when(value.contains("@"), F.regexp_replace(plain, "0+", "0")).otherwise(plain)
 
 
 def bootstrap(scan: DataFrame, rounds: int, support: int, precise: float, accept: float) -> DataFrame:
     """(value, rank, score) of accepted candidates."""
-    patterns = lambda c: F.array(F.concat(F.lit("l1 "), c["l1"]), F.concat(F.lit("l2 "), c["l2"]), F.concat(F.lit("lr "), c["l1"], F.lit(" _ "), c["r1"]))
+    patterns = lambda v, c: F.array(F.concat(F.lit("l1 "), c["l1"]), F.concat(F.lit("l2 "), c["l2"]), F.concat(F.lit("lr "), c["l1"], F.lit(" _ "), c["r1"]), F.concat(F.lit("form "), form(v)))
     worded = lambda p: ~p.rlike(r"^(?:l[12] |lr (?: _ .*|.* _ ))$")
-    seed = scan.select(F.explode("seeds").alias("x")).select(F.lower("x.value").alias("value"), "x.rank", F.lit(1.0).alias("score"), F.explode(F.filter(patterns(F.col("x.c")), worded)).alias("pattern")).distinct()
-    cand = scan.select(F.explode("words").alias("x")).select(F.lower("x.value").alias("value"), F.explode(F.filter(patterns(F.col("x.c")), worded)).alias("pattern")).distinct()
-    seed, cand = cut(seed), cut(cand.join(seed.select("value").distinct(), "value", "left_anti"))
+    seed = scan.select(F.explode("seeds").alias("x")).select("x.value", "x.rank", F.lit(1.0).alias("score"), F.explode(F.filter(patterns(F.col("x.value"), F.col("x.c")), worded)).alias("pattern")).distinct()
+    cand = scan.select(F.explode("words").alias("x")).select("x.value", F.explode(F.filter(patterns(F.col("x.value"), F.col("x.c")), worded)).alias("pattern")).distinct()
+    seed, cand = cut(seed), cut(cand)
     fits = F.filter(F.array(*[F.when(F.col("value").rlike(p), F.lit(i)) for i, p in enumerate(SHAPES.values())]), lambda i: i.isNotNull())
-    cand = cand.select("value", "pattern", F.explode(fits).alias("rank"))
-    scores = None
+    known_values = seed.select("value").distinct()
+    all_of = cut(seed.select("pattern", "value").unionByName(cand).distinct().groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support))
+    cand = cut(cand.join(known_values, "value", "left_anti").select("value", "pattern", F.explode(fits).alias("rank")).join(all_of.select("pattern"), "pattern", "left_semi"))
+    scores, before = None, -1
     for _ in range(rounds):
         known = seed if scores is None else seed.unionByName(cand.join(scores.where(F.col("score") >= accept), ["value", "rank"]).select("value", "rank", "score", "pattern"))
-        all_of = seed.select("pattern", "value").unionByName(cand.select("pattern", "value")).distinct().groupBy("pattern").agg(F.count("*").alias("n"))
-        good = known.groupBy("pattern", "rank").agg(F.sum("score").alias("s"), F.countDistinct("value").alias("k")).where(F.col("k") >= support)
+        good = known.groupBy("pattern", "rank").agg(F.sum("score").alias("s"), F.count("*").alias("k")).where(F.col("k") >= support)
         good = good.join(all_of, "pattern").select("pattern", "rank", (F.col("s") / F.col("n")).alias("p")).where(F.col("p") >= precise)
-        scores = cand.join(good, ["pattern", "rank"]).groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("score"))
-        scores = cut(scores)
-    return scores.where(F.col("score") >= accept)
+        scores = cut(cand.join(good, ["pattern", "rank"]).groupBy("value", "rank").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("score")))
+        now = scores.where(F.col("score") >= accept).count()
+        if now == before:
+            break
+        before = now
+    own = seed.select("value", "rank", "score").distinct()  # also where the base patterns could not match them
+    return scores.where(F.col("score") >= accept).unionByName(own)
+
+
+def apart(spans):
+    """Of spans in order of preference, those that none before them touches, by start."""
+    none = F.array().cast(f"array<{SPAN}>")
+    keep = F.aggregate(spans, none, lambda kept, x: F.when(F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), kept).otherwise(F.concat(kept, F.array(x))))
+    return F.sort_array(keep)
 
 
-def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, precise: float = 0.6, accept: float = 0.8) -> DataFrame:
-    """doc_id, base and added spans (array of start, rank, end, value; rank numbers ``KINDS``).
+def personal_data(docs: DataFrame, rounds: int = 8, support: int = 5, precise: float = 0.6, accept: float = 0.75) -> DataFrame:
+    """doc_id, base, added and secrets (arrays of start, rank, end, value; rank numbers ``KINDS``, secrets come after them).
 
     A pattern counts with ``support`` distinct instances and a score of
-    ``precise`` or more.
+    ``precise`` or more; at most ``rounds`` rounds are taken.
 
     Defined cases: a null or empty text has no spans; repeated rows get a row
-    each; two kinds may overlap; an empty table gives no rows.
+    each; base spans of two kinds may overlap, added ones and secrets touch no
+    base span and not each other; where added spans compete the higher score,
+    then the longer, then the first one stays; an empty table gives no rows.
     """
     scan = cut(scanned(docs))
     taken = bootstrap(scan, rounds, support, precise, accept)
-    best = taken.groupBy("value").agg(F.max(F.struct("score", -F.col("rank"))).alias("m")).select("value", (-F.col("m.col2")).alias("rank"))
-    words = scan.select("doc_id", "th", F.explode("words").alias("x")).distinct().select("doc_id", "th", "x.start", "x.end", "x.value", F.lower("x.value").alias("v"))
-    more = words.join(best.withColumnRenamed("value", "v"), "v").groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "rank", "end", "value")).alias("added"))
-    out = scan.join(more.withColumnRenamed("doc_id", "_d").withColumnRenamed("th", "_t"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
-    return out.select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")).alias("added"))
+    best = taken.groupBy("value").agg(F.max(F.struct("score", -F.col("rank"))).alias("m")).select("value", F.col("m.score").alias("score"), (-F.col("m.col2")).alias("rank"))
+    words = scan.select("doc_id", "th", F.explode("words").alias("x")).distinct().select("doc_id", "th", "x.start", "x.end", "x.value")
+    order = F.struct((-F.col("score")).alias("score"), (F.col("start") - F.col("end")).alias("size"), "start", "rank", "end", "value")
+    more = words.join(best, "value").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(order)).alias("more"))
+    more = more.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.transform("more", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["value"].alias("value"))).alias("more"))
+    more = more.withColumn("more", F.when(F.size("more") > 1, apart(F.col("more"))).otherwise(F.col("more")))
+    out = scan.join(more, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
+    of = lambda secret: F.coalesce(F.filter("more", lambda x: (x["rank"] == SECRET) == F.lit(secret)), F.array().cast(f"array<{SPAN}>"))
+    return out.select("doc_id", "base", of(False).alias("added"), of(True).alias("secrets"))
 
 
 def count_of(spans, kind: str):

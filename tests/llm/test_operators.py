@@ -299,6 +299,28 @@ def test_personal_data(spark, none):
     assert pii.personal_data(none).count() == 0
 
 
+def test_personal_data_is_found_by_contexts_and_forms(spark):
+    r = random.Random(5)
+    number = lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(0, 9999):04d}"
+    key40 = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    texts = [f"some {r.randint(1, 10**9)}x call {number()} or" for _ in range(30)] + [f"w{i} token = \"{key40()}\" and" for i in range(20)]
+    texts += ["now +1 (269) 555-3296 4524132264652876 and", "a token = \"0a1b2c3d4e5f6\" here", "version 2.0, of 1999 and 12 34", None, ""]
+    texts += [f"pay {c} now" for c in ("4111111111111111", "5500005555555559", "4012888888881881", "5105105105105100", "4222222222222220", "378282246310005", "6011111111111117")]
+    out = {x.doc_id: x for x in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(len(out[i].base) == 1 and not out[i].added for i in range(30)) and all(len(out[i].secrets) == 1 for i in range(30, 51 + 1) if i != 50)
+    mixed = out[50]
+    assert not mixed.base and [(x.rank, x.value) for x in mixed.added][:1] == [(3, "+1 (269) 555-3296")]
+    assert all(texts[50][x.start : x.end] == x.value for x in mixed.added)
+    assert [x.value for x in out[51].secrets] == ["0a1b2c3d4e5f6"]
+    assert not any(out[i].base or out[i].added or out[i].secrets for i in (52, 53, 54))
+
+
+def test_personal_data_in_texts_of_many_hits(spark):
+    one = "to a.b@ex.com, 10.0.0.1 or +1 (279) 555-0216 x9\n"
+    x = pii.personal_data(spark.createDataFrame([(1, one * 8000)], "doc_id long, text string")).select("base").first().base
+    assert len(x) == 24_000 and (x[-1].start, x[-1].end) == (len(one) * 7999 + one.index("+"), len(one) * 7999 + one.index(" x9"))
+
+
 def test_mixing(spark, docs, rows, none):
     out = mixing.mixture(docs, max_repeats=3.0, entropy_share=1.0).collect()
     tokens_of = {}
