@@ -56,6 +56,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound(value, body):
+    """``body`` of a column's value, which is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def open_shared(uri: str):
     """(pyarrow file system, path) of a shared folder, for tasks that read or write files."""
     from pyarrow import fs
@@ -148,3 +153,5 @@ def sliced(batches, rows: int = 1000, keep: bool = False):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    if not keep:
+        release()

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import cut
+from kinvector.llm.common import bound, cut
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns with possessive repeats, and matches begun only where a longer one can't begin earlier: same matches, time linear in the text.
@@ -55,11 +55,6 @@ SPAN = "struct<start:int,rank:int,end:int,value:string>"
 CONTEXT = "struct<l1:string,l2:string,r1:string>"
 
 
-def bound(value, body):
-    """``body`` of a value that is evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def running(values, zero, op):
     """For each of an array of int what ``op`` makes of all before it, by chunks."""
     none = F.array().cast("array<int>")

@@ -9,12 +9,15 @@ whole sets.
 
 from __future__ import annotations
 
+import json
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import cut
+from kinvector.llm.common import bound, cut
 
-BUCKET_ROWS = 500
+BUCKET_ROWS, MOST_BUCKETS = 500, 10_000
 #: Common words of English, French, German and Spanish.
 ANCHORS = (
     "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "had", "has", "have", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with",
@@ -53,6 +56,46 @@ def likeness(a, b):
     return both / (a["n"] + b["n"] - both)
 
 
+def below(value, edges: list[int]):
+    """How many of the ascending edges are below the value, by binary search in an array literal."""
+    steps = max(1, len(edges).bit_length())
+
+    def search(es):
+        def step(s, _):
+            middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            right = (s["low"] < s["high"]) & (F.get(es, middle) < value)
+            return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when((s["low"] < s["high"]) & ~right, middle).otherwise(s["high"]).alias("high"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("low"), F.lit(len(edges)).alias("high")), step, lambda s: s["low"])
+
+    if not edges:
+        return F.lit(0)
+    return bound(F.split(F.lit(",".join(map(str, edges))), ",").cast("array<long>"), search)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Adds ``bucket``: ranges of (doc_id, th) of about ``BUCKET_ROWS`` rows, in their order, ``MOST_BUCKETS`` or so at most.
+
+    Ranges follow the quantiles of doc_id, so neither gaps nor outlying ids fill
+    one range; an id that holds several ranges, and null ids, are dealt by th,
+    which is a hash.
+    """
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    ranges = lambda k: min(MOST_BUCKETS, max(1, -(-k // BUCKET_ROWS)))
+    wanted = ranges(n - nulls)
+    cuts = (rows.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)], 10 * wanted)).first()[0] if wanted > 1 else None) or []
+    times = Counter(cuts)
+    edges = sorted(times)
+    several = {e: k for e, k in times.items() if k > 1}
+    part = lambda parts: F.floor((F.col("th") / F.lit(2.0**64) + 0.5) * parts).cast("long")
+    own = F.lit(-1).cast("long")  # ids of a range that are below its edge
+    if several:
+        parts = F.element_at(F.from_json(F.lit(json.dumps({str(e): k for e, k in several.items()})), "map<string,int>"), F.col("doc_id").cast("string"))
+        own = F.coalesce(part(parts), own)
+    place = F.when(F.col("doc_id").isNull(), F.struct(F.lit(-1).alias("range"), part(F.lit(ranges(nulls))).alias("part"))).otherwise(F.struct(below(F.col("doc_id"), edges).alias("range"), own.alias("part")))
+    return rows.withColumn("bucket", place)
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """doc_id, text, fp and those of the next document by descending doc_id, after the last the first.
 
@@ -61,15 +104,12 @@ def neighbours(docs: DataFrame) -> DataFrame:
     task sorts all documents. Fingerprints are taken after that shuffle, which
     carries texts only.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) // max(1, -(-n // BUCKET_ROWS)))
-    rows = rows.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - (low or 0)) / F.lit(width)).cast("long"), F.lit(-1)))
+    rows = dealt(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text")))
     heads = cut(rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "th")).alias("h")))
-    ends = Window.orderBy("bucket")  # a row per range of ids, not per document
+    ends = Window.orderBy("bucket")  # a row per range of ids, of which there is a bounded number
     above = F.coalesce(F.lead("bucket").over(ends), F.min("bucket").over(ends))
     heads = heads.select(F.col("h.doc_id").alias("_d"), F.col("h.th").alias("_t"), above.alias("_to"))
-    first = rows.join(heads, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "text", "th", F.col("_to").alias("bucket"))
+    first = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t"))).select("doc_id", "text", "th", F.col("_to").alias("bucket"))
     both = rows.withColumn("extra", F.lit(0)).unionByName(first.withColumn("extra", F.lit(1))).repartition("bucket").withColumn("fp", fingerprint(F.col("text")))
     w = Window.partitionBy("bucket").orderBy("extra", F.desc_nulls_last("doc_id"), F.desc("th"))
     return both.select("doc_id", "text", "fp", "extra", F.lead("text").over(w).alias("next_text"), F.lead("fp").over(w).alias("next_fp")).where("extra = 0")

@@ -372,6 +372,21 @@ def test_spots(spark, docs, rows, none):
     assert {tuple(sorted(p)) for p in pairs} == want
 
 
+def test_spots_of_outlying_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 5)
+    ids = [*range(60), 10**15, -(2**63), 2**63 - 1, *[7] * 40, *[None] * 30]
+    rows = [(i, f"text number {k} of the table") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt = spotsigs.dealt(df.withColumn("th", spotsigs.F.xxhash64("text"))).cache()
+    sizes = [r["count"] for r in dealt.groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 20 and len(sizes) > 15
+    order = [r.text for r in dealt.orderBy(spotsigs.F.desc_nulls_last("doc_id"), spotsigs.F.desc("th")).collect()]
+    got = {r.text: r.edited for r in spotsigs.edited(df).collect()}
+    for t, u in zip(order, order[1:] + order[:1]):
+        k = len(t) // 3
+        assert got[t] == t[: len(t) - k] + u[:k]
+
+
 def test_spots_of_long_texts_are_whole(spark):
     r = random.Random(7)
     texts = [" ".join(r.choice(["the", "of", "in", *(f"w{r.randint(0, 40)}" for _ in range(4))]) for _ in range(n)) for n in (1500, 1500, 2500, 900)]
