@@ -11,7 +11,11 @@
    on all bits of a key, for ``recall`` or more. Centring widens angles, so that
    chance is taken from the angles that pairs at the threshold have after it.
 4. Pairs that share a bucket and lie within a Hamming radius are reranked by
-   cosine in double precision with the original vectors.
+   cosine in double precision with the original vectors. Buckets of at most
+   ``SMALL`` classes are joined, so pairs grow with the rows; larger ones are
+   dealt in tiles of bounded size, whose vectors are compared as matrix products
+   in their tasks: only numbers of links and the edges of a spanning forest leave
+   a tile. A pair that shares a large bucket is counted in the first such table.
 """
 
 from __future__ import annotations
@@ -29,6 +33,18 @@ MODEL = "d int, mean binary, turns binary"
 ANGLES = "d int, made array<double>, real array<double>, any_centred array<double>, any_plain array<double>"
 PROBES = 2000  # sampled vectors whose angles are measured
 MOST_TABLES = 2000  # more keys a vector are not worth centring
+SMALL = 200  # classes of a bucket that is joined
+TILE_ROWS = 1000
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to about 1: exact, and no product of two overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def learn_rotation(x: np.ndarray, rng, rounds: int = 30) -> np.ndarray:
@@ -113,13 +129,95 @@ def usable(vector):
     return F.coalesce(~F.exists(vector, bad) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def linked(one: dict, two: dict, same: bool, t: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of linked pairs of rows that share no large bucket of a table before ``t``."""
+    i, j = np.nonzero(one["x"] @ two["x"].T >= threshold)
+    if same:
+        i, j = i[i < j], j[i < j]
+    new = np.ones(len(i), bool)
+    for at in range(0, len(i), 50_000):
+        a, b = one["keys"][i[at : at + 50_000], :t], two["keys"][j[at : at + 50_000], :t]
+        new[at : at + 50_000] = ~((a == b) & (a >= 0)).any(1)
+    return i[new], j[new]
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place that each of n places reaches by pairs."""
+    root = np.arange(n)
+    while True:
+        before = root.copy()
+        np.minimum.at(root, i, root[j])
+        np.minimum.at(root, j, root[i])
+        root = root[root]
+        if (root == before).all():
+            return root
+
+
+def tiled(members: DataFrame, tables: int, threshold: float) -> DataFrame:
+    """Rows (id, k, root) from large buckets: numbers of links k, and edges of a spanning forest (root is not null).
+
+    A bucket's rows are dealt in ``TILE_ROWS``; a tile has two such parts.
+    """
+    parts = F.ceil(F.col("size") / TILE_ROWS).cast("int")
+    home = F.pmod(F.xxhash64(F.lit(5), "id"), parts).cast("int")
+    rows = members.withColumn("home", home).withColumn("o", F.explode(F.sequence(F.lit(0), parts - 1)))
+    order = ["lh", "d", "t", "key", "lo", "hi"]
+    rows = rows.select(F.xxhash64("label").alias("lh"), "d", "t", "key", F.least("home", "o").alias("lo"), F.greatest("home", "o").alias("hi"), "home", "id", "v", "copies", F.col("bigs.t").alias("ts"), F.col("bigs.key").alias("ks"))
+    rows = rows.repartition(*order).sortWithinPartitions(*order)
+
+    def read(batch):
+        n = len(batch)
+        x = unit_rows(np.asarray(batch.column("v").flatten()).reshape(n, -1)) if n else np.zeros((0, 1))
+        keys, lengths = np.full((n, tables), -1, np.int64), np.asarray(batch.column("ts").value_lengths())
+        keys[np.repeat(np.arange(n), lengths), np.asarray(batch.column("ts").flatten())] = np.asarray(batch.column("ks").flatten())
+        return {"x": x, "keys": keys} | {c: np.asarray(batch.column(c)) for c in ("home", "id", "copies")}
+
+    def compare(tile: tuple, pieces: list[dict]):
+        import pyarrow as pa
+
+        lo, hi = tile[-2:]
+        whole = {c: np.concatenate([p[c] for p in pieces]) for c in pieces[0]}
+        side = [np.flatnonzero(whole["home"] == h) for h in (lo, hi)]
+        one, two = ({c: x[s] for c, x in whole.items()} for s in side)
+        i, j = linked(one, two, lo == hi, int(tile[2]), threshold)
+        i, j = side[0][i], side[1][j]
+        k = np.bincount(i, whole["copies"][j], len(whole["id"])) + np.bincount(j, whole["copies"][i], len(whole["id"]))
+        root = roots(len(whole["id"]), i, j)
+        some, tied = np.flatnonzero(k), np.flatnonzero(root != np.arange(len(root)))
+        ids = np.concatenate([whole["id"][some], whole["id"][tied]])
+        counts = np.concatenate([k[some].astype(np.int64), np.zeros(len(tied), np.int64)])
+        ends = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(whole["id"][root[tied]], pa.int64())])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts), ends], names=["id", "k", "root"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, pieces = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in order])
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                tile = tuple(keys[:, a].tolist())
+                if tile != now and pieces:
+                    yield from compare(now, pieces)
+                    pieces = []
+                now = tile
+                pieces.append(read(pa.record_batch(batch.slice(a, b - a).columns, names=batch.schema.names)))
+        if pieces:
+            yield from compare(now, pieces)
+
+    return rows.mapInArrow(run, "id long, k long, root long")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.9999, sample_rows: int = 20_000, seed: int = 11) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors link if their labels are equal and not null, they have one length,
     and their cosine is ``threshold`` or more. n_links counts the other vectors
     linked directly, copies included; a component is named by its smallest
-    vec_id, which is kept.
+    vec_id, which is kept. Magnitudes don't matter, however large or small.
 
     Defined cases: vectors that are null, zero, or hold null or non-finite
     components link with nothing, and so do null labels; repeated rows are
@@ -137,7 +235,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
 
     def unit(pdf):
         d, x = int(pdf["d"].iloc[0]), np.stack(pdf["v"].to_numpy())
-        return d, x / np.linalg.norm(x, axis=1, keepdims=True)
+        return d, unit_rows(x)
 
     def measure(pdf):
         import pandas as pd
@@ -175,7 +273,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
                 mine = np.flatnonzero(d == one)
                 x = np.stack([flat[ends[i] - one : ends[i]] for i in mine])
                 mean, turns = sent.value[one]
-                b = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ turns >= 0
+                b = (unit_rows(x) - mean) @ turns >= 0
                 keys[mine] = b[:, : tables * bits].reshape(len(mine), tables, bits) @ (1 << np.arange(bits))
                 code[mine] = np.packbits(b[:, : 64 * FILTER_WORDS], axis=1).view(np.int64)
             rows = [pa.array(list(keys), pa.list_(pa.int32())), *(pa.array(c) for c in code.T)]
@@ -184,24 +282,44 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     kind = dict(vectors.dtypes)["label"]
     index = cut(classes.select("id", "label", "d", "v").mapInArrow(encode, f"id long, label {kind}, d int, keys array<int>, {', '.join(f'{w} long' for w in words)}"))
     table = index.select("id", "label", "d", *words, F.posexplode("keys").alias("t", "key"))
-    other = table.select(F.col("id").alias("id_b"), "label", "d", "t", "key", *[F.col(w).alias(f"{w}_b") for w in words])
+    place = ["label", "d", "t", "key"]
+    sizes = cut(table.groupBy(*place).agg(F.count("*").alias("size")).where("size > 1"))
+    big = sizes.where(F.col("size") > SMALL)
+    table = table.join(sizes.where(F.col("size") <= SMALL), place, "left_semi")
+    other = table.select(F.col("id").alias("id_b"), *place, *[F.col(w).alias(f"{w}_b") for w in words])
     apart = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"{w}_b"))) for w in words), F.lit(0))
-    pairs = table.join(other, ["label", "d", "t", "key"]).where((F.col("id") < F.col("id_b")) & (apart <= within)).select(F.col("id").alias("a"), F.col("id_b").alias("b"), "label").distinct()
+    pairs = table.join(other, place).where((F.col("id") < F.col("id_b")) & (apart <= within)).select(F.col("id").alias("a"), F.col("id_b").alias("b"), "label").distinct()
 
     def rerank(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.asarray(x.values), np.asarray(y.values)
-                keep.append(float(x @ y) / math.sqrt(float(x @ x) * float(y @ y)) >= threshold)
+            n = np.asarray(batch.column("x").value_lengths())
+            ends, keep = np.cumsum(n), np.zeros(len(n), bool)
+            x, y = (np.asarray(batch.column(c).flatten()) for c in "xy")
+            for one in np.unique(n).tolist():
+                mine = np.flatnonzero(n == one)
+                at = (ends[mine] - one)[:, None] + np.arange(one)
+                keep[mine] = (unit_rows(x[at]) * unit_rows(y[at])).sum(1) >= threshold
             yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda k, w, c: classes.select(F.col("id").alias(k), "label", F.col("v").alias(w), F.col("copies").alias(c))
-    links = cut(pairs.join(side("a", "x", "ca"), ["a", "label"]).join(side("b", "y", "cb"), ["b", "label"]).select("a", "b", "ca", "cb", "x", "y").mapInArrow(rerank, "a long, b long, ca long, cb long"))
-    degree = links.select(F.col("a").alias("id"), F.col("cb").alias("k")).unionByName(links.select(F.col("b").alias("id"), F.col("ca").alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
-    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    dense = big.limit(1).count() > 0
+    members = index.select("id", "label", "d", F.posexplode("keys").alias("t", "key")).join(big, place)
+    held = cut(members.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("t", "key"))).alias("bigs"))) if dense else None
+    known = classes.join(held, "id", "left") if dense else classes.withColumn("bigs", F.lit(None))  # the tables of a class bound its list
+    side = lambda k, w, c, g: known.select(F.col("id").alias(k), "label", F.col("v").alias(w), F.col("copies").alias(c), F.col("bigs").alias(g))
+    both = pairs.join(side("a", "x", "ca", "ga"), ["a", "label"]).join(side("b", "y", "cb", "gb"), ["b", "label"])
+    if dense:
+        both = both.where(~F.coalesce(F.arrays_overlap("ga", "gb"), F.lit(False)))
+    links = cut(both.select("a", "b", "ca", "cb", "x", "y").mapInArrow(rerank, "a long, b long, ca long, cb long"))
+    edges = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    degree = links.select(F.col("a").alias("id"), F.col("cb").alias("k")).unionByName(links.select(F.col("b").alias("id"), F.col("ca").alias("k")))
+    if dense:
+        found = cut(tiled(members.select("id", *place, "size").join(known.select("id", "v", "copies", "bigs"), "id"), tables, threshold))
+        edges = edges.unionByName(found.where("root is not null").select(F.col("id").alias("u"), F.col("root").alias("v")))
+        degree = degree.unionByName(found.where("root is null").select("id", "k"))
+    degree = degree.groupBy("id").agg(F.sum("k").alias("k"))
+    label = components(edges)
     named = classes.join(degree, "id", "left").join(label, "id", "left").select("label", "h", "h2", (F.coalesce("k", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.join(named, ["label", "h", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")

@@ -227,15 +227,19 @@ def test_word_hashes_beyond_the_table():
     assert len(whole) == 400_002 and len(set(whole.tolist())) == 3 and whole[-1] == whole[0]
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("small,tile", [(200, 1000), (4, 7)])
+def test_near_vectors(spark, small, tile, monkeypatch):
+    monkeypatch.setattr(itq, "SMALL", small)
+    monkeypatch.setattr(itq, "TILE_ROWS", tile)
     r = np.random.default_rng(3)
     x = r.normal(size=(300, 16))
     x[100:200] = x[:100] + r.normal(size=(100, 16)) * 0.25
     x[200:230] = x[0]
     data = [(i, [float(v) for v in row], int(i % 3)) for i, row in enumerate(x)]
     data += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [None] + [1.0] * 15, 1), (904, [1.0] * 8, 1), (905, [1.0] * 8, 1), (906, [1.0] * 8, None), (None, [1.0] * 8, 1), (907, [float(v) * 3 for v in x[1]], 1)]
+    data += [(910 + i, [float(v) * m for v in x[i]], int(i % 3)) for i, m in ((2, 1e200), (3, 1e-200), (4, 1e300), (5, 1e-310))] + [(920, [1e308, -1e308] + [0.0] * 14, 2)]
     df = spark.createDataFrame([(*d, "x") for d in data], "vec_id long, embedding array<double>, label int, score string")
-    ok = {i: np.array(v) for i, v, label in data if i is not None and label is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
+    ok = {i: np.array(v) / np.abs(v).max() for i, v, label in data if i is not None and label is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
     labels = {i: label for i, _, label in data}
     links, parent = dict.fromkeys([i for i, *_ in data], 0), {i: i for i, *_ in data}
 
