@@ -61,6 +61,23 @@ def bound(value, body):
     return F.transform(F.array(value), body)[0]
 
 
+def below(value, edges: list[int]):
+    """How many of the ascending edges are below the value, by binary search in an array literal."""
+    steps = max(1, len(edges).bit_length())
+
+    def search(es):
+        def step(s, _):
+            middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            right = (s["low"] < s["high"]) & (F.get(es, middle) < value)
+            return F.struct(F.when(right, middle + 1).otherwise(s["low"]).alias("low"), F.when((s["low"] < s["high"]) & ~right, middle).otherwise(s["high"]).alias("high"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("low"), F.lit(len(edges)).alias("high")), step, lambda s: s["low"])
+
+    if not edges:
+        return F.lit(0)
+    return bound(F.split(F.lit(",".join(map(str, edges))), ",").cast("array<long>"), search)
+
+
 def open_shared(uri: str):
     """(pyarrow file system, path) of a shared folder, for tasks that read or write files."""
     from pyarrow import fs

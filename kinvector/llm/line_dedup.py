@@ -7,8 +7,11 @@ with fingerprint and count arrays, and documents probe the arrays.
    each shard becomes a minimal perfect hash (levels of bitmaps with ranks), a
    64-bit fingerprint array, a count array and the largest holder's id, written
    as one row of a shared table.
-3. Tasks that read documents stream the shards, one in memory at a time, and
-   probe them for all the lines of a batch. Lines are not shuffled again.
+3. Documents probe the arrays. While the index is small (``HELD_SHARDS``), each
+   task reads it once and keeps it while it streams its documents, so lines are
+   not shuffled again. A larger index is not read by every task: line hashes are
+   dealt to their shards instead, each shard is read by a few tasks, and the places
+   of lines that go are joined to their documents. Both ways give the same.
 
 The number of shards follows the number of repeated lines, so a shard stays at
 ``shard_keys`` keys at any size.
@@ -28,7 +31,8 @@ from kinvector.llm.common import cut, mix, open_shared, shared_dir, sliced
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
-SHARD = "shard long, n long, sizes array<long>, bits binary, prints binary, counts binary, last binary"
+SHARD = "shard long, n long, salt long, sizes array<long>, bits binary, prints binary, counts binary, last binary"
+HELD_SHARDS, SALTS = 4, 16
 
 
 def key_column(line):
@@ -43,14 +47,17 @@ def repeated(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     return lines.groupBy("h", "print").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
 
 
+def keyed(h: np.ndarray, prints: np.ndarray, salt: int = 0) -> np.ndarray:
+    """The 64-bit key of each line."""
+    return mix(h ^ mix(prints + np.uint64(salt)))
+
+
 def positions(keys: np.ndarray, level: int, size: int) -> np.ndarray:
     return (mix(keys ^ np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(size)).astype(np.int64)
 
 
 def build_mph(keys: np.ndarray, gamma: float = 1.5) -> tuple[list[int], np.ndarray]:
     """Level sizes and bits of a minimal perfect hash over distinct uint64 keys."""
-    if len(np.unique(keys)) < len(keys):
-        raise ValueError("two lines of a shard share their 64-bit keys")
     sizes, bits = [], []
     while len(keys):
         size = max(64, int(gamma * len(keys)) // 64 * 64 + 64)
@@ -76,16 +83,39 @@ def probe_mph(keys: np.ndarray, sizes, bits: np.ndarray, ranks: np.ndarray) -> n
 
 
 def build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    keys = mix(pdf["h"].to_numpy().view(np.uint64) ^ mix(pdf["print"].to_numpy().view(np.uint64)))
+    """One shard's arrays; another salt is taken where two lines share their keys."""
+    h, p = (pdf[c].to_numpy().view(np.uint64) for c in ("h", "print"))
+    salt = 0
+    while len(np.unique(keys := keyed(h, p, salt))) < len(keys):
+        salt += 1
     sizes, bits = build_mph(keys)
     at = probe_mph(keys, sizes, bits, np.cumsum(bits) - 1)
     prints, counts, last = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.int64)
     prints[at], counts[at], last[at] = pdf["print"], np.minimum(pdf["n"], 2**32 - 1), pdf["last"].fillna(-(2**63)).astype("int64")
-    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [len(keys)], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "last": [last.tobytes()]})
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "n": [len(keys)], "salt": [salt], "sizes": [sizes], "bits": [np.packbits(bits).tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "last": [last.tobytes()]})
+
+
+class Shard:
+    """A shard's arrays, ready to be probed."""
 
+    def __init__(self, row: dict):
+        self.salt, self.sizes = row["salt"], row["sizes"]
+        self.bits = np.unpackbits(np.frombuffer(row["bits"], np.uint8))[: sum(self.sizes)].astype(bool)
+        self.ranks = np.cumsum(self.bits, dtype=np.int32) - np.int32(1)
+        self.prints, self.counts, self.last = np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["counts"], np.uint32), np.frombuffer(row["last"], np.int64)
 
-def shards(root: str):
-    """Each shard of the index in turn."""
+    def dropped(self, h: np.ndarray, prints: np.ndarray, ids: np.ndarray, min_docs: int) -> np.ndarray:
+        """Which lines are held by ``min_docs`` documents or more and another one is the last."""
+        at = probe_mph(keyed(h, prints, self.salt), self.sizes, self.bits, self.ranks)
+        ok = np.flatnonzero(at >= 0)
+        ok = ok[(self.prints[at[ok]] == prints[ok]) & (self.counts[at[ok]] >= min_docs)]
+        out = np.zeros(len(h), bool)
+        out[ok] = self.last[at[ok]] != ids[ok]
+        return out
+
+
+def shards(root: str, wanted: int | None = None):
+    """Each shard of the index in turn, or the one that is wanted."""
     import pyarrow.parquet as pq
 
     fs, path = open_shared(root)
@@ -94,8 +124,10 @@ def shards(root: str):
     for info in sorted(fs.get_file_info(FileSelector(path)), key=lambda i: i.path):
         if info.path.endswith(".parquet"):
             with fs.open_input_file(info.path) as f:
-                for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
-                    yield from batch.to_pylist()
+                file = pq.ParquetFile(f)
+                if wanted is None or wanted in file.read(columns=["shard"]).column(0).to_pylist():
+                    for batch in file.iter_batches(batch_size=1):
+                        yield from (x for x in batch.to_pylist() if wanted in (None, x["shard"]))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 500_000) -> DataFrame:
@@ -117,37 +149,76 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_ke
     n = found.count()
     n_shards = max(1, -(-n // shard_keys))
     root = shared_dir(spark)
-    found.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), "h", "print"), F.lit(n_shards))).groupBy("shard").applyInPandas(build_shard, SHARD).write.parquet(root)
+    found.withColumn("shard", shard_of(n_shards)).groupBy("shard").applyInPandas(build_shard, SHARD).write.parquet(root)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    at_text = docs.columns.index("text")
+    at_text, place = docs.columns.index("text"), len(docs.columns)
+    if n_shards > HELD_SHARDS:
+        docs = docs.join(routed(docs, root, n_shards, min_chars, min_docs), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left").select(*docs.columns, "_gone")
+
+    def lines_gone(lines, ids, index):
+        """For each text the places of the lines that the index drops."""
+        doc, where, h, p = [], [], [], []
+        for d, ls in enumerate(lines):
+            for j, line in enumerate(ls):
+                if len(line) >= min_chars and len(k := line.strip(SPACE).translate(FOLD)) >= min_chars:
+                    raw = k.encode()
+                    doc.append(d), where.append(j), h.append(xxhash.xxh64_intdigest(raw, 42)), p.append(xxhash.xxh64_intdigest(b"\n" + raw, 42))
+        doc, h, p = np.array(doc, np.int64), np.array(h, np.uint64), np.array(p, np.uint64)
+        drop = np.zeros(len(h), bool)
+        for s in index if len(h) else ():
+            drop |= s.dropped(h, p, ids[doc], min_docs)
+        gone = [set() for _ in lines]
+        for i in np.flatnonzero(drop):
+            gone[doc[i]].add(where[i])
+        return gone
 
     def probe(batches):
         import pyarrow as pa
 
+        index = [Shard(x) for x in shards(root)] if n and n_shards <= HELD_SHARDS else []
         for batch in sliced(batches, 5000):
-            lines = [(t or "").split("\n") for t in batch.column("text").to_pylist()]
-            ids = np.array([-(2**63) if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64)
-            doc, where, h, p = [], [], [], []
-            for d, ls in enumerate(lines):
-                for j, line in enumerate(ls):
-                    if len(line) >= min_chars and len(k := line.strip(SPACE).translate(FOLD)) >= min_chars:
-                        raw = k.encode()
-                        doc.append(d), where.append(j), h.append(xxhash.xxh64_intdigest(raw, 42)), p.append(xxhash.xxh64_intdigest(b"\n" + raw, 42))
-            doc, h, p = np.array(doc, np.int64), np.array(h, np.uint64), np.array(p, np.uint64)
-            keys, drop = mix(h ^ mix(p)), np.zeros(len(h), bool)
-            for s in shards(root) if n and len(h) else ():
-                bits = np.unpackbits(np.frombuffer(s["bits"], np.uint8))[: sum(s["sizes"])].astype(bool)
-                at = probe_mph(keys, s["sizes"], bits, np.cumsum(bits) - 1)
-                ok = np.flatnonzero(at >= 0)
-                ok = ok[np.frombuffer(s["prints"], np.int64)[at[ok]].view(np.uint64) == p[ok]]
-                ok = ok[np.frombuffer(s["counts"], np.uint32)[at[ok]] >= min_docs]
-                drop[ok] |= np.frombuffer(s["last"], np.int64)[at[ok]] != ids[doc[ok]]
-            gone = [set() for _ in lines]
-            for i in np.flatnonzero(drop):
-                gone[doc[i]].add(where[i])
+            lines = [(t or "").split("\n") for t in batch.column(at_text).to_pylist()]
+            if n_shards > HELD_SHARDS:
+                gone = [set(x or ()) for x in batch.column(place).to_pylist()]
+            else:
+                gone = lines_gone(lines, np.array([-(2**63) if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64), index)
             text = pa.array(["\n".join(x for j, x in enumerate(ls) if j not in g) for ls, g in zip(lines, gone)], pa.string())
-            columns = [text if i == at_text else c for i, c in enumerate(batch.columns)]
+            columns = [text if i == at_text else c for i, c in enumerate(batch.columns[:place])]
             counts = [pa.array([len(x) for x in xs], pa.int64()) for xs in (lines, gone)]
             yield pa.RecordBatch.from_arrays([*columns, *counts], names=schema.names)
 
     return docs.mapInArrow(probe, schema)
+
+
+def shard_of(n_shards: int):
+    return F.pmod(F.xxhash64(F.lit("shard"), "h", "print"), F.lit(n_shards))
+
+
+def routed(docs: DataFrame, root: str, n_shards: int, min_chars: int, min_docs: int) -> DataFrame:
+    """(_d, _t, _gone): places of the lines that go, by doc_id and hash of the text.
+
+    A shard is read by ``SALTS`` tasks at most, which share the rows of a very common line.
+    """
+    keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), key_column)
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(keys).alias("j", "k")).where(F.char_length("k") >= min_chars)
+    lines = lines.select("doc_id", "th", "j", F.xxhash64("k").alias("h"), F.xxhash64(F.concat(F.lit("\n"), "k")).alias("print")).withColumn("shard", shard_of(n_shards))
+
+    def probe(batches):
+        import pyarrow as pa
+
+        now, shard = None, None
+        for batch in sliced(batches, 20_000):
+            at = np.asarray(batch.column("shard"))
+            ids = np.asarray(batch.column("doc_id").fill_null(-(2**63)))
+            h, p = (np.asarray(batch.column(c)).view(np.uint64) for c in ("h", "print"))
+            drop = np.zeros(len(at), bool)
+            for one in np.unique(at).tolist():
+                if one != now:
+                    now, shard = one, next((Shard(x) for x in shards(root, one)), None)
+                mine = np.flatnonzero(at == one)
+                if shard is not None:
+                    drop[mine] = shard.dropped(h[mine], p[mine], ids[mine], min_docs)
+            yield batch.select(["doc_id", "th", "j"]).filter(pa.array(drop))
+
+    found = lines.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).sortWithinPartitions("shard").mapInArrow(probe, "doc_id long, th long, j int")
+    return found.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("j").alias("_gone"))

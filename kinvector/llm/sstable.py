@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import blocks, cut, mix, open_shared, shared_dir, sliced
+from kinvector.llm.common import below, blocks, cut, mix, open_shared, shared_dir, sliced
 from kinvector.llm.tokens import encoder
 
 MAGIC = b"KVSSTAB1"
@@ -154,7 +154,7 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, roo
     root = root or shared_dir(spark)
     shards = shards or max(1, docs.rdd.getNumPartitions())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    edges = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 100 * shards)).first()[0] or []
+    edges = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 20 * shards)).first()[0] or []
     edges = sorted(set(edges)) if shards > 1 else []
 
     def write(batches):
@@ -179,15 +179,8 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, roo
             row = [TaskContext.get().partitionId()], [path.rpartition("/")[2]], [len(writer.keys)], [writer.n_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "path", "n_docs", "n_ids"])
 
-    if edges:  # the number of edges below the id, by binary search through nested conditions
-        def below(low, high):
-            if low == high:
-                return F.lit(low)
-            middle = (low + high) // 2
-            return F.when(F.col("doc_id") > edges[middle], below(middle + 1, high)).otherwise(below(low, middle))
-
-        shard = below(0, len(edges))
-        rows = rows.withColumn("_shard", shard).repartitionById(len(edges) + 1, F.col("_shard")).drop("_shard")
+    if edges:
+        rows = rows.withColumn("_shard", below(F.col("doc_id"), edges)).repartitionById(len(edges) + 1, F.col("_shard")).drop("_shard")
     else:
         rows = rows.coalesce(1)
     done = cut(rows.sortWithinPartitions("doc_id", "text").mapInArrow(write, SHARD))

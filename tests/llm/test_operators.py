@@ -67,6 +67,9 @@ def test_lines(docs, rows, none):
     assert sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=key) == sorted(want, key=key)
     assert sum(w[3] for w in want) >= 5
     assert line_dedup.line_dedup(none).count() == 0
+    few = line_dedup.line_dedup(docs, min_chars=1, min_docs=2)
+    many = line_dedup.line_dedup(docs, min_chars=1, min_docs=2, shard_keys=1)  # lines are dealt to their shards
+    assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, many.collect()), key=key)
 
 
 def test_perfect_hash():
@@ -75,6 +78,15 @@ def test_perfect_hash():
     assert sorted(line_dedup.probe_mph(keys, sizes, bits, np.cumsum(bits) - 1)) == list(range(5000))
 
 
+def test_lines_that_share_their_keys():
+    p = np.array([5, 6, 7], np.uint64)
+    h = np.array([1, 0, 3], np.uint64)
+    h[1] = h[0] ^ common.mix(p[:1])[0] ^ common.mix(p[1:2])[0]
+    rows = line_dedup.pd.DataFrame({"h": h.view(np.int64), "print": p.view(np.int64), "n": [5, 6, 7], "last": [1.0, 2.0, None], "shard": [0, 0, 0]})
+    shard = line_dedup.Shard(line_dedup.build_shard(rows).to_dict("records")[0])
+    assert shard.salt > 0 and shard.dropped(h, p, np.array([9, 2, 9]), 5).tolist() == [True, False, True]
+
+
 @pytest.mark.parametrize("name,blanks", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder(name, blanks):
     r = random.Random(1)
