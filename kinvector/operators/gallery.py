@@ -1,7 +1,8 @@
 """Online gallery: match each frame against a bounded set of entities, then update, insert and prune.
 
-One gallery is one sequential fold; galleries run in parallel. State is bounded
-by ``max_size`` entities of ``keep`` observations.
+One gallery is one sequential fold; galleries run in parallel. Rows are dealt by
+gallery, sorted within tasks and streamed: a task holds one gallery, of
+``max_size`` entities with ``keep`` observations each, and one frame.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinvector.operators.retrieval import matrix
+
 ASSIGNED = "gallery_id long, camera_id long, frame_id long, event_id long, track_id long, decision string, score double, admitted boolean"
 SNAPSHOT = "gallery_id long, entity_id long, ins_seq long, centroid array<double>, confidence double, first_seen double, last_seen double, last_frame_id long, frames_since_seen int, appearance_count int, avg_confidence double, max_confidence double, buffer_size int"
 
@@ -30,6 +32,9 @@ class Settings:
     alpha_unsure: float = 0.1
     tick_every: int = 10
     ticks: bool = True  # a gallery shared by several streams never ticks
+    smooth: bool = True  # else a centroid is recomputed from the buffered observations of ``quality``
+    quality: float = 0.7
+    force: bool = False  # admit without looking at confidence
 
 
 @dataclass
@@ -47,12 +52,25 @@ class Entity:
     buffer: list = field(default_factory=list)
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(v)
+    return v / n if n > 0 else v
+
+
 class Gallery:
     """Insertion-ordered entities and counters."""
 
     def __init__(self, settings: Settings):
-        self.s, self.entities, self.next_id, self.tick = settings, {}, 0, 0
-        self.ttl, self.pruned, self.sizes = settings.ttl_sparse, 0, []
+        self.s = settings
+        self.clear()
+
+    def clear(self):
+        self.entities, self.next_id, self.tick, self.sizes = {}, 0, 0, []
+        self.ttl, self.pruned, self.added = self.s.ttl_sparse, 0, 0
+        self.decisions = {"match": 0, "uncertain": 0, "new": 0}
+
+    def is_full(self) -> bool:
+        return len(self.entities) >= self.s.max_size
 
     def match(self, vectors: np.ndarray) -> list[tuple[int, str, float]]:
         """Nearest entity, decision and score of each vector; ties go to the entity inserted first."""
@@ -73,22 +91,30 @@ class Gallery:
         if e is None:
             return False
         e.buffer = [*e.buffer, (vector, conf)][-self.s.keep :]
-        alpha = self.s.alpha_sure if conf > 0.7 else self.s.alpha_unsure
-        c = alpha * vector + (1 - alpha) * e.centroid
-        n = np.linalg.norm(c)
-        e.centroid = c / n if n > 0 else c
+        if self.s.smooth:
+            alpha = self.s.alpha_sure if conf > 0.7 else self.s.alpha_unsure
+            e.centroid = unit(alpha * vector + (1 - alpha) * e.centroid)
+        elif good := [(v, w) for v, w in e.buffer if w >= self.s.quality]:
+            confs = [w for _, w in e.buffer]
+            e.centroid = unit(np.average([v for v, _ in good], axis=0, weights=[w for _, w in good]))
+            e.average, e.most = float(np.mean(confs)), max(confs)
         e.seen, e.frame, e.absent, e.count, e.confidence = t, frame, 0, e.count + 1, max(e.confidence, conf)
         return True
 
     def insert(self, entity_id: int, vector: np.ndarray, conf: float, t: float, frame: int) -> bool:
-        if conf < self.s.admit:
+        if conf < self.s.admit and not self.s.force:
             return False
-        if len(self.entities) >= self.s.max_size:
+        if self.is_full():
             self.prune(1)
         self.entities[entity_id] = Entity(vector, conf, t, frame, entity_id, t, average=conf, most=conf, buffer=[(vector, conf)])
-        self.next_id = entity_id + 1
+        self.next_id, self.added = max(self.next_id, entity_id + 1), self.added + 1
         return True
 
+    def load(self, entity_id: int, centroid: np.ndarray, conf: float, first_seen: float, seen: float, count: int):
+        """Takes over a saved entity: its centroid is the one buffered observation; one that is there is replaced in its place."""
+        self.entities[entity_id] = Entity(centroid, conf, seen, -1, entity_id, first_seen, count=count, buffer=[(centroid, conf)])
+        self.next_id = max(self.next_id, entity_id + 1)
+
     def prune(self, force: int = 0):
         """Ages all entities; drops those unseen for too many prunes and the ``force`` longest unseen."""
         if not self.entities:
@@ -115,6 +141,7 @@ class Gallery:
         """(track_id, decision, score, admitted) of a frame's rows (vector, conf, t, frame_id)."""
         out = []
         for (vector, conf, t, frame), (entity, what, score) in zip(rows, self.match(np.stack([r[0] for r in rows]))):
+            self.decisions[what] += 1
             if what == "new":
                 label = self.next_id
                 admitted = self.insert(label, vector, conf, t, frame)
@@ -126,41 +153,119 @@ class Gallery:
         return out
 
 
-def fold(gallery: Gallery, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Feeds the rows of one gallery frame by frame; frames of one number are told apart by camera."""
-    pdf = pdf.sort_values(["frame_id", "camera_id", "event_id"], kind="stable").reset_index(drop=True)
-    out = []
-    for _, part in pdf.groupby(["frame_id", "camera_id"], sort=False):
-        out += gallery.frame([(np.asarray(v, float), c, t, f) for v, c, t, f in zip(part["embedding"], part["conf"], part["t"], part["frame_id"])])
-    result = pdf[["gallery_id", "camera_id", "frame_id", "event_id"]].copy()
-    result[["track_id", "decision", "score", "admitted"]] = pd.DataFrame(out, index=result.index)
-    return result
+NEEDED = ("gallery_id", "camera_id", "frame_id", "event_id", "embedding", "conf", "t")
+ORDER = ("gallery_id", "saved", "frame_id", "camera_id", "event_id")
+
+
+def ordered(found: DataFrame, start: DataFrame | None = None) -> DataFrame:
+    """Rows by gallery, frame and camera; entities of ``start`` (a snapshot) come before a gallery's first frame."""
+    rows = found.select(*NEEDED, F.lit(1).alias("saved"), F.lit(0.0).alias("first_seen"), F.lit(0).alias("count"))
+    if start is not None:
+        rows = rows.unionByName(start.select("gallery_id", F.lit(0).cast("long").alias("camera_id"), F.col("ins_seq").alias("frame_id"), F.col("entity_id").alias("event_id"), F.col("centroid").alias("embedding"), F.col("confidence").alias("conf"), F.col("last_seen").alias("t"), F.lit(0).alias("saved"), "first_seen", F.col("appearance_count").alias("count")))
+    return rows.repartition("gallery_id").sortWithinPartitions(*ORDER)
+
+
+def frames(batches):
+    """(gallery_id, rows of one frame or saved entity) of ordered Arrow batches; a row is (saved, camera, frame, event, vector, conf, t, first_seen, count)."""
+    now, held = None, []
+    names = ("gallery_id", "saved", "camera_id", "frame_id", "event_id", "conf", "t", "first_seen", "count")
+    for batch in batches:
+        for (who, saved, camera, frame, event, *more), v in zip(zip(*(batch.column(c).to_pylist() for c in names)), matrix(batch.column("embedding"))):
+            key = (who, saved, frame, camera)
+            if key != now and held:
+                yield now[0], held
+                held = []
+            now = key
+            held.append((saved, camera, frame, event, v, *more))
+    if held:
+        yield now[0], held
+
+
+def walked(batches, settings: Settings):
+    """(gallery_id, gallery, rows, results) after every frame; at a gallery's end rows is None."""
+    now, gallery = None, None
+    for who, rows in frames(batches):
+        if gallery is None or who != now:
+            if gallery is not None:
+                yield now, gallery, None, None
+            now, gallery = who, Gallery(settings)
+        if rows[0][0] == 0:
+            for _, _, _, entity, v, conf, t, first, count in rows:
+                gallery.load(entity, v, conf, first, t, count)
+        else:
+            yield who, gallery, rows, gallery.frame([(v, conf, t, frame) for _, _, frame, _, v, conf, t, *_ in rows])
+    if gallery is not None:
+        yield now, gallery, None, None
+
+
+def arrow(rows: list, schema: str):
+    """Record batches of tuples; none without rows."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    fields = [c.split() for c in schema.split(", ")]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+
+def assigned_rows(who, rows: list, results: list) -> list[tuple]:
+    return [(who, camera, frame, event, *result) for (_, camera, frame, event, *_), result in zip(rows, results)]
+
+
+def assign(found: DataFrame, settings: Settings = Settings(), start: DataFrame | None = None) -> DataFrame:
+    """Track, decision, score and admission of every detection; galleries begin with the entities of ``start`` where it is given."""
+
+    def run(batches):
+        out = []
+        for who, _, rows, results in walked(batches, settings):
+            if rows is not None:
+                out += assigned_rows(who, rows, results)
+            if len(out) >= 5000:
+                yield from arrow(out, ASSIGNED)
+                out = []
+        yield from arrow(out, ASSIGNED)
+
+    return ordered(found, start).mapInArrow(run, ASSIGNED)
 
 
-NEEDED = ("gallery_id", "camera_id", "frame_id", "event_id", "embedding", "conf", "t")
+def final_galleries(found: DataFrame, settings: Settings = Settings(), start: DataFrame | None = None) -> DataFrame:
+    """The entities left in each gallery after the last frame."""
 
+    def run(batches):
+        for who, g, rows, _ in walked(batches, settings):
+            if rows is None:
+                yield from arrow([(who, i, e.sequence, e.centroid.tolist(), e.confidence, e.first_seen, e.seen, e.frame, e.absent, e.count, e.average, e.most, len(e.buffer)) for i, e in g.entities.items()], SNAPSHOT)
 
-def assign(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Track, decision, score and admission of every detection, one task per gallery_id."""
-    return found.select(*NEEDED).groupBy("gallery_id").applyInPandas(lambda pdf: fold(Gallery(settings), pdf), ASSIGNED)
+    return ordered(found, start).mapInArrow(run, SNAPSHOT)
 
 
-def snapshot_rows(gallery_id: int, g: Gallery) -> pd.DataFrame:
-    rows = [(gallery_id, i, e.sequence, e.centroid.tolist(), e.confidence, e.first_seen, e.seen, e.frame, e.absent, e.count, e.average, e.most, len(e.buffer)) for i, e in g.entities.items()]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in SNAPSHOT.split(", ")])
+STATISTICS = "gallery_id long, gallery_size int, max_size int, utilization double, total_added int, total_pruned int, match_decisions int, uncertain_decisions int, new_decisions int, current_ttl int, avg_confidence double, max_confidence double, min_confidence double, avg_appearances double, max_appearances int"
 
 
-def final_galleries(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The entities left in each gallery after the last frame."""
+def statistics(found: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Counters and entity statistics of each gallery after the last frame; an empty gallery has no extremes."""
 
-    def run(pdf):
-        g = Gallery(settings)
-        fold(g, pdf)
-        return snapshot_rows(int(pdf["gallery_id"].iloc[0]), g)
+    def run(batches):
+        for who, g, rows, _ in walked(batches, settings):
+            if rows is None:
+                conf, seen = [e.average for e in g.entities.values()], [e.count for e in g.entities.values()]
+                own = (float(np.mean(conf)), max(conf), min(conf), float(np.mean(seen)), max(seen)) if conf else (0.0, None, None, 0.0, None)
+                yield from arrow([(who, len(conf), settings.max_size, len(conf) / settings.max_size, g.added, g.pruned, *g.decisions.values(), g.ttl, *own)], STATISTICS)
 
-    return found.select(*NEEDED).groupBy("gallery_id").applyInPandas(run, SNAPSHOT)
+    return ordered(found).mapInArrow(run, STATISTICS)
 
 
 def restored(snapshot: DataFrame) -> DataFrame:
     """A saved gallery as it is loaded: one buffered observation, and counters of absence and averages at their defaults."""
     return snapshot.select("gallery_id", "entity_id", "ins_seq", "centroid", "confidence", "first_seen", "last_seen", F.lit(0).cast("long").alias("last_frame_id"), F.lit(0).alias("frames_since_seen"), "appearance_count", F.lit(0.0).alias("avg_confidence"), F.lit(0.0).alias("max_confidence"), F.lit(1).alias("buffer_size"))
+
+
+def merged(current: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """``current`` galleries after loading a snapshot: saved entities replace those of their ids in place, others are added after all."""
+    new = restored(snapshot)
+    last = current.groupBy("gallery_id").agg(F.max("ins_seq").alias("_last"))
+    place = F.row_number().over(Window.partitionBy("gallery_id").orderBy("ins_seq"))  # a row per saved entity of one gallery
+    known = current.select("gallery_id", "entity_id", F.col("ins_seq").alias("_at"))
+    new = new.withColumn("_place", place).join(known, ["gallery_id", "entity_id"], "left").join(last, "gallery_id", "left")
+    new = new.withColumn("ins_seq", F.coalesce("_at", F.coalesce("_last", F.lit(-1)) + F.col("_place"))).select(*current.columns)
+    return current.join(new.select("gallery_id", "entity_id"), ["gallery_id", "entity_id"], "left_anti").select(*current.columns).unionByName(new)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SENT_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
+TILE_ROWS = 4000
 
 
 def scores(q: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
@@ -46,6 +47,14 @@ def matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=float).reshape(n, -1) if n else np.zeros((0, 1))
 
 
+def gathered(gallery: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(g_id, seq, vectors as one array) of a gallery whose size was checked, by seq."""
+    rows = gallery.select("g_id", "seq", "g").toArrow().combine_chunks()
+    seq = np.asarray(rows.column("seq"))
+    order = np.argsort(seq, kind="stable")
+    return np.asarray(rows.column("g_id"))[order], seq[order], matrix(rows.column("g").combine_chunks())[order]
+
+
 def top_k(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """(q_id, g_id, rank, score): the k best of ``gallery`` (g_id, g, seq) for each of ``queries`` (q_id, q).
 
@@ -65,14 +74,13 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine"
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["q_id", "g_id", "seq", "score"])
 
     if size[0] * size[1] * 8 <= SENT_BYTES:
-        sent = spark.sparkContext.broadcast([(r.g_id, r.seq, r.g) for r in gallery.select("g_id", "seq", "g").collect()])
+        g_ids, seq, g = gathered(gallery)
+        sent = spark.sparkContext.broadcast((g_ids, seq, g))
 
         def run(batches):
-            rows = sorted(sent.value, key=lambda r: r[1])
-            g_ids, seq, g = np.array([r[0] for r in rows], int), np.array([r[1] for r in rows], int), np.array([r[2] for r in rows], float)
             for batch in batches:
-                if batch.num_rows and len(rows):
-                    yield from emit(np.asarray(batch.column("q_id")), matrix(batch.column("q")), g_ids, seq, g)
+                if batch.num_rows and len(sent.value[0]):
+                    yield from emit(np.asarray(batch.column("q_id")), matrix(batch.column("q")), *sent.value)
 
         found = queries.select("q_id", "q").mapInArrow(run, out)
     else:
@@ -94,6 +102,48 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine"
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "g_id", "rank", "score")
 
 
+def dense(queries: DataFrame, gallery: DataFrame, fold, schema: str, metric: str = "cosine") -> DataFrame:
+    """What ``fold(q_ids, g_ids, scores, q_tags, g_tags)`` makes of every block of the dense score matrix; it yields record batches.
+
+    Scores stay in the tasks. Queries (q_id, q) meet the gallery (g_id, g) block
+    by block: pairs of blocks are dealt to tasks, with ``TILE_ROWS`` vectors a side.
+    Tags are the values of a long column ``tag``, or 0.
+    """
+    sides = []
+    for df, i, v in ((queries, "q_id", "q"), (gallery, "g_id", "g")):
+        n = max(1, -(-df.count() // TILE_ROWS))
+        tag = F.col("tag") if "tag" in df.columns else F.lit(0)
+        sides.append((df.select(F.col(i).alias("id"), F.col(v).alias("v"), tag.cast("long").alias("tag"), F.pmod(F.xxhash64(i), F.lit(n)).cast("int").alias("home")), n))
+    (left, nl), (right, nr) = sides
+    tiles = left.select("id", "v", "tag", F.lit(0).alias("side"), F.col("home").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("b"))
+    tiles = tiles.unionByName(right.select("id", "v", "tag", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("a"), F.col("home").alias("b")))
+    tiles = tiles.repartition("a", "b").sortWithinPartitions("a", "b", "side", "id").select("a", "b", "side", "id", "tag", "v")
+
+    def run(batches):
+        now, parts = None, ([], [])
+
+        def met():
+            if parts[0] and parts[1]:
+                (qi, qt, q), (gi, gt, g) = ([np.concatenate(x) for x in zip(*p)] for p in parts)
+                for at in range(0, len(qi), 512):
+                    yield from fold(qi[at : at + 512], gi, scores(q[at : at + 512], g, metric), qt[at : at + 512], gt)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, side, ids, tags = (np.asarray(batch.column(c)) for c in ("a", "b", "side", "id", "tag"))
+            v = matrix(batch.column("v"))
+            change = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (side[1:] != side[:-1])) + 1
+            for x, y in zip([0, *change.tolist()], [*change.tolist(), len(a)]):
+                if (a[x], b[x]) != now:
+                    yield from met()
+                    now, parts = (a[x], b[x]), ([], [])
+                parts[side[x]].append((ids[x:y], tags[x:y], v[x:y]))
+        yield from met()
+
+    return tiles.mapInArrow(run, schema)
+
+
 def across_cameras(found: DataFrame) -> DataFrame:
     """(event_id_a, event_id_b, gap, cosine) of all pairs of a frame from different cameras, the smaller id first.
 

@@ -8,7 +8,7 @@ MODULES = (retrieval, detections, service)
 NAMES = """
 cosine_topk euclidean_topk nearest_entity_three_tier three_tier_inverted_thresholds decision_counts similarity_stats
 k_reciprocal_rerank k_reciprocal_topk spatiotemporal_rerank embedding_quality_check weighted_centroid unweighted_centroid
-ema_centroid online_gallery_assign online_gallery_shared gallery_snapshot_roundtrip stream_gallery_assign stream_detection_counts
+ema_centroid online_gallery_assign online_gallery_shared online_gallery_stats gallery_snapshot_roundtrip gallery_load_merge stream_gallery_assign stream_detection_counts
 confidence_strata detector_stats overlapping_detections non_overlapping_detections valid_crops ring_buffer_latest buffer_stats
 admission_candidates lru_evict ttl_expired prune_union gallery_stats camera_locf_grid throughput_windows labels_palette
 jobs_page jobs_count dashboard_counts recent_jobs job_overlay job_status_fold bulk_delete config_upsert job_metrics

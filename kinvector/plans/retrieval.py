@@ -84,15 +84,35 @@ DECISION_COUNTS = f"select decision, count(*) as n from ({NEAREST_ENTITY_THREE_T
 
 
 def pair_scores(spark, sf_dir, metric):
-    """Every pair of vectors with its score: the dense join, as matrix products by task."""
+    """(q_id, g_id, score) of every pair of vectors: where all pairs are the result, as matrix products by task, without a ranking."""
+
+    def rows(q_ids, g_ids, s, *_):
+        import numpy as np
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, len(g_ids))), pa.array(np.tile(g_ids, len(q_ids))), pa.array(s.ravel())], names=["q_id", "g_id", "score"])
+
     v = vectors(spark, sf_dir)
-    n = v.count()
-    return self_top(spark, sf_dir, metric, n)
+    return retrieval.dense(v.select(F.col("id").alias("q_id"), F.col("v").alias("q")), v.select(F.col("id").alias("g_id"), F.col("v").alias("g")), rows, "q_id long, g_id long, score double", metric)
+
+
+def score_histogram(spark, sf_dir):
+    """(s, n): how often each score to six places occurs over all pairs, counted inside the tasks."""
+
+    def count(q_ids, g_ids, s, *_):
+        import numpy as np
+        import pyarrow as pa
+
+        at, n = np.unique(np.rint(s * 1e6).astype(np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.astype(np.int64))], names=["at", "n"])
+
+    v = vectors(spark, sf_dir)
+    found = retrieval.dense(v.select(F.col("id").alias("q_id"), F.col("v").alias("q")), v.select(F.col("id").alias("g_id"), F.col("v").alias("g")), count, "at long, n long")
+    return found.groupBy("at").agg(F.sum("n").alias("n")).select((F.col("at") / 1e6).alias("s"), "n")
 
 
 def similarity_stats(spark, sf_dir):
-    s = pair_scores(spark, sf_dir, "cosine").select(F.round("score", 6).alias("s"))
-    s = s.groupBy("s").agg(F.count("*").alias("n"))
+    s = score_histogram(spark, sf_dir)
     mean = F.sum(F.col("s") * F.col("n")) / F.sum("n")
     var = F.sum(F.col("s") * F.col("s") * F.col("n")) / F.sum("n") - mean * mean
     return s.agg(F.round(mean, 6).alias("mean"), F.max("s").alias("max"), F.min("s").alias("min"), F.round(F.sqrt(var), 5).alias("std"), F.round(F.percentile("s", F.lit(0.5), F.col("n")), 6).alias("median"))
@@ -144,10 +164,21 @@ select event_id_a, event_id_b, round(look, 6) as appearance, round(time, 6) as c
 
 
 def embedding_quality_check(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", "label")
-    s = pair_scores(spark, sf_dir, "cosine")
-    s = s.join(v.select(F.col("id").alias("q_id"), F.col("label").alias("lq")), "q_id").join(v.select(F.col("id").alias("g_id"), F.col("label").alias("lg")), "g_id").where("q_id < g_id")
-    s = s.groupBy((F.col("lq") == F.col("lg")).alias("same_label")).agg(F.count("*").alias("pairs"), F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.min("score"), 6).alias("min_score"), F.round(F.max("score"), 6).alias("max_score"))
+    """Scores of pairs of equal and of different labels, summed inside the tasks."""
+
+    def sums(q_ids, g_ids, s, q_tags, g_tags):
+        import numpy as np
+        import pyarrow as pa
+
+        later = q_ids[:, None] < g_ids[None, :]
+        for same in (True, False):
+            x = s[later & ((q_tags[:, None] == g_tags[None, :]) == same)]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array([c]) for c in (same, len(x), float(x.sum()), float(x.min()), float(x.max()))], names=["same_label", "n", "s", "low", "high"])
+
+    v = vectors(spark, sf_dir).where("label is not null").withColumn("tag", F.xxhash64("label"))
+    found = retrieval.dense(v.select(F.col("id").alias("q_id"), F.col("v").alias("q"), "tag"), v.select(F.col("id").alias("g_id"), F.col("v").alias("g"), "tag"), sums, "same_label boolean, n long, s double, low double, high double")
+    s = found.groupBy("same_label").agg(F.sum("n").alias("pairs"), F.round(F.sum("s") / F.sum("n"), 6).alias("mean_score"), F.round(F.min("low"), 6).alias("min_score"), F.round(F.max("high"), 6).alias("max_score"))
     return s.withColumn("passes", F.when(F.col("same_label"), F.col("mean_score") >= 0.95).otherwise(F.col("mean_score") <= 0.7))
 
 
@@ -212,14 +243,45 @@ def online_gallery_shared(spark, sf_dir):
 
 
 def gallery_snapshot_roundtrip(spark, sf_dir):
-    path = streaming.folder(spark)
-    gallery.final_galleries(galleried(spark, sf_dir)).write.parquet(path)
-    return gallery.restored(spark.read.schema(gallery.SNAPSHOT).parquet(path)).drop("centroid")
+    """The first half of the frames is folded and saved; galleries loaded from the snapshot go on with the second half."""
+    found, path = galleried(spark, sf_dir), streaming.folder(spark)
+    half = found.approxQuantile("frame_id", [0.5], 0.001)[0]
+    gallery.final_galleries(found.where(F.col("frame_id") <= half)).write.parquet(path)
+    saved = gallery.restored(spark.read.schema(gallery.SNAPSHOT).parquet(path))
+    return gallery.final_galleries(found.where(F.col("frame_id") > half), start=saved).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+
+
+def online_gallery_stats(spark, sf_dir):
+    """Counters of each camera's gallery, centroids recomputed from the buffers."""
+    return gallery.statistics(galleried(spark, sf_dir), gallery.Settings(smooth=False))
+
+
+def saved_entities(spark, sf_dir, low, high, conf):
+    v = vectors(spark, sf_dir).where(F.col("id").between(low, high)).withColumn("gallery_id", F.col("id") % 2)
+    n = F.lit(0)
+    return v.select("gallery_id", F.col("id").alias("entity_id"), F.col("id").alias("ins_seq"), F.col("v").alias("centroid"), F.lit(conf).alias("confidence"), F.lit(1.0).alias("first_seen"), F.lit(2.0).alias("last_seen"), F.col("id").alias("last_frame_id"), F.lit(3).alias("frames_since_seen"), (F.col("id") % 7).cast("int").alias("appearance_count"), F.lit(conf).alias("avg_confidence"), F.lit(conf).alias("max_confidence"), (n + 5).alias("buffer_size"))
+
+
+def gallery_load_merge(spark, sf_dir):
+    """Two running galleries after loading snapshots: known entities are replaced in place, others come after all."""
+    rows = gallery.merged(saved_entities(spark, sf_dir, 0, 150, 0.92), saved_entities(spark, sf_dir, 100, 250, 0.95))
+    return rows.withColumn("first", F.round(F.col("centroid")[0], 6)).drop("centroid")
+
+
+GALLERY_LOAD_MERGE = f"""with {VECTORS}, r as (select vec_id % 2 as gallery_id, vec_id as entity_id, vec_id <= 150 as old, vec_id >= 100 as loaded, round(v[1], 6) as first from v where vec_id <= 250)
+select gallery_id, entity_id, case when old then entity_id else (case gallery_id when 0 then 150 else 149 end) + row_number() over (partition by gallery_id, loaded order by entity_id) end as ins_seq,
+       cast(case when loaded then 0.95 else 0.92 end as double) as confidence, cast(1 as double) as first_seen, cast(2 as double) as last_seen, case when loaded then 0 else entity_id end as last_frame_id, case when loaded then 0 else 3 end as frames_since_seen,
+       cast(entity_id % 7 as int) as appearance_count, cast(case when loaded then 0 else 0.92 end as double) as avg_confidence, cast(case when loaded then 0 else 0.92 end as double) as max_confidence, case when loaded then 1 else 5 end as buffer_size, first from r"""
 
 
 def stream_gallery_assign(spark, sf_dir):
-    return streaming.drained(streaming.assign_stream(streaming.stream_of(galleried(spark, sf_dir).select(*gallery.NEEDED)))).withColumn("score", F.round("score", 6))
+    stream = streaming.stream_of(galleried(spark, sf_dir).select(*gallery.NEEDED), "frame_id")
+    return streaming.drained(streaming.assign_stream(stream)).withColumn("score", F.round("score", 6))
 
 
 def stream_detection_counts(spark, sf_dir):
-    return streaming.drained(streaming.hourly_counts(streaming.stream_of(tables.boxes(tables.table(spark, sf_dir, "events")))))
+    stream = streaming.stream_of(tables.boxes(tables.table(spark, sf_dir, "events")), "frame_id")
+    return streaming.drained_updates(streaming.hourly_counts(stream), ["hour_start", "camera_id"])
+
+
+STREAM_DETECTION_COUNTS = "select cast(floor(epoch(ts) / 3600) as bigint) * 3600 as hour_start, user_id % 4 as camera_id, count(*) as detections from events group by all"

@@ -6,6 +6,7 @@ import pickle
 import tempfile
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,16 +14,34 @@ from pyspark.sql import functions as F
 from kinvector.operators import gallery as online
 
 
+LANDING_ROWS = 50_000
+
+
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinvector-")
-    return f"{base.rstrip('/')}/kinvector/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='kinvector-')).rstrip('/')}/kinvector/{uuid.uuid4().hex}"
+
 
+def stream_of(df: DataFrame, by: str | None = None, rows: int = LANDING_ROWS) -> DataFrame:
+    """Rows written to a landing folder and read as a file stream.
 
-def stream_of(df: DataFrame) -> DataFrame:
-    """Rows written to a landing folder and read as a file stream."""
+    With ``by`` they arrive in its order: ranges of about ``rows`` rows are
+    written one after the other, a file each, and a micro-batch reads one file.
+    """
     spark, path = df.sparkSession, folder(df.sparkSession)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        return spark.readStream.schema(df.schema).parquet(path)
+    parts = max(1, -(-df.count() // rows))
+    edges = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    df.limit(0).write.parquet(path)
+    for low, high in zip([None, *edges], [*edges, None]):
+        some = df if low is None else df.where(F.col(by) > low)
+        (some if high is None else some.where(F.col(by) <= high)).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -33,22 +52,39 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def drained_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs the stream in update mode and returns each key's last row: windows that are still open count too."""
+    spark, out = stream.sparkSession, folder(stream.sparkSession)
+
+    def keep(batch: DataFrame, number: int):
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(out)
+
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    others = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in stream.dtypes)}, _batch long").parquet(out)
+    return rows.groupBy(*keys).agg(F.max(F.struct("_batch", *others)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in others])
+
+
 def assign_stream(found: DataFrame, settings: online.Settings = online.Settings()) -> DataFrame:
     """Streaming twin of ``gallery.assign``: the gallery is the state of its key.
 
-    Rows of a micro-batch are ordered by frame; batches must arrive in order.
+    Rows of a micro-batch are ordered by frame; micro-batches must arrive in
+    order, and their size (``stream_of``) bounds the rows held at a time.
     """
 
     def run(key, parts, state):
-        pdf = pd.concat(list(parts))
+        pdf = pd.concat(list(parts)).sort_values(["frame_id", "camera_id", "event_id"], kind="stable")
         g = online.Gallery(settings)
         if state.exists:
             entities, kept = pickle.loads(state.get[0])
             vars(g).update(kept, entities={i: online.Entity(**e) for i, e in entities})
-        out = online.fold(g, pdf)
+        out = []
+        for _, part in pdf.groupby(["frame_id", "camera_id"], sort=False):
+            rows = [(1, c, f, e, np.asarray(v, float), w, t) for c, f, e, v, w, t in zip(*(part[n] for n in ("camera_id", "frame_id", "event_id", "embedding", "conf", "t")))]
+            out += online.assigned_rows(key[0], rows, g.frame([(v, w, t, f) for _, _, f, _, v, w, t in rows]))
         kept = {k: v for k, v in vars(g).items() if k not in ("s", "entities")}
         state.update((pickle.dumps(([(i, vars(e)) for i, e in g.entities.items()], kept)),))
-        yield out
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in online.ASSIGNED.split(", ")])
 
     return found.select(*online.NEEDED).groupBy("gallery_id").applyInPandasWithState(run, online.ASSIGNED, "state binary", "append", "NoTimeout")
 
