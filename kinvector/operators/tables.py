@@ -45,9 +45,63 @@ def upserted(old: DataFrame, new: DataFrame) -> DataFrame:
     return rows.select("name", F.coalesce("_c", "config").alias("config"), F.coalesce("created_at", "_a").alias("created_at"), F.coalesce("_a", "updated_at").alias("updated_at"))
 
 
+def inserted(jobs: DataFrame, new: DataFrame) -> DataFrame:
+    """``jobs`` and the new ones (job_id, config, created): pending, without progress."""
+    rows = new.select("job_id", F.lit("pending").alias("status"), "config", "created", F.lit(0.0).alias("progress"))
+    return jobs.select("job_id", "status", "config", "created", "progress").unionByName(rows)
+
+
+def by_id(rows: DataFrame, key: str, value) -> DataFrame:
+    """Point look-up; the predicate reaches the scan. No row means that it was not found."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def changed(configs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(configurations after the requests, one answer for each request).
+
+    Requests are (config_id, action, name, config, at), one for each id: an
+    update sets name, config and updated_at, a delete takes the row. An unknown
+    id changes nothing and answers 404.
+    """
+    asked = requests.select("config_id", F.col("action").alias("_do"), F.col("name").alias("_n"), F.col("config").alias("_c"), F.col("at").alias("_a"))
+    after = configs.join(asked, "config_id", "left").where("_do is null or _do <> 'delete'")
+    after = after.select("config_id", F.coalesce("_n", "name").alias("name"), F.coalesce("_c", "config").alias("config"), "created_at", F.coalesce("_a", "updated_at").alias("updated_at"))
+    hit = requests.join(configs.select("config_id", F.lit(True).alias("_hit")), "config_id", "left")
+    return after, hit.select("config_id", "action", F.when(F.col("_hit"), 200).otherwise(404).alias("status"))
+
+
+def newest_first(configs: DataFrame) -> DataFrame:
+    """Configurations by updated_at, newest first; ties by id."""
+    return configs.orderBy(F.desc("updated_at"), "config_id")
+
+
+def live_writes(updates: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, field, value) of the live hash ``job:<id>``: lists, maps and structs as JSON, all else as text; nulls as 'None'."""
+    nested = ("array", "map", "struct")
+    text = {c: F.to_json(c) if t.startswith(nested) else F.col(c).cast("string") for c, t in updates.dtypes if c != key}
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), F.coalesce(v, F.lit("None")).alias("value")) for c, v in text.items()])
+    return updates.select(F.concat(F.lit("job:"), F.col(key)).alias("key"), F.explode(fields).alias("f")).select("key", "f.*")
+
+
+#: Media types of downloads by suffix.
+MEDIA = {"mp4": "video/mp4", "avi": "video/x-msvideo", "mkv": "video/x-matroska", "mov": "video/quicktime", "webm": "video/webm"}
+
+
+def downloads(jobs: DataFrame) -> DataFrame:
+    """(job_id, output_video, filename, media_type) of jobs with an output; unknown suffixes are mp4."""
+    suffix = F.lower(F.regexp_extract("output_video", r"\.(\w+)$", 1))
+    kinds = F.create_map(*[F.lit(x) for pair in MEDIA.items() for x in pair])
+    return jobs.where("output_video is not null").select("job_id", "output_video", F.regexp_extract("output_video", r"([^/]+)$", 1).alias("filename"), F.coalesce(F.element_at(kinds, suffix), F.lit(MEDIA["mp4"])).alias("media_type"))
+
+
 def models(files: DataFrame) -> DataFrame:
-    """Model files by name, once each: kind by name, type by suffix, path below the model folder."""
-    files = files.where(F.col("filename").endswith(".pth") | F.col("filename").endswith(".engine")).dropDuplicates(["filename"])
-    kind = F.when(F.lower("filename").contains("yolo"), "detector").otherwise("embedder")
-    mime = F.coalesce(F.element_at(F.create_map(F.lit("onnx"), F.lit("application/octet-stream")), F.regexp_extract("filename", r"\.(\w+)$", 1)), F.lit("application/x-model"))
-    return files.select("filename", kind.alias("kind"), mime.alias("mime"), F.when(F.col("filename").startswith("/"), F.col("filename")).otherwise(F.concat(F.lit("/models/"), "filename")).alias("path")).orderBy("filename")
+    """Model files by kind and name, once each: (kind, filename, type, path).
+
+    Detectors are named yolo or YOLO with .pt or .engine; embedders after one of
+    their families with .pth, .pt, .engine or .onnx, unless yolo is in the name.
+    """
+    detector = F.col("filename").rlike(r"(?:yolo|YOLO)[^/]*\.(?:pt|engine)$")
+    embedder = F.col("filename").rlike(r"(?:reid|ReID|resnet|lttc|LTTC)[^/]*\.(?:pth|pt|engine|onnx)$") & ~F.lower("filename").contains("yolo")
+    kind = F.when(detector, "detector").when(embedder, "embedder")
+    rows = files.select("filename", kind.alias("kind")).where("kind is not null").dropDuplicates(["filename"])
+    return rows.select("kind", "filename", F.regexp_extract("filename", r"\.(\w+)$", 1).alias("type"), F.concat(F.lit("/models/"), "filename").alias("path")).orderBy("kind", "filename")

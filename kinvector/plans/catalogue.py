@@ -13,6 +13,8 @@ confidence_strata detector_stats overlapping_detections non_overlapping_detectio
 admission_candidates lru_evict ttl_expired prune_union gallery_stats camera_locf_grid throughput_windows labels_palette
 jobs_page jobs_count dashboard_counts recent_jobs job_overlay job_status_fold bulk_delete config_upsert job_metrics
 config_json_fields model_catalog queue_messages stream_metadata_check selection_toggle config_clone detections_from_arrays sampled_history running_best
+job_insert job_by_id configs_changed_by_id config_answers configs_newest config_lookup jobs_with_news live_hash_writes video_downloads
+pipeline_counters streams_progress embedder_stats admission_with_force buffer_fill
 """.split()
 
 

@@ -111,14 +111,16 @@ CONFIG_JSON_FIELDS = "select c_custkey as config_id, c_name as name, c_mktsegmen
 
 def model_catalog(spark, sf_dir):
     p = tables.table(spark, sf_dir, "part")
-    suffix = F.element_at(F.array(F.lit(".pth"), F.lit(".engine"), F.lit(".onnx")), (F.col("p_size") % 3 + 1).cast("int"))
-    files = p.select(F.concat(F.regexp_replace("p_name", " ", "_"), F.when(F.col("p_type") == "ECONOMY", "_yolo").otherwise(""), suffix).alias("filename"))
+    pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int"))
+    name = pick(FAMILIES, F.col("p_partkey") % len(FAMILIES))
+    files = p.select(F.concat(name, F.lit("_"), F.col("p_size").cast("string"), pick(SUFFIXES, F.floor(F.col("p_partkey") / 7) % len(SUFFIXES))).alias("filename"))
     return ops.models(files)
 
 
-MODEL_CATALOG = """with f as (select distinct replace(p_name, ' ', '_') || case when p_type = 'ECONOMY' then '_yolo' else '' end || (['.pth', '.engine', '.onnx'])[p_size % 3 + 1] as filename from part)
-select filename, case when lower(filename) like '%yolo%' then 'detector' else 'embedder' end as kind, case when filename like '%.onnx' then 'application/octet-stream' else 'application/x-model' end as mime,
-       '/models/' || filename as path from f where filename like '%.pth' or filename like '%.engine'"""
+FAMILIES, SUFFIXES = ("yolo11n", "YOLOv8", "my_reid", "ReID_yolo", "resnet50", "LTTC", "notes"), (".pt", ".pth", ".engine", ".onnx", ".txt")
+MODEL_CATALOG = f"""with f as (select distinct (['{"', '".join(FAMILIES)}'])[p_partkey % 7 + 1] || '_' || p_size || (['{"', '".join(SUFFIXES)}'])[p_partkey // 7 % 5 + 1] as filename from part),
+k as (select filename, case when regexp_matches(filename, '(yolo|YOLO).*\\.(pt|engine)$') then 'detector' when regexp_matches(filename, '(reid|ReID|resnet|lttc|LTTC).*\\.(pth|pt|engine|onnx)$') and lower(filename) not like '%yolo%' then 'embedder' end as kind from f)
+select kind, filename, split_part(filename, '.', -1) as type, '/models/' || filename as path from k where kind is not null"""
 
 
 def queue_messages(spark, sf_dir):
@@ -164,3 +166,151 @@ def config_clone(spark, sf_dir):
 
 
 CONFIG_CLONE = r"select c_name || ' (Copy)' as name, c_mktsegment as config, regexp_replace(c_name, '\s+', '_', 'g') || '_(Copy).json' as file from customer"
+
+
+def job_insert(spark, sf_dir):
+    """The table of jobs after a job of every tenth customer was submitted."""
+    jobs = tables.jobs(spark, sf_dir).withColumn("config", F.lit("{}"))
+    c = tables.configs(spark, sf_dir).where("config_id % 10 = 0")
+    config = F.to_json(F.struct(F.col("segment").alias("segment"), F.col("config_id").alias("id")))
+    return ops.inserted(jobs, c.select(F.concat(F.lit("new-"), F.col("config_id").cast("string")).alias("job_id"), config.alias("config"), F.lit(10**9).cast("long").alias("created")))
+
+
+JOB_INSERT = f"""with {JOBS} select job_id, status, '{{}}' as config, created, progress from jobs
+union all select 'new-' || c_custkey, 'pending', '{{"segment":"' || c_mktsegment || '","id":' || c_custkey || '}}', 1000000000, cast(0 as double) from customer where c_custkey % 10 = 0"""
+
+
+def job_by_id(spark, sf_dir):
+    return ops.by_id(tables.jobs(spark, sf_dir), "job_id", "7").select(*SHOWN)
+
+
+JOB_BY_ID = f"with {JOBS} select job_id, status, created, progress from jobs where job_id = '7'"
+
+
+def config_requests(spark, sf_dir):
+    """(configurations, requests): every seventh is deleted, every fifth other one updated, and some ids are unknown."""
+    c = tables.configs(spark, sf_dir)
+    held = c.select("config_id", "name", F.col("segment").alias("config"), F.col("config_id").alias("created_at"), (F.col("config_id") * 37 % 1000).alias("updated_at"))
+    do = F.when(F.col("config_id") % 7 == 0, "delete").when(F.col("config_id") % 5 == 0, "update")
+    asked = c.select(F.when(F.col("config_id") % 3 == 0, -F.col("config_id")).otherwise(F.col("config_id")).alias("config_id"), do.alias("action")).where("action is not null")
+    update = F.col("action") == "update"
+    return held, asked.select("config_id", "action", F.when(update, F.concat(F.lit("Renamed "), F.col("config_id").cast("string"))).alias("name"), F.when(update, F.lit("changed")).alias("config"), F.when(update, F.lit(5000).cast("long")).alias("at"))
+
+
+REQUESTS = """h as (select c_custkey as config_id, c_name as name, c_mktsegment as config, c_custkey as created_at, c_custkey * 37 % 1000 as updated_at from customer),
+q as (select case when c_custkey % 3 = 0 then -c_custkey else c_custkey end as config_id, case when c_custkey % 7 = 0 then 'delete' else 'update' end as action from customer where c_custkey % 7 = 0 or c_custkey % 5 = 0)"""
+
+
+def configs_changed_by_id(spark, sf_dir):
+    return ops.newest_first(ops.changed(*config_requests(spark, sf_dir))[0])
+
+
+CONFIGS_CHANGED_BY_ID = f"""with {REQUESTS} select h.config_id, case when action = 'update' then 'Renamed ' || h.config_id else name end as name, case when action = 'update' then 'changed' else config end as config,
+created_at, case when action = 'update' then 5000 else updated_at end as updated_at from h left join q on h.config_id = q.config_id where action is null or action = 'update'"""
+
+
+def config_answers(spark, sf_dir):
+    return ops.changed(*config_requests(spark, sf_dir))[1]
+
+
+CONFIG_ANSWERS = f"with {REQUESTS} select q.config_id, action, case when h.config_id is null then 404 else 200 end as status from q left join h on q.config_id = h.config_id"
+
+
+def configs_newest(spark, sf_dir):
+    return ops.newest_first(config_requests(spark, sf_dir)[0]).limit(20)
+
+
+CONFIGS_NEWEST = f"with {REQUESTS} select * from h order by updated_at desc, config_id limit 20"
+
+
+def config_lookup(spark, sf_dir):
+    """The configuration that each job was started with."""
+    jobs = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("job_id"), F.col("o_custkey").alias("config_id"))
+    return jobs.join(tables.configs(spark, sf_dir).select("config_id", "name", F.col("segment").alias("config")), "config_id")
+
+
+CONFIG_LOOKUP = "select c_custkey as config_id, cast(o_orderkey as varchar) as job_id, c_name as name, c_mktsegment as config from orders join customer on o_custkey = c_custkey"
+
+
+def jobs_with_news(spark, sf_dir):
+    """Shown jobs for which an update came in."""
+    updates = tables.table(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_orderkey").cast("string").alias("job_id"))
+    return tables.jobs(spark, sf_dir).join(updates, "job_id", "left_semi").select(*SHOWN)
+
+
+JOBS_WITH_NEWS = f"with {JOBS} select job_id, status, created, progress from jobs where n in (select l_orderkey from lineitem where l_quantity > 49)"
+
+
+def live_hash_writes(spark, sf_dir):
+    """Fields of the live hash of running jobs, stats as JSON."""
+    j = tables.jobs(spark, sf_dir).where("status = 'running'")
+    stats = F.struct((F.col("n") % 900).alias("frames_captured"), F.array(F.col("n") % 4, F.col("n") % 7).alias("frames_processed"))
+    return ops.live_writes(j.select("job_id", "status", F.col("n").alias("progress"), stats.alias("stats"), F.lit(None).cast("string").alias("error")))
+
+
+LIVE_HASH_WRITES = f"""with {JOBS}, r as (select 'job:' || job_id as key, n, unnest(['status', 'progress', 'stats', 'error']) as field from jobs where status = 'running')
+select key, field, case field when 'status' then 'running' when 'progress' then cast(n as varchar) when 'error' then 'None' else '{{"frames_captured":' || n % 900 || ',"frames_processed":[' || n % 4 || ',' || n % 7 || ']}}' end as value from r"""
+
+
+def video_downloads(spark, sf_dir):
+    ends = F.element_at(F.array(*map(F.lit, (".mp4", ".AVI", ".mkv", ".xyz"))), (F.col("n") % 4 + 1).cast("int"))
+    j = tables.jobs(spark, sf_dir).withColumn("output_video", F.regexp_replace("output_video", r"\.mp4$", "")).withColumn("output_video", F.concat("output_video", ends))
+    return ops.downloads(j)
+
+
+VIDEO_DOWNLOADS = f"""with {JOBS}, v as (select job_id, n, 'out/' || job_id || (['.mp4', '.AVI', '.mkv', '.xyz'])[n % 4 + 1] as output_video from jobs where output_video is not null)
+select job_id, output_video, substr(output_video, 5) as filename, (['video/mp4', 'video/x-msvideo', 'video/x-matroska', 'video/mp4'])[n % 4 + 1] as media_type from v"""
+
+
+def pipeline_counters(spark, sf_dir):
+    """Per camera: frames captured, processed and displayed, detections and entities tracked; an event that failed is captured only."""
+    e = tables.boxes(tables.table(spark, sf_dir, "events"))
+    ok = F.col("event_type") != "error"
+    frames = lambda c: F.countDistinct(F.when(c, F.col("frame_id")))
+    rows = e.groupBy("camera_id").agg(frames(F.lit(True)).alias("frames_captured"), frames(ok).alias("frames_processed"), frames(ok & (F.col("conf") >= 0.5)).alias("frames_displayed"), F.count_if(ok).alias("total_detections"), F.countDistinct(F.when(ok & (F.col("conf") >= 0.91), F.col("user_id"))).alias("total_persons_tracked"))
+    return rows
+
+
+PIPELINE_COUNTERS = """with d as (select user_id, event_type <> 'error' as ok, user_id % 4 as camera_id, cast(floor(epoch(ts) / 3600) as bigint) as frame_id, cast(0.25 as double) + cast(0.75 as double) * ((event_id * 7919) % 1000) / cast(1000 as double) as conf from events)
+select camera_id, count(distinct frame_id) as frames_captured, count(distinct frame_id) filter (where ok) as frames_processed, count(distinct frame_id) filter (where ok and conf >= 0.5) as frames_displayed,
+count(*) filter (where ok) as total_detections, count(distinct user_id) filter (where ok and conf >= cast(0.91 as double)) as total_persons_tracked from d group by camera_id"""
+
+
+def streams_progress(spark, sf_dir):
+    """Of all cameras: frames processed, the rough progress of a multi-camera job, and whether every camera is done."""
+    c = pipeline_counters(spark, sf_dir)
+    return c.agg(F.sum("frames_processed").alias("frames_processed"), F.round(F.least(F.lit(100.0), F.sum("frames_processed") / 4 / 10), 6).alias("progress"), F.count_if(F.col("frames_processed") >= F.col("frames_captured")).alias("cameras_done"), (F.count_if(F.col("frames_processed") >= F.col("frames_captured")) == 4).alias("finished"))
+
+
+STREAMS_PROGRESS = f"select cast(sum(frames_processed) as bigint) as frames_processed, round(least(cast(100 as double), sum(frames_processed) / 4 / 10), 6) as progress, count(*) filter (where frames_processed >= frames_captured) as cameras_done, count(*) filter (where frames_processed >= frames_captured) = 4 as finished from ({PIPELINE_COUNTERS})"
+
+
+def embedder_stats(spark, sf_dir):
+    """Calls of the embedder (one a frame), its sub-batches of 4 crops, crops and mean batch size, per camera."""
+    e = tables.boxes(tables.table(spark, sf_dir, "events"))
+    calls = e.groupBy("camera_id", "frame_id").agg(F.count("*").alias("crops"))
+    return calls.groupBy("camera_id").agg(F.count("*").alias("total_inferences"), F.sum(F.ceil(F.col("crops") / 4)).alias("sub_batches"), F.sum("crops").alias("total_crops_processed"), F.round(F.coalesce(F.avg("crops"), F.lit(0.0)), 6).alias("avg_batch_size"))
+
+
+EMBEDDER_STATS = """with c as (select user_id % 4 as camera_id, floor(epoch(ts) / 3600) as frame_id, count(*) as crops from events group by all)
+select camera_id, count(*) as total_inferences, cast(sum(ceil(crops / 4)) as bigint) as sub_batches, cast(sum(crops) as bigint) as total_crops_processed, round(avg(crops), 6) as avg_batch_size from c group by camera_id"""
+
+
+def admission_with_force(spark, sf_dir):
+    """Detections that may enter a gallery: sure ones, and those whose quality check is skipped."""
+    e = tables.boxes(tables.table(spark, sf_dir, "events"))
+    force = F.col("event_id") % 50 == 0
+    return e.where(force | (F.col("conf") >= 0.91)).select("event_id", "camera_id", force.alias("forced"))
+
+
+ADMISSION_WITH_FORCE = """select event_id, user_id % 4 as camera_id, event_id % 50 = 0 as forced from events
+where event_id % 50 = 0 or cast(0.25 as double) + cast(0.75 as double) * ((event_id * 7919) % 1000) / cast(1000 as double) >= cast(0.91 as double)"""
+
+
+def buffer_fill(spark, sf_dir):
+    """Ring buffer of 10 of each entity: its size, and whether it is full."""
+    n = F.least(F.count("*"), F.lit(10)).cast("int")
+    return tables.table(spark, sf_dir, "events").groupBy("user_id").agg(n.alias("size"), (F.count("*") >= 10).alias("is_full"), (n / 10.0).alias("utilization"))
+
+
+BUFFER_FILL = "select user_id, cast(least(count(*), 10) as int) as size, count(*) >= 10 as is_full, least(count(*), 10) / cast(10 as double) as utilization from events group by user_id"

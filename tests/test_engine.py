@@ -116,6 +116,32 @@ def test_stream_equals_batch(spark):
     df = spark.createDataFrame(rows, "gallery_id long, camera_id long, frame_id long, event_id long, embedding array<double>, conf double, t double")
     key = lambda d: sorted(map(tuple, d.collect()))
     assert key(streaming.drained(streaming.assign_stream(streaming.stream_of(df)))) == key(gallery.assign(df))
+    assert key(streaming.drained(streaming.assign_stream(streaming.stream_of(df, "frame_id", rows=40)))) == key(gallery.assign(df))
+    half = df.where("frame_id < 10")
+    saved = gallery.restored(gallery.final_galleries(half))
+    later = gallery.final_galleries(df.where("frame_id >= 10"), start=saved)
+    assert {(x.gallery_id, x.entity_id) for x in saved.collect()} <= {(x.gallery_id, x.entity_id) for x in later.collect()}
+    stats = {x.gallery_id: x for x in gallery.statistics(df).collect()}
+    sizes = {i: len([x for x in gallery.final_galleries(df).collect() if x.gallery_id == i]) for i in (0, 1)}
+    assert all(stats[i].gallery_size == sizes[i] == stats[i].total_added - stats[i].total_pruned for i in (0, 1))
+    assert sum(stats[i].match_decisions + stats[i].uncertain_decisions + stats[i].new_decisions for i in (0, 1)) == 120
+
+
+def test_gallery_recomputes_forces_loads_and_clears():
+    g = gallery.Gallery(gallery.Settings(smooth=False, keep=3, max_size=2))
+    feed(g, ((1, 0), 0.95, 0))
+    g.update(0, np.array([0.0, 1.0]), 0.3, 1.0, 1)  # below the quality of the buffer's centroid
+    assert np.allclose(g.entities[0].centroid, (1, 0)) and round(g.entities[0].average, 6) == 0.625
+    g.update(0, np.array([0.0, 1.0]), 0.95, 2.0, 2)
+    assert np.allclose(g.entities[0].centroid, (0.5**0.5, 0.5**0.5))
+    assert not g.insert(5, np.array([0.0, 1.0]), 0.5, 3.0, 3) and not g.is_full()
+    forced = gallery.Gallery(gallery.Settings(force=True))
+    assert forced.insert(5, np.array([0.0, 1.0]), 0.5, 3.0, 3) and forced.next_id == 6 and forced.added == 1
+    forced.load(2, np.array([1.0, 0.0]), 0.9, 0.0, 1.0, 4)
+    forced.load(5, np.array([1.0, 0.0]), 0.8, 0.0, 1.0, 7)
+    assert list(forced.entities) == [5, 2] and forced.entities[5].count == 7 and forced.next_id == 6
+    forced.clear()
+    assert not forced.entities and forced.next_id == 0 and forced.added == 0
 
 
 def test_crops(spark):
@@ -176,7 +202,7 @@ def test_against_sql(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no test data")
     con = duckdb.connect()
-    for t in ("events", "embeddings", "orders", "customer", "supplier", "part"):
+    for t in ("events", "embeddings", "orders", "customer", "supplier", "part", "lineitem"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = catalogue.queries()[name](spark, DATA).toPandas(), con.sql(catalogue.oracle_sql()[name]).df()
 
