@@ -153,7 +153,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_ke
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at_text, place = docs.columns.index("text"), len(docs.columns)
     if n_shards > HELD_SHARDS:
-        docs = docs.join(routed(docs, root, n_shards, min_chars, min_docs), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left").select(*docs.columns, "_gone")
+        lines = routed(docs, root, n_shards, min_chars, min_docs).alias("r")
+        docs = docs.alias("d").join(lines, F.col("d.doc_id").eqNullSafe(F.col("r._d")) & (F.xxhash64("d.text") == F.col("r._t")), "left").select("d.*", "r._gone")
 
     def lines_gone(lines, ids, index):
         """For each text the places of the lines that the index drops."""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import cut
+from kinvector.llm.common import cut, set_aside
 
 STEPS = 30
 AT_ONCE = 5
@@ -121,11 +121,19 @@ def mixture(docs: DataFrame, budget: int | None = None, entropy_share: float = 0
 
 
 def mixed(docs: DataFrame, budget: int | None = None, entropy_share: float = 0.95, max_repeats: float = 4.0, seed: int = 7) -> DataFrame:
-    """The documents of the mixture, a row for each copy, with the columns of ``docs``. Texts are not shuffled."""
+    """The documents of the mixture, a row for each copy, with the columns of ``docs``. Texts are not shuffled.
+
+    Defined cases: as in ``mixture``; columns of any other name travel unchanged;
+    an empty table gives an empty table.
+    """
     rows, sources = targets(docs, budget, entropy_share, max_repeats, seed)
     beyond = placed(rows, sources, F.array("passes"), seed).where(F.col("before") >= F.col("rest"))
     cuts = beyond.groupBy("_s").agg(F.min("key").alias("cut"))
     sources = cut(sources.join(cuts, "_s", "left").select("_s", "passes", "cut"))
     part = F.when(F.col("cut").isNull() | (key(seed, F.col("passes"), F.col("doc_id")) < F.col("cut")), 1).otherwise(0)
-    out = with_sources(docs.withColumn("_s", F.to_json(F.struct("source"))), sources).withColumn("_n", F.col("passes") + part)
-    return out.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+
+    def copied(held: DataFrame) -> DataFrame:
+        out = with_sources(held.withColumn("_s", F.to_json(F.struct("source"))), sources).withColumn("_n", F.col("passes") + part)
+        return out.where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+
+    return set_aside(docs, ("doc_id", "text", "source", "lang", "n_chars"), copied)

@@ -87,6 +87,39 @@ def op6_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
+OP6 = r"""
+with recursive w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w from documents
+), s as (
+  select distinct doc_id, unnest(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end) as s from w
+), n as (
+  select doc_id, count(*) as n, md5(string_agg(s, chr(10) order by s)) as same from s group by doc_id
+), rep as (
+  select same, min(doc_id) as rep, any_value(n) as n from n group by same
+), t as (
+  select rep.rep as doc_id, s.s, rep.n from s join rep on s.doc_id = rep.rep
+), f as (
+  select s, count(*) as k from t group by s
+), o as (
+  select doc_id, t.s, n, row_number() over (partition by doc_id order by k, t.s) as place from t join f on t.s = f.s
+), p as (
+  select doc_id, s, n from o where place <= n - ceil(n * 0.8 - 1e-9) + 1
+), c as (
+  select distinct a.doc_id as u, b.doc_id as v, a.n + b.n as both_n from p a join p b on a.s = b.s and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), link as (
+  select c.u, c.v from c join t a on a.doc_id = c.u join t b on b.doc_id = c.v and a.s = b.s group by c.u, c.v, both_n having 100 * count(*) >= 80 * (both_n - count(*))
+), e as (
+  select u, v from link union select v, u from link union select n.doc_id, rep from n join rep on n.same = rep.same union select rep, n.doc_id from n join rep on n.same = rep.same
+), reach(u, v) as (
+  select doc_id, doc_id from documents union select r.u, e.v from reach r join e on r.v = e.u
+), m as (
+  select u, min(v) as m from reach group by u
+)
+select documents.doc_id, coalesce(n.n, 0) as n_shingles, m as component_id, documents.doc_id = m as kept
+from documents join m on documents.doc_id = m.u left join n on n.doc_id = documents.doc_id
+"""
+
+
 def op7_near_vectors(spark, sf_dir):
     return itq.near_vectors(table(spark, sf_dir, "embeddings"))
 
