@@ -154,6 +154,34 @@ def test_bin_completion_is_near_the_bound():
         assert sum(t for _, t in plan) <= packing.lower_bound(counts) * 1.01 + 1
 
 
+def test_bins_of_small_cases_are_the_fewest(spark):
+    r = random.Random(8)
+
+    def fewest(items, capacity):
+        """By trying every bin for every item."""
+        best = len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for k in range(len(bins)):
+                if bins[k] + items[i] <= capacity and bins[k] not in bins[:k]:
+                    go(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1 :]])
+            go(i + 1, [*bins, items[i]])
+
+        go(0, [])
+        return best
+
+    for _ in range(60):
+        items = sorted((r.randint(1, 30) for _ in range(r.randint(1, 10))), reverse=True)
+        plan = packing.bin_completion(np.bincount(items, minlength=31))
+        assert sum(t for _, t in plan) == fewest(items, 30)
+
+
 def test_shards(spark, docs, rows, none, tmp_path):
     path = P.path("byte_bpe_50k.json")
     shards = sstable.write_shards(docs, path, root=str(tmp_path / "s"), shards=4)
@@ -193,6 +221,35 @@ def test_language(spark, none):
     assert {r.lang_pred for r in language_id.language_id(df.withColumn("lang", df.lang.substr(9, 1)).replace("", None, "lang")).collect()} == {"und"}
 
 
+def test_language_features():
+    """n-grams counted by name, then by the buckets of their hashes."""
+    table, mask = language_id.letters(), 2**32 - 1
+    scramble = lambda h: h ^ h >> 15
+    for text in ("Ab c, d!", "É1é  x", "a", "\n\nZ😀z\t", "𝔘𝔫i", "l'été -- 12 été"):
+        cleaned = "".join(c if c.isalpha() else " " for c in text.lower())
+        cleaned = " " + re.sub("  +", " ", cleaned) + " "
+        want = np.zeros(1 << language_id.BITS, np.int64)
+        for n in (1, 2, 3):
+            for i in range(len(cleaned) - n + 1):
+                c = [ord(x) for x in cleaned[i : i + n]]
+                one = [x * 0x9E3779B1 & mask for x in c]
+                h = one[0]
+                if n > 1:
+                    h = (scramble(one[0]) * 0x85EBCA77 + one[1]) & mask
+                if n > 2:
+                    h = ((h ^ h >> 13) * 0xC2B2AE3D + one[2]) & mask
+                h = h * {1: 1, 2: 0x27D4EB2F, 3: 0x165667B1}[n] & mask
+                want[h >> 32 - language_id.BITS] += 1
+        cols, counts = language_id.ngrams(text, table)
+        got = np.zeros_like(want)
+        got[cols] = counts
+        assert (got == want).all(), text
+    idf = np.linspace(1, 2, 1 << language_id.BITS)
+    x = language_id.weigh(np.array([3, 9]), np.array([1, 4]), idf)
+    raw = np.array([idf[3], (1 + np.log(4)) * idf[9]])
+    assert np.allclose(x, raw / np.sqrt((raw * raw).sum()))
+
+
 def brute_near(rows, k, percent):
     sets = {}
     for i, t, *_ in rows:
@@ -418,6 +475,28 @@ def test_spots_of_long_texts_are_whole(spark):
         assert x.near_edited == share(mine, sets[x.doc_id, 1]) and x.near_next == share(mine, after)
 
 
+def test_spots_against_plain_ones(spark):
+    regex = pytest.importorskip("regex")
+    r = random.Random(10)
+    vocabulary = ["the", "of", "der", "las", "alpha", "Été", "x1", "the", "b", "日本", "and,", "Gamma!", "a-b"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 90))) for _ in range(40)] + ["the", "the of alpha", "the alpha of beta", "", "?!"]
+
+    def plain(text):
+        words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split()
+        out = set(words)
+        for i, w in enumerate(words):
+            if w in spotsigs.ANCHORS:
+                chain = [j for j in range(i + 1, len(words)) if words[j] not in spotsigs.ANCHORS][:2]
+                if len(chain) == 2:
+                    out.add(" ".join(words[i : chain[1] + 1]) + " ")
+        return out or {text}
+
+    for x in spotsigs.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        one, two, after = plain(x.text), plain(x.edited), plain(texts[x.doc_id - 1])
+        assert (x.fp.n, x.edited_fp.n) == (len(one), len(two)), x.text
+        assert x.near_edited == len(one & two) / len(one | two) and x.near_next == len(one & after) / len(one | after)
+
+
 def test_spots_follow_one_rule_for_short_texts(spark):
     texts = [" ".join(f"the {w}{i} {w}{i}x" for i in range(9) for w in ("n",)), None, "", "...", "Ünï 日本語 the"]
     texts[1] = texts[0].rsplit(" the ", 2)[0]  # seven spots, or fewer than eight
