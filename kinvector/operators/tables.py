@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SORTABLE = {"created_at": "created", "status": "status", "progress": "progress", "job_id": "job_id"}
@@ -51,6 +51,13 @@ def inserted(jobs: DataFrame, new: DataFrame) -> DataFrame:
     return jobs.select("job_id", "status", "config", "created", "progress").unionByName(rows)
 
 
+def numbered(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
+    """``old`` and ``new`` rows (those of one insert), the new ones numbered on from the largest key in their order."""
+    last = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
+    rows = new.withColumn("_at", F.row_number().over(Window.orderBy(order))).join(F.broadcast(last))  # one row
+    return old.unionByName(rows.withColumn(key, (F.col("_last") + F.col("_at")).cast(dict(old.dtypes)[key])).select(*old.columns))
+
+
 def by_id(rows: DataFrame, key: str, value) -> DataFrame:
     """Point look-up; the predicate reaches the scan. No row means that it was not found."""
     return rows.where(F.col(key) == F.lit(value))

@@ -15,6 +15,7 @@ jobs_page jobs_count dashboard_counts recent_jobs job_overlay job_status_fold bu
 config_json_fields model_catalog queue_messages stream_metadata_check selection_toggle config_clone detections_from_arrays sampled_history running_best
 job_insert job_by_id configs_changed_by_id config_answers configs_newest config_lookup jobs_with_news live_hash_writes video_downloads
 pipeline_counters streams_progress embedder_stats admission_with_force buffer_fill
+label_forms detection_batches frame_numbers matches_by_place downloadable_jobs serial_ids
 """.split()
 
 

@@ -232,3 +232,52 @@ def running_best(spark, sf_dir):
 
 
 RUNNING_BEST = f"""with {BOXES} select event_id, user_id, cast(row_number() over w - 1 as int) as appearance_count, max(conf) over w as max_conf from d window w as (partition by user_id order by frame_id, event_id)"""
+
+
+def label_forms(spark, sf_dir):
+    """Labels of tracked persons, and of classes with and without the track before them."""
+    d = found(spark, sf_dir)
+    shown = F.format_string("%.2f", F.floor(F.col("conf") * 100 + 0.5) / 100)
+    kind = F.when(F.col("event_id") % 5 == 0, "person").otherwise(F.col("event_type"))
+    track = F.when(F.col("conf") >= 0.6, F.concat(F.lit("ID:"), F.col("user_id").cast("string"), F.lit(" ")))
+    return d.select("event_id", F.concat(F.lit("Person "), F.col("user_id").cast("string")).alias("person"), F.concat(F.coalesce(track, F.lit("")), kind, F.lit(": "), shown).alias("label"))
+
+
+LABEL_FORMS = f"""with {BOXES} select event_id, 'Person ' || user_id as person,
+  case when conf >= cast(0.6 as double) then 'ID:' || user_id || ' ' else '' end || case when event_id % 5 = 0 then 'person' else event_type end || ': ' || printf('%.2f', floor(conf * 100 + 0.5) / 100) as label from d"""
+
+
+def detection_batches(spark, sf_dir):
+    """One list for each frame of a batch, empty ones too, with the detections of the wanted classes in order."""
+    d = found(spark, sf_dir).withColumn("class_id", F.col("event_id") % 5)
+    wanted = F.when((F.col("conf") >= 0.3) & F.col("class_id").isin(0, 2), F.col("event_id"))
+    rows = d.groupBy("camera_id", "frame_id").agg(F.array_sort(F.collect_list(wanted)).alias("ids"))  # the detections of one frame
+    return rows.select("camera_id", "frame_id", F.size("ids").cast("long").alias("n"), F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids"))
+
+
+DETECTION_BATCHES = f"""with {BOXES}, k as (select camera_id, frame_id, event_id, conf >= cast(0.3 as double) and event_id % 5 in (0, 2) as ok from d)
+select camera_id, frame_id, count(*) filter (where ok) as n, coalesce(string_agg(cast(event_id as varchar), ',' order by event_id) filter (where ok), '') as ids from k group by camera_id, frame_id"""
+
+
+def frame_numbers(spark, sf_dir):
+    """Frames of each camera that were queued, numbered both ways: without gaps where dropped ones take no number, with gaps where they do."""
+    w = Window.partitionBy("camera_id").orderBy("event_id")  # one capture is one sequence
+    d = found(spark, sf_dir).withColumn("ok", F.col("event_type") != "error")
+    rows = d.select("camera_id", "event_id", "ok", (F.row_number().over(w) - 1).alias("with_gaps"), (F.count_if("ok").over(w) - 1).alias("dense"))
+    return rows.where("ok").drop("ok")
+
+
+FRAME_NUMBERS = f"""with {BOXES}, k as (select camera_id, event_id, event_type <> 'error' as ok, row_number() over w - 1 as with_gaps, count(*) filter (where event_type <> 'error') over w - 1 as dense from d window w as (partition by camera_id order by event_id))
+select camera_id, event_id, cast(with_gaps as int) as with_gaps, dense from k where ok"""
+
+
+def matches_by_place(spark, sf_dir):
+    """Detections and what was decided for them, joined by camera, frame and place in the frame."""
+    w = Window.partitionBy("camera_id", "frame_id").orderBy("event_id")
+    d = found(spark, sf_dir).withColumn("det_idx", F.row_number().over(w) - 1)
+    matches = d.where("conf >= 0.5").select("camera_id", "frame_id", "det_idx", box.stratum(F.col("conf")).alias("decision"))
+    return d.select("camera_id", "frame_id", "det_idx", "event_id").join(matches, ["camera_id", "frame_id", "det_idx"])
+
+
+MATCHES_BY_PLACE = f"""with {BOXES}, k as (select camera_id, frame_id, cast(row_number() over (partition by camera_id, frame_id order by event_id) - 1 as int) as det_idx, event_id, conf from d)
+select camera_id, frame_id, det_idx, event_id, case when conf >= cast(0.8 as double) then 'high' when conf >= cast(0.3 as double) then 'medium' else 'low' end as decision from k where conf >= cast(0.5 as double)"""

@@ -314,3 +314,22 @@ def buffer_fill(spark, sf_dir):
 
 
 BUFFER_FILL = "select user_id, cast(least(count(*), 10) as int) as size, count(*) >= 10 as is_full, least(count(*), 10) / cast(10 as double) as utilization from events group by user_id"
+
+
+def downloadable_jobs(spark, sf_dir):
+    """Completed jobs with an output, and how many jobs have each status."""
+    j = tables.jobs(spark, sf_dir)
+    counts = j.groupBy("status").agg(F.count("*").alias("with_status"))
+    return j.where("status = 'completed' and output_video is not null").select("job_id", "status", "output_video").join(counts, "status")
+
+
+DOWNLOADABLE_JOBS = f"with {JOBS} select job_id, status, output_video, (select count(*) from jobs where status = 'completed') as with_status from jobs where status = 'completed' and output_video is not null"
+
+
+def serial_ids(spark, sf_dir):
+    """Configurations with those of new names numbered on from the largest id."""
+    new = tables.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
+    return ops.numbered(tables.configs(spark, sf_dir).select("config_id", "name"), new, "config_id", "name")
+
+
+SERIAL_IDS = "select c_custkey as config_id, c_name as name from customer union all select (select max(c_custkey) from customer) + row_number() over (order by s_name), s_name from supplier"

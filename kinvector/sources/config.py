@@ -68,6 +68,10 @@ class Config:
 
         return yaml.safe_dump(asdict(self), sort_keys=False)
 
+    def summary(self) -> str:
+        """Short text of the settings that matter most, a section a line."""
+        return "\n".join(f"{name}: " + ", ".join(f"{k}={v}" for k, v in values.items()) if isinstance(values, dict) else f"{name}: {values}" for name, values in asdict(self).items())
+
     def problems(self) -> list[str]:
         """What is out of range; nothing is raised."""
         found = []

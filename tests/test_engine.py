@@ -160,6 +160,7 @@ def test_page_falls_back(spark):
 def test_config():
     c = Config.from_dict(PRESETS["xavier_nx"] | {"other": {}})
     assert c.gallery.max_size == 300 and c.gallery.match == 0.7 and c.problems() == []
+    assert "gallery: max_size=300" in c.summary() and len(c.summary().split("\n")) >= 5
     with pytest.raises(TypeError):
         Config.from_dict({"gallery": {"nonsense": 1}})
     assert len(Config.from_dict({"detection": {"confidence": 2}, "reid": {"dimension": 3}}).problems()) == 2
