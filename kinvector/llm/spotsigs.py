@@ -25,7 +25,22 @@ ANCHORS = (
     "auf", "das", "dem", "den", "der", "die", "ein", "eine", "ist", "mit", "nicht", "und", "von", "zu",
     "con", "del", "el", "las", "los", "no", "para", "por", "se", "su", "una", "y",
 )
-ANY = f"(?:{'|'.join(sorted(ANCHORS, key=len, reverse=True))}) "
+
+
+def one_of(words: list[str]) -> str:
+    """A pattern of the words that shares their beginnings, so that few alternatives are tried at a place."""
+    tails: dict[str, list[str]] = {}
+    for w in sorted(words):
+        if w:
+            tails.setdefault(w[0], []).append(w[1:])
+    parts = [c + (one_of(rest) if rest != [""] else "") for c, rest in tails.items()]
+    if not parts:
+        return ""
+    body = parts[0] if len(parts) == 1 and "" not in words else f"(?:{'|'.join(parts)})"
+    return f"{body}?" if "" in words else body
+
+
+ANY = f"{one_of(ANCHORS)} "
 SPOT = rf"(?<= )(?=({ANY}(?:{ANY})*+[^ ]+ (?:{ANY})*+[^ ]+ ))"
 
 
