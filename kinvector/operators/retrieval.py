@@ -1,8 +1,8 @@
 """Nearest-neighbour joins and re-ranking.
 
 Scores come from NumPy matrix products over Arrow batches. A gallery below
-``SENT_BYTES`` goes to every task; a larger one is dealt in blocks, queries
-visit each block, and the best of each block are merged by a window.
+``SENT_BYTES`` goes to every task; for a larger one blocks of both sides meet in
+tiles of bounded size, and the best of each tile are merged by a window.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SENT_BYTES = 64 << 20
-BLOCK_ROWS = 20_000
-TILE_ROWS = 4000
+TILE_BYTES = 16 << 20
 
 
 def scores(q: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
@@ -84,20 +83,14 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine"
 
         found = queries.select("q_id", "q").mapInArrow(run, out)
     else:
-        blocks = -(-size[0] // BLOCK_ROWS)
-        parts = gallery.withColumn("block", F.pmod(F.xxhash64("g_id"), F.lit(blocks)))
-        salts = max(1, queries.rdd.getNumPartitions())
-        left = queries.select("q_id", "q", F.pmod(F.xxhash64("q_id"), F.lit(salts)).alias("salt"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-        right = parts.select("g_id", "seq", "g", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
 
-        def merge(q, g):
-            import pandas as pd
+        def best(q_ids, g_ids, s, _, seq):
+            import pyarrow as pa
 
-            if not len(q) or not len(g):
-                return pd.DataFrame(columns=["q_id", "g_id", "seq", "score"])
-            return pd.concat([b.to_pandas() for b in emit(q["q_id"].to_numpy(), np.stack(q["q"]), g["g_id"].to_numpy(), g["seq"].to_numpy(), np.stack(g["g"]))])
+            rows, cols = ranked(s, seq, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[rows], g_ids[cols], seq[cols], s[rows, cols])], names=["q_id", "g_id", "seq", "score"])
 
-        found = left.groupBy("block", "salt").cogroup(right.groupBy("block", "salt")).applyInPandas(merge, out)
+        found = dense(queries.select("q_id", "q"), gallery.select("g_id", "g", F.col("seq").alias("tag")), best, out, metric)
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "seq")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "g_id", "rank", "score")
 
@@ -106,12 +99,13 @@ def dense(queries: DataFrame, gallery: DataFrame, fold, schema: str, metric: str
     """What ``fold(q_ids, g_ids, scores, q_tags, g_tags)`` makes of every block of the dense score matrix; it yields record batches.
 
     Scores stay in the tasks. Queries (q_id, q) meet the gallery (g_id, g) block
-    by block: pairs of blocks are dealt to tasks, with ``TILE_ROWS`` vectors a side.
-    Tags are the values of a long column ``tag``, or 0.
+    by block: pairs of blocks are dealt to tasks, with ``TILE_BYTES`` of vectors a
+    side, so a vector is copied once for each block of the other side. Tags are the values of a long column ``tag``, or 0.
     """
     sides = []
     for df, i, v in ((queries, "q_id", "q"), (gallery, "g_id", "g")):
-        n = max(1, -(-df.count() // TILE_ROWS))
+        rows, wide = df.agg(F.count("*"), F.coalesce(F.max(F.size(v)), F.lit(1))).first()
+        n = max(1, -(-rows * max(1, wide) * 8 // TILE_BYTES))
         tag = F.col("tag") if "tag" in df.columns else F.lit(0)
         sides.append((df.select(F.col(i).alias("id"), F.col(v).alias("v"), tag.cast("long").alias("tag"), F.pmod(F.xxhash64(i), F.lit(n)).cast("int").alias("home")), n))
     (left, nl), (right, nr) = sides

@@ -79,7 +79,7 @@ def test_top_k_in_blocks(spark, metric, monkeypatch):
     g = spark.createDataFrame([(i, i, x) for i, x in rows], "g_id long, seq long, g array<double>")
     once = sorted(map(tuple, retrieval.top_k(q, g, 4, metric).select("q_id", "rank", "g_id").collect()))
     monkeypatch.setattr(retrieval, "SENT_BYTES", 0)
-    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 224)
     assert sorted(map(tuple, retrieval.top_k(q, g, 4, metric).select("q_id", "rank", "g_id").collect())) == once
 
 
