@@ -192,7 +192,8 @@ def language_id(docs: DataFrame, sample_per_lang: int = 1500) -> DataFrame:
     document frequencies cover all of them. Predictions use the text alone.
 
     Defined cases: a null text or one without a letter is ``und`` with score 0,
-    and so is every text if no row is labelled; a null doc_id is not held out;
+    and so is every text if no row is labelled; of equal probabilities the first
+    name by order is taken; a null doc_id is not held out;
     repeated rows are predicted each; an empty table gives no rows. Columns of
     ``docs`` named lang_pred, score or held_out are replaced.
     """

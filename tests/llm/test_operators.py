@@ -221,6 +221,12 @@ def test_language(spark, none):
     assert {r.lang_pred for r in language_id.language_id(df.withColumn("lang", df.lang.substr(9, 1)).replace("", None, "lang")).collect()} == {"und"}
 
 
+def test_equal_probabilities_give_the_first_language(spark):
+    model = {"names": ["de", "fr"], "idf": np.ones(1 << language_id.BITS), "w": np.zeros(((1 << language_id.BITS) + 1, 2), np.float32), "t": 1.0}
+    out = language_id.predict(spark.createDataFrame([("a text",), (None,)], "text string"), model).collect()
+    assert [(x.lang_pred, x.score) for x in out] == [("de", 0.5), ("und", 0.0)]
+
+
 def test_language_features():
     """n-grams counted by name, then by the buckets of their hashes."""
     table, mask = language_id.letters(), 2**32 - 1
