@@ -143,12 +143,14 @@ class Reader:
         return found
 
 
-def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, root: str | None = None, shards: int | None = None) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, root: str | None = None, shards: int | None = None, most_words: int = 1_200_000) -> DataFrame:
     """Encodes documents into shard files below ``root``; one row per shard: shard, path, n_docs, n_ids.
 
     Shards are ranges of doc_id, as many as the input has partitions, so a
     shard's size does not grow with the table. Rows that share a doc_id keep
     their own entries side by side; null ids come first; a null text is empty.
+    ``most_words`` bounds the table of words in each Python worker (see
+    ``packing.pieces_of``).
     """
     spark = docs.sparkSession
     root = root or shared_dir(spark)
@@ -161,7 +163,7 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, roo
         import pyarrow as pa
         from pyspark import TaskContext
 
-        mine = encoder(tokenizer, keeps_blanks)
+        mine = encoder(tokenizer, keeps_blanks, most_words)
         id_size = 2 if mine.tokenizer.get_vocab_size() <= 65536 else 4
         fs, folder = open_shared(root)
         fs.create_dir(folder, recursive=True)
