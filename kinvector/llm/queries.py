@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.llm import line_dedup as lines
-from kinvector.llm import itq, language_id, mixing, near_dedup, packing, pii, repeats, spotsigs, sstable
+from kinvector.llm import filter_audit, importance, itq, language_id, mixing, near_dedup, packing, pii, repeats, sharding, spotsigs, sstable
 from kinvector.llm.common import table
 
 
@@ -171,3 +171,120 @@ def op9_spotsigs(spark, sf_dir):
 def op10_repeats(spark, sf_dir):
     out = repeats.drop_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: CRC-32 in SQL: a table made by its rule, and a step for each byte of a list.
+CRC = "tab(tab) as (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)))"
+CRC_OF = "xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: cast('0x' || h as bigint)), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1]), 4294967295))"
+
+
+def op11_importance(spark, sf_dir):
+    out = importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP11 = rf"""
+with {CRC}, d as (
+  select 0 as side, doc_id, coalesce(text, '') as text from documents union all select 1, item_id, coalesce(text, '') from benchmark
+), w as (
+  select side, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from d
+), f as (
+  select side, doc_id, unnest(w) as f from w union all select side, doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+), b as (
+  select f, {CRC_OF.format(x="f")} % 10000 as b from (select distinct f from f), tab
+), n as (
+  select b, count(*) filter (where side = 0) as s, count(*) filter (where side = 1) as t from f join b using (f) group by b
+), g as (
+  select b, cast(floor(1000 * ln(cast(t + 1 as double) * (sum(s) over () + 10000) / (cast(s + 1 as double) * (sum(t) over () + 10000)))) as bigint) as gain from n
+), e as (
+  select doc_id, cast(floor(cast(sum(gain) as double) / count(*)) as bigint) as weight, count(*) as n_features from f join b using (f) join g using (b) where side = 0 group by doc_id
+), a as (
+  select w.doc_id, len(w.w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('7:' || w.doc_id), 1, 8) as bigint) + cast(0.5 as double)) / cast(4294967296 as double)))) as bigint) as score
+  from w left join e on w.doc_id = e.doc_id where side = 0
+), r as (
+  select *, row_number() over (order by score desc, doc_id) as place, count(*) over () as able from a where n_words >= 20
+)
+select a.doc_id, a.n_features, a.weight, a.score, case when place <= 25 * able // 100 then place end as rank from a left join r on a.doc_id = r.doc_id
+"""
+
+
+def op12_hilbert_shards(spark, sf_dir):
+    out = sharding.sharded(table(spark, sf_dir, "documents"))
+    more = [F.col(c) for c in ("source", "lang", "hilbert")]
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *more)
+
+
+def hilbert_sql(bits: int) -> str:
+    """Common tables from h0 (coordinates a, b and c of a grid) to ``curve``, with the place on the Hilbert curve: one for each step."""
+    made = []
+
+    def step(*changes: str):
+        made.append(f"h{len(made) + 1} as (select * replace ({', '.join(changes)}) from h{len(made)})")
+
+    for k in range(bits - 1, 0, -1):
+        low = (1 << k) - 1
+        step(f"case when a & {1 << k} <> 0 then xor(a, {low}) else a end as a")
+        for x in "bc":
+            hit, swap = f"{x} & {1 << k} <> 0", f"(xor(a, {x}) & {low})"
+            step(f"case when {hit} then xor(a, {low}) else xor(a, {swap}) end as a", f"case when {hit} then {x} else xor({x}, {swap}) end as {x}")
+    step("xor(a, b) as b", "xor(xor(a, b), c) as c")
+    for k in range(bits - 1, 0, -1):
+        step(f"case when c & {1 << k} <> 0 then xor(t, {(1 << k) - 1}) else t end as t")
+    index = " + ".join(f"((xor({x}, t) >> {k}) & 1) * {1 << (3 * k + 2 - i)}" for k in range(bits) for i, x in enumerate("abc"))
+    return f"{', '.join(made)}, curve as (select *, cast({index} as bigint) as hilbert from h{len(made)})"
+
+
+def cell_sql(name: str, bits: int) -> str:
+    """Cells of a column by the rows below each value."""
+    return f"cell_{name} as (select {name}, coalesce(cast(floor(coalesce(sum(count(*)) over (order by {name} nulls first rows between unbounded preceding and 1 preceding), 0) * {1 << bits} / (select count(*) from documents)) as int), 0) as cell from m group by {name})"
+
+
+OP12 = f"""
+with {CRC}, m as (
+  select doc_id, source, lang, cast(octet_length(encode(coalesce(text, ''))) + 16 as bigint) as size, cast({CRC_OF.format(x="coalesce(text, '')")} as bigint) as text_crc32 from documents, tab
+), {', '.join(cell_sql(x, sharding.BITS) for x in sharding.DIMENSIONS)}, h0 as (
+  select m.*, x.cell as a, y.cell as b, z.cell as c, 0 as t from m join cell_source x on m.source is not distinct from x.source join cell_lang y on m.lang is not distinct from y.lang join cell_size z on m.size = z.size
+), {hilbert_sql(sharding.BITS)}, r as (
+  select *, row_number() over (order by hilbert, text_crc32, size, doc_id) - 1 as place, count(*) over () as n from curve
+)
+select doc_id, source, lang, size, text_crc32, hilbert, 'rows' as law, cast(place * 40 // n as int) as shard, cast(place - ((place * 40 // n) * n + 39) // 40 as bigint) as slot, cast(null as int) as grown_shard from r
+"""
+
+
+def op13_filter_audit(spark, sf_dir):
+    out = filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+OP13 = r"""
+with recursive w as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), l as (
+  select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id
+), f as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+         case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end
+         || case when 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * len(text) then 'C' else '' end
+         || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+         || case when w.doc_id > min(w.doc_id) over (partition by text) then 'E' else '' end as fails
+  from w left join l on w.doc_id = l.doc_id
+), orders(o) as (
+  select '' union all select o || x from orders, (select unnest(['A', 'B', 'C', 'D', 'E']) as x) where not contains(o, x)
+), steps as (
+  select o, unnest(range(1, 6)) as step from orders where len(o) = 5
+), k as (
+  select part, good, toxic, fails, count(*) as n from f group by all
+), r as (
+  select part, o, step, substr(o, step, 1) as x, fails, good, toxic, n,
+         list_bool_or(list_transform(range(1, step), lambda i: contains(fails, substr(o, i, 1)))) is true as before, contains(fails, substr(o, step, 1)) as here
+  from k, steps
+), t as (
+  select part, o as filter_order, cast(step as int) as step, x, coalesce(sum(n) filter (where not before and not here), 0) as kept, coalesce(sum(n) filter (where here and not before), 0) as removed,
+         coalesce(sum(n) filter (where here and before), 0) as redundant, coalesce(sum(n) filter (where fails = x), 0) as unique_fails,
+         coalesce(sum(n) filter (where here and not before and good), 0) as good_lost, coalesce(sum(n) filter (where here and not before and toxic), 0) as toxic_lost
+  from r group by part, o, step, x
+)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails,
+       cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley from t
+"""

@@ -629,6 +629,6 @@ def test_columns_of_clashing_names_travel(spark, rows):
 
 def test_names():
     names = registry.queries()
-    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(re.sub(r"\D", "", n.split("_")[0])))] == [f"op{i}" for i in range(1, 11)]
-    assert set(registry.oracle_sql()) == {"op5_mixing", "op6_near_dedup", "op7_near_vectors", "op8_line_dedup"}
+    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(re.sub(r"\D", "", n.split("_")[0])))] == [f"op{i}" for i in range(1, 14)]
+    assert set(registry.oracle_sql()) == {"op5_mixing", "op6_near_dedup", "op7_near_vectors", "op8_line_dedup", "op11_importance", "op12_hilbert_shards", "op13_filter_audit"}
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0") and queries.vocabulary("word_bpe_49k.json").endswith(".json")
