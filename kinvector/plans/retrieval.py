@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kinvector.functions import vector
-from kinvector.operators import buffers, gallery, retrieval
+from kinvector.operators import buffers, epochs, gallery, retrieval
 from kinvector.sources import tables
+from kinvector.sources.shared import written
 from kinvector.streaming import gallery as streaming
 
 VECTORS = "v as (select vec_id, label, cast(embedding as double[]) as v from embeddings)"
@@ -239,16 +240,18 @@ def online_gallery_assign(spark, sf_dir):
 
 
 def online_gallery_shared(spark, sf_dir):
-    return gallery.assign(galleried(spark, sf_dir, True), gallery.Settings(max_size=1000, ticks=False)).withColumn("score", F.round("score", 6))
+    """One gallery of all cameras: scored by many tasks, updated epoch by epoch."""
+    settings = gallery.Settings(max_size=1000, ticks=False)
+    return epochs.assign(galleried(spark, sf_dir, True), settings)[0].withColumn("score", F.round("score", 6))
 
 
 def gallery_snapshot_roundtrip(spark, sf_dir):
-    """The first half of the frames is folded and saved; galleries loaded from the snapshot go on with the second half."""
-    found, path = galleried(spark, sf_dir), streaming.folder(spark)
+    """The first half of the frames is folded and saved; galleries that load the snapshot and the counters go on with the second half."""
+    found = galleried(spark, sf_dir)
     half = found.approxQuantile("frame_id", [0.5], 0.001)[0]
-    gallery.final_galleries(found.where(F.col("frame_id") <= half)).write.parquet(path)
-    saved = gallery.restored(spark.read.schema(gallery.SNAPSHOT).parquet(path))
-    return gallery.final_galleries(found.where(F.col("frame_id") > half), start=saved).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
+    saved = written(gallery.saved_galleries(found.where(F.col("frame_id") <= half)))
+    start = gallery.loaded(gallery.snapshot_of(saved), gallery.counters_of(saved))
+    return gallery.final_galleries(found.where(F.col("frame_id") > half), start=start).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 6)))
 
 
 def online_gallery_stats(spark, sf_dir):
@@ -276,7 +279,7 @@ select gallery_id, entity_id, case when old then entity_id else (case gallery_id
 
 def stream_gallery_assign(spark, sf_dir):
     stream = streaming.stream_of(galleried(spark, sf_dir).select(*gallery.NEEDED), "frame_id")
-    return streaming.drained(streaming.assign_stream(stream)).withColumn("score", F.round("score", 6))
+    return streaming.drained(streaming.assign_stream(stream, frame_seconds=3600.0)).withColumn("score", F.round("score", 6))
 
 
 def stream_detection_counts(spark, sf_dir):

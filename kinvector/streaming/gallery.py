@@ -2,51 +2,51 @@
 
 from __future__ import annotations
 
-import pickle
-import tempfile
-import uuid
+import time
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from kinvector.operators import gallery as online
-
+from kinvector.sources.shared import folder
 
 LANDING_ROWS = 50_000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    master = spark.sparkContext.master
-    if not base and (not master.startswith("local") or master.startswith("local-cluster")):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='kinvector-')).rstrip('/')}/kinvector/{uuid.uuid4().hex}"
+def in_order(spark: SparkSession, path: str):
+    """Sets the times of a folder's files by their names, a second apart: a file stream reads the oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(hadoop) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    now = int(time.time() * 1000)
+    for i, file in enumerate(files):
+        fs.setTimes(file, now - 1000 * (len(files) - i), -1)
 
 
 def stream_of(df: DataFrame, by: str | None = None, rows: int = LANDING_ROWS) -> DataFrame:
     """Rows written to a landing folder and read as a file stream.
 
     With ``by`` they arrive in its order: ranges of about ``rows`` rows are
-    written one after the other, a file each, and a micro-batch reads one file.
+    written at once, a file each, and a micro-batch reads one file. Rows of one
+    value are in one file.
     """
     spark, path = df.sparkSession, folder(df.sparkSession)
     if by is None:
         df.write.parquet(path)
         return spark.readStream.schema(df.schema).parquet(path)
     parts = max(1, -(-df.count() // rows))
-    edges = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    df.limit(0).write.parquet(path)
-    for low, high in zip([None, *edges], [*edges, None]):
-        some = df if low is None else df.where(F.col(by) > low)
-        (some if high is None else some.where(F.col(by) <= high)).coalesce(1).write.mode("append").parquet(path)
+    df.repartitionByRange(parts, by).sortWithinPartitions(by).write.parquet(path)
+    in_order(spark, path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over all available input into files and reads them."""
-    spark, out = stream.sparkSession, folder(stream.sparkSession)
+def drained(stream: DataFrame, mode: str = "append", out: str | None = None) -> DataFrame:
+    """Runs the stream over all available input into files below ``out`` and reads them; its checkpoint is ``out`` and -state."""
+    spark, out = stream.sparkSession, out or folder(stream.sparkSession)
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -65,28 +65,101 @@ def drained_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct("_batch", *others)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in others])
 
 
-def assign_stream(found: DataFrame, settings: online.Settings = online.Settings()) -> DataFrame:
-    """Streaming twin of ``gallery.assign``: the gallery is the state of its key.
+class GalleryState(StatefulProcessor):
+    """A gallery as typed state of its key: its counters, and a map with a value for each entity.
 
-    Rows of a micro-batch are ordered by frame; micro-batches must arrive in
-    order, and their size (``stream_of``) bounds the rows held at a time.
+    A micro-batch reads the entities, folds its frames in order and writes back
+    the entities that changed. While a gallery has entities, a timer stands at the
+    end of the frame at which they are next pruned, so they age in event time
+    even where a camera sends nothing more.
     """
 
-    def run(key, parts, state):
-        pdf = pd.concat(list(parts)).sort_values(["frame_id", "camera_id", "event_id"], kind="stable")
-        g = online.Gallery(settings)
-        if state.exists:
-            entities, kept = pickle.loads(state.get[0])
-            vars(g).update(kept, entities={i: online.Entity(**e) for i, e in entities})
-        out = []
+    def __init__(self, settings: online.Settings, frame_seconds: float | None):
+        self.settings, self.frame_seconds = settings, frame_seconds
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.entities = handle.getMapState("entities", "entity_id long", online.ENTITY)
+        self.counters = handle.getValueState("counters", online.COUNTERS)
+
+    def recalled(self) -> online.Gallery:
+        g = online.Gallery(self.settings)
+        if self.counters.exists():
+            g.recall(*self.counters.get())
+        held = sorted(((i[0], online.Entity.of(*e)) for i, e in self.entities.iterator()), key=lambda x: x[1].sequence)
+        g.entities = dict(held)
+        return g
+
+    def store(self, g: online.Gallery):
+        for i in g.removed:
+            if i not in g.entities and self.entities.containsKey((i,)):
+                self.entities.removeKey((i,))
+        for i in g.changed:
+            self.entities.updateValue((i,), g.entities[i].row())
+        self.counters.update(g.counters())
+        if self.frame_seconds is not None and g.s.ticks and g.s.gaps:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if g.entities:
+                ahead = g.s.tick_every - g.tick % g.s.tick_every
+                self.handle.registerTimer(int((g.newest + ahead + 1) * self.frame_seconds * 1000))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        for row in initialState.to_dict("records"):
+            if row["entity_id"] is None or pd.isna(row["entity_id"]):
+                values = [row[n] for n in online.names_of(online.COUNTERS)]
+                self.counters.update(tuple(None if pd.isna(v) else int(v) for v in values))
+            else:
+                entity = [row[n] for n in online.names_of(online.ENTITY)]
+                self.entities.updateValue((int(row["entity_id"]),), online.Entity.of(*[int(x) if n in WHOLE else x for n, x in zip(online.names_of(online.ENTITY), entity)]).row())
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows)).sort_values(["frame_id", "camera_id", "event_id"], kind="stable")
+        g, out = self.recalled(), []
         for _, part in pdf.groupby(["frame_id", "camera_id"], sort=False):
-            rows = [(1, c, f, e, np.asarray(v, float), w, t) for c, f, e, v, w, t in zip(*(part[n] for n in ("camera_id", "frame_id", "event_id", "embedding", "conf", "t")))]
-            out += online.assigned_rows(key[0], rows, g.frame([(v, w, t, f) for _, _, f, _, v, w, t in rows]))
-        kept = {k: v for k, v in vars(g).items() if k not in ("s", "entities")}
-        state.update((pickle.dumps(([(i, vars(e)) for i, e in g.entities.items()], kept)),))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in online.ASSIGNED.split(", ")])
+            one = [(int(c), int(f), int(e), np.asarray(v, float), float(w), float(t)) for c, f, e, v, w, t in zip(*(part[n] for n in ("camera_id", "frame_id", "event_id", "embedding", "conf", "t")))]
+            out += online.assigned_rows(int(key[0]), one, g.frame([(v, w, t, f) for _, f, _, v, w, t in one]))
+        self.store(g)
+        yield pd.DataFrame(out, columns=online.names_of(online.ASSIGNED))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        g = self.recalled()
+        g.idle_until(int(expiredTimerInfo.getExpiryTimeInMs() // (self.frame_seconds * 1000)) - 1)
+        self.store(g)
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
 
-    return found.select(*online.NEEDED).groupBy("gallery_id").applyInPandasWithState(run, online.ASSIGNED, "state binary", "append", "NoTimeout")
+WHOLE = [n for n, t in (c.split() for c in online.ENTITY.split(", ")) if t in ("long", "int")]
+
+
+def assign_stream(found: DataFrame, settings: online.Settings = online.Settings(), start: DataFrame | None = None, frame_seconds: float | None = None) -> DataFrame:
+    """Streaming twin of ``gallery.assign``: the gallery is the state of its key.
+
+    Rows of a micro-batch are ordered by frame; micro-batches must arrive in
+    order, and their size (``stream_of``) bounds the rows held at a time. A stream
+    may begin with the galleries of ``start`` (``gallery.SAVED``, or a snapshot to
+    load). With ``frame_seconds``, the event time of a frame, entities also expire
+    by timers as event time passes.
+    """
+    spark = found.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the one that keeps maps and timers
+    if start is not None:
+        start = (start if "buffer" in start.columns else online.loaded(start)).select(*online.names_of(online.SAVED)).groupBy("gallery_id")
+    rows = found.select(*online.NEEDED)
+    if frame_seconds is not None:
+        rows = rows.withColumn("ts", F.timestamp_seconds("t")).withWatermark("ts", "0 seconds")
+    return rows.groupBy("gallery_id").transformWithStateInPandas(GalleryState(settings, frame_seconds), online.ASSIGNED, "append", "None" if frame_seconds is None else "EventTime", start)
+
+
+def saved_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The galleries of a stopped stream as ``gallery.SAVED``, read from the state in its checkpoint."""
+    held = lambda name: spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    entities = held("entities").select(F.col("key.gallery_id").alias("gallery_id"), F.col("user_map_key.entity_id").alias("entity_id"), *[F.col(f"user_map_value.{n}").alias(n) for n in online.names_of(online.ENTITY)])
+    counters = held("counters").select(F.col("key.gallery_id").alias("gallery_id"), *[F.col(f"value.{n}").alias(n) for n in online.names_of(online.COUNTERS)])
+    return entities.unionByName(counters, allowMissingColumns=True).select(*online.names_of(online.SAVED))
 
 
 def hourly_counts(found: DataFrame) -> DataFrame:
