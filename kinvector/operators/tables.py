@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinvector.operators import scan
+
 SORTABLE = {"created_at": "created", "status": "status", "progress": "progress", "job_id": "job_id"}
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -54,8 +56,19 @@ def inserted(jobs: DataFrame, new: DataFrame) -> DataFrame:
 def numbered(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """``old`` and ``new`` rows (those of one insert), the new ones numbered on from the largest key in their order."""
     last = old.agg(F.coalesce(F.max(key), F.lit(0)).alias("_last"))
-    rows = new.withColumn("_at", F.row_number().over(Window.orderBy(order))).join(F.broadcast(last))  # one row
-    return old.unionByName(rows.withColumn(key, (F.col("_last") + F.col("_at")).cast(dict(old.dtypes)[key])).select(*old.columns))
+    rows = scan.numbered(new, [order], name="_place").join(F.broadcast(last))  # one row
+    return old.unionByName(rows.withColumn(key, (F.col("_last") + F.col("_place") + 1).cast(dict(old.dtypes)[key])).select(*old.columns))
+
+
+#: Columns of the service's tables.
+JOBS = "job_id string not null, status string, config string, input_video string, output_video string, created_at timestamp, started_at timestamp, completed_at timestamp, progress double, stats string, error_message string"
+CONFIGS = "config_id bigint, name string not null, config string, created_at timestamp, updated_at timestamp"
+
+
+def ensured(spark: SparkSession, name: str, columns: str, location: str | None = None) -> DataFrame:
+    """The table of that name, which is created without rows where there is none; one that is there stays as it is."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet" + (f" LOCATION '{location}'" if location else ""))
+    return spark.table(name)
 
 
 def by_id(rows: DataFrame, key: str, value) -> DataFrame:
@@ -102,7 +115,7 @@ def downloads(jobs: DataFrame) -> DataFrame:
 
 
 def models(files: DataFrame) -> DataFrame:
-    """Model files by kind and name, once each: (kind, filename, type, path).
+    """Model files (filename, size) by kind and name, once each: (kind, filename, type, path, size), the largest size of a name.
 
     Detectors are named yolo or YOLO with .pt or .engine; embedders after one of
     their families with .pth, .pt, .engine or .onnx, unless yolo is in the name.
@@ -110,5 +123,5 @@ def models(files: DataFrame) -> DataFrame:
     detector = F.col("filename").rlike(r"(?:yolo|YOLO)[^/]*\.(?:pt|engine)$")
     embedder = F.col("filename").rlike(r"(?:reid|ReID|resnet|lttc|LTTC)[^/]*\.(?:pth|pt|engine|onnx)$") & ~F.lower("filename").contains("yolo")
     kind = F.when(detector, "detector").when(embedder, "embedder")
-    rows = files.select("filename", kind.alias("kind")).where("kind is not null").dropDuplicates(["filename"])
-    return rows.select("kind", "filename", F.regexp_extract("filename", r"\.(\w+)$", 1).alias("type"), F.concat(F.lit("/models/"), "filename").alias("path")).orderBy("kind", "filename")
+    rows = files.select("filename", "size", kind.alias("kind")).where("kind is not null").groupBy("kind", "filename").agg(F.max("size").alias("size"))
+    return rows.select("kind", "filename", F.regexp_extract("filename", r"\.(\w+)$", 1).alias("type"), F.concat(F.lit("/models/"), "filename").alias("path"), "size").orderBy("kind", "filename")

@@ -17,7 +17,7 @@ job_insert job_by_id configs_changed_by_id config_answers configs_newest config_
 pipeline_counters streams_progress embedder_stats admission_with_force buffer_fill
 bounded_gallery_assign bounded_gallery_entities bounded_gallery_stats bounded_gallery_history worker_final_stats
 bounded_gallery_resume bounded_gallery_stream bounded_gallery_epochs
-label_forms detection_batches frame_numbers matches_by_place downloadable_jobs serial_ids
+label_forms detection_batches frame_numbers matches_by_place downloadable_jobs serial_ids service_tables
 """.split()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinvector.functions import boxes as box
-from kinvector.operators import buffers
+from kinvector.operators import buffers, scan
 from kinvector.plans.retrieval import BOXES
 from kinvector.sources import tables
 
@@ -153,8 +153,8 @@ def camera_locf_grid(spark, sf_dir):
     """Last event of each camera at every tick, carried forward; complete once all four have been seen."""
     last = found(spark, sf_dir).groupBy("frame_id", "camera_id").agg(F.max("event_id").alias("event_id"))
     grid = last.select("frame_id").distinct().withColumn("camera_id", F.explode(F.array(*[F.lit(i).cast("long") for i in range(4)])))
-    w = Window.partitionBy("camera_id").orderBy("frame_id")  # one row per camera and tick
-    held = grid.join(last, ["frame_id", "camera_id"], "left").withColumn("event_id", F.last("event_id", ignorenulls=True).over(w))
+    placed = scan.numbered(grid.join(last, ["frame_id", "camera_id"], "left"), ["frame_id"], ["camera_id"])
+    held = scan.carried(placed, "event_id", ["camera_id"])
     wide = held.groupBy("frame_id").pivot("camera_id", [0, 1, 2, 3]).agg(F.max("event_id"))
     cells = [F.col(str(i)).alias(f"camera_{i}") for i in range(4)]
     complete = F.lit(True)
@@ -170,12 +170,14 @@ select frame_id, max(event_id) filter (where camera_id = 0) as camera_0, max(eve
 
 
 def throughput_windows(spark, sf_dir):
-    ticks = found(spark, sf_dir).groupBy("camera_id", "frame_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("camera_id").orderBy("frame_id")
+    ticks = scan.numbered(found(spark, sf_dir).groupBy("camera_id", "frame_id").agg(F.count("*").alias("n")), ["frame_id"], ["camera_id"])
+    ticks = scan.with_halo(ticks, 99)
+    w = Window.partitionBy("camera_id", "_block").orderBy("place")  # a block of ticks and the 99 before it
     last, recent = w.rowsBetween(-99, 0), w.rowsBetween(-29, 0)
     count, span = F.count("*").over(recent), F.max("frame_id").over(recent) - F.min("frame_id").over(recent)
     rate = F.when(count < 10, 25.0).otherwise(F.greatest(F.lit(10.0), F.least(F.lit(30.0), 10 * count / F.greatest(span, F.lit(1)))))
-    return ticks.select("camera_id", "frame_id", "n", F.round(F.avg("n").over(last), 6).alias("mean_100"), F.round(rate, 6).alias("rate"))
+    rows = ticks.select("camera_id", "frame_id", "n", F.round(F.avg("n").over(last), 6).alias("mean_100"), F.round(rate, 6).alias("rate"), "_halo")
+    return rows.where("not _halo").drop("_halo")
 
 
 THROUGHPUT_WINDOWS = f"""with {BOXES}, t as (select camera_id, frame_id, count(*) as n from d group by all),
@@ -215,9 +217,8 @@ def sampled_history(spark, sf_dir):
     d = found(spark, sf_dir)
     first = d.groupBy("camera_id", "user_id").agg(F.min("frame_id").alias("frame_id")).groupBy("camera_id", "frame_id").agg(F.count("*").alias("fresh"))
     ticks = d.select("camera_id", "frame_id").distinct().join(first, ["camera_id", "frame_id"], "left")
-    w = Window.partitionBy("camera_id").orderBy("frame_id")  # a row per camera and tick
-    ticks = ticks.withColumn("tick", F.row_number().over(w)).withColumn("size", F.sum(F.coalesce("fresh", F.lit(0))).over(w))
-    return ticks.where("tick % 30 = 0").select("camera_id", "frame_id", "tick", "size")
+    ticks = scan.running_sum(scan.numbered(ticks, ["frame_id"], ["camera_id"]), {"size": F.col("fresh")}, ["camera_id"])
+    return ticks.withColumn("tick", (F.col("place") + 1).cast("int")).where("tick % 30 = 0").select("camera_id", "frame_id", "tick", "size")
 
 
 SAMPLED_HISTORY = f"""with {BOXES}, f as (select camera_id, frame_id, count(*) as fresh from (select camera_id, user_id, min(frame_id) as frame_id from d group by all) group by all),
@@ -261,10 +262,10 @@ select camera_id, frame_id, count(*) filter (where ok) as n, coalesce(string_agg
 
 def frame_numbers(spark, sf_dir):
     """Frames of each camera that were queued, numbered both ways: without gaps where dropped ones take no number, with gaps where they do."""
-    w = Window.partitionBy("camera_id").orderBy("event_id")  # one capture is one sequence
-    d = found(spark, sf_dir).withColumn("ok", F.col("event_type") != "error")
-    rows = d.select("camera_id", "event_id", "ok", (F.row_number().over(w) - 1).alias("with_gaps"), (F.count_if("ok").over(w) - 1).alias("dense"))
-    return rows.where("ok").drop("ok")
+    d = found(spark, sf_dir).select("camera_id", "event_id", (F.col("event_type") != "error").alias("ok"))
+    placed = scan.numbered(d, ["event_id"], ["camera_id"])  # one capture is one sequence, numbered by many tasks
+    rows = scan.running_sum(placed, {"upto": F.when(F.col("ok"), 1).otherwise(0)}, ["camera_id"])
+    return rows.where("ok").select("camera_id", "event_id", F.col("place").cast("int").alias("with_gaps"), (F.col("upto") - 1).alias("dense"))
 
 
 FRAME_NUMBERS = f"""with {BOXES}, k as (select camera_id, event_id, event_type <> 'error' as ok, row_number() over w - 1 as with_gaps, count(*) filter (where event_type <> 'error') over w - 1 as dense from d window w as (partition by camera_id order by event_id))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinvector.operators import tables as ops
 from kinvector.sources import tables
+from kinvector.sources.shared import folder
 
 JOBS = """j as (
   select cast(o_orderkey as varchar) as job_id, o_orderkey as n, case o_orderstatus when 'O' then 'running' when 'F' then 'completed' else 'pending' end as status, cast(epoch(o_orderdate) as bigint) as created, o_totalprice as price from orders
@@ -113,14 +116,14 @@ def model_catalog(spark, sf_dir):
     p = tables.table(spark, sf_dir, "part")
     pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int"))
     name = pick(FAMILIES, F.col("p_partkey") % len(FAMILIES))
-    files = p.select(F.concat(name, F.lit("_"), F.col("p_size").cast("string"), pick(SUFFIXES, F.floor(F.col("p_partkey") / 7) % len(SUFFIXES))).alias("filename"))
+    files = p.select(F.concat(name, F.lit("_"), F.col("p_size").cast("string"), pick(SUFFIXES, F.floor(F.col("p_partkey") / 7) % len(SUFFIXES))).alias("filename"), (F.col("p_partkey") * 1024).alias("size"))
     return ops.models(files)
 
 
 FAMILIES, SUFFIXES = ("yolo11n", "YOLOv8", "my_reid", "ReID_yolo", "resnet50", "LTTC", "notes"), (".pt", ".pth", ".engine", ".onnx", ".txt")
-MODEL_CATALOG = f"""with f as (select distinct (['{"', '".join(FAMILIES)}'])[p_partkey % 7 + 1] || '_' || p_size || (['{"', '".join(SUFFIXES)}'])[p_partkey // 7 % 5 + 1] as filename from part),
-k as (select filename, case when regexp_matches(filename, '(yolo|YOLO).*\\.(pt|engine)$') then 'detector' when regexp_matches(filename, '(reid|ReID|resnet|lttc|LTTC).*\\.(pth|pt|engine|onnx)$') and lower(filename) not like '%yolo%' then 'embedder' end as kind from f)
-select kind, filename, split_part(filename, '.', -1) as type, '/models/' || filename as path from k where kind is not null"""
+MODEL_CATALOG = f"""with f as (select (['{"', '".join(FAMILIES)}'])[p_partkey % 7 + 1] || '_' || p_size || (['{"', '".join(SUFFIXES)}'])[p_partkey // 7 % 5 + 1] as filename, max(p_partkey * 1024) as size from part group by 1),
+k as (select filename, size, case when regexp_matches(filename, '(yolo|YOLO).*\\.(pt|engine)$') then 'detector' when regexp_matches(filename, '(reid|ReID|resnet|lttc|LTTC).*\\.(pth|pt|engine|onnx)$') and lower(filename) not like '%yolo%' then 'embedder' end as kind from f)
+select kind, filename, split_part(filename, '.', -1) as type, '/models/' || filename as path, size from k where kind is not null"""
 
 
 def queue_messages(spark, sf_dir):
@@ -326,6 +329,22 @@ def downloadable_jobs(spark, sf_dir):
 DOWNLOADABLE_JOBS = f"with {JOBS} select job_id, status, output_video, (select count(*) from jobs where status = 'completed') as with_status from jobs where status = 'completed' and output_video is not null"
 
 
+def service_tables(spark, sf_dir):
+    """Jobs put into a table that is created once: asking for it again leaves its rows."""
+    name, at = f"jobs_{uuid.uuid4().hex}", folder(spark)
+    j = tables.jobs(spark, sf_dir)
+    ops.ensured(spark, name, ops.JOBS, at)
+    times = {c: F.timestamp_seconds(v) for c, v in (("created_at", "created"), ("started_at", "started"), ("completed_at", "completed"))}
+    own = {"job_id": F.col("job_id"), "status": F.col("status"), "progress": F.col("progress"), "output_video": F.col("output_video")} | times
+    kinds = dict(ops.ensured(spark, name, ops.JOBS, at).dtypes)
+    j.select(*[own.get(c, F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]).write.insertInto(name)
+    rows = ops.ensured(spark, name, ops.JOBS, at)
+    return rows.select("job_id", "status", F.unix_seconds("created_at").alias("created"), F.unix_seconds("completed_at").alias("completed"), "progress", "output_video", F.col("error_message").isNull().alias("no_error"))
+
+
+SERVICE_TABLES = f"with {JOBS} select job_id, status, created, completed, progress, output_video, true as no_error from jobs"
+
+
 def serial_ids(spark, sf_dir):
     """Configurations with those of new names numbered on from the largest id."""
     new = tables.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"))
