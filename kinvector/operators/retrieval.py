@@ -1,8 +1,9 @@
 """Nearest-neighbour joins and re-ranking.
 
 Scores come from NumPy matrix products over Arrow batches. A gallery below
-``SENT_BYTES`` goes to every task; for a larger one blocks of both sides meet in
-tiles of bounded size, and the best of each tile are merged by a window.
+``SENT_BYTES`` goes to every task; of a larger one, blocks of both sides meet in
+tiles of bounded size, except those that triangle bounds rule out (``pruned``),
+and the best of each tile are merged by a window.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinvector.sources.shared import written
+
 SENT_BYTES = 64 << 20
 TILE_BYTES = 16 << 20
+MOST_PIVOTS = 1024
 
 
 def scores(q: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
@@ -83,14 +87,7 @@ def top_k(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine"
 
         found = queries.select("q_id", "q").mapInArrow(run, out)
     else:
-
-        def best(q_ids, g_ids, s, _, seq):
-            import pyarrow as pa
-
-            rows, cols = ranked(s, seq, k)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q_ids[rows], g_ids[cols], seq[cols], s[rows, cols])], names=["q_id", "g_id", "seq", "score"])
-
-        found = dense(queries.select("q_id", "q"), gallery.select("g_id", "g", F.col("seq").alias("tag")), best, out, metric)
+        found = pruned(queries, gallery, k, metric)[0]
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "seq")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("q_id", "g_id", "rank", "score")
 
@@ -111,69 +108,211 @@ def dense(queries: DataFrame, gallery: DataFrame, fold, schema: str, metric: str
     (left, nl), (right, nr) = sides
     tiles = left.select("id", "v", "tag", F.lit(0).alias("side"), F.col("home").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("b"))
     tiles = tiles.unionByName(right.select("id", "v", "tag", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("a"), F.col("home").alias("b")))
-    tiles = tiles.repartition("a", "b").sortWithinPartitions("a", "b", "side", "id").select("a", "b", "side", "id", "tag", "v")
+    return met(tiles, ["a", "b"], ["tag"], lambda q, g, s, _: fold(q["id"], g["id"], s, q["tag"], g["tag"]), schema, metric)
+
+
+def met(tiles: DataFrame, keys: list[str], carried: list[str], fold, schema: str, metric: str = "cosine") -> DataFrame:
+    """What ``fold(left, right, scores, key)`` makes of every tile; it yields record batches.
+
+    ``tiles`` has a row for each vector (id, v, the carried columns) and tile that
+    it goes to (``keys``, whole numbers), on ``side`` 0 or 1. A tile is held by one
+    task, so its two sides must be of bounded size; left and right are its rows as
+    arrays by name, the left ones 512 at a time.
+    """
+    names = [*keys, "side"]
+    tiles = tiles.select(*names, "id", "v", *carried).repartition(*keys).sortWithinPartitions(*names, "id")
 
     def run(batches):
         now, parts = None, ([], [])
 
-        def met():
+        def meet():
             if parts[0] and parts[1]:
-                (qi, qt, q), (gi, gt, g) = ([np.concatenate(x) for x in zip(*p)] for p in parts)
-                for at in range(0, len(qi), 512):
-                    yield from fold(qi[at : at + 512], gi, scores(q[at : at + 512], g, metric), qt[at : at + 512], gt)
+                left, right = ({c: np.concatenate([x[c] for x in p]) for c in p[0]} for p in parts)
+                for at in range(0, len(left["id"]), 512):
+                    some = {c: x[at : at + 512] for c, x in left.items()}
+                    yield from fold(some, right, scores(some["v"], right["v"], metric), now)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b, side, ids, tags = (np.asarray(batch.column(c)) for c in ("a", "b", "side", "id", "tag"))
-            v = matrix(batch.column("v"))
-            change = np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (side[1:] != side[:-1])) + 1
-            for x, y in zip([0, *change.tolist()], [*change.tolist(), len(a)]):
-                if (a[x], b[x]) != now:
-                    yield from met()
-                    now, parts = (a[x], b[x]), ([], [])
-                parts[side[x]].append((ids[x:y], tags[x:y], v[x:y]))
-        yield from met()
+            at = np.stack([np.asarray(batch.column(c)) for c in names])
+            rows = {c: np.asarray(batch.column(c)) for c in ("id", *carried)} | {"v": matrix(batch.column("v"))}
+            change = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(0)) + 1
+            for x, y in zip([0, *change.tolist()], [*change.tolist(), batch.num_rows]):
+                if tuple(at[:-1, x].tolist()) != now:
+                    yield from meet()
+                    now, parts = tuple(at[:-1, x].tolist()), ([], [])
+                parts[at[-1, x]].append({c: r[x:y] for c, r in rows.items()})
+        yield from meet()
 
     return tiles.mapInArrow(run, schema)
 
 
-def across_cameras(found: DataFrame) -> DataFrame:
-    """(event_id_a, event_id_b, gap, cosine) of all pairs of a frame from different cameras, the smaller id first.
+def pruned(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine") -> tuple[DataFrame, DataFrame]:
+    """(q_id, g_id, seq, score: among them the k best of each query; one row of the tiles met and of all).
 
-    Rows are dealt by frame, sorted in the task and streamed; a frame's scores
-    are one matrix product, so vectors are not copied into pairs.
+    Exact, for galleries too large for one task. Gallery vectors are dealt to
+    their nearest of some ``MOST_PIVOTS`` pivots, which are vectors of the gallery
+    chosen by hash. A query's score with a vector can't pass that with its pivot
+    by more than the vector's distance to it; so a query first meets the pivots'
+    groups that are likely to hold its k best, and then only those groups that
+    can reach the k-th best score that it found. Groups and queries meet in tiles
+    of ``TILE_BYTES`` a side, whatever the size of a group.
     """
+    spark = queries.sparkSession
+    n, wide = gallery.agg(F.count("*"), F.coalesce(F.max(F.size("g")), F.lit(1))).first()
+    if not n:
+        return spark.createDataFrame([], "q_id long, g_id long, seq long, score double"), spark.createDataFrame([(0, 0, 0.0)], "met int, all long, skipped double")
+    rows = max(1, TILE_BYTES // (8 * max(1, wide)))  # of a tile's side
+    wanted = min(MOST_PIVOTS, max(1, int(n**0.5)))
+    chosen = gallery.orderBy(F.xxhash64("g_id"), "seq").limit(wanted).select("g").toArrow().combine_chunks()
+    own = (lambda v: v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)) if metric == "cosine" else (lambda v: v)
+    pivots = own(matrix(chosen.column("g").combine_chunks()))
+
+    def away(v):
+        """Distances to the pivots, from differences, which keep the bits that the product of large norms loses."""
+        return np.stack([np.sqrt(((v - p) ** 2).sum(1)) for p in pivots], 1)
+
+    def assign(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                d = away(own(matrix(batch.column("g"))))
+                to = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("g_id", "seq", "g")], pa.array(to), pa.array(d[np.arange(len(to)), to])], names=["g_id", "seq", "g", "c", "d"])
+
+    held = written(gallery.select(F.col("g_id").cast("long"), F.col("seq").cast("long"), "g").mapInArrow(assign, "g_id long, seq long, g array<double>, c long, d double"))
+    size, reach = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in held.groupBy("c").agg(F.count("*").alias("n"), F.max("d").alias("r")).collect():  # a row for each pivot
+        size[r["c"]], reach[r["c"]] = r["n"], r["r"]
+    parts = -(-size // rows)
+
+    def bounds(q):
+        """(upper bounds of the scores with each group, distances to the pivots)."""
+        q = own(q)
+        d = away(q)
+        best = q @ pivots.T + np.linalg.norm(q, axis=1, keepdims=True) * reach if metric == "cosine" else -np.maximum(0, d - reach)
+        return np.where(size > 0, best + 1e-9, -np.inf), np.where(size > 0, d, np.inf)
+
+    def first(q):
+        """For each query, whether it meets a group first: the nearest groups that hold k vectors."""
+        d = bounds(q)[1]
+        order = d.argsort(1, kind="stable")
+        before = np.cumsum(size[order], 1) - size[order]
+        at = np.zeros(d.shape, bool)
+        np.put_along_axis(at, order, (before < k) & (size[order] > 0), 1)
+        return at
+
+    def visits(df, choose, names):
+        def run(batches):
+            import pyarrow as pa
 
-    def pairs(ids, cameras, times, vectors):
+            for batch in batches:
+                if batch.num_rows:
+                    i, c = np.nonzero(choose(matrix(batch.column("q")), batch))
+                    yield pa.RecordBatch.from_arrays([batch.column("q_id").take(pa.array(i)), batch.column("q").take(pa.array(i)), pa.array(c)], names=["q_id", "q", "c"])
+
+        return written(df.select(*names).mapInArrow(run, "q_id long, q array<double>, c long"))
+
+    def answers(asked):
+        """(the k best of each query and tile, how many blocks of the gallery the queries met)."""
+        many = np.zeros(len(pivots), np.int64)
+        for r in asked.groupBy("c").agg(F.count("*").alias("n")).collect():
+            many[r["c"]] = r["n"]
+        table = spark.createDataFrame([(i, int(max(1, -(-m // rows))), int(p)) for i, (m, p) in enumerate(zip(many, parts)) if m and p], "_c long, q_blocks long, g_blocks long")  # a row for each pivot
+        at = lambda df, i: df.join(F.broadcast(table), F.col("c") == F.col("_c")).select("*", *[F.pmod(F.xxhash64(i), F.col(b)).alias(f"{b}_home") for b in ("q_blocks", "g_blocks")])
+        all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = at(asked, "q_id").select("c", F.col("q_blocks_home").alias("a"), all_of("g_blocks").alias("b"), F.lit(0).alias("side"), F.col("q_id").alias("id"), F.col("q").alias("v"), F.lit(0).cast("long").alias("seq"))
+        right = at(held, "g_id").select("c", all_of("q_blocks").alias("a"), F.col("g_blocks_home").alias("b"), F.lit(1).alias("side"), F.col("g_id").alias("id"), F.col("g").alias("v"), "seq")
+
+        def best(q, g, s, _):
+            import pyarrow as pa
+
+            i, j = ranked(s, g["seq"], k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (q["id"][i], g["id"][j], g["seq"][j], s[i, j])], names=["q_id", "g_id", "seq", "score"])
+
+        return written(met(left.unionByName(right), ["c", "a", "b"], ["seq"], best, "q_id long, g_id long, seq long, score double", metric)), int((many * parts).sum())
+
+    asked = visits(queries, lambda q, _: first(q), ["q_id", "q"])
+    found, met_first = answers(asked)
+    w = Window.partitionBy("q_id").orderBy(F.desc("score"), "seq")
+    least = found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == k).select(F.col("q_id").alias("_q"), F.col("score").alias("least"))
+    left_over = queries.join(least, F.col("q_id") == F.col("_q"), "left").select("q_id", "q", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    more = visits(left_over, lambda q, batch: ~first(q) & (bounds(q)[0] >= np.asarray(batch.column("least"))[:, None]) & (size > 0), ["q_id", "q", "least"])
+    other, met_later = answers(more)
+    asked_for = queries.agg((F.count("*") * F.lit(int(parts.sum()))).alias("all"))
+    report = asked_for.select(F.lit(met_first + met_later).alias("met"), "all", (1 - F.lit(met_first + met_later) / F.greatest("all", F.lit(1))).alias("skipped"))
+    return found.unionByName(other), report
+
+
+PAIRED = "event_id_a long, event_id_b long, gap double, cosine double"
+BLOCK_ROWS = 2000
+
+
+def homes(rows: DataFrame, group: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """(``rows`` with their block ``home`` of their group; group and its number of blocks): no block has many more than ``block`` rows."""
+    counts = written(rows.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / block).alias("blocks")))
+    at = rows.join(counts, F.col(group) == F.col("_g")).withColumn("home", F.pmod(F.xxhash64("event_id"), F.col("blocks")))
+    return at.drop("_g"), counts
+
+
+def inside(rows: DataFrame, group: str) -> DataFrame:
+    """Tiles in which all pairs of blocks of one group meet once: (a, b) with a at most b, kind 0."""
+    tile = lambda side, a, b: rows.select(F.col(group).alias("g"), F.lit(0).alias("kind"), a.alias("a"), b.alias("b"), F.lit(side).alias("side"), *tiled())
+    left = tile(0, F.col("home"), F.explode(F.sequence(F.col("home"), F.col("blocks") - 1)))
+    return left.unionByName(tile(1, F.explode(F.sequence(F.lit(0).cast("long"), F.col("home"))), F.col("home")))
+
+
+def tiled() -> list:
+    return [F.col("event_id").alias("id"), F.col("embedding").alias("v"), F.col("camera_id").alias("camera"), F.col("t")]
+
+
+def paired(tiles: DataFrame, within: float | None) -> DataFrame:
+    """Pairs of different cameras in each tile, once each."""
+
+    def fold(q, g, s, key):
         import pyarrow as pa
 
-        ids, cameras, times, v = np.array(ids), np.array(cameras), np.array(times), np.array(vectors)
-        u = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-8)
-        for at in range(0, len(ids), 512):
-            part = slice(at, at + 512)
-            i, j = np.nonzero((cameras[part, None] != cameras[None, :]) & (ids[part, None] < ids[None, :]))
-            if len(i):
-                s = u[part] @ u.T
-                columns = ids[part][i], ids[j], times[j] - times[part][i], s[i, j]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["event_id_a", "event_id_b", "gap", "cosine"])
+        ok = q["camera"][:, None] != g["camera"][None, :]
+        if key[1] == 0 and key[2] == key[3]:  # a block with itself
+            ok &= q["id"][:, None] < g["id"][None, :]
+        if within is not None:
+            ok &= np.abs(q["t"][:, None] - g["t"][None, :]) <= within
+        i, j = np.nonzero(ok)
+        if len(i):
+            turn = q["id"][i] > g["id"][j]
+            first, second, gap = np.where(turn, g["id"][j], q["id"][i]), np.where(turn, q["id"][i], g["id"][j]), np.where(turn, -1, 1) * (g["t"][j] - q["t"][i])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (first, second, gap, s[i, j])], names=["event_id_a", "event_id_b", "gap", "cosine"])
 
-    def run(batches):
-        held, now = None, None
-        for batch in batches:
-            x = matrix(batch.column("embedding"))
-            for frame, *row in zip(*(batch.column(c).to_pylist() for c in ("frame_id", "event_id", "camera_id", "t")), x):
-                if held is None or frame != now:
-                    if held:
-                        yield from pairs(*held)
-                    held, now = ([], [], [], []), frame
-                for kept, value in zip(held, row):
-                    kept.append(value)
-        if held:
-            yield from pairs(*held)
-
-    rows = found.select("frame_id", "event_id", "camera_id", "t", "embedding").repartition("frame_id").sortWithinPartitions("frame_id")
-    return rows.mapInArrow(run, "event_id_a long, event_id_b long, gap double, cosine double")
+    return met(tiles, ["g", "kind", "a", "b"], ["camera", "t"], fold, PAIRED)
+
+
+def across_cameras(found: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """(event_id_a, event_id_b, gap, cosine) of all pairs of a frame from different cameras, the smaller id first.
+
+    A frame of many rows is dealt in blocks that meet in pairs, so no task holds
+    a whole frame, and vectors are not copied into pairs.
+    """
+    rows, _ = homes(found.select("frame_id", "event_id", "camera_id", "t", "embedding"), "frame_id", block)
+    return paired(inside(rows, "frame_id"), None)
+
+
+def within_gap(found: DataFrame, most: float = 300.0, block: int = BLOCK_ROWS) -> DataFrame:
+    """(event_id_a, event_id_b, gap, cosine) of all pairs from different cameras at most ``most`` seconds apart, whatever their frames.
+
+    Rows are dealt to buckets of ``most`` seconds: such a pair lies in one bucket
+    or in two neighbours. A bucket of many rows is cut into blocks, and each block
+    meets the others of its bucket and those of the next.
+    """
+    rows = found.select("event_id", "camera_id", "t", "embedding", F.floor(F.col("t") / most).alias("bucket"))
+    rows, counts = homes(rows, "bucket", block)
+    tile = lambda df, side, g, a, b: df.select(g.alias("g"), F.lit(1).alias("kind"), a.alias("a"), b.alias("b"), F.lit(side).alias("side"), *tiled())
+    beside = lambda step: rows.join(counts.select((F.col("_g") - step).alias("_to"), F.col("blocks").alias("other")), F.col("bucket") == F.col("_to"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("other") - 1))
+    left = tile(beside(1), 0, F.col("bucket"), F.col("home"), every)  # meets the blocks of the next bucket
+    right = tile(beside(-1), 1, F.col("bucket") - 1, every, F.col("home"))
+    return paired(inside(rows, "bucket").unionByName(left).unionByName(right), most)
 
 
 def decision(score, match: float, new: float):

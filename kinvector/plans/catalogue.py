@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinvector.plans import detections, galleries, retrieval, service
+from kinvector.plans import detections, galleries, retrieval, service, streams
 
-MODULES = (retrieval, detections, service, galleries)
+MODULES = (retrieval, detections, service, galleries, streams)
 NAMES = """
 cosine_topk euclidean_topk nearest_entity_three_tier three_tier_inverted_thresholds decision_counts similarity_stats
 k_reciprocal_rerank k_reciprocal_topk spatiotemporal_rerank embedding_quality_check weighted_centroid unweighted_centroid
@@ -16,6 +16,7 @@ config_json_fields model_catalog queue_messages stream_metadata_check selection_
 job_insert job_by_id configs_changed_by_id config_answers configs_newest config_lookup jobs_with_news live_hash_writes video_downloads
 pipeline_counters streams_progress embedder_stats admission_with_force buffer_fill
 bounded_gallery_assign bounded_gallery_entities bounded_gallery_stats bounded_gallery_history worker_final_stats
+embedded_in_calls live_overlay streams_finished cross_camera_pairs pruned_topk overlapping_pairs
 bounded_gallery_resume bounded_gallery_stream bounded_gallery_epochs
 label_forms detection_batches frame_numbers matches_by_place downloadable_jobs serial_ids service_tables
 """.split()

@@ -6,11 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinvector.functions import boxes as box
-from kinvector.operators import buffers, scan
+from kinvector.operators import buffers, regions, scan
 from kinvector.plans.retrieval import BOXES
 from kinvector.sources import tables
 
-CORNERS = ("x1", "y1", "x2", "y2")
 #: Display colours by track.
 PALETTE = ("red", "green", "blue", "cyan", "magenta", "yellow", "orange", "purple", "teal", "lime", "pink", "brown")
 SLOTS, PRUNED, CAPACITY = 10, 20, 500
@@ -40,23 +39,16 @@ select camera_id, count(distinct frame_id) as frames, count(*) as detections, co
        count(*) filter (where stratum = 'low') as low, round(count(*) / count(distinct frame_id), 6) as per_frame from s group by camera_id"""
 
 
-def sides(d):
-    keys = ("camera_id", "frame_id")
-    return (d.select(*keys, *[F.col(c).alias(f"{s}{c}") for c in ("event_id", *CORNERS)]) for s in "ab")
-
-
-def overlaps(spark, sf_dir, kind):
-    a, b = sides(found(spark, sf_dir))
-    on = [a.camera_id == b.camera_id, a.frame_id == b.frame_id, a.aevent_id != b.bevent_id, box.overlap("a", "b") > 0.6]
-    return a.join(b, on, kind).select(F.col("aevent_id").alias("event_id"), "camera_id", "frame_id")
+def overlaps(spark, sf_dir, which):
+    return regions.overlapping(found(spark, sf_dir), ["camera_id", "frame_id"])[which].select("event_id", "camera_id", "frame_id")
 
 
 def overlapping_detections(spark, sf_dir):
-    return overlaps(spark, sf_dir, "left_semi")
+    return overlaps(spark, sf_dir, 0)
 
 
 def non_overlapping_detections(spark, sf_dir):
-    return overlaps(spark, sf_dir, "left_anti")
+    return overlaps(spark, sf_dir, 1)
 
 
 IOU = """i as (select a.event_id, a.camera_id, a.frame_id, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as inter,
@@ -66,6 +58,16 @@ OVERLAPPING_DETECTIONS = f"with {BOXES}, {IOU} select event_id, camera_id, frame
 NON_OVERLAPPING_DETECTIONS = f"with {BOXES}, {IOU} select event_id, camera_id, frame_id from d where event_id not in (from o)"
 
 
+def overlapping_pairs(spark, sf_dir):
+    """Pairs of boxes of one frame with their IoU, where it is above 0.55."""
+    return regions.overlapping_pairs(found(spark, sf_dir), ["camera_id", "frame_id"], 0.55).withColumn("iou", F.round("iou", 6))
+
+
+OVERLAPPING_PAIRS = f"""with {BOXES}, p as (select a.camera_id, a.frame_id, a.event_id as a, b.event_id as b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) as inter,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) as both_areas from d a join d b on a.camera_id = b.camera_id and a.frame_id = b.frame_id and a.event_id < b.event_id)
+select camera_id, frame_id, a, b, round(inter / (both_areas - inter), 6) as iou from p where inter / (both_areas - inter) > cast(0.55 as double)"""
+
+
 def valid_crops(spark, sf_dir):
     d = found(spark, sf_dir)
     shift = F.when(F.col("event_id") % 97 == 0, 400).otherwise(0)

@@ -164,6 +164,32 @@ SPATIOTEMPORAL_RERANK = f"""with {DETECTIONS}, p as (
 select event_id_a, event_id_b, round(look, 6) as appearance, round(time, 6) as closeness, round(cast(0.5 as double) * look + cast(0.5 as double) * time, 6) as combined from p"""
 
 
+def cross_camera_pairs(spark, sf_dir):
+    """Pairs of different cameras at most 300 seconds apart, the earlier id first, by appearance and time."""
+    pairs = retrieval.within_gap(tables.detections(spark, sf_dir))
+    look, time = F.col("cosine"), vector.time_score(F.abs("gap"))
+    return pairs.select("event_id_a", "event_id_b", F.round("gap", 3).alias("gap"), F.round(look, 6).alias("appearance"), F.round(0.5 * look + 0.5 * time, 6).alias("combined"))
+
+
+CROSS_CAMERA_PAIRS = f"""with {DETECTIONS}, p as (
+  select a.event_id as event_id_a, b.event_id as event_id_b, b.t - a.t as gap, {COSINE.format(a='a.embedding', b='b.embedding')} as look
+  from det a join det b on a.t between b.t - 300 and b.t + 300 and a.camera_id <> b.camera_id and a.event_id < b.event_id)
+select event_id_a, event_id_b, round(gap, 3) as gap, round(look, 6) as appearance, round(cast(0.5 as double) * look + cast(0.5 as double) * exp(-abs(gap) / 60), 6) as combined from p"""
+
+
+def pruned_topk(spark, sf_dir):
+    """The five nearest vectors of each, as for a gallery that no task can hold."""
+    v = vectors(spark, sf_dir)
+    found, _ = retrieval.pruned(v.select(F.col("id").alias("q_id"), F.col("v").alias("q")), v.select(F.col("id").alias("g_id"), F.col("id").alias("seq"), F.col("v").alias("g")), 5)
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("score"), "seq"))
+    return found.withColumn("rank", rank).where("rank <= 5").select("q_id", "g_id", "rank", F.round("score", 6).alias("score"))
+
+
+PRUNED_TOPK = COSINE_TOPK
+
+
 def embedding_quality_check(spark, sf_dir):
     """Scores of pairs of equal and of different labels, summed inside the tasks."""
 
