@@ -1,10 +1,12 @@
 """SpotSigs fingerprints, with DataFrame operations only.
 
 A spot signature is a common word (the anchor) and the chain of the next two
-content words. A text's signatures are its spots and its words, by one rule
-for texts of any length and language. A document's fingerprint is its whole set of signature hashes
-and its size, however long the text. Likeness is the Jaccard similarity of two
-whole sets.
+content words, whatever common words stand between these; of a run of common
+words, the last is the anchor. A document's fingerprint is its whole set of spot
+signatures, however long the text. Likeness is the Jaccard similarity of two
+whole sets. Where both texts of a pair have fewer than ``FEW`` spots, as very
+short ones do and those of languages whose common words are not known, their
+sets of words are compared instead, which the fingerprints of such texts hold too.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import below, cut
+from kinvector.llm.common import below, bound, cut
 
 BUCKET_ROWS, MOST_BUCKETS = 500, 10_000
 #: Common words of English, French, German and Spanish.
@@ -27,48 +29,54 @@ ANCHORS = (
 )
 
 
-def one_of(words: list[str]) -> str:
-    """A pattern of the words that shares their beginnings, so that few alternatives are tried at a place."""
-    tails: dict[str, list[str]] = {}
-    for w in sorted(words):
-        if w:
-            tails.setdefault(w[0], []).append(w[1:])
-    parts = [c + (one_of(rest) if rest != [""] else "") for c, rest in tails.items()]
-    if not parts:
-        return ""
-    body = parts[0] if len(parts) == 1 and "" not in words else f"(?:{'|'.join(parts)})"
-    return f"{body}?" if "" in words else body
+#: Spots below which a fingerprint also holds the words.
+FEW = 16
 
 
-ANY = f"{one_of(ANCHORS)} "
-SPOT = rf"(?<= )(?=({ANY}(?:{ANY})*+[^ ]+ (?:{ANY})*+[^ ]+ ))"
+def hashes(text):
+    """struct<spots, words>: distinct hashes of a text's spots and, where these are few, of its words; without words, of itself.
 
+    Time is linear in the text: words are looked up once, and a content word
+    finds its anchor and the next content word by their places.
+    """
+    plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+    common = lambda w: w.isin(*ANCHORS)
+
+    def spots(content):
+        def spot(x, k):
+            after = F.get(content, k + 1)
+            return F.when(common(x["before"]) & after.isNotNull(), F.xxhash64(x["before"], x["w"], after["w"]))
 
-def signatures(text):
-    """Distinct signature hashes of a text: its spots and its words; without words, itself."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+        return F.array_distinct(F.filter(F.transform(content, spot), lambda h: h.isNotNull()))
 
-    def of(plain):
-        both = F.concat(F.regexp_extract_all(plain, F.lit(SPOT), F.lit(1)), F.split(F.trim(plain), " "))
-        return F.when(F.trim(plain) != "", both).otherwise(F.array(text))
+    def of(ws):
+        placed = F.transform(ws, lambda w, i: F.struct(F.get(ws, i - 1).alias("before"), w.alias("w")))
+        found = bound(F.filter(placed, lambda x: ~common(x["w"])), spots)
+        own = F.when(F.size(ws) > 0, F.transform(F.array_distinct(ws), lambda w: F.xxhash64(w))).otherwise(F.array(F.xxhash64(text)))
+        none = F.array().cast("array<bigint>")
+        return bound(found, lambda f: F.struct(f.alias("spots"), F.when(F.size(f) < FEW, own).otherwise(none).alias("words")))
 
-    return F.array_distinct(F.transform(F.transform(F.array(plain), of)[0], lambda s: F.xxhash64(s)))
+    return bound(F.when(plain != "", F.split(plain, " ")).otherwise(F.array().cast("array<string>")), of)
 
 
 def fingerprint(text):
-    """struct<n, low>: size of the set and all its hashes, lowest first."""
-    hashes = F.sort_array(signatures(text))
-    return F.transform(F.array(hashes), lambda h: F.struct(F.size(h).cast("long").alias("n"), h.alias("low")))[0]
+    """struct<n, spots, words>: how many spots a text has, their hashes and those of its words, lowest first."""
+    return bound(hashes(text), lambda h: F.struct(F.size(h["spots"]).cast("long").alias("n"), F.sort_array(h["spots"]).alias("spots"), F.sort_array(h["words"]).alias("words")))
 
 
 def written(fp):
-    return F.concat(fp["n"].cast("string"), F.lit(":"), F.lower(F.concat_ws(",", F.transform(fp["low"], lambda h: F.lpad(F.hex(h), 16, "0")))))
+    """The count of spots, their hashes, and those of the words where the fingerprint has them."""
+    hexed = lambda hs: F.lower(F.concat_ws(",", F.transform(hs, lambda h: F.lpad(F.hex(h), 16, "0"))))
+    return F.concat(fp["n"].cast("string"), F.lit(":"), hexed(fp["spots"]), F.when(fp["n"] < FEW, F.concat(F.lit(";"), hexed(fp["words"]))).otherwise(F.lit("")))
+
+
+def jaccard(a, b):
+    return bound(F.size(F.array_intersect(a, b)), lambda both: both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
 def likeness(a, b):
-    """Jaccard similarity of two fingerprints."""
-    both = F.size(F.array_intersect(a["low"], b["low"]))
-    return both / (a["n"] + b["n"] - both)
+    """Jaccard similarity of two fingerprints: of their spots, or of their words where both have few spots."""
+    return F.when((a["n"] < FEW) & (b["n"] < FEW), jaccard(a["words"], b["words"])).otherwise(jaccard(a["spots"], b["spots"]))
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -118,10 +126,10 @@ def edited(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, n_chars, text, edited, fp, edited_fp, near_edited, near_next.
 
-    Defined cases: a null text is empty; an empty text has one signature, its
-    own; rows that share a doc_id follow each other by a hash of the text; null
+    Defined cases: a null text is empty; a text without words has one signature,
+    its own; rows that share a doc_id follow each other by a hash of the text; null
     ids come last; a single document is its own next; an empty table gives no
-    rows.
+    rows; only doc_id and text are read, so other columns may have any name.
     """
     rows = neighbours(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     k = F.floor(F.col("n_chars") / 3).cast("int")
@@ -131,24 +139,30 @@ def edited(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of classes of equal signature sets whose Jaccard similarity reaches the threshold: a, b, likeness.
+    """Pairs of classes of equal fingerprints whose likeness reaches the threshold: a, b, likeness.
 
     Classes are named by their smallest doc_id. Set lengths are cut into
     partitions such that only neighbours can hold similar sets; within them,
     sets meet through the rarest signatures of each (as many as the threshold
-    lets differ, and one), and are compared in full.
+    lets differ, and one), and are compared in full. Sets of spots meet where one
+    side has ``FEW`` or more, sets of words where neither has.
     """
-    sets = docs.where("doc_id is not null").select("doc_id", F.sort_array(signatures(F.coalesce("text", F.lit("")))).alias("s"))
-    sets = cut(sets.groupBy(F.xxhash64("s").alias("h"), F.size("s").alias("n")).agg(F.min(F.struct("doc_id", "s")).alias("m")).select(F.col("m.doc_id").alias("id"), "n", F.col("m.s").alias("s")))
+    kinds = F.array(
+        F.when(F.col("fp.n") >= F.ceil(F.lit(FEW * threshold)), F.struct(F.lit("spots").alias("kind"), F.col("fp.spots").alias("s"))),
+        F.when(F.col("fp.n") < FEW, F.struct(F.lit("words").alias("kind"), F.col("fp.words").alias("s"))),
+    )
+    prints = docs.where("doc_id is not null").select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fp"))
+    classes = cut(prints.groupBy(F.xxhash64("fp").alias("h")).agg(F.min(F.struct("doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias("id"), F.col("m.fp").alias("fp")))
+    sets = classes.select("id", F.col("fp.n").alias("spots"), F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("x")).select("id", "spots", "x.kind", "x.s", F.size("x.s").alias("n"))
     part = F.floor(F.log("n") / F.log(F.lit(1 / threshold))).cast("int")
-    each = sets.select("id", "n", part.alias("part"), F.explode("s").alias("h"))
-    seen = each.groupBy("h").agg(F.count("*").alias("k"))
-    rare = each.join(seen, "h").groupBy("id", "n", "part").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("s"))
+    each = sets.select("id", "kind", "spots", "n", part.alias("part"), F.explode("s").alias("h"))
+    seen = each.groupBy("kind", "h").agg(F.count("*").alias("k"))
+    rare = each.join(seen, ["kind", "h"]).groupBy("id", "kind", "spots", "n", "part").agg(F.sort_array(F.collect_list(F.struct("k", "h"))).alias("s"))
     first = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    probe = rare.select("id", "n", "part", F.explode(first).alias("x")).where("x.k > 1").select("id", "n", "part", "x.h")
-    left = probe.select(F.col("id").alias("a"), F.col("n").alias("na"), "part", "h")
-    right = probe.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.explode(F.array("part", F.col("part") - 1, F.col("part") + 1)).alias("part"), "h")
-    pairs = left.join(right, ["part", "h"]).where("a < b").where(F.least("na", "nb") >= F.greatest("na", "nb") * threshold).select("a", "b").distinct()
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("likeness")).where(F.col("likeness") >= threshold)
+    probe = rare.select("id", "kind", "spots", "n", "part", F.explode(first).alias("x")).where("x.k > 1").select("id", "kind", "spots", "n", "part", "x.h")
+    left = probe.select(F.col("id").alias("a"), "kind", F.col("spots").alias("sa"), F.col("n").alias("na"), "part", "h")
+    right = probe.select(F.col("id").alias("b"), "kind", F.col("spots").alias("sb"), F.col("n").alias("nb"), F.explode(F.array("part", F.col("part") - 1, F.col("part") + 1)).alias("part"), "h")
+    able = F.least("na", "nb") >= F.greatest("na", "nb") * threshold
+    pairs = left.join(right, ["kind", "part", "h"]).where("a < b").where(able & ((F.col("kind") == "words") | (F.greatest("sa", "sb") >= FEW))).select("a", "b").distinct()
+    both = pairs.join(classes.select(F.col("id").alias("a"), F.col("fp").alias("fa")), "a").join(classes.select(F.col("id").alias("b"), F.col("fp").alias("fb")), "b")
+    return both.select("a", "b", likeness(F.col("fa"), F.col("fb")).alias("likeness")).where(F.col("likeness") >= threshold)

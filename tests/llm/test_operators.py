@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -431,7 +432,7 @@ def test_spots(spark, docs, rows, none):
     assert len(out) == len(rows)
     prints = {}
     for r in out:
-        prints.setdefault(r.text, set()).add((r.fp.n, tuple(r.fp.low)))
+        prints.setdefault(r.text, set()).add((r.fp.n, tuple(r.fp.spots), tuple(r.fp.words)))
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert all(len(x) == 1 for x in prints.values())
     ids = [r[0] for r in order]
@@ -445,10 +446,11 @@ def test_spots(spark, docs, rows, none):
     pairs = {(r.a, r.b): r.likeness for r in spotsigs.near_pairs(docs).collect()}
     assert all(v >= 0.8 for v in pairs.values())
     sets = {}
-    for r in spark.createDataFrame(rows, SCHEMA).where("doc_id is not null").selectExpr("doc_id", "coalesce(text, '') as text").select("doc_id", spotsigs.signatures("text").alias("s")).collect():
-        sets.setdefault(frozenset(r.s), []).append(r.doc_id)
-    want = {tuple(sorted((min(i), min(j)))) for (x, i), (y, j) in itertools.combinations(sets.items(), 2) if len(x & y) >= 0.8 * len(x | y)}
-    assert {tuple(sorted(p)) for p in pairs} == want
+    for i, t, *_ in rows:
+        if i is not None:
+            sets.setdefault(tuple(map(frozenset, plain_spots(t or ""))), []).append(i)
+    want = {tuple(sorted((min(i), min(j)))) for (x, i), (y, j) in itertools.combinations(sets.items(), 2) if plain_likeness(x, y) >= 0.8}
+    assert {tuple(sorted(p)) for p in pairs} == want and len(want) > 2
 
 
 def test_spots_of_outlying_and_shared_ids(spark, monkeypatch):
@@ -466,49 +468,53 @@ def test_spots_of_outlying_and_shared_ids(spark, monkeypatch):
         assert got[t] == t[: len(t) - k] + u[:k]
 
 
-def test_spots_of_long_texts_are_whole(spark):
-    r = random.Random(7)
-    texts = [" ".join(r.choice(["the", "of", "in", *(f"w{r.randint(0, 40)}" for _ in range(4))]) for _ in range(n)) for n in (1500, 1500, 2500, 900)]
-    texts.append(texts[0] + " the last words")
-    out = spotsigs.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    edited = {x.doc_id: x.edited for x in out}
-    data = [(i, 0, t) for i, t in enumerate(texts)] + [(i, 1, t) for i, t in edited.items()]
-    sets = {(x.doc_id, x.e): set(x.s) for x in spark.createDataFrame(data, "doc_id long, e int, text string").select("doc_id", "e", spotsigs.signatures("text").alias("s")).collect()}
-    share = lambda x, y: len(x & y) / len(x | y)
-    for x in out:
-        mine, after = sets[x.doc_id, 0], sets[(x.doc_id - 1) % len(texts), 0]
-        assert len(mine) > 200 and set(x.fp.low) == mine and x.fp.n == len(mine) and set(x.edited_fp.low) == sets[x.doc_id, 1]
-        assert x.near_edited == share(mine, sets[x.doc_id, 1]) and x.near_next == share(mine, after)
+def plain_spots(text):
+    """(spots, words if there are few spots) of a text, word by word."""
+    words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split()
+    content = [(words[i - 1] if i else None, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    spots = {(a, w, content[k + 1][1]) for k, (a, w) in enumerate(content[:-1]) if a in spotsigs.ANCHORS}
+    return spots, (set(words) or {("", text)}) if len(spots) < spotsigs.FEW else set()
+
+
+def plain_likeness(x, y):
+    kind = 1 if max(len(x[0]), len(y[0])) < spotsigs.FEW else 0
+    return len(x[kind] & y[kind]) / len(x[kind] | y[kind])
 
 
 def test_spots_against_plain_ones(spark):
-    regex = pytest.importorskip("regex")
     r = random.Random(10)
     vocabulary = ["the", "of", "der", "las", "alpha", "Été", "x1", "the", "b", "日本", "and,", "Gamma!", "a-b"]
-    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 90))) for _ in range(40)] + ["the", "the of alpha", "the alpha of beta", "", "?!"]
-
-    def plain(text):
-        words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split()
-        out = set(words)
-        for i, w in enumerate(words):
-            if w in spotsigs.ANCHORS:
-                chain = [j for j in range(i + 1, len(words)) if words[j] not in spotsigs.ANCHORS][:2]
-                if len(chain) == 2:
-                    out.add(" ".join(words[i : chain[1] + 1]) + " ")
-        return out or {text}
-
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 90))) for _ in range(40)] + ["the", "the of alpha", "the alpha of beta", "", "?!", None]
+    texts += [" ".join(r.choice(["the", "of", "in", *(f"w{r.randint(0, 40)}" for _ in range(4))]) for _ in range(n)) for n in (1500, 1500, 2500, 900)]
+    texts += [texts[-1] + " the last words", "no common words here " * 30, "no common words here " * 29 + "but one"]
     for x in spotsigs.edited(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
-        one, two, after = plain(x.text), plain(x.edited), plain(texts[x.doc_id - 1])
-        assert (x.fp.n, x.edited_fp.n) == (len(one), len(two)), x.text
-        assert x.near_edited == len(one & two) / len(one | two) and x.near_next == len(one & after) / len(one | after)
-
-
-def test_spots_follow_one_rule_for_short_texts(spark):
-    texts = [" ".join(f"the {w}{i} {w}{i}x" for i in range(9) for w in ("n",)), None, "", "...", "Ünï 日本語 the"]
-    texts[1] = texts[0].rsplit(" the ", 2)[0]  # seven spots, or fewer than eight
-    got = [set(x.s) for x in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(spotsigs.signatures("text").alias("s")).collect()]
-    assert got[1] < got[0] and len(got[1]) / len(got[0]) > 0.7
-    assert len(got[2]) == len(got[3]) == 1 and got[2] != got[3] and len(got[4]) == 3
+        one, two, after = plain_spots(x.text), plain_spots(x.edited), plain_spots(texts[x.doc_id - 1] or "")
+        assert (x.fp.n, x.edited_fp.n, len(x.fp.words)) == (len(one[0]), len(two[0]), len(one[1])), x.text
+        assert x.near_edited == plain_likeness(one, two) and x.near_next == plain_likeness(one, after)
+
+
+def test_spots_of_short_texts_around_the_line(spark):
+    """A text with FEW spots and its copy with fewer are compared by spots; two short ones by words."""
+    long = " ".join(f"the n{i} m{i}" for i in range(spotsigs.FEW))
+    short = long.rsplit(" the ", 1)[0]
+    for a, b, want in ((long, short, (spotsigs.FEW - 1) / spotsigs.FEW), (short, short + " more", None), ("", None, 1.0), ("...", "", 0.0)):
+        df = spark.createDataFrame([(a or "", b or "")], "a string, b string")
+        got = df.select(spotsigs.likeness(spotsigs.fingerprint(spotsigs.F.col("a")), spotsigs.fingerprint(spotsigs.F.col("b")))).first()[0]
+        assert got == plain_likeness(plain_spots(a or ""), plain_spots(b or "")) and got == (want if want is not None else got)
+    pairs = spotsigs.near_pairs(spark.createDataFrame([(1, long), (2, short), (3, short + " more"), (4, "une autre"), (5, None)], "doc_id long, text string"))
+    assert {(r.a, r.b) for r in pairs.collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_long_runs_of_common_words_take_linear_time(spark):
+    import time
+
+    texts = ["alpha beta " + "the " * 200_000 + "last words", "of " * 150_000, ("the of in " * 30_000 + "a b c d ") * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    df.limit(0).collect()
+    began = time.time()
+    out = {r.doc_id: r for r in spotsigs.edited(df).select("doc_id", "fp", "near_edited").collect()}
+    assert time.time() - began < 30  # 100 seconds for 20,000 where a run is looked over from each of its words
+    assert out[0].fp.n == 1 and len(out[0].fp.words) == 5 and out[1].fp.n == 0
 
 
 @pytest.mark.parametrize("hot", [2, 20_000])
