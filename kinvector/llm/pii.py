@@ -8,7 +8,8 @@ value itself. Patterns and instances form a graph. A pattern's score for a kind
 is the mean score of its distinct instances; a candidate's is the noisy-or of its
 patterns. Scores are iterated until no new instance is accepted: accepted
 candidates support patterns in the next round, and candidates that end above
-``accept`` become spans of the kind, the best and longest where they overlap.
+``accept`` become spans of the kind, which don't overlap. ``recovered`` hides
+part of the seeds and tells how many of them the patterns find again.
 
 All positions of a text come from one pass of each pattern: running sums go over
 chunks of ``CHUNK`` matches and over chunks, so that time stays linear in the
@@ -234,10 +235,25 @@ def bootstrap(scan: DataFrame, rounds: int, support: int, precise: float, accept
 
 
 def apart(spans):
-    """Of spans in order of preference, those that none before them touches, by start."""
+    """Of spans by start, and at one start by preference, those that none kept before them touches.
+
+    A chunk of ``CHUNK`` spans is gone over at a time, so arrays that grow stay short and time linear.
+    """
     none = F.array().cast(f"array<{SPAN}>")
-    keep = F.aggregate(spans, none, lambda kept, x: F.when(F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), kept).otherwise(F.concat(kept, F.array(x))))
-    return F.sort_array(keep)
+
+    def step(s, x):
+        free = x["start"] >= s["end"]
+        return F.struct(F.when(free, x["end"]).otherwise(s["end"]).alias("end"), F.when(free, F.concat(s["kept"], F.array(x))).otherwise(s["kept"]).alias("kept"))
+
+    def chunk(xs, s, c):
+        part = F.aggregate(F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)), F.struct(s["end"].alias("end"), none.alias("kept")), step)
+        return bound(part, lambda p: F.struct(p["end"].alias("end"), F.concat(s["all"], F.array(p["kept"])).alias("all")))
+
+    def whole(xs):
+        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / CHUNK).cast("int"))
+        return F.flatten(F.aggregate(starts, F.struct(F.lit(0).alias("end"), F.array().cast(f"array<array<{SPAN}>>").alias("all")), lambda s, c: chunk(xs, s, c), lambda s: s["all"]))
+
+    return bound(spans, lambda xs: F.when(F.size(xs) > 1, whole(xs)).otherwise(xs))
 
 
 def personal_data(docs: DataFrame, rounds: int = 8, support: int = 5, precise: float = 0.6, accept: float = 0.75) -> DataFrame:
@@ -248,17 +264,19 @@ def personal_data(docs: DataFrame, rounds: int = 8, support: int = 5, precise: f
 
     Defined cases: a null or empty text has no spans; repeated rows get a row
     each; base spans of two kinds may overlap, added ones and secrets touch no
-    base span and not each other; where added spans compete the higher score,
-    then the longer, then the first one stays; an empty table gives no rows.
+    base span and not each other; where they compete the one that begins first
+    stays, at one place that of the higher score, then the longer one; an empty
+    table gives no rows; only doc_id and text are read, so other columns may have
+    any name.
     """
     scan = cut(scanned(docs))
     taken = bootstrap(scan, rounds, support, precise, accept)
     best = taken.groupBy("value").agg(F.max(F.struct("score", -F.col("rank"))).alias("m")).select("value", F.col("m.score").alias("score"), (-F.col("m.col2")).alias("rank"))
     words = scan.select("doc_id", "th", F.explode("words").alias("x")).distinct().select("doc_id", "th", "x.start", "x.end", "x.value")
-    order = F.struct((-F.col("score")).alias("score"), (F.col("start") - F.col("end")).alias("size"), "start", "rank", "end", "value")
+    order = F.struct("start", (-F.col("score")).alias("score"), (F.col("start") - F.col("end")).alias("size"), "rank", "end", "value")
     more = words.join(best, "value").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(order)).alias("more"))
     more = more.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.transform("more", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["value"].alias("value"))).alias("more"))
-    more = more.withColumn("more", F.when(F.size("more") > 1, apart(F.col("more"))).otherwise(F.col("more")))
+    more = more.withColumn("more", apart(F.col("more")))
     out = scan.join(more, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     of = lambda secret: F.coalesce(F.filter("more", lambda x: (x["rank"] == SECRET) == F.lit(secret)), F.array().cast(f"array<{SPAN}>"))
     return out.select("doc_id", "base", of(False).alias("added"), of(True).alias("secrets"))
@@ -269,5 +287,24 @@ def count_of(spans, kind: str):
 
 
 def written(spans):
-    """kind:start:end, joined by commas, in the order of the spans."""
-    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))))
+    """kind:start:end, joined by commas, in the order of the spans; secrets are a kind of their own."""
+    return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, (*KINDS, "secret"))), x["rank"] + 1), x["start"].cast("string"), x["end"].cast("string"))))
+
+
+def recovered(docs: DataFrame, part: int = 10, rounds: int = 8, support: int = 5, precise: float = 0.6, accept: float = 0.75) -> DataFrame:
+    """What the patterns find of seeds that were hidden: kind, hidden, found, wrong, and other, a row for each kind.
+
+    Seeds whose value has a hash that ``part`` divides are made candidates.
+    ``found`` of the ``hidden`` values are accepted for their own kind, ``wrong``
+    for another; ``other`` values that are no seeds are accepted besides.
+    """
+    secret = lambda x: F.crc32(x["value"].cast("binary")) % part == 0
+    scan = scanned(docs)
+    hidden = scan.select(F.explode(F.filter("seeds", secret)).alias("x")).select("x.value", "x.rank").distinct()
+    hide = F.transform(F.filter("seeds", secret), lambda x: F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("end"), x["value"].alias("value"), x["c"].alias("c")))
+    scan = cut(scan.select("doc_id", "th", F.concat("words", hide).alias("words"), F.filter("seeds", lambda x: ~secret(x)).alias("seeds")))
+    seeds = scan.select(F.explode("seeds").alias("x")).select("x.value").distinct()
+    taken = bootstrap(scan, rounds, support, precise, accept).join(seeds, "value", "left_anti").groupBy("value").agg(F.max(F.struct("score", -F.col("rank"))).alias("m")).select("value", (-F.col("m.col2")).alias("said"))
+    rows = cut(hidden).join(taken, "value", "full_outer")
+    kind = F.element_at(F.array(*map(F.lit, (*KINDS, "secret"))), F.coalesce("rank", "said") + 1)
+    return rows.groupBy(kind.alias("kind")).agg(F.count("rank").alias("hidden"), F.count_if(F.col("rank") == F.col("said")).alias("found"), F.count_if(F.col("rank") != F.col("said")).alias("wrong"), F.count_if(F.col("rank").isNull()).alias("other"))

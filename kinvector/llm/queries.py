@@ -18,7 +18,7 @@ def vocabulary(name: str) -> str:
 def op1_personal_data(spark, sf_dir):
     out = pii.personal_data(table(spark, sf_dir, "documents"))
     counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    spans = pii.written(F.sort_array(F.concat("base", "added")))
+    spans = pii.written(F.sort_array(F.concat("base", "added", "secrets")))
     more = [F.size("added").cast("long").alias("n_added"), F.size("secrets").cast("long").alias("n_secret"), F.size(F.concat("base", "added", "secrets")).cast("long").alias("n_found")]
     return out.select("doc_id", *counts, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans.alias("spans"), *more)
 
