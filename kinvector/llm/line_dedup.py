@@ -10,7 +10,8 @@ with fingerprint and count arrays, and documents probe the arrays.
 3. Documents probe the arrays. While the index is small (``HELD_SHARDS``), each
    task reads it once and keeps it while it streams its documents, so lines are
    not shuffled again. A larger index is not read by every task: line hashes are
-   dealt to their shards instead, each shard is read by a few tasks, and the places
+   dealt to their shards instead, each shard is read by as many tasks as its lines
+   need by their counts (so those of a very common line are split), and the places
    of lines that go are joined to their documents. Both ways give the same.
 
 The number of shards follows the number of repeated lines, so a shard stays at
@@ -32,7 +33,9 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
 SHARD = "shard long, n long, salt long, sizes array<long>, bits binary, prints binary, counts binary, last binary"
-HELD_SHARDS, SALTS = 4, 16
+HELD_SHARDS = 4
+#: Lines that a task looks up in one shard of a large index, and shards whose table of tasks is broadcast.
+TASK_LINES, BROADCAST_SHARDS = 2_000_000, 100_000
 
 
 def key_column(line):
@@ -153,7 +156,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_ke
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     at_text, place = docs.columns.index("text"), len(docs.columns)
     if n_shards > HELD_SHARDS:
-        lines = routed(docs, root, n_shards, min_chars, min_docs).alias("r")
+        lines = routed(docs, found, root, n_shards, min_chars, min_docs).alias("r")
         docs = docs.alias("d").join(lines, F.col("d.doc_id").eqNullSafe(F.col("r._d")) & (F.xxhash64("d.text") == F.col("r._t")), "left").select("d.*", "r._gone")
 
     def lines_gone(lines, ids, index):
@@ -195,10 +198,16 @@ def shard_of(n_shards: int):
     return F.pmod(F.xxhash64(F.lit("shard"), "h", "print"), F.lit(n_shards))
 
 
-def routed(docs: DataFrame, root: str, n_shards: int, min_chars: int, min_docs: int) -> DataFrame:
+def tasks_of(found: DataFrame, n_shards: int) -> DataFrame:
+    """(_shard, tasks): over how many tasks the lines of each shard are dealt, by the documents that hold its repeated lines."""
+    return found.groupBy(shard_of(n_shards).alias("_shard")).agg(F.ceil(F.sum("n") / TASK_LINES).alias("tasks"))
+
+
+def routed(docs: DataFrame, found: DataFrame, root: str, n_shards: int, min_chars: int, min_docs: int) -> DataFrame:
     """(_d, _t, _gone): places of the lines that go, by doc_id and hash of the text.
 
-    A shard is read by ``SALTS`` tasks at most, which share the rows of a very common line.
+    Lines that are not repeated are spread over the shards by hash; those that
+    are count for the tasks of their shard.
     """
     keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), key_column)
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(keys).alias("j", "k")).where(F.char_length("k") >= min_chars)
@@ -221,5 +230,8 @@ def routed(docs: DataFrame, root: str, n_shards: int, min_chars: int, min_docs:
                     drop[mine] = shard.dropped(h[mine], p[mine], ids[mine], min_docs)
             yield batch.select(["doc_id", "th", "j"]).filter(pa.array(drop))
 
-    found = lines.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).sortWithinPartitions("shard").mapInArrow(probe, "doc_id long, th long, j int")
-    return found.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("j").alias("_gone"))
+    tasks = cut(tasks_of(found, n_shards))
+    lines = lines.join(F.broadcast(tasks) if n_shards <= BROADCAST_SHARDS else tasks, F.col("shard") == F.col("_shard"), "left")
+    lines = lines.repartition("shard", F.pmod(F.xxhash64("doc_id", "th"), F.coalesce("tasks", F.lit(1)))).sortWithinPartitions("shard").drop("_shard", "tasks")
+    gone = lines.mapInArrow(probe, "doc_id long, th long, j int")
+    return gone.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set("j").alias("_gone"))

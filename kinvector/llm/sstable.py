@@ -9,7 +9,7 @@ A shard file holds documents in ascending key order:
     bloom    bits of a Bloom filter over the keys
     footer   fixed size: places of index and bloom, counts, id size, magic
 
-Spark deals the documents by ranges of doc_id; each task streams its range into
+Spark deals the documents by ranges of doc_id and of what their texts begin with; each task streams its range into
 one file of the shared folder, under a name of its own that is listed only if
 the task ends well, so lost executors and repeated attempts leave no trace in
 the table of shards.
@@ -25,13 +25,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import below, blocks, cut, mix, open_shared, shared_dir, sliced
+from kinvector.llm.common import blocks, cut, mix, open_shared, shared_dir, sliced
 from kinvector.llm.tokens import encoder
 
 MAGIC = b"KVSSTAB1"
 FOOTER = "<QQQQQQHH8s"  # index at, index size, bloom at, bloom size, documents, ids, id size, probes, magic
 ENTRY = "<BBI"
 INDEX = "<9sQI"
+#: Code points of a text by which documents that share a doc_id are dealt to shards.
+HEAD = 256
 SHARD = "shard int, path string, n_docs long, n_ids long"
 
 
@@ -147,17 +149,20 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, roo
     """Encodes documents into shard files below ``root``; one row per shard: shard, path, n_docs, n_ids.
 
     Shards are ranges of doc_id, as many as the input has partitions, so a
-    shard's size does not grow with the table. Rows that share a doc_id keep
-    their own entries side by side; null ids come first; a null text is empty.
-    ``most_words`` bounds the table of words in each Python worker (see
-    ``packing.pieces_of``).
+    shard's size does not grow with the table. ``most_words`` bounds the table of
+    words in each Python worker (see ``packing.pieces_of``).
+
+    Defined cases: a null or empty text is the end id alone; null ids come first;
+    rows that share a doc_id keep an entry each, side by side, by their texts, and
+    may stand in several shards; a shard without documents has no
+    file, so an empty table has none; only doc_id and text are read, so other
+    columns may have any name.
     """
     spark = docs.sparkSession
     root = root or shared_dir(spark)
     shards = shards or max(1, docs.rdd.getNumPartitions())
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    edges = rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 20 * shards)).first()[0] or []
-    edges = sorted(set(edges)) if shards > 1 else []
+    rows = rows.withColumn("head", F.substring("text", 1, HEAD)).repartitionByRange(shards, "doc_id", "head").sortWithinPartitions("doc_id", "text").drop("head")
 
     def write(batches):
         import pyarrow as pa
@@ -181,18 +186,15 @@ def write_shards(docs: DataFrame, tokenizer: str, keeps_blanks: bool = True, roo
             row = [TaskContext.get().partitionId()], [path.rpartition("/")[2]], [len(writer.keys)], [writer.n_ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["shard", "path", "n_docs", "n_ids"])
 
-    if edges:
-        rows = rows.withColumn("_shard", below(F.col("doc_id"), edges)).repartitionById(len(edges) + 1, F.col("_shard")).drop("_shard")
-    else:
-        rows = rows.coalesce(1)
-    done = cut(rows.sortWithinPartitions("doc_id", "text").mapInArrow(write, SHARD))
+    done = cut(rows.mapInArrow(write, SHARD))
     return done.withColumn("path", F.concat(F.lit(f"{root}/"), "path"))
 
 
 def read_shards(shards: DataFrame, digest) -> DataFrame:
     """Reads shard files back: doc_id, start, n_tokens and ``digest(ids)`` as ids_crc32 per document.
 
-    ``start`` counts the ids of all documents before it, over all shards.
+    ``start`` counts the ids of all documents before it, over all shards. Shards
+    without files are no rows, so an empty table of shards gives no documents.
     """
     start = F.sum("n_ids").over(Window.orderBy("shard")) - F.col("n_ids")  # a row per shard, not per document
     places = shards.select("path", start.alias("start"), "shard")

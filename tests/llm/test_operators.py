@@ -206,6 +206,31 @@ def test_shards(spark, docs, rows, none, tmp_path):
     assert sstable.read_shards(sstable.write_shards(none, path), sstable.crc_of).count() == 0
 
 
+def test_shards_of_one_doc_id(spark, tmp_path):
+    """Documents that all share an id, or have none, are spread over the shards."""
+    path = P.path("byte_bpe_50k.json")
+    for i in (7, None):
+        df = spark.createDataFrame([(i, f"{k} text") for k in range(400)], "doc_id long, text string").repartition(4)
+        shards = sstable.write_shards(df, path, root=str(tmp_path / f"s{i}"), shards=4).cache()
+        back = sstable.read_shards(shards, sstable.crc_of).collect()
+        assert shards.count() == 4 and len(back) == 400 and {r.doc_id for r in back} == {i}
+        starts = sorted((r.start, r.n_tokens) for r in back)
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
+def test_a_hot_line_is_looked_up_by_many_tasks(spark, monkeypatch):
+    hot = "this line stands in a third of all documents of the table"
+    rows = [(i, f"{hot}\nown line {i} of this document, which nobody else has" if i % 3 == 0 else f"a line that document {i % 50} and some others hold, thirty of them") for i in range(900)]
+    df = spark.createDataFrame(rows + [(5, hot), (5, hot), (None, hot)], "doc_id long, text string").repartition(5)
+    want = sorted(map(tuple, line_dedup.line_dedup(df).select("doc_id", "text", "n_lines", "n_dropped").collect()), key=key)
+    monkeypatch.setattr(line_dedup, "TASK_LINES", 40)
+    found = line_dedup.repeated(df, 40, 5)
+    tasks = {r["_shard"]: r["tasks"] for r in line_dedup.tasks_of(found, 7).collect()}
+    assert max(tasks.values()) >= 8 and found.count() == 51
+    got = sorted(map(tuple, line_dedup.line_dedup(df, shard_keys=5).select("doc_id", "text", "n_lines", "n_dropped").collect()), key=key)
+    assert got == want and sum(r[3] for r in want) > 800
+
+
 def test_language(spark, none):
     r = random.Random(2)
     words = {"en": "the and with that this have from they would there".split(), "fr": "les des une avec pour dans sont cette leur être".split()}
