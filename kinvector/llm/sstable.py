@@ -33,7 +33,7 @@ FOOTER = "<QQQQQQHH8s"  # index at, index size, bloom at, bloom size, documents,
 ENTRY = "<BBI"
 INDEX = "<9sQI"
 #: Code points of a text by which documents that share a doc_id are dealt to shards.
-HEAD = 256
+HEAD = 32
 SHARD = "shard int, path string, n_docs long, n_ids long"
 
 
