@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -282,6 +283,49 @@ def test_language_features():
     assert np.allclose(x, raw / np.sqrt((raw * raw).sum()))
 
 
+def test_ftrl_against_plain_steps():
+    """Follow-the-regularised-leader with elastic net, one number at a time."""
+    r, size, classes = random.Random(4), 12, 3
+    alpha, beta, l1, l2, epochs = 0.7, 1.1, 0.02, 0.05, 3
+    rows = []
+    for _ in range(60):
+        y = r.randrange(classes)
+        cols = sorted(r.sample(range(size), r.randint(1, 4)) + [])
+        rows.append((np.array(cols), np.array([r.uniform(0.1, 1) + (c % classes == y) for c in cols]), y))
+    z, n, w = ([[0.0] * classes for _ in range(size + 1)] for _ in range(3))
+    for _ in range(epochs):
+        for cols, x, y in rows:
+            pairs = [*zip(cols.tolist(), x.tolist()), (size, 1.0)]
+            logits = [sum(v * w[c][k] for c, v in pairs) for k in range(classes)]
+            e = [math.exp(a - max(logits)) for a in logits]
+            p = [a / sum(e) for a in e]
+            for c, v in pairs:
+                for k in range(classes):
+                    g = v * (p[k] - (k == y))
+                    sigma = (math.sqrt(n[c][k] + g * g) - math.sqrt(n[c][k])) / alpha
+                    z[c][k] += g - sigma * w[c][k]
+                    n[c][k] += g * g
+                    lead = max(abs(z[c][k]) - l1, 0.0)
+                    w[c][k] = -math.copysign(lead, z[c][k]) / ((beta + math.sqrt(n[c][k])) / alpha + l2)
+    got = language_id.fit_ftrl(rows, classes, size, alpha, beta, l1, l2, epochs)
+    assert np.allclose(got, w, atol=1e-12) and (got == 0).any() and (got != 0).any()
+    strong = language_id.fit_ftrl(rows, classes, size, alpha, beta, 1e6, l2, epochs)
+    assert not strong.any()  # the L1 penalty leaves nothing
+
+
+def test_temperature_against_a_grid():
+    r = np.random.default_rng(3)
+    y = r.integers(0, 3, 400)
+    for sharp in (0.2, 1.0, 5.0):
+        logits = sharp * (1.5 * np.eye(3)[y] + r.normal(size=(400, 3)))
+        loss = lambda t: np.mean([-math.log(max(math.exp(a[k] / t) / sum(math.exp(b / t) for b in a), 1e-12)) for a, k in zip(logits.tolist(), y)])
+        grid = np.exp(np.linspace(math.log(0.05), math.log(15), 250))
+        best = min(map(float, grid), key=loss)
+        t = language_id.fit_temperature(logits, y)
+        assert abs(math.log(t / best)) < 0.03 and loss(t) <= loss(best) + 1e-9
+    assert language_id.fit_temperature(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
+
+
 def brute_near(rows, k, percent):
     sets = {}
     for i, t, *_ in rows:
