@@ -286,7 +286,7 @@ def test_language_features():
 def test_ftrl_against_plain_steps():
     """Follow-the-regularised-leader with elastic net, one number at a time."""
     r, size, classes = random.Random(4), 12, 3
-    alpha, beta, l1, l2, epochs = 0.7, 1.1, 0.02, 0.05, 3
+    alpha, beta, l1, l2, epochs = 0.7, 1.1, 0.4, 0.05, 3
     rows = []
     for _ in range(60):
         y = r.randrange(classes)
