@@ -61,14 +61,18 @@ def bound(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def set_aside(docs: DataFrame, own: tuple[str, ...], step) -> DataFrame:
-    """``step`` of ``docs`` with the columns of ``docs``: others than ``own`` travel in one struct, so that no name of theirs clashes."""
+def set_aside(docs: DataFrame, own: tuple[str, ...], step, adds: tuple[str, ...] = ()) -> DataFrame:
+    """``step`` of ``docs`` with the columns of ``docs`` and those that it ``adds``.
+
+    Others than ``own`` travel in one struct, so that no name of theirs clashes
+    and a dot in one does no harm.
+    """
     extra = [c for c in docs.columns if c not in own]
     if not extra:
-        return step(docs).select(*docs.columns)
+        return step(docs).select(*docs.columns, *adds)
     quoted = lambda c: "`" + c.replace("`", "``") + "`"
     packed = docs.select(*[c for c in docs.columns if c in own], F.struct(*map(quoted, extra)).alias("set_aside"))
-    return step(packed).select(*[F.col("set_aside").getField(c).alias(c) if c in extra else F.col(c) for c in docs.columns])
+    return step(packed).select(*[F.col("set_aside").getField(c).alias(c) if c in extra else F.col(c) for c in docs.columns], *adds)
 
 
 def below(value, edges: list[int]):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinvector.llm.common import cut, sliced
+from kinvector.llm.common import cut, set_aside, sliced
 
 BITS = 15
 SAMPLE = "lang string, h long, cols array<int>, counts array<int>"
@@ -195,8 +195,13 @@ def language_id(docs: DataFrame, sample_per_lang: int = 1500) -> DataFrame:
     and so is every text if no row is labelled; of equal probabilities the first
     name by order is taken; a null doc_id is not held out;
     repeated rows are predicted each; an empty table gives no rows. Columns of
-    ``docs`` named lang_pred, score or held_out are replaced.
+    ``docs`` named lang_pred, score or held_out are replaced; others may have any name.
     """
-    docs = docs.drop("lang_pred", "score", "held_out").withColumn("held_out", held_out())
-    train = docs.where(~F.col("held_out") & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    return predict(docs, learn(train, sample_per_lang))
+
+    def told(held):
+        held = held.withColumn("held_out", held_out())
+        train = held.where(~F.col("held_out") & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+        return predict(held, learn(train, sample_per_lang))
+
+    added = ("held_out", "lang_pred", "score")
+    return set_aside(docs.drop(*added), ("doc_id", "text", "lang"), told, added)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinvector.llm.common import cut, mix, open_shared, shared_dir, sliced
+from kinvector.llm.common import cut, mix, open_shared, set_aside, shared_dir, sliced
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -144,10 +144,16 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, shard_ke
     Defined cases: a null or empty text is one empty line and becomes ''; rows
     with one doc_id count as separate documents, and each row with the largest
     id keeps its lines; a null doc_id is below all others; an empty table gives
-    an empty table. Columns of ``docs`` named n_lines or n_dropped are replaced.
+    an empty table. Columns of ``docs`` named n_lines or n_dropped are replaced;
+    others may have any name.
     """
+    added = ("n_lines", "n_dropped")
+    return set_aside(docs.drop(*added), ("doc_id", "text"), lambda held: without_lines(held, min_chars, min_docs, shard_keys), added)
+
+
+def without_lines(docs: DataFrame, min_chars: int, min_docs: int, shard_keys: int) -> DataFrame:
+    """As ``line_dedup``, of a table whose column names are known."""
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
     found = cut(repeated(docs, min_chars, min_docs))
     n = found.count()
     n_shards = max(1, -(-n // shard_keys))

@@ -738,6 +738,25 @@ def test_columns_of_clashing_names_travel(spark, rows):
     assert sorted(r["_gone"] for r in line_dedup.line_dedup(df, 1, 2, 1).select("_gone").collect()) == sorted(f"_gone{i}" for i in range(len(few)))
 
 
+def test_columns_with_a_dot_in_their_names_travel(spark, rows):
+    few = [r[:5] for r in rows[:30]] + [(900, None, None, None, 0)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "d.doc_id", "text.", "`", "set_aside", "n_lines"]
+    df = spark.createDataFrame([(*r, *[f"{c}{i}" for c in names[5:]]) for i, r in enumerate(few)], "doc_id long, text string, lang string, source string, n_chars long, `d.doc_id` string, `text.` string, ```` string, set_aside string, n_lines string")
+    plain = df.select("doc_id", "text", "lang", "source", "n_chars")
+    shape = lambda out, at: sorted(str([r[c] for c in at]) for r in out.collect())
+    want = {r["doc_id"]: tuple(r)[5:9] for r in df.collect()}
+    for op, added in ((language_id.language_id, ["held_out", "lang_pred", "score"]), (line_dedup.line_dedup, ["n_lines", "n_dropped"]), (lambda d: line_dedup.line_dedup(d, 1, 2, 1), ["n_lines", "n_dropped"])):
+        out = op(df)
+        assert out.columns == [c for c in names if c not in added] + added
+        assert {r["doc_id"]: tuple(r)[5:9] for r in out.collect()} == want
+        assert shape(out, ["doc_id", "text", *added]) == shape(op(plain), ["doc_id", "text", *added])
+    for op in (pii.personal_data, near_dedup.near_duplicates, repeats.drop_repeats, spotsigs.edited, mixing.mixture):
+        assert op(df).count() >= 20
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, "")
+        assert out.count() >= 1 and (name == "packing" or out.columns == names), name
+
+
 def test_names():
     names = registry.queries()
     assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(re.sub(r"\D", "", n.split("_")[0])))] == [f"op{i}" for i in range(1, 14)]
