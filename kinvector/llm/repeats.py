@@ -35,7 +35,7 @@ GRAM = 160
 SHARED = 36  # words of an anchor of shared passages
 HOT_CONTEXTS = 20_000
 BASE = 0xD6E8FEB86659FD93
-ANCHOR = "doc_id long, th long, pos int, before int, after int, ah long, ch long"
+ANCHOR = "doc_id long, th long, pos int, before int, after int, ah long, ch long, hs array<long>"
 POSITION_BITS = 20
 
 
@@ -130,33 +130,43 @@ def shared_windows(contexts: list[bytes], before: np.ndarray, owner: np.ndarray,
     return np.stack([i[first], s[first], s[last]]) if len(i) else np.zeros((3, 0), np.int64)
 
 
-def find_anchors(docs: DataFrame, length: int) -> DataFrame:
+def find_anchors(docs: DataFrame, length: int, words: int) -> DataFrame:
+    """Anchors by bytes, a row each (``hs`` is null), and a row for each text that has anchors by words (only ``hs``); one pass of the texts finds both."""
+
     def run(batches):
         import pyarrow as pa
 
-        t = tables()
+        t, wt = tables(), word_tables()
         names = [x.split()[0] for x in ANCHOR.split(", ")]
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+
+        def rows_of(n, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
+
         for batch in sliced(batches):
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")))
             for some in blocks(rows, lambda r: len(r[2]), 4_000_000):
-                doc, th, parts = [], [], []
+                doc, th, parts, held = [], [], [], []
                 for d, h, text in some:
-                    if (found := anchors(text.encode(), length, t)) is not None:
+                    raw = text.encode()
+                    if (found := anchors(raw, length, t)) is not None:
                         parts.append(found)
                         doc += [d] * len(found[0])
                         th += [h] * len(found[0])
+                    if len(hs := word_anchors(raw, words, wt)):
+                        held.append((d, h, hs.view(np.int64)))
                 if parts:
                     at, before, after, ah, ch = (np.concatenate(x) for x in zip(*parts))
-                    columns = (doc, th, at, before, after, ah.view(np.int64), ch.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                    yield rows_of(len(at), doc_id=doc, th=th, pos=at, before=before, after=after, ah=ah.view(np.int64), ch=ch.view(np.int64))
+                if held:
+                    d, h, hs = zip(*held)
+                    yield rows_of(len(held), doc_id=d, th=h, hs=hs)
 
     return docs.mapInArrow(run, ANCHOR)
 
 
-def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
-    """(doc_id, th, start, stop): byte ranges that ``length``-byte strings occurring twice cover; they may overlap."""
-    everything = cut(find_anchors(docs, length))
+def repeated_spans(docs: DataFrame, everything: DataFrame, length: int) -> DataFrame:
+    """(doc_id, th, start, stop): byte ranges that ``length``-byte strings occurring twice cover; they may overlap. ``everything`` has all anchors by bytes."""
     twice = cut(everything.groupBy("ah").agg(F.count("*").alias("n")).where("n > 1").select("ah"))  # written, so that a frequent anchor's side of the join can be split
     occurrences = cut(everything.join(twice, "ah", "left_semi"))
     classes = cut(occurrences.groupBy("ah", "ch", "before", "after").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("m")))
@@ -250,25 +260,13 @@ def word_anchors(raw: bytes, words: int, t: dict) -> np.ndarray:
     return np.unique(least)
 
 
-def shared_passages(docs: DataFrame, words: int = 51) -> DataFrame:
-    """(doc_id, th, n_shared) of documents that hold anchors which other rows of ``docs`` hold too.
+def shared_passages(held: DataFrame) -> DataFrame:
+    """(doc_id, th, n_shared) of texts with anchors by words, ``hs``, that other rows of ``held`` hold too.
 
     Every passage of ``words`` words or more that two documents share gives them
     an anchor in common; what they share is ``SHARED`` words at least. A-Z count
     as a-z, and white space only parts words.
     """
-
-    def run(batches):
-        import pyarrow as pa
-
-        t = word_tables()
-        for batch in sliced(batches):
-            rows = [(d, h, x) for d, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))) if len(x := word_anchors(text.encode(), words, t))]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([r[0] for r in rows], [r[1] for r in rows], [r[2].view(np.int64) for r in rows]), kinds)], names=["doc_id", "th", "hs"])
-
-    held = cut(docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, hs array<long>"))
     each = held.select("doc_id", "th", F.explode("hs").alias("h"))
     several = cut(each.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     return each.join(several, "h").groupBy("doc_id", "th").agg(F.countDistinct("h").alias("n_shared"))
@@ -289,9 +287,10 @@ def drop_repeats(docs: DataFrame, length: int = 400, words: int = 51) -> DataFra
     empty table gives no rows. ``length`` is at least twice ``GRAM``.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    spans = repeated_spans(docs, length).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    found = cut(find_anchors(docs, length, words))
+    spans = repeated_spans(docs, found.where("ah is not null").drop("hs"), length).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     spans = spans.withColumn("n_shared", F.lit(0).cast("long"))
-    shared = shared_passages(docs, words).withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
+    shared = shared_passages(found.where("hs is not null").select("doc_id", "th", "hs")).withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
     spans = spans.unionByName(shared).groupBy("doc_id", "th").agg(F.max("spans").alias("spans"), F.max("n_shared").alias("n_shared"))
     spans = spans.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "n_shared")
     rows = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
