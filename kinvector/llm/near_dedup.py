@@ -284,6 +284,16 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, threshold: float) -> Dat
     return with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("xa")), "a").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def grown(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (id, component) after further links (a, b): only the components that these join, and new nodes, are gone through again."""
+    name = lambda c: label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    again = components(between)
+    moved = again.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    old = label.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return cut(old.unionByName(again.join(label.select("id"), "id", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -308,14 +318,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
     shared = rows.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = cut(rows.join(shared, "band").select("band", "no", "rep", "low"))
 
+    # only texts that share a band with another class can be in a pair: they are written once, and no other text is read again
+    texts = cut(docs.select("doc_id", "text").join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+
     def tested(pairs):
-        return cut(verified(cut(pairs), docs, shingle, threshold))
+        return cut(verified(cut(pairs), texts, shingle, threshold))
 
     pairs = members.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct()
     tried = cut(pairs)
     links = tested(estimated(tried, sketch, threshold))
+    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     for step in ("popular", "all"):
-        label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
         now = members.join(label.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
         mixed = now.groupBy("band").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("size")).where("c0 < c1").select("band", "size")
         left = now.join(mixed, "band").select("band", "no", "rep", "c", "size")
@@ -324,10 +337,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -
             left = cut(left.join(score, "rep"))
             lead = left.groupBy("band").agg(F.max(F.struct("score", "rep", "c")).alias("m")).select("band", F.col("m.rep").alias("lead"), F.col("m.c").alias("lc"))
             pairs = left.join(lead, "band").where("c <> lc").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-            links = links.unionByName(tested(estimated(pairs.join(tried, ["a", "b"], "left_anti"), sketch, threshold)))
+            links = tested(estimated(pairs.join(tried, ["a", "b"], "left_anti"), sketch, threshold))
         else:
-            links = links.unionByName(tested(apart(left.drop("size"), sketch, threshold)))
-    label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            links = tested(apart(left.drop("size"), sketch, threshold))
+        label = grown(label, links)
 
     classes = reps.join(label.select(F.col("id").alias("rep"), "component"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
     nodes = own.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "component")
