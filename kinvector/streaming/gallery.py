@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from kinvector.operators import gallery as online
 from kinvector.sources.shared import folder
 
 LANDING_ROWS = 50_000
+BATCH_ROWS = 500_000
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -27,28 +29,44 @@ def in_order(spark: SparkSession, path: str):
         fs.setTimes(file, now - 1000 * (len(files) - i), -1)
 
 
-def stream_of(df: DataFrame, by: str | None = None, rows: int = LANDING_ROWS) -> DataFrame:
+def stream_of(df: DataFrame, by: str | None = None, rows: int = BATCH_ROWS) -> DataFrame:
     """Rows written to a landing folder and read as a file stream.
 
-    With ``by`` they arrive in its order: ranges of about ``rows`` rows are
-    written at once, a file each, and a micro-batch reads one file. Rows of one
-    value are in one file.
+    With ``by`` they arrive in its order, about ``rows`` rows a micro-batch:
+    ranges are written at once, a file each, of at most ``LANDING_ROWS`` or so,
+    and a micro-batch reads the next files that make up its rows, by a task each.
+    Rows of one value are in one file.
     """
     spark, path = df.sparkSession, folder(df.sparkSession)
     if by is None:
         df.write.parquet(path)
         return spark.readStream.schema(df.schema).parquet(path)
-    parts = max(1, -(-df.count() // rows))
+    files = max(1, rows // LANDING_ROWS)
+    parts = max(1, -(-df.count() * files // rows))
     df.repartitionByRange(parts, by).sortWithinPartitions(by).write.parquet(path)
     in_order(spark, path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
+def begun(writer, spark: SparkSession):
+    """The started query. Its state has at most two partitions for each core: every micro-batch runs a task for each, also for those without keys.
+
+    A query keeps the number that it was first started with.
+    """
+    name = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(name)
+    spark.conf.set(name, min(int(given), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(name, given)
 
 
 def drained(stream: DataFrame, mode: str = "append", out: str | None = None) -> DataFrame:
     """Runs the stream over all available input into files below ``out`` and reads them; its checkpoint is ``out`` and -state."""
     spark, out = stream.sparkSession, out or folder(stream.sparkSession)
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    query = stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
+    begun(query, spark).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -59,7 +77,7 @@ def drained_updates(stream: DataFrame, keys: list[str]) -> DataFrame:
     def keep(batch: DataFrame, number: int):
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(out)
 
-    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    begun(stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-state").trigger(availableNow=True), spark).awaitTermination()
     others = [c for c in stream.columns if c not in keys]
     rows = spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in stream.dtypes)}, _batch long").parquet(out)
     return rows.groupBy(*keys).agg(F.max(F.struct("_batch", *others)).alias("m")).select(*keys, *[F.col(f"m.{c}").alias(c) for c in others])
@@ -114,10 +132,11 @@ class GalleryState(StatefulProcessor):
                 self.entities.updateValue((int(row["entity_id"]),), online.Entity.of(*[int(x) if n in WHOLE else x for n, x in zip(online.names_of(online.ENTITY), entity)]).row())
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["frame_id", "camera_id", "event_id"], kind="stable")
+        pdf = pd.concat([p[list(online.NEEDED)] for p in rows]).sort_values(["frame_id", "camera_id", "event_id"], kind="stable")
         g, out = self.recalled(), []
-        for _, part in pdf.groupby(["frame_id", "camera_id"], sort=False):
-            one = [(int(c), int(f), int(e), np.asarray(v, float), float(w), float(t)) for c, f, e, v, w, t in zip(*(part[n] for n in ("camera_id", "frame_id", "event_id", "embedding", "conf", "t")))]
+        held = zip(*(pdf[n].tolist() for n in ("camera_id", "frame_id", "event_id", "embedding", "conf", "t")))
+        for _, part in groupby(held, key=lambda r: r[:2]):
+            one = [(c, f, e, np.asarray(v, float), w, t) for c, f, e, v, w, t in part]
             out += online.assigned_rows(int(key[0]), one, g.frame([(v, w, t, f) for _, f, _, v, w, t in one]))
         self.store(g)
         yield pd.DataFrame(out, columns=online.names_of(online.ASSIGNED))
