@@ -73,6 +73,46 @@ def hinted(rows: DataFrame, saved: DataFrame | None, top: int) -> DataFrame:
     return rows.select(*online.NEEDED).mapInArrow(run, HINTED)
 
 
+class Fresh:
+    """Scaled centroids of entities inserted since an epoch began, in their order, as one array."""
+
+    def __init__(self):
+        self.ids, self.row, self.n, self.v, self.alive = [], {}, 0, None, None
+
+    def put(self, i: int, u: np.ndarray):
+        if i not in self.row:
+            if self.v is None or self.n == len(self.v):
+                self._make_room(len(u))
+            self.row[i] = self.n
+            self.ids.append(i)
+            self.alive[self.n] = True
+            self.n += 1
+        self.v[self.row[i]] = u
+
+    def drop(self, i: int):
+        if i in self.row:
+            self.alive[self.row.pop(i)] = False
+
+    def _make_room(self, wide: int):
+        """Leaves out those that are gone; the array then has room for as many again."""
+        keep = np.flatnonzero(self.alive[: self.n]) if self.n else np.zeros(0, int)
+        room = max(64, 2 * len(keep))
+        v, alive = np.zeros((room, wide)), np.zeros(room, bool)
+        if len(keep):
+            v[: len(keep)] = self.v[keep]
+        alive[: len(keep)] = True
+        self.ids = [self.ids[k] for k in keep]
+        self.row, self.n, self.v, self.alive = {i: k for k, i in enumerate(self.ids)}, len(keep), v, alive
+
+    def nearest(self, q: np.ndarray) -> tuple[int, float]:
+        """(entity, score) of the highest score, of the first inserted; -3 without entities."""
+        if not self.row:
+            return -1, -3.0
+        s = np.where(self.alive[: self.n], np.round(self.v[: self.n] @ q, 12), -3.0)
+        k = int(s.argmax())
+        return self.ids[k], float(s[k])
+
+
 class Hints:
     """The scores of an epoch's start, and what has changed since."""
 
@@ -83,7 +123,7 @@ class Hints:
         self.start = online.scaled(np.stack([gallery.entities[i].centroid for i in self.ids])) if self.ids else None
         self.now = None if self.start is None else self.start.copy()
         self.alive, self.moved = np.ones(len(self.ids), bool), np.zeros(len(self.ids))
-        self.fresh: dict[int, np.ndarray] = {}
+        self.fresh = Fresh()
         self.full = 0
         gallery.changed, gallery.removed = set(), set()
 
@@ -92,20 +132,21 @@ class Hints:
         for i in self.g.removed:
             if i in self.place:
                 self.alive[self.place[i]] = False
-            self.fresh.pop(i, None)
+            self.fresh.drop(i)
         for i in self.g.changed:
             u = online.scaled(self.g.entities[i].centroid)
             k = self.place.get(i)
             if k is not None and self.alive[k]:
                 self.now[k], self.moved[k] = u, np.linalg.norm(u - self.start[k]) + SLACK
             else:
-                self.fresh[i] = u
+                self.fresh.put(i, u)
         self.g.changed, self.g.removed = set(), set()
 
     def nearest(self, vector: np.ndarray, top, scores, rest: float) -> tuple[int, float]:
         """(entity, score): the highest score, then the first inserted; what ``Gallery.match`` finds."""
         q = online.scaled(vector)
         best, who = -3.0, -1
+        last, fresh = self.fresh.nearest(q)  # inserted after all others
         if self.start is not None:
             bound = np.full(len(self.ids), rest)
             bound[top] = scores
@@ -116,7 +157,6 @@ class Hints:
             k = int(exact.argmax())
             if exact[k] > -3.0:
                 best, who = float(exact[k]), k
-            fresh = max((float(np.round(q @ u, 12)) for u in self.fresh.values()), default=-3.0)
             some = np.flatnonzero(self.alive & (self.moved > 0) & (bound + self.moved + SLACK >= max(best, fresh)))
             if len(some):
                 s = np.round(self.now[some] @ q, 12)
@@ -128,11 +168,7 @@ class Hints:
                 s = np.where(self.alive, np.round(self.now @ q, 12), -3.0)
                 best, who = float(s.max()), int(s.argmax())
             who = self.ids[who] if who >= 0 else -1
-        for i, u in self.fresh.items():  # inserted after all others
-            s = float(np.round(q @ u, 12))
-            if s > best:
-                best, who = s, i
-        return who, best
+        return (last, fresh) if fresh > best else (who, best)
 
     def matched(self, rows: list) -> list[tuple[int, str, float]]:
         self.follow()  # also of prunes between two frames
@@ -148,12 +184,15 @@ def folded_epoch(rows: DataFrame, saved: DataFrame | None, settings: online.Sett
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema([("kind", pa.string()), ("assigned", pa.struct(next(online.arrow([(0, 0, 0, 0, 0, "", 0.0, True)], online.ASSIGNED)).schema)), ("saved", pa.struct(next(online.arrow([online.Gallery(settings).saved(0)[0]], online.SAVED)).schema))])
-        assigned, kept = online.names_of(online.ASSIGNED), online.names_of(online.SAVED)
+        kinds = {"assigned": (online.ASSIGNED, (0, 0, 0, 0, 0, "", 0.0, True)), "saved": (online.SAVED, online.Gallery(settings).saved(0)[0])}
+        empty = {k: pa.struct(next(online.arrow([row], schema)).schema) for k, (schema, row) in kinds.items()}
 
         def out(kind, found):
-            rows = [{"kind": kind, "assigned": dict(zip(assigned, r)) if kind == "assigned" else None, "saved": dict(zip(kept, r)) if kind == "saved" else None} for r in found]
-            return pa.RecordBatch.from_pylist(rows, schema)
+            columns = [pa.array([kind] * len(found), pa.string())]
+            for k, (schema, _) in kinds.items():
+                batch = next(online.arrow(found, schema), None) if k == kind else None
+                columns.append(pa.nulls(len(found), empty[k]) if batch is None else pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema)))
+            return pa.RecordBatch.from_arrays(columns, names=["kind", *kinds])
 
         now, g, hints, done = None, None, None, []
 

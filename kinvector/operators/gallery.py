@@ -10,6 +10,7 @@ is loaded, with one buffered observation for each entity.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from heapq import nsmallest
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -176,7 +177,7 @@ class Gallery:
         self.ttl = self.s.ttl_crowded if len(self.entities) / self.s.max_size > 0.8 else self.s.ttl_sparse
         self.prunes += 1
         gone = [i for i, e in self.entities.items() if self.prunes - e.since > self.ttl]
-        gone += sorted(self.entities, key=lambda i: self.entities[i].seen)[:force]
+        gone += nsmallest(force, self.entities, key=lambda i: self.entities[i].seen)
         for i in dict.fromkeys(gone):
             del self.entities[i]
             self.pruned += 1
