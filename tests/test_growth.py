@@ -1,7 +1,10 @@
 """What must not grow faster than the input: batches, state, copies, shuffled vectors, memory of a task."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from kinvector.operators import epochs, retrieval
+from kinvector.operators import gallery as online
 from kinvector.streaming import gallery as streaming
 
 
@@ -20,3 +23,34 @@ def test_a_stream_runs_few_tasks_for_its_rows(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", given)
     assert spark.read.parquet(out).groupBy("hour_start", "camera_id").agg(F.max("detections").alias("n")).agg(F.sum("n")).first()[0] == 120_000
+
+
+def test_a_search_gives_only_the_best(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = [(i, [float(x) for x in r.normal(size=6)]) for i in range(200)]
+    queries = spark.createDataFrame(v, "q_id long, q array<double>")
+    gallery = spark.createDataFrame([(i, i, x) for i, x in v], "g_id long, seq long, g array<double>")
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 8 * 6 * 16)
+    assert retrieval.pruned(queries, gallery, 3)[0].count() == 3 * 200  # not the best of each tile
+
+
+def test_a_block_that_meets_itself_is_shipped_once(spark):
+    rows = spark.range(50).select(F.col("id").alias("event_id"), F.lit(1).cast("long").alias("frame_id"))
+    for block, copies in ((100, 1), (25, 2)):
+        held, _ = retrieval.homes(rows, "frame_id", block)
+        assert retrieval.tiles_inside(held, "frame_id", [F.col("event_id").alias("id")]).count() == copies * 50
+
+
+def test_fresh_entities_are_one_array():
+    fresh, held, r = epochs.Fresh(), {}, np.random.default_rng(4)
+    for step in range(600):
+        i = int(r.integers(0, 150))
+        if i in held and step % 3 == 0:
+            del held[i]
+            fresh.drop(i)
+        else:
+            held[i] = online.scaled(np.round(r.normal(size=3)))
+            fresh.put(i, held[i])
+        q = online.scaled(r.normal(size=3))
+        want = max(((float(np.round(q @ u, 12)), -k, i) for k, (i, u) in enumerate(held.items())), default=(-3.0, 0, -1))
+        assert fresh.nearest(q) == (want[2], want[0]) and (fresh.v is None or len(fresh.v) <= 64 + 4 * 150)
