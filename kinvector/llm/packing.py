@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import blocks, cut, sliced
+from kinvector.llm.common import blocks, cut, release, sliced
 from kinvector.llm.tokens import encoder
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -301,6 +301,7 @@ def pack(pieces: DataFrame, capacity: int, salt_rows: int = 1000) -> DataFrame:
     def place(batches):
         import pyarrow as pa
 
+        release()  # encoders of the step before
         for batch in batches:
             length, at = (np.asarray(batch.column(c)) for c in ("length", "_rank"))
             sequence, offset = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)

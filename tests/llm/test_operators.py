@@ -119,6 +119,25 @@ def test_packing(docs, rows, none):
     assert packing.best_fit_packing(none, P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_placing_keeps_no_encoders(spark, docs):
+    def held(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(not isinstance(k, str) for k in common.worker_state())])], names=["n"])
+
+    limits = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}  # so that each worker places
+    before = {name: spark.conf.get(name) for name in limits}
+    try:
+        for name, value in limits.items():
+            spark.conf.set(name, value)
+        packing.best_fit_packing(docs, P.path("word_bpe_49k.json"), 512).collect()
+        assert {r.n for r in spark.range(0, 24, 1, 24).mapInArrow(held, "n long").collect()} == {0}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_fillings_are_all_that_are_undominated():
     r = random.Random(6)
     for _ in range(30):
