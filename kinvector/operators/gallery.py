@@ -1,9 +1,10 @@
 """Online gallery: match each frame against a bounded set of entities, then update, insert and prune.
 
-One gallery is one sequential fold; galleries run in parallel. Rows are dealt by
-gallery, sorted within tasks and streamed: a task holds one gallery, of
-``max_size`` entities with ``keep`` observations each, and one frame. A gallery
-may begin with a saved one (``SAVED``): exactly as it was left, or as a snapshot
+One gallery is one sequential fold; galleries run in parallel. Rows are sorted
+in ranges of ``RUN_ROWS`` by many tasks and written to the shared folder; the task
+of a gallery reads its files one after the other: it holds one gallery, of
+``max_size`` entities with ``keep`` observations each, one frame and a batch of
+rows, and sorts nothing. A gallery may begin with a saved one (``SAVED``): exactly as it was left, or as a snapshot
 is loaded, with one buffered observation for each entity.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinvector.operators.retrieval import matrix
+from kinvector.sources.shared import folder, open_shared
 
 ASSIGNED = "gallery_id long, camera_id long, frame_id long, event_id long, track_id long, decision string, score double, admitted boolean"
 SNAPSHOT = "gallery_id long, entity_id long, ins_seq long, centroid array<double>, confidence double, first_seen double, last_seen double, last_frame_id long, frames_since_seen int, appearance_count int, avg_confidence double, max_confidence double, buffer_size int"
@@ -26,6 +28,8 @@ COUNTERS = "next_id long, tick long, prunes long, next_seq long, current_ttl int
 #: Saved galleries: a row for each entity, and one with the counters, which has no entity_id.
 SAVED = f"gallery_id long, entity_id long, {ENTITY}, {COUNTERS}"
 SAMPLE_EVERY = 30
+#: Rows that a task sorts, galleries' rows that it reads at once, and tasks that fold galleries (more where more partitions are set).
+RUN_ROWS, READ_ROWS, TASKS = 100_000, 2_000, 200
 
 
 def names_of(schema: str) -> list[str]:
@@ -245,8 +249,8 @@ NEEDED = ("gallery_id", "camera_id", "frame_id", "event_id", "embedding", "conf"
 ORDER = ("gallery_id", "saved", "frame_id", "camera_id", "event_id")
 
 
-def ordered(found: DataFrame, start: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows by gallery, frame and camera; those of ``start`` (of ``SAVED``, or a snapshot to load) come before a gallery's first frame, counters first."""
+def begun(found: DataFrame, start: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``found`` and of ``start`` (``SAVED``, or a snapshot to load), which ``ORDER`` puts before a gallery's first frame, counters first."""
     rows = found.select(*NEEDED, *more, F.lit(1).alias("saved"))
     if start is not None:
         start = start if "buffer" in start.columns else loaded(start)
@@ -255,7 +259,36 @@ def ordered(found: DataFrame, start: DataFrame | None = None, more: tuple[str, .
         none = [F.lit(None).cast(t).alias(n) for n, t in (("camera_id", "long"), ("event_id", "long"), ("embedding", "array<double>"), ("conf", "double"), ("t", "double"))]
         none += [F.lit(None).cast(dict(found.dtypes)[n]).alias(n) for n in more]
         rows = rows.unionByName(start.select("gallery_id", F.coalesce("ins_seq", F.lit(-1)).alias("frame_id"), *none, F.lit(0).alias("saved"), held))
-    return rows.repartition("gallery_id").sortWithinPartitions(*ORDER)
+    return rows
+
+
+def ordered(found: DataFrame, start: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``begun`` in their order, a gallery in one task: for few rows, as of an epoch."""
+    return begun(found, start, more).repartition("gallery_id").sortWithinPartitions(*ORDER)
+
+
+def runs(found: DataFrame, start: DataFrame | None = None) -> tuple[str, list[int]]:
+    """(shared folder with the rows of ``begun`` in their order, its tasks): a task's galleries lie in the files of its own folder, by number."""
+    spark = found.sparkSession
+    tasks = max(TASKS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = begun(found, start).withColumn("task", F.pmod(F.xxhash64("gallery_id"), F.lit(tasks)))
+    held = {r["task"]: r["count"] for r in rows.groupBy("task").count().collect()}  # a row for each task
+    n = max(1, -(-sum(held.values()) // RUN_ROWS))
+    path = folder(spark)
+    rows.repartitionByRange(n, "task", *ORDER).sortWithinPartitions("task", *ORDER).write.partitionBy("task").parquet(path)
+    return path, sorted(held)
+
+
+def read_runs(path: str, task: int):
+    """Arrow batches of a task's rows, in their order."""
+    import pyarrow.parquet as pq
+    from pyarrow.fs import FileSelector
+
+    fs, root = open_shared(f"{path}/task={task}")
+    files = [f.path for f in fs.get_file_info(FileSelector(root)) if f.path.endswith(".parquet")]
+    for file in sorted(files, key=lambda f: (int(f.rsplit("/part-", 1)[1].split("-", 1)[0]), f)):
+        with fs.open_input_file(file) as f:
+            yield from pq.ParquetFile(f).iter_batches(READ_ROWS)
 
 
 def frames(batches, more: tuple[str, ...] = ()):
@@ -318,16 +351,19 @@ def assigned_rows(who, rows: list, results: list) -> list[tuple]:
 def folded(found: DataFrame, schema: str, of_frame, of_end, settings: Settings, start: DataFrame | None) -> DataFrame:
     """Rows that ``of_frame(who, gallery, rows, results)`` and, when a gallery ends, ``of_end(who, gallery)`` make."""
 
+    path, tasks = runs(found, start)
+
     def run(batches):
         out = []
-        for who, g, rows, results in walked(batches, settings):
-            out += of_end(who, g) if rows is None else of_frame(who, g, rows, results)
-            if len(out) >= 5000:
-                yield from arrow(out, schema)
-                out = []
+        for task in (tasks[i] for batch in batches for i in batch.column("id").to_pylist()):
+            for who, g, rows, results in walked(read_runs(path, task), settings):
+                out += of_end(who, g) if rows is None else of_frame(who, g, rows, results)
+                if len(out) >= 5000:
+                    yield from arrow(out, schema)
+                    out = []
         yield from arrow(out, schema)
 
-    return ordered(found, start).mapInArrow(run, schema)
+    return found.sparkSession.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(run, schema)
 
 
 def none_of(*_) -> list:

@@ -54,3 +54,23 @@ def test_fresh_entities_are_one_array():
         q = online.scaled(r.normal(size=3))
         want = max(((float(np.round(q @ u, 12)), -k, i) for k, (i, u) in enumerate(held.items())), default=(-3.0, 0, -1))
         assert fresh.nearest(q) == (want[2], want[0]) and (fresh.v is None or len(fresh.v) <= 64 + 4 * 150)
+
+
+def test_a_gallery_is_sorted_by_many_tasks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    schema = "gallery_id long, camera_id long, frame_id long, event_id long, embedding array<double>, conf double, t double"
+    rows = [(None if i % 3 == 0 else i % 3, i % 2, int(r.integers(0, 90)), i, [float(x) for x in r.normal(size=4)], float(r.uniform(0.4, 1)), i / 8) for i in range(600)]
+    found = spark.createDataFrame(rows, schema).repartition(5)
+    s = online.Settings(max_size=12, admit=0.6)
+    early, late = found.where("frame_id < 40"), found.where("frame_id >= 40")
+    whole = sorted(map(str, online.assign(found, s).collect()))  # a range holds all rows
+    monkeypatch.setattr(online, "RUN_ROWS", 40)
+    path, tasks = online.runs(late, online.saved_galleries(early, s))
+    held = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()
+    assert max(x.n for x in held) <= 80 and len(held) >= 8  # no task sorts a gallery
+    for task in tasks:
+        got = [tuple(x[c] for c in online.ORDER) for b in online.read_runs(path, task) for x in b.select(online.ORDER).to_pylist()]
+        assert got == sorted(got, key=lambda x: [(v is not None, v or 0) for v in x]) and got
+    assert sorted(map(str, online.assign(found, s).collect())) == whole
+    assert sorted(map(str, online.assign(early, s).unionByName(online.assign(late, s, online.saved_galleries(early, s))).collect())) == whole
+    assert online.assign(found.limit(0), s).count() == 0
