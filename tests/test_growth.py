@@ -64,6 +64,7 @@ def test_a_gallery_is_sorted_by_many_tasks(spark, monkeypatch):
     s = online.Settings(max_size=12, admit=0.6)
     early, late = found.where("frame_id < 40"), found.where("frame_id >= 40")
     whole = sorted(map(str, online.assign(found, s).collect()))  # a range holds all rows
+    counted = sorted(map(str, online.statistics(found, online.Settings(smooth=False)).collect()))
     monkeypatch.setattr(online, "RUN_ROWS", 40)
     path, tasks = online.runs(late, online.saved_galleries(early, s))
     held = spark.read.parquet(path).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()
@@ -73,4 +74,5 @@ def test_a_gallery_is_sorted_by_many_tasks(spark, monkeypatch):
         assert got == sorted(got, key=lambda x: [(v is not None, v or 0) for v in x]) and got
     assert sorted(map(str, online.assign(found, s).collect())) == whole
     assert sorted(map(str, online.assign(early, s).unionByName(online.assign(late, s, online.saved_galleries(early, s))).collect())) == whole
+    assert sorted(map(str, online.statistics(found, online.Settings(smooth=False)).collect())) == counted
     assert online.assign(found.limit(0), s).count() == 0
