@@ -76,3 +76,20 @@ def test_a_gallery_is_sorted_by_many_tasks(spark, monkeypatch):
     assert sorted(map(str, online.assign(early, s).unionByName(online.assign(late, s, online.saved_galleries(early, s))).collect())) == whole
     assert sorted(map(str, online.statistics(found, online.Settings(smooth=False)).collect())) == counted
     assert online.assign(found.limit(0), s).count() == 0
+
+
+def test_joins_before_a_gallery_are_dealt_by_rows(spark, monkeypatch):
+    given = {n: spark.conf.get(n) for n in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for name, value in zip(given, ("2", "false", "-1")):
+        spark.conf.set(name, value)
+    try:
+        monkeypatch.setattr(online, "RUN_ROWS", 50)
+        events = spark.range(600).select(F.lit(1).cast("long").alias("gallery_id"), F.col("id").alias("frame_id"), F.col("id").alias("event_id"), F.lit(0.5).alias("conf"), F.lit(1.0).alias("t"))
+        vectors = spark.range(600).select(F.col("id").alias("event_id"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("embedding"))
+        path, _ = online.runs(events.join(vectors, "event_id").withColumn("camera_id", F.spark_partition_id().cast("long")))  # the task that joined a row
+        rows = spark.read.parquet(path).groupBy("camera_id").count().collect()
+        assert len(rows) == 12 and sum(r["count"] for r in rows) == 600 and max(r["count"] for r in rows) <= 100
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+    finally:
+        for name, value in given.items():
+            spark.conf.set(name, value)
