@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kinvector.operators import epochs, retrieval
 from kinvector.operators import gallery as online
+from kinvector.plans import retrieval as plans
 from kinvector.streaming import gallery as streaming
 
 
@@ -93,3 +94,47 @@ def test_joins_before_a_gallery_are_dealt_by_rows(spark, monkeypatch):
     finally:
         for name, value in given.items():
             spark.conf.set(name, value)
+
+
+def embeddings(spark, tmp_path, n, wide=64):
+    """A folder with a table of so many random vectors of length one, some of them equal."""
+    v = np.random.default_rng(8).normal(size=(n, wide))
+    v[5], v[n - 1] = v[4], v[4]
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
+    spark.createDataFrame([(i, [float(x) for x in r], i % 3) for i, r in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return v.astype(float)
+
+
+def test_reranked_pairs_are_small_on_disk(spark, tmp_path):
+    v = embeddings(spark, tmp_path, 1101)  # two blocks, not of whole squares
+    out = f"{tmp_path}/out"
+    plans.k_reciprocal_rerank(spark, str(tmp_path)).write.parquet(out)
+    d = np.sqrt(((v[:, None] - v[None, :]) ** 2).sum(2))
+    best = np.argsort(d, axis=1, kind="stable")[:, :20]
+    near = np.zeros(d.shape, bool)
+    np.put_along_axis(near, best, True, 1)
+    near &= near.T
+    m = np.where(near, d, np.inf).min(1)
+    final = np.where(np.isinf(m)[:, None], 0.3 * d, np.where(near, 0.7 * m[:, None] + 0.3 * d, d))
+    got = spark.read.parquet(out).toPandas()
+    assert len(got) == 1101**2 and not got.duplicated(["q_id", "g_id"]).any()
+    assert np.abs(got.score.to_numpy() - 1 / (1 + final[got.q_id, got.g_id])).max() < 6e-7
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert size < 5 * len(got)  # each score was written with its eight bytes, in the order of the rows
+
+
+def test_blocks_of_all_pairs_are_written_once(spark, monkeypatch):
+    rows = spark.range(300).select("id", F.array(F.col("id") * 1.0).alias("v"))
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 8 * 60)
+    path, n = retrieval.blocks(rows)
+    assert n == 5 and spark.read.parquet(path).count() == 300  # not a copy for each other block
+
+    def told(tiles):
+        import pyarrow as pa
+
+        for left, right, same in tiles:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (len(left["id"]) * len(right["id"]), int(same))], names=["n", "same"])
+
+    tiles = retrieval.dense(rows, told, "n long, same long").collect()
+    assert len(tiles) == 15 and sum(t.n for t in tiles if t.same) + 2 * sum(t.n for t in tiles if not t.same) == 300**2
+    assert retrieval.dense(rows.limit(0), told, "n long, same long").count() == 0
