@@ -5,9 +5,9 @@ updates are sequential. Scoring is not: the detections of an epoch (a run of
 frames, of about ``epoch_rows`` rows) are scored by as many tasks as they have
 partitions against the gallery as it stood when the epoch began, and each keeps
 its ``top`` best entities and a bound of the others. The sequential part then
-looks only at entities that have changed since and could still be nearest: one
-that moved by d can't have gained more than d. Where the bounds don't settle a
-detection, it is scored in full, so the result is that of ``gallery.assign``.
+scores a frame's detections, as one matrix, with the entities that have changed
+since. Where the bounds don't settle a detection, it is scored in full, so the
+result is that of ``gallery.assign``.
 
 No task holds more than an epoch, and the state between two epochs is a written
 table (``gallery.SAVED``).
@@ -27,6 +27,7 @@ from kinvector.sources.shared import folder, written
 HINTED = "gallery_id long, camera_id long, frame_id long, event_id long, embedding array<double>, conf double, t double, top array<int>, top_scores array<double>, rest double"
 OUT = f"kind string, assigned struct<{online.ASSIGNED.replace(' ', ':').replace(',:', ',')}>, saved struct<{online.SAVED.replace(' ', ':').replace(',:', ',')}>"
 SLACK = 1e-9
+MATCHED = 1024  # detections of a frame that are scored at once
 
 
 def epochs_of(found: DataFrame, epoch_rows: int) -> tuple[DataFrame, int]:
@@ -43,7 +44,7 @@ def epochs_of(found: DataFrame, epoch_rows: int) -> tuple[DataFrame, int]:
 def hinted(rows: DataFrame, saved: DataFrame | None, top: int) -> DataFrame:
     """``rows`` with the places and scores of the ``top`` nearest entities of their gallery in ``saved``, and a bound of all others.
 
-    Places follow the order of insertion. The centroids go to every task: the
+    Places follow the order of insertion, and are -1 where there are fewer entities. The centroids go to every task: the
     caller has checked that they are few.
     """
     held = {}
@@ -56,18 +57,18 @@ def hinted(rows: DataFrame, saved: DataFrame | None, top: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            who, v = batch.column("gallery_id").to_pylist(), matrix(batch.column("embedding"))
-            places, scores, rest = [[]] * len(who), [[]] * len(who), [-2.0] * len(who)
+            who, v = np.array(batch.column("gallery_id").to_pylist(), object), matrix(batch.column("embedding"))
+            places, scores, rest = np.full((len(who), top), -1, np.int32), np.full((len(who), top), -2.0), np.full(len(who), -2.0)
             for one in set(who) & set(sent.value):
-                mine = np.array([i for i, w in enumerate(who) if w == one])
+                mine = np.flatnonzero(who == one)
                 s = np.round(online.scaled(v[mine]) @ sent.value[one].T, 12)
                 k = min(top, s.shape[1])
                 best = np.argpartition(-s, k - 1, 1)[:, :k] if k < s.shape[1] else np.tile(np.arange(k), (len(mine), 1))
-                others = s.copy()
-                np.put_along_axis(others, best, -2.0, 1)
-                for i, b, x, r in zip(mine.tolist(), best, np.take_along_axis(s, best, 1), others.max(1).tolist()):
-                    places[i], scores[i], rest[i] = b.tolist(), x.tolist(), r
-            columns = [pa.array(places, pa.list_(pa.int32())), pa.array(scores, pa.list_(pa.float64())), pa.array(rest, pa.float64())]
+                places[mine, :k], scores[mine, :k] = best, np.take_along_axis(s, best, 1)
+                np.put_along_axis(s, best, -2.0, 1)
+                rest[mine] = s.max(1)
+            ends = pa.array(np.arange(len(who) + 1) * top, pa.int32())
+            columns = [*(pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in (places, scores)), pa.array(rest)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in online.NEEDED], *columns], names=online.names_of(HINTED))
 
     return rows.select(*online.NEEDED).mapInArrow(run, HINTED)
@@ -104,13 +105,12 @@ class Fresh:
         self.ids = [self.ids[k] for k in keep]
         self.row, self.n, self.v, self.alive = {i: k for k, i in enumerate(self.ids)}, len(keep), v, alive
 
-    def nearest(self, q: np.ndarray) -> tuple[int, float]:
-        """(entity, score) of the highest score, of the first inserted; -3 without entities."""
+    def nearest(self, q: np.ndarray) -> tuple:
+        """(entity, score) of the highest score with a vector, or with each of several, of the first inserted; -3 without entities."""
         if not self.row:
-            return -1, -3.0
-        s = np.where(self.alive[: self.n], np.round(self.v[: self.n] @ q, 12), -3.0)
-        k = int(s.argmax())
-        return self.ids[k], float(s[k])
+            return np.full(q.shape[:-1], -1), np.full(q.shape[:-1], -3.0)
+        s = np.where(self.alive[: self.n], np.round(q @ self.v[: self.n].T, 12), -3.0)
+        return np.array(self.ids)[s.argmax(-1)], s.max(-1)
 
 
 class Hints:
@@ -122,7 +122,7 @@ class Hints:
         self.place = {i: k for k, i in enumerate(self.ids)}
         self.start = online.scaled(np.stack([gallery.entities[i].centroid for i in self.ids])) if self.ids else None
         self.now = None if self.start is None else self.start.copy()
-        self.alive, self.moved = np.ones(len(self.ids), bool), np.zeros(len(self.ids))
+        self.alive, self.moved = np.ones(len(self.ids), bool), np.zeros(len(self.ids), bool)
         self.fresh = Fresh()
         self.full = 0
         gallery.changed, gallery.removed = set(), set()
@@ -133,48 +133,52 @@ class Hints:
             if i in self.place:
                 self.alive[self.place[i]] = False
             self.fresh.drop(i)
-        for i in self.g.changed:
-            u = online.scaled(self.g.entities[i].centroid)
-            k = self.place.get(i)
-            if k is not None and self.alive[k]:
-                self.now[k], self.moved[k] = u, np.linalg.norm(u - self.start[k]) + SLACK
-            else:
-                self.fresh.put(i, u)
+        ids = list(self.g.changed)
+        if ids:
+            places = [self.place.get(i, -1) for i in ids]
+            for i, k, u in zip(ids, places, online.scaled(np.stack([self.g.entities[i].centroid for i in ids]))):
+                if k >= 0 and self.alive[k]:
+                    self.now[k], self.moved[k] = u, True
+                else:
+                    self.fresh.put(i, u)
         self.g.changed, self.g.removed = set(), set()
 
-    def nearest(self, vector: np.ndarray, top, scores, rest: float) -> tuple[int, float]:
-        """(entity, score): the highest score, then the first inserted; what ``Gallery.match`` finds."""
-        q = online.scaled(vector)
-        best, who = -3.0, -1
+    def nearest(self, q: np.ndarray, top: np.ndarray, scores: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(entities, scores) of scaled vectors: the highest score, then the first inserted; what ``Gallery.match`` finds."""
         last, fresh = self.fresh.nearest(q)  # inserted after all others
-        if self.start is not None:
-            bound = np.full(len(self.ids), rest)
-            bound[top] = scores
-            listed = np.zeros(len(self.ids), bool)
-            listed[top] = True
-            still = self.alive & (self.moved == 0)
-            exact = np.where(still & listed, bound, -3.0)
-            k = int(exact.argmax())
-            if exact[k] > -3.0:
-                best, who = float(exact[k]), k
-            some = np.flatnonzero(self.alive & (self.moved > 0) & (bound + self.moved + SLACK >= max(best, fresh)))
-            if len(some):
-                s = np.round(self.now[some] @ q, 12)
-                k = int(s.argmax())  # the first of the highest
-                if (s[k], -some[k]) > (best, -who if who >= 0 else -np.inf):
-                    best, who = float(s[k]), int(some[k])
-            if max(best, fresh) <= rest + SLACK and (still & ~listed).any():
-                self.full += 1
-                s = np.where(self.alive, np.round(self.now @ q, 12), -3.0)
-                best, who = float(s.max()), int(s.argmax())
-            who = self.ids[who] if who >= 0 else -1
-        return (last, fresh) if fresh > best else (who, best)
+        if self.start is None:
+            return last, fresh
+        rows, far = np.arange(len(q)), len(self.ids)
+        still = self.alive & ~self.moved
+        held = (top >= 0) & still[top]
+        scores = np.where(held, scores, -3.0)
+        best = scores.max(1)
+        who = np.where(held & (scores == best[:, None]), top, far).min(1)
+        some = np.flatnonzero(self.alive & self.moved)
+        if len(some):
+            s = np.round(q @ self.now[some].T, 12)
+            k = s.argmax(1)  # the first of the highest
+            s, k = s[rows, k], some[k]
+            nearer = (s > best) | ((s == best) & (k < who))
+            best, who = np.where(nearer, s, best), np.where(nearer, k, who)
+        open_yet = np.flatnonzero((np.maximum(best, fresh) <= rest + SLACK) & (held.sum(1) < still.sum()))
+        if len(open_yet):
+            self.full += len(open_yet)
+            s = np.where(self.alive, np.round(q[open_yet] @ self.now.T, 12), -3.0)
+            best[open_yet], who[open_yet] = s.max(1), s.argmax(1)
+        ids = np.array([*self.ids, -1])[who]
+        return np.where(fresh > best, last, ids), np.maximum(fresh, best)
 
     def matched(self, rows: list) -> list[tuple[int, str, float]]:
         self.follow()  # also of prunes between two frames
         if self.g.is_empty():
             return [(-1, "new", 0.0)] * len(rows)
-        return [self.g.told(*self.nearest(v, *hint)) for v, hint in rows]
+        out = []
+        for at in range(0, len(rows), MATCHED):
+            v, top, scores, rest = zip(*rows[at : at + MATCHED])
+            found = self.nearest(online.scaled(np.stack(v)), np.stack(top).astype(int), np.stack(scores), np.array(rest))
+            out += [self.g.told(*x) for x in zip(*(c.tolist() for c in found))]
+        return out
 
 
 def folded_epoch(rows: DataFrame, saved: DataFrame | None, settings: online.Settings) -> DataFrame:
@@ -207,7 +211,7 @@ def folded_epoch(rows: DataFrame, saved: DataFrame | None, settings: online.Sett
                     g.take(one)
                     continue
                 hints = hints or Hints(g)
-                found = g.frame([(v, conf, t, frame) for _, frame, _, v, conf, t, *_ in rows], lambda: hints.matched([(r[3], r[6:]) for r in rows]))
+                found = g.frame([(v, conf, t, frame) for _, frame, _, v, conf, t, *_ in rows], lambda: hints.matched([(r[3], *r[6:]) for r in rows]))
                 done += online.assigned_rows(who, rows, found)
                 if len(done) >= 5000:
                     yield out("assigned", done)
@@ -239,8 +243,6 @@ def assign(found: DataFrame, settings: online.Settings = online.Settings(), epoc
         hints = hinted(rows.where(F.col("epoch") == epoch), saved, top)
         folded_epoch(hints, saved, settings).write.parquet(at)
         done.append(at)
-        after = spark.read.schema(OUT).parquet(at).where("kind = 'saved'").select("saved.*")
-        quiet = [] if saved is None else [saved.join(after.select("gallery_id").distinct(), "gallery_id", "left_anti")]  # galleries without rows in this epoch
-        saved = written(after.unionByName(quiet[0].select(*after.columns)) if quiet else after)
+        saved = spark.read.schema(OUT).parquet(at).where("kind = 'saved'").select("saved.*")  # of galleries without rows in this epoch too
     out = spark.read.schema(OUT).parquet(*done) if done else spark.createDataFrame([], OUT)
     return out.where("kind = 'assigned'").select("assigned.*"), saved

@@ -317,7 +317,8 @@ def frames(batches, more: tuple[str, ...] = ()):
         kinds = batch.column("saved").to_pylist()
         saved = batch.column("held").to_pylist() if 0 in kinds else None
         new = batch.filter(batch.column("saved").cast("bool")) if 0 in kinds else batch
-        rows = zip(zip(*(new.column(c).to_pylist() for c in names)), matrix(new.column("embedding")))
+        lists = [str(new.column(c).type).startswith("list") for c in names]  # of one length
+        rows = zip(zip(*(matrix(new.column(c)) if x else new.column(c).to_pylist() for c, x in zip(names, lists))), matrix(new.column("embedding")))
         for k, kind in enumerate(kinds):
             if kind == 0:
                 if held:

@@ -138,3 +138,37 @@ def test_blocks_of_all_pairs_are_written_once(spark, monkeypatch):
     tiles = retrieval.dense(rows, told, "n long, same long").collect()
     assert len(tiles) == 15 and sum(t.n for t in tiles if t.same) + 2 * sum(t.n for t in tiles if not t.same) == 300**2
     assert retrieval.dense(rows.limit(0), told, "n long, same long").count() == 0
+
+
+def test_a_frame_is_matched_as_one_matrix():
+    r = np.random.default_rng(9)
+    base = r.normal(size=(12, 6))
+    g = online.Gallery(online.Settings(max_size=25, admit=0.4, new=0.9, match=0.95, ticks=False))
+    feed = lambda n, t: g.frame([(base[r.integers(12)] + 0.5 * r.normal(size=6), float(r.uniform(0.3, 1)), float(t), t) for _ in range(n)])
+    for t in range(6):
+        feed(30, t)
+    hints = epochs.Hints(g)
+    v = base[r.integers(12, size=60)] + 0.5 * r.normal(size=(60, 6))
+    s = np.round(online.scaled(v) @ hints.start.T, 12)
+    top = np.full((60, 3), -1)
+    top[:, :1] = np.argsort(-s, 1, "stable")[:, :1]
+    rows = [(x, k, np.where(k >= 0, s[i][k], -2.0), np.sort(s[i])[-2]) for i, (x, k) in enumerate(zip(v, top))]
+    calls = []
+    one = hints.nearest
+    hints.nearest = lambda *x: calls.append(len(x[0])) or one(*x)
+    for t in range(6, 10):
+        assert hints.matched(rows) == g.match(v)
+        feed(12, t)
+    assert calls == [60] * 4  # not a call for each detection
+    assert [hints.full > 0, hints.moved.any(), not hints.alive.all(), len(hints.fresh.row) > 0] == [True] * 4
+
+
+def test_scores_are_counted_once_a_task(spark, tmp_path, monkeypatch):
+    v = embeddings(spark, tmp_path, 1300, 8)
+    held, dense = [], retrieval.dense
+    monkeypatch.setattr(retrieval, "dense", lambda *a: held.append(dense(*a)) or held[-1])
+    got = {round(1e6 * x.s): x.n for x in plans.score_histogram(spark, str(tmp_path)).collect()}
+    at, n = np.unique(np.rint(1e6 * (online.scaled(v) @ online.scaled(v).T)).astype(int), return_counts=True)
+    assert sum(got.values()) == 1300**2 and sum(abs(got.get(a, 0) - b) for a, b in zip(at.tolist(), n.tolist())) <= 20  # scores that lie between two
+    most = held[0].groupBy(F.spark_partition_id(), "at").count().agg(F.max("count")).first()[0]
+    assert most == 1  # a row for each block of scores was summed up later
