@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinvector.functions import vector
 from kinvector.operators import regions, retrieval
+from kinvector.plans import retrieval as plans
 
 FOUND = "frame_id long, event_id long, camera_id long, t double, embedding array<double>"
 
@@ -96,3 +98,30 @@ def test_large_galleries_give_the_same(spark, monkeypatch):
     once = rows()
     monkeypatch.setattr(retrieval, "SENT_BYTES", 0)
     assert rows() == once
+
+
+def detected(spark, tmp_path, n):
+    """A folder of 240 events and n vectors of numbers that need many digits, some events without their vectors."""
+    r = np.random.default_rng(10)
+    spark.createDataFrame([(i, [float(x) for x in np.float32(r.normal(size=4))], 0) for i in range(n) if i != 5], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    times = np.sort(r.uniform(0, 7200, 240))
+    events = spark.createDataFrame([(int(i), float(t), int(u)) for i, t, u in zip(r.permutation(240), times, r.integers(0, 50, 240))], "event_id long, t double, user_id long")
+    events.select("event_id", F.timestamp_micros((F.col("t") * 1e6).cast("long")).cast("timestamp_ntz").alias("ts"), "user_id", F.lit("x").alias("event_type")).write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["cross_camera_pairs", "spatiotemporal_rerank"])
+def test_pairs_travel_without_vectors(spark, tmp_path, monkeypatch, name):
+    where, tiles, met = detected(spark, tmp_path, 40), [], retrieval.met
+    monkeypatch.setattr(retrieval, "met", lambda rows, *a, **b: tiles.append(rows.columns) or met(rows, *a, **b))
+    sent = sorted(map(tuple, getattr(plans, name)(spark, where).collect()))
+    monkeypatch.setattr(retrieval, "SENT_BYTES", 0)  # vectors too many for one array are joined to the rows
+    joined = sorted(map(tuple, getattr(plans, name)(spark, where).collect()))
+    assert "v" not in tiles[0] and "v" in tiles[1]
+    assert len(sent) > 200 and [x[:2] for x in sent] == [x[:2] for x in joined] and np.allclose([x[2:] for x in sent], [x[2:] for x in joined], atol=1.5e-6)
+
+
+def test_rounded(spark):
+    x = [0.0, -1e-9, 2.5e-6, -2.5e-6, 0.1234565, -0.1234565, 299.9999995, 1e300, float("nan"), float("-inf"), None]
+    rows = spark.createDataFrame([(v,) for v in x], "x double").select(vector.rounded(F.col("x"), 6).alias("a"), F.round("x", 6).alias("b")).collect()
+    assert [str(r.a) for r in rows] == [str(r.b) for r in rows]
