op8_line_dedup: line keys are made as Arrow columns

Symptom: op8_line_dedup took 205 CPU seconds per GB of input at 0.51 GB: 87 in the JVM, 114 in Python workers, 5 in GC (211 task seconds).
Evidence: Spark's translate folds a line letter by letter: it adds 30 of the 56 CPU seconds of the counting pass on that input, btrim 5 more; the probing pass folds the same lines again with str.translate, which is slow from the first letter outside ASCII on, and joins every text anew from Python strings.
Fix: both passes, and the one that deals lines to shards, split, trim and fold lines with pyarrow's kernels, hash them once a line, and join texts from the lines that stay; counting, hash values, shards and probing are as before.
Effect: at 0.6 GB of input CPU 481 -> 294 s, shuffle 0.06 -> 0.06 GB, spill 0.00 -> 0.00 GB, read 1.21 -> 1.21 GB, longest task 23 -> 13 s, most memory of a task 42 -> 42 MB; at 6 GB of input CPU 2344 -> 959 s, shuffle 0.63 -> 0.63 GB, spill 0.00 -> 0.00 GB, read 12.10 -> 12.10 GB, longest task 38 -> 16 s, most memory of a task 201 -> 201 MB; with hot keys, at 0.6 GB of input CPU 228 -> 189 s, shuffle 0.02 -> 0.02 GB, spill 0.00 -> 0.00 GB, read 0.36 -> 0.36 GB, longest task 9 -> 6 s, most memory of a task 38 -> 38 MB.

@@ -1,7 +1,8 @@
 """Line dedup: repeated lines are found once, kept in a sharded minimal perfect hash
 with fingerprint and count arrays, and documents probe the arrays.
 
-1. Spark counts the documents of every distinct line hash (partial aggregation
+1. Lines are split, folded and hashed as Arrow columns, here and in step 3 alike.
+   Spark counts the documents of every distinct line hash (partial aggregation
    first, so a line held by a third of all documents is one row per task).
 2. The hashes of lines in at least ``min_docs`` documents go to shards by hash;
    each shard becomes a minimal perfect hash (levels of bitmaps with ranks), a
@@ -30,23 +31,64 @@ from pyspark.sql import types as T
 from kinvector.llm.common import cut, mix, open_shared, set_aside, shared_dir, sliced
 
 SPACE = " \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FOLD = str.maketrans(UPPER, LOWER)
 SHARD = "shard long, n long, salt long, sizes array<long>, bits binary, prints binary, counts binary, last binary"
 HELD_SHARDS = 4
 #: Lines that a task looks up in one shard of a large index, and shards whose table of tasks is broadcast.
 TASK_LINES, BROADCAST_SHARDS = 2_000_000, 100_000
 
 
-def key_column(line):
-    """Stripped, A-Z lower-cased line."""
-    return F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+def key_column(lines):
+    """Stripped, A-Z lower-cased lines of an Arrow column."""
+    import pyarrow.compute as pc
+
+    return pc.ascii_lower(pc.utf8_trim(lines, characters=SPACE))
+
+
+def lines_of(texts):
+    """(lines of each text of an Arrow column, where each text's lines begin among all of them and where the last ones end)."""
+    import pyarrow.compute as pc
+
+    lines = pc.split_pattern(texts.fill_null(""), "\n")
+    return lines, np.concatenate([[0], np.cumsum(np.asarray(lines.value_lengths(), np.int64))])
+
+
+def keyed_lines(lines, starts: np.ndarray, min_chars: int) -> tuple[np.ndarray, ...]:
+    """(text, place in the text, hash, fingerprint) of each line whose key has ``min_chars`` or more."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    keys = key_column(lines.flatten())
+    at = np.flatnonzero(pc.greater_equal(pc.utf8_length(keys), min_chars))
+    raw = keys.take(pa.array(at)).cast(pa.binary()).to_pylist()
+    h = np.fromiter((xxhash.xxh64_intdigest(k, 42) for k in raw), np.uint64, len(raw))
+    prints = np.fromiter((xxhash.xxh64_intdigest(b"\n" + k, 42) for k in raw), np.uint64, len(raw))
+    row = np.searchsorted(starts, at, "right") - 1
+    return row, at - starts[row], h, prints
+
+
+def without(lines, starts: np.ndarray, row: np.ndarray, place: np.ndarray):
+    """(texts without the lines that stand at these places, numbers of lines left out)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    stays, gone = np.ones(starts[-1], bool), np.bincount(row, minlength=len(lines))
+    stays[starts[row] + place] = False
+    starts = starts - np.concatenate([[0], np.cumsum(gone)])
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), lines.flatten().filter(pa.array(stays))), "\n"), gone
 
 
 def repeated(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """(h, print, n, last): hash and fingerprint of each repeated line, its documents and the largest id."""
-    keys = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), key_column), lambda k: F.char_length(k) >= min_chars))
-    lines = docs.select("doc_id", F.explode(keys).alias("k")).select("doc_id", F.xxhash64("k").alias("h"), F.xxhash64(F.concat(F.lit("\n"), "k")).alias("print"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in sliced(batches):
+            row, _, h, prints = keyed_lines(*lines_of(batch.column("text")), min_chars)
+            once = pa.table({"row": row, "h": h.view(np.int64), "print": prints.view(np.int64)}).group_by(["row", "h", "print"], use_threads=False).aggregate([]).combine_chunks()
+            yield from once.set_column(0, "doc_id", batch.column("doc_id").take(once.column("row").combine_chunks())).to_batches()
+
+    lines = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, h long, print long")
     return lines.groupBy("h", "print").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
 
 
@@ -165,37 +207,28 @@ def without_lines(docs: DataFrame, min_chars: int, min_docs: int, shard_keys: in
         lines = routed(docs, found, root, n_shards, min_chars, min_docs).alias("r")
         docs = docs.alias("d").join(lines, F.col("d.doc_id").eqNullSafe(F.col("r._d")) & (F.xxhash64("d.text") == F.col("r._t")), "left").select("d.*", "r._gone")
 
-    def lines_gone(lines, ids, index):
-        """For each text the places of the lines that the index drops."""
-        doc, where, h, p = [], [], [], []
-        for d, ls in enumerate(lines):
-            for j, line in enumerate(ls):
-                if len(line) >= min_chars and len(k := line.strip(SPACE).translate(FOLD)) >= min_chars:
-                    raw = k.encode()
-                    doc.append(d), where.append(j), h.append(xxhash.xxh64_intdigest(raw, 42)), p.append(xxhash.xxh64_intdigest(b"\n" + raw, 42))
-        doc, h, p = np.array(doc, np.int64), np.array(h, np.uint64), np.array(p, np.uint64)
+    def lines_gone(lines, starts, ids, index):
+        """Texts and places of the lines that the index drops."""
+        row, where, h, p = keyed_lines(lines, starts, min_chars)
         drop = np.zeros(len(h), bool)
         for s in index if len(h) else ():
-            drop |= s.dropped(h, p, ids[doc], min_docs)
-        gone = [set() for _ in lines]
-        for i in np.flatnonzero(drop):
-            gone[doc[i]].add(where[i])
-        return gone
+            drop |= s.dropped(h, p, ids[row], min_docs)
+        return row[drop], where[drop]
 
     def probe(batches):
         import pyarrow as pa
 
         index = [Shard(x) for x in shards(root)] if n and n_shards <= HELD_SHARDS else []
-        for batch in sliced(batches, 5000):
-            lines = [(t or "").split("\n") for t in batch.column(at_text).to_pylist()]
+        for batch in sliced(batches):
+            lines, starts = lines_of(batch.column(at_text))
             if n_shards > HELD_SHARDS:
-                gone = [set(x or ()) for x in batch.column(place).to_pylist()]
+                found_gone = batch.column(place)
+                gone = np.repeat(np.arange(batch.num_rows), found_gone.value_lengths().fill_null(0)), np.asarray(found_gone.flatten())
             else:
-                gone = lines_gone(lines, np.array([-(2**63) if i is None else i for i in batch.column("doc_id").to_pylist()], np.int64), index)
-            text = pa.array(["\n".join(x for j, x in enumerate(ls) if j not in g) for ls, g in zip(lines, gone)], pa.string())
+                gone = lines_gone(lines, starts, np.asarray(batch.column("doc_id").cast(pa.int64()).fill_null(-(2**63))), index)
+            text, n_gone = without(lines, starts, *gone)
             columns = [text if i == at_text else c for i, c in enumerate(batch.columns[:place])]
-            counts = [pa.array([len(x) for x in xs], pa.int64()) for xs in (lines, gone)]
-            yield pa.RecordBatch.from_arrays([*columns, *counts], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, lines.value_lengths().cast(pa.int64()), pa.array(n_gone, pa.int64())], names=schema.names)
 
     return docs.mapInArrow(probe, schema)
 
@@ -215,9 +248,16 @@ def routed(docs: DataFrame, found: DataFrame, root: str, n_shards: int, min_char
     Lines that are not repeated are spread over the shards by hash; those that
     are count for the tasks of their shard.
     """
-    keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), key_column)
-    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(keys).alias("j", "k")).where(F.char_length("k") >= min_chars)
-    lines = lines.select("doc_id", "th", "j", F.xxhash64("k").alias("h"), F.xxhash64(F.concat(F.lit("\n"), "k")).alias("print")).withColumn("shard", shard_of(n_shards))
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        for batch in sliced(batches):
+            row, where, h, p = keyed_lines(*lines_of(batch.column("text")), min_chars)
+            own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "th")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(where, pa.int32()), pa.array(h.view(np.int64)), pa.array(p.view(np.int64))], names=["doc_id", "th", "j", "h", "print"])
+
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(hashed, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, j int, h long, print long").withColumn("shard", shard_of(n_shards))
 
     def probe(batches):
         import pyarrow as pa

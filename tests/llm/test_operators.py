@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -74,6 +75,24 @@ def test_lines(docs, rows, none):
     assert sorted(map(tuple, few.collect()), key=key) == sorted(map(tuple, many.collect()), key=key)
 
 
+def test_line_keys(spark):
+    """Keys are stripped of six blanks and folded in A-Z alone; lines are split at line feeds alone, hashed as Spark does, and no plan folds letter by letter."""
+    rows = [(1, "Ab É\u2028İ Σß\x85 z\r\n \t\x0b\x0cÉA \n\n\xa0AB\xa0"), (1, "aB É\u2028İ Σß\x85 Z\nAb É\u2028İ Σß\x85 z"), (2, None), (None, ""), (3, "xyz"), (4, "ÉÉ\r"), (4, "éé\r\r\n😀Q ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    keys = [(i, {re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")}) for i, t in rows]
+    held = [(i, k) for i, ks in keys for k in ks if len(k) >= 2]
+    made = spark.createDataFrame(held, "doc_id long, k string").select("doc_id", F.xxhash64("k").alias("h"), F.xxhash64(F.concat(F.lit("\n"), "k")).alias("print"))
+    want = made.groupBy("h", "print").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    found = line_dedup.repeated(docs, 2, 1)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 7
+    assert "translate" not in found._jdf.queryExecution().toString()
+    line, again = "Ab É\u2028İ Σß\x85 z", "aB É\u2028İ Σß\x85 Z"
+    some = spark.createDataFrame([(1, f"{line}\r\nQ"), (2, f"q\n{again}\n{line}"), (3, f"\t{again}"), (5, None), (6, "ÉÉ\néé\n")], "doc_id long, text string")
+    for size in (500_000, 1):
+        got = line_dedup.line_dedup(some, min_chars=2, min_docs=2, shard_keys=size)
+        assert sorted(map(tuple, got.collect()), key=key) == [(1, "Q", 2, 1), (2, "q", 3, 2), (3, f"\t{again}", 1, 0), (5, "", 1, 0), (6, "ÉÉ\néé\n", 3, 0)]
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(0).integers(0, 2**64, 5000, np.uint64)
     sizes, bits = line_dedup.build_mph(keys)
