@@ -4,7 +4,8 @@
 2. On a bounded sample (``sample_rows``) rotations are learned that make the
    signs of rotated unit vectors balanced binary codes: alternate the codes of
    the present rotation and the best rotation for these codes. Vectors are
-   centred first, or not, whichever needs fewer comparisons.
+   centred first, or not, whichever needs fewer comparisons. Rotations don't need
+   each other: tasks read the sample's files and learn some of them each.
 3. Every class is indexed in tables, each keyed by some bits of its codes. The
    number of bits follows the number of classes, so buckets stay small, and the
    number of tables follows from the chance that a pair at the threshold agrees
@@ -26,15 +27,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinvector.llm.common import components, cut
+from kinvector.llm.common import components, cut, open_shared, sliced
 
 FILTER_WORDS = 3  # 64-bit words of code that the Hamming filter reads
-MODEL = "d int, mean binary, turns binary"
+MODEL = "d int, first int, mean binary, turns binary"
 ANGLES = "d int, made array<double>, real array<double>, any_centred array<double>, any_plain array<double>"
 PROBES = 2000  # sampled vectors whose angles are measured
 MOST_TABLES = 2000  # more keys a vector are not worth centring
 SMALL = 200  # classes of a bucket that is joined
 TILE_ROWS = 1000
+COLUMNS = 64  # of the codes, whose rotations a task learns; one rotation at least
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -58,6 +60,35 @@ def learn_rotation(x: np.ndarray, rng, rounds: int = 30) -> np.ndarray:
     return r
 
 
+def learn_some(x: np.ndarray, first: int, end: int, rng) -> list[np.ndarray]:
+    """Rotations ``first`` to ``end`` of those that one generator starts after each other; the starts of those before are drawn and left."""
+    for _ in range(first):
+        rng.normal(size=(x.shape[1], x.shape[1]))
+    return [learn_rotation(x, rng) for _ in range(first, end)]
+
+
+def sampled(files: list[str], d: int) -> np.ndarray:
+    """Vectors of one size from the sample's files."""
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+
+    found = []
+    for fs, path in map(open_shared, files):
+        with fs.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(batch_size=1000, columns=["d", "v"]):
+                found.append(np.asarray(batch.filter(pc.equal(batch.column("d"), d)).column("v").flatten()))
+    return np.concatenate(found).reshape(-1, d)
+
+
+def dealt(sizes: list[int], columns: int) -> list[tuple[int, int, int]]:
+    """(size of vectors, first rotation, end) of each task, for codes of so many columns."""
+    tasks = []
+    for d in sizes:
+        turns, each = -(-columns // d), max(1, COLUMNS // d)
+        tasks += [(d, first, min(first + each, turns)) for first in range(0, turns, each)]
+    return tasks
+
+
 def apart_share(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Angle of rows as a share of pi: the chance that a bit differs; 1 where a row is zero."""
     size = np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)
@@ -244,21 +275,29 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
         made, real, *others = measured(x, x.mean(0), threshold, np.random.default_rng(seed))
         return pd.DataFrame([(d, made, real, *others)], columns=["d", "made", "real", "any_centred", "any_plain"])
 
-    def learn(pdf):
-        import pandas as pd
+    def rotations(d, first, end):
+        x = unit_rows(sampled(files, d))
+        mean = x.mean(0) * (d in centred)
+        return mean.tobytes(), np.concatenate(learn_some(x - mean, first, end, np.random.default_rng(seed)), 1).tobytes()
 
-        d, x = unit(pdf)
-        mean, rng = x.mean(0) * (d in centred), np.random.default_rng(seed)
-        turns = [learn_rotation(x - mean, rng) for _ in range(-(-max(tables * bits, 64 * FILTER_WORDS) // d))]
-        return pd.DataFrame({"d": [d], "mean": [mean.tobytes()], "turns": [np.concatenate(turns, 1).tobytes()]})
+    def learn(batches):
+        import pyarrow as pa
+
+        for batch in sliced(batches):
+            for d, first, end in (tasks[i] for i in batch.column("id").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([first], pa.int32()), *(pa.array([x], pa.binary()) for x in rotations(d, first, end))], names=["d", "first", "mean", "turns"])
 
     share = min(1.0, sample_rows / max(1, n))
     sample = classes.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < share * (1 << 30))
     sample = sample.unionByName(classes.groupBy("d").agg(F.min(F.struct("id", "v")).alias("m")).select("d", F.col("m.id").alias("id"), F.col("m.v").alias("v")), allowMissingColumns=True)
-    sample = cut(sample.select("d", "v"))
+    sample = cut(sample.select("d", "v").repartition("d"))  # so there are few files, whatever the input has
     angles = {r["d"]: [np.array(r[c]) for c in ("made", "real", "any_centred", "any_plain")] for r in sample.groupBy("d").applyInPandas(measure, ANGLES).collect()}
     bits, tables, within, centred = plan(n, threshold, recall, angles)
-    models = {r["d"]: (np.frombuffer(r["mean"]), np.frombuffer(r["turns"]).reshape(r["d"], -1)) for r in sample.groupBy("d").applyInPandas(learn, MODEL).collect()}
+    files, tasks = sample.inputFiles(), dealt(sorted(angles), max(tables * bits, 64 * FILTER_WORDS))
+    learned = {}
+    for r in sorted(spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(learn, MODEL).collect(), key=lambda r: r["first"]):
+        learned.setdefault(r["d"], []).append(r)
+    models = {d: (np.frombuffer(rs[0]["mean"]), np.concatenate([np.frombuffer(r["turns"]).reshape(d, -1) for r in rs], 1)) for d, rs in learned.items()}
     sent = spark.sparkContext.broadcast(models)  # of the sizes of vectors, not of the rows
     words = [f"w{i}" for i in range(FILTER_WORDS)]
 

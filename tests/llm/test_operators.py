@@ -446,6 +446,31 @@ def test_near_vectors(spark, small, tile, monkeypatch):
     assert itq.near_vectors(df.limit(0)).count() == 0
 
 
+def test_rotations_are_dealt_to_tasks(spark, monkeypatch):
+    x = itq.unit_rows(np.random.default_rng(4).normal(size=(200, 6)))
+    whole = itq.learn_some(x, 0, 5, np.random.default_rng(11))
+    rng = np.random.default_rng(11)
+    assert all(np.array_equal(a, itq.learn_rotation(x, rng)) for a in whole)
+    assert np.array_equal(np.stack(whole[2:4]), itq.learn_some(x, 2, 4, np.random.default_rng(11)))
+    tasks = itq.dealt([2, 64, 100], 480)
+    assert max((end - first) * d for d, first, end in tasks if d < 65) <= itq.COLUMNS and all(end - first == 1 for d, first, end in tasks if d > 32)
+    for d, turns in ((2, 240), (64, 8), (100, 5)):
+        assert [i for k, first, end in tasks if k == d for i in range(first, end)] == list(range(turns))
+    assert itq.dealt([], 480) == []
+    r = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in r.normal(size=16 if i % 4 else 8)], i % 2) for i in range(60)]
+    rows += [(100 + i, [v * 2 + 0.1 for v in e], k) for i, e, k in rows[:30]] + [(200, None, 1), (201, [0.0] * 16, 1), (202, [1.0] * 16, None), (None, [1.0] * 16, 1), (203, [], 0), (204, [1.0], 0), (205, [5.0], 0)]
+    df = spark.createDataFrame(rows + rows, "vec_id long, embedding array<double>, label int")
+    seen, run = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: (seen.extend([self.count()] * (schema == itq.MODEL)), run(self, f, schema))[1])
+    got = []
+    for columns in (16, 10**9):
+        monkeypatch.setattr(itq, "COLUMNS", columns)
+        got.append(sorted(map(tuple, itq.near_vectors(df).collect()), key=key))
+    assert got[0] == got[1] and len(got[0]) == 2 * len(rows) and sum(x[1] > 1 for x in got[0]) > 20
+    assert len(seen) == 2 and seen[0] > 20 and seen[1] == 3
+
+
 @pytest.mark.parametrize("share", [0.7, 0.9])
 def test_near_vectors_around_a_large_mean(spark, share):
     r = np.random.default_rng(8)
