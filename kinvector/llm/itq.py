@@ -53,9 +53,12 @@ def learn_rotation(x: np.ndarray, rng, rounds: int = 30) -> np.ndarray:
     """Rotation of centred rows that brings them close to their signs."""
     d = x.shape[1]
     r = np.linalg.qr(rng.normal(size=(d, d)))[0]
+    v = np.empty_like(x)  # one array for all rounds: to make new ones takes as long as the products
     for _ in range(rounds):
-        v = x @ r
-        u, _, w = np.linalg.svd(x.T @ np.where(v >= 0, 1.0, -1.0))
+        np.matmul(x, r, out=v)
+        np.multiply(v >= 0, 2.0, out=v)
+        v -= 1.0
+        u, _, w = np.linalg.svd(x.T @ v)
         r = u @ w
     return r
 

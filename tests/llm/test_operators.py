@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -446,6 +447,21 @@ def test_near_vectors(spark, small, tile, monkeypatch):
     assert itq.near_vectors(df.limit(0)).count() == 0
 
 
+def test_a_rotation_is_learned_in_one_array():
+    x = np.random.default_rng(6).normal(size=(4000, 12))
+    x[:50], x[:, 3] = 0, 0  # products that are zero, of either sign
+    r = np.linalg.qr(np.random.default_rng(11).normal(size=(12, 12)))[0]
+    for _ in range(30):
+        u, _, w = np.linalg.svd(x.T @ np.where(x @ r >= 0, 1.0, -1.0))
+        r = u @ w
+    itq.learn_rotation(x[:50], np.random.default_rng(11))
+    tracemalloc.start()
+    got = itq.learn_rotation(x, np.random.default_rng(11))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got, r) and peak < 1.6 * x.nbytes
+
+
 def test_rotations_are_dealt_to_tasks(spark, monkeypatch):
     x = itq.unit_rows(np.random.default_rng(4).normal(size=(200, 6)))
     whole = itq.learn_some(x, 0, 5, np.random.default_rng(11))
