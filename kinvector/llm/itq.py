@@ -265,18 +265,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     good = rows.where("ok")
     classes = good.groupBy("label", "h", "h2").agg(F.min(F.struct("vec_id", "v")).alias("m"), F.count("*").alias("copies"))
     classes = cut(classes.select("label", "h", "h2", "copies", F.col("m.vec_id").alias("id"), F.col("m.v").alias("v"), F.size("m.v").alias("d")))
-    n = classes.count()
+    sizes = {r["d"]: r["count"] for r in classes.groupBy("d").count().collect()}
+    n = sum(sizes.values())
 
-    def unit(pdf):
-        d, x = int(pdf["d"].iloc[0]), np.stack(pdf["v"].to_numpy())
-        return d, unit_rows(x)
+    def angles_of(d):
+        x = unit_rows(sampled(files, d))
+        return measured(x, x.mean(0), threshold, np.random.default_rng(seed))
 
-    def measure(pdf):
-        import pandas as pd
+    def measure(batches):
+        import pyarrow as pa
 
-        d, x = unit(pdf)
-        made, real, *others = measured(x, x.mean(0), threshold, np.random.default_rng(seed))
-        return pd.DataFrame([(d, made, real, *others)], columns=["d", "made", "real", "any_centred", "any_plain"])
+        for batch in sliced(batches):
+            for d in (order[i] for i in batch.column("id").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), *(pa.array([x], pa.list_(pa.float64())) for x in angles_of(d))], names=["d", "made", "real", "any_centred", "any_plain"])
 
     def rotations(d, first, end):
         x = unit_rows(sampled(files, d))
@@ -294,11 +295,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, recall: float = 0.
     sample = classes.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < share * (1 << 30))
     sample = sample.unionByName(classes.groupBy("d").agg(F.min(F.struct("id", "v")).alias("m")).select("d", F.col("m.id").alias("id"), F.col("m.v").alias("v")), allowMissingColumns=True)
     sample = cut(sample.select("d", "v").repartition("d"))  # so there are few files, whatever the input has
-    angles = {r["d"]: [np.array(r[c]) for c in ("made", "real", "any_centred", "any_plain")] for r in sample.groupBy("d").applyInPandas(measure, ANGLES).collect()}
+    files, order = sample.inputFiles(), sorted(sizes)
+    each = lambda items: spark.range(0, len(items), 1, max(1, len(items)))  # noqa: E731  a task for each
+    angles = {r["d"]: [np.array(r[c]) for c in ("made", "real", "any_centred", "any_plain")] for r in each(order).mapInArrow(measure, ANGLES).collect()}
     bits, tables, within, centred = plan(n, threshold, recall, angles)
-    files, tasks = sample.inputFiles(), dealt(sorted(angles), max(tables * bits, 64 * FILTER_WORDS))
+    tasks = dealt(order, max(tables * bits, 64 * FILTER_WORDS))
     learned = {}
-    for r in sorted(spark.range(0, len(tasks), 1, max(1, len(tasks))).mapInArrow(learn, MODEL).collect(), key=lambda r: r["first"]):
+    for r in sorted(each(tasks).mapInArrow(learn, MODEL).collect(), key=lambda r: r["first"]):
         learned.setdefault(r["d"], []).append(r)
     models = {d: (np.frombuffer(rs[0]["mean"]), np.concatenate([np.frombuffer(r["turns"]).reshape(d, -1) for r in rs], 1)) for d, rs in learned.items()}
     sent = spark.sparkContext.broadcast(models)  # of the sizes of vectors, not of the rows
